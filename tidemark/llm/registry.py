@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, naming, simhash
+from tidemark.llm import bpe, naming, packing, pivots, simhash
 from tidemark.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,15 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.shard(documents(spark, sf_dir), shards=16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), min_cosine=0.93)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), n=3, max_bits=3, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,9 +60,29 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_pivots": op2_pivots,
     "op4_simhash": op4_simhash,
     "op8_naming": op8_naming,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {"op8_naming": OP8_SQL}
+OP2_SQL = """
+WITH RECURSIVE fit AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT l.w, r.root FROM reach r JOIN links l ON l.u = r.vec_id
+), roots AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.u = e.vec_id) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN roots r ON r.vec_id = e.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op2_pivots": OP2_SQL, "op8_naming": OP8_SQL}
