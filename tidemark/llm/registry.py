@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, naming, packing, pivots, simhash
+from tidemark.llm import bpe, mixing, naming, packing, pivots, simhash
 from tidemark.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,6 +43,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, targets = mixing.copies(documents(spark, sf_dir))
+    each = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    return each.join(targets, "source_no").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op8_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_groups(documents(spark, sf_dir))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pivots": op2_pivots,
     "op4_simhash": op4_simhash,
+    "op7_mixing": op7_mixing,
     "op8_naming": op8_naming,
     "op10_bpe": op10_bpe,
 }
