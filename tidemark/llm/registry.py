@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, naming, packing, pivots, simhash
+from tidemark.llm import bpe, mixing, naming, packing, pivots, ppm, quality, simhash
 from tidemark.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,6 +43,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return ppm.score(documents(spark, sf_dir), F.coalesce(held_out, F.lit(False)))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, targets = mixing.copies(documents(spark, sf_dir))
     each = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
@@ -60,6 +65,11 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("target"))
+    return quality.classify(documents(spark, sf_dir), labels)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(documents(spark, sf_dir), rank_file(), split_pattern(), decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -69,8 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pivots": op2_pivots,
     "op4_simhash": op4_simhash,
+    "op5_ppm": op5_ppm,
     "op7_mixing": op7_mixing,
     "op8_naming": op8_naming,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
