@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
 
-ORDER = 3
-CHUNK_BYTES = 8_000_000
+ORDER = 4
+CHUNK_BYTES = 32_000_000
+SLICE_BYTES = 4_000_000  # grams that are sorted at a time
 START, END = b"\xfe", b"\xff"
 END_TOKEN = b"\n"  # no word holds it
 
@@ -49,6 +50,27 @@ def grams(text: bytes | None, order: int) -> np.ndarray:
     return code
 
 
+class GramCounts:
+    """Distinct grams and their counts, gathered a slice at a time."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.waiting.append(codes)
+        self.size += len(codes)
+        if self.size >= SLICE_BYTES:
+            self.gather()
+
+    def gather(self) -> None:
+        own, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *self.waiting]), return_counts=True)
+        self.keys, at = np.unique(np.r_[self.keys, own], return_inverse=True)
+        self.n = np.bincount(at, weights=np.r_[self.n, n], minlength=len(self.keys)).astype(np.int64)
+        self.waiting, self.size = [], 0
+
+
 def in_chunks(docs: DataFrame, id_col: str, text_col: str, held_out, chunk_bytes: int) -> DataFrame:  # noqa: ANN001
     """``doc_id``, ``text`` (binary), ``held_out`` and ``chunk``, written.  A longer text is a chunk of its own."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), held_out.alias("held_out"), F.spark_partition_id().cast("bigint").alias("chunk"))
@@ -72,25 +94,26 @@ def chunk_counts(chunks: DataFrame, order: int) -> DataFrame:
 
     def counted(chunk: int, texts: list[tuple[bytes | None, bool]]) -> Iterator[pa.RecordBatch]:
         train, other = Counter(), set()
-        codes: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        codes = {False: GramCounts(), True: GramCounts()}
         for text, held_out in texts:
             if held_out:
                 other.update(tokens(text))
             else:
                 train.update(tokens(text))
-            codes[held_out].append(grams(text, order))
+            codes[held_out].add(grams(text, order))
         words = [*train, *(other - train.keys())]
         n = np.r_[np.fromiter(train.values(), dtype=np.int64, count=len(train)), np.zeros(len(words) - len(train), dtype=np.int64)]
-        own, many = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *codes[False]]), return_counts=True)
-        rest = np.setdiff1d(np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *codes[True]])), own)
-        gram = np.r_[own, rest]
+        for part in codes.values():
+            part.gather()
+        own = codes[False].keys
+        rest = np.setdiff1d(codes[True].keys, own, assume_unique=True)
+        gram, many = np.r_[own, rest], np.r_[codes[False].n, np.zeros(len(rest), dtype=np.int64)]
         for start in range(0, len(words), 50_000):
             some = words[start : start + 50_000]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(some), chunk)), pa.array(some, pa.binary()), pa.nulls(len(some), pa.int64()), pa.array(n[start : start + 50_000])], names=["chunk", "word", "gram", "n"]
             )
-        many = np.r_[many, np.zeros(len(rest), dtype=np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), chunk)), pa.nulls(len(gram), pa.binary()), pa.array(gram), pa.array(many.astype(np.int64))], names=["chunk", "word", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), chunk)), pa.nulls(len(gram), pa.binary()), pa.array(gram), pa.array(many)], names=["chunk", "word", "gram", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, naming, packing, pivots, ppm, quality, simhash
+from tidemark.llm import bpe, edits, licenses, mixing, naming, packing, pivots, ppm, quality, simhash
 from tidemark.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -38,6 +38,12 @@ def op2_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), min_cosine=0.93)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), n=3, max_bits=3, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,6 +54,16 @@ def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(documents(spark, sf_dir), F.coalesce(held_out, F.lit(False)))
 
 
+def masking_edits(text: str) -> list[edits.Edit]:
+    """The production edits: e-mail addresses and runs of at least six digits are masked."""
+    return edits.masks(text, [(r"[\w.+-]+@[\w-]+\.[\w.-]+", "[email]"), (r"\d{6,}", "[number]")])
+
+
+def op6_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edits.recount(documents(spark, sf_dir), masking_edits, rank_file(), split_pattern())
+    return found.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, targets = mixing.copies(documents(spark, sf_dir))
     each = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
@@ -78,8 +94,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pivots": op2_pivots,
+    "op3_licenses": op3_licenses,
     "op4_simhash": op4_simhash,
     "op5_ppm": op5_ppm,
+    "op6_edits": op6_edits,
     "op7_mixing": op7_mixing,
     "op8_naming": op8_naming,
     "op9_quality": op9_quality,
