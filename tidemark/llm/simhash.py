@@ -219,15 +219,16 @@ def near_duplicates(docs: DataFrame, n: int = 3, max_bits: int = 3, seed: int =
     return groups(prints, max_bits)
 
 
-def keep_one(docs: DataFrame, max_bits: int = 5, max_wide: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, max_bits: int = 5, max_wide: int = 44, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of documents whose five-word shingle sets are alike to 0.8 or more.
 
     Candidates share a fingerprint of their distinct words up to ``max_bits`` of 64 bits, in
     one of two fingerprints; a link is verified by a 256-bit fingerprint of the distinct
     five-word shingles.  A Jaccard similarity of 0.8 is a cosine of 0.889, an angle of 0.476
-    and so 38.8 differing bits of 256 in the mean; 42 leaves half a standard deviation.
-    The row with the smallest id of a group stays.  Of rows with the same id and text one stays;
-    rows that have no words are alike.
+    and so 38.8 differing bits of 256 in the mean, with a deviation of 5.7; 44 catches five of
+    six pairs at exactly 0.8, nearly all above 0.85 and few below 0.7.
+    The row with the smallest id of a group stays, with all rows that share that id; rows
+    that have no words are alike.
     """
     prints = materialise(fingerprints(docs.select(id_col, text_col), [(1, True, 2), (5, True, 4)], 42, id_col, text_col), "near-prints")
     found = groups(prints, max_bits, "near", [f"f{i}" for i in range(2, 6)], max_wide)
