@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, TimestampNTZType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType, TimestampNTZType, TimestampType
+
+KINDS = {"string": StringType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType()}
 
 TABLES: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
-    for name, ddl in {
+    name: StructType([StructField(column, KINDS[kind]) for column, kind in (part.split() for part in columns.split(","))])
+    for name, columns in {
         "matches": "match_id string, league string, team_a string, team_b string, start_ts timestamp, best_of int, neutral_source string, result_winner string, result_ts timestamp",
         "contracts": "contract_id string, venue string, match_id string, family string, outcome_side string, question_text string, parity_ok boolean",
         "quotes": "contract_id string, venue string, ts timestamp, source string, regime string, bid double, ask double, mid double, last double, bid_size_usd double, ask_size_usd double",
