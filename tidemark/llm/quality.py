@@ -42,14 +42,19 @@ def ngram_buckets(text: bytes | None, buckets: int = BUCKETS) -> Iterator[np.nda
 
 
 def label_sample(labels: DataFrame, most: int = LABELS) -> DataFrame:
-    """At most ``most`` rows ``doc_id``, ``target``: one for each id, the ids drawn by a hash.  Nulls are left out."""
+    """At most ``most`` rows ``doc_id``, ``target``, ``fit``: one for each id, the ids drawn by a hash.  Nulls are left out.
+
+    Three of four are for fitting; the rest find the threshold, as a text's own n-grams in the
+    target model would flatter it.
+    """
     known = labels.where("doc_id IS NOT NULL AND target IS NOT NULL").groupBy("doc_id").agg(F.max("target").alias("target"))
-    return F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return F.broadcast(drawn.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) > 0))
 
 
 def bucket_counts(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """N-gram counts of the target and of all rows."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(labels, "doc_id", "left")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(labels.where("fit").select("doc_id", "target"), "doc_id", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, buckets), dtype=np.int64)  # target, other
@@ -70,7 +75,7 @@ def bucket_counts(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame
 def log_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """``doc_id``, ``n_ngrams`` and ``log_weight`` (0 for a text without words, null and empty ones included).
 
-    ``labels`` has ``doc_id`` and ``target``, one row for each id.  Both models are smoothed by
+    ``labels`` comes from ``label_sample``.  Both models are smoothed by
     one occurrence of every bucket.  Without target rows all weights are 0.
     """
     good, raw = bucket_counts(docs, id_col, text_col, labels, buckets)
@@ -91,11 +96,14 @@ def log_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def threshold(scored: DataFrame, labels: DataFrame, low: float = -2.0, high: float = 2.0) -> float:
-    """The log weight that parts the labelled rows with the fewest errors; of several the lowest.  Without labelled rows minus infinity."""
+    """The log weight that parts the labelled rows not fitted to with the fewest errors; of several the lowest.
+
+    Minus infinity if there are no such rows or if none of them is to go.
+    """
     step = (high - low) / BINS
     place = F.least(F.greatest(F.floor((F.col("log_weight") - low) / step), F.lit(0)), F.lit(BINS - 1)).cast("int")
     counts = np.zeros((2, BINS), dtype=np.int64)
-    for target, at, n in scored.join(labels, "doc_id").groupBy("target", place.alias("at")).agg(F.count(F.lit(1))).collect():  # at most 2 * BINS rows
+    for target, at, n in scored.join(labels.where("NOT fit"), "doc_id").groupBy("target", place.alias("at")).agg(F.count(F.lit(1))).collect():  # at most 2 * BINS rows
         counts[int(target), at] = n
     if not counts.any():
         return float("-inf")
