@@ -50,8 +50,11 @@ def asof_join(
     if bucket:
         group = [*key_names, "_b"]
         rows = rows.withColumn("_b", F.floor(F.col("_t") / bucket))
-        at = F.struct("_t", F.col("_pri"), *([] if forward else ["_tie"]))
-        last = rows.groupBy(*group).agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), at)).alias("_r"))
+        if forward:
+            pick = F.min_by("_r", F.when(F.col("_r").isNotNull(), F.struct((-F.col("_t")).alias("t"), "_tie")))
+        else:
+            pick = F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct("_t", "_tie")))
+        last = rows.groupBy(*group).agg(pick.alias("_r"))
         before = Window.partitionBy(*key_names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         seeds = last.withColumn("_r", F.last("_r", ignorenulls=True).over(before)).where("_r IS NOT NULL").withColumn("_t", F.lit(None).cast("bigint")).withColumn("_pri", F.lit(-1))
         rows = rows.unionByName(seeds, allowMissingColumns=True)

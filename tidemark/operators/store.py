@@ -104,9 +104,9 @@ class Store:
 
     def write_artifact(self, gate: str, payload: dict, run_id: str) -> dict:
         """Store a gate's result as JSON with sorted keys; returns it with its path.  The hash is of the payload without the path."""
-        text = json.dumps(payload, sort_keys=True, indent=2, default=str)
+        text = json.dumps(payload, sort_keys=True, default=str)
         path = f"{self.root}/artifacts/{gate}_{run_id}"
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="")
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
         row = self.spark.createDataFrame([(run_id, gate, path, sha256(text.encode()).hexdigest())], "run_id string, gate string, path string, table_hash string")
         self.upsert("run_artifacts", row.withColumn("created_ts", F.current_timestamp()))
         return payload | {"artifact_path": path}
@@ -116,5 +116,5 @@ class Store:
         row = self.read("run_artifacts").where(F.col("gate") == gate).agg(F.max_by("path", "run_id").alias("path")).first()
         if row is None or row["path"] is None:
             return None
-        text = self.spark.read.text(row["path"], wholetext=True).first()["value"]
-        return json.loads(text) | {"artifact_path": row["path"]}
+        lines = self.spark.read.text(row["path"]).first()["value"]
+        return json.loads(lines) | {"artifact_path": row["path"]}

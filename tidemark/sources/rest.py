@@ -130,10 +130,10 @@ class RestReader(DataSourceReader):
 
 
 class ReplayStream(SimpleDataSourceStreamReader):
-    """A stored page in each micro-batch; the offset is the number of pages read."""
+    """Stored pages; the offset is the number of pages read.  A micro-batch takes what is there, at most ``pages_per_batch``."""
 
     def __init__(self, options: dict):
-        self.folder = options["path"]
+        self.folder, self.most = options["path"], int(options.get("pages_per_batch", 1000))
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"page": 0}
@@ -147,8 +147,8 @@ class ReplayStream(SimpleDataSourceStreamReader):
         return [(at, i, json.dumps(x, separators=(",", ":")), x.get("status"), x.get("startDate"), 0, 0) for i, x in enumerate(items)]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._page(start["page"])
-        return iter(rows), {"page": start["page"] + 1} if rows else start
+        end = {"page": min(len(list(Path(self.folder).glob("*.json"))), start["page"] + self.most)}
+        return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         return iter([row for at in range(start["page"], end["page"]) for row in self._page(at)])
