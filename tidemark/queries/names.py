@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clock, nested, text
 from tidemark.operators import matching
+from tidemark.queries import market
 from tidemark.queries.market import TICKS, ticks
 from tidemark.sources import sweeps
-from tidemark.streaming import recorder
+from tidemark.streaming import live, recorder
 
 ENDINGS = ("", " Esports", " Academy", "'s Gaming", " Club")
 TITLES = (
@@ -207,6 +208,29 @@ def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
 
 
+def stream_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live rule over events as a stream; the rows of the batch rule."""
+    import uuid
+
+    view = f"tm_live_{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(STREAM_SCHEMA).parquet(f"{sf_dir}/events*.parquet").where("event_type IN ('click', 'view')")
+    sides = rows.select(
+        F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.when(F.col("event_type") == "click", "k").otherwise("p").alias("side"), (F.col("value") / (F.col("value") + 50.0)).alias("price")
+    )
+    folder, stored = _folder(spark), []
+
+    def batch(found: DataFrame, number: int) -> None:
+        path = f"{folder}/{view}/{number}"
+        found.write.mode("overwrite").parquet(path)
+        stored.append(spark.read.parquet(path))
+
+    _drained(live.live_divergences(sides, market.THRESHOLD, market.NEED, market.WINDOW), spark, view, batch)
+    out = stored[0]
+    for part in stored[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("key").cast("bigint").alias("user_id"), "t_start", *[F.round(c, 9).alias(c) for c in ("p_start", "k_start", "gap")])
+
+
 def _folder(spark: SparkSession) -> str:
     import tempfile
 
@@ -217,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_name, classify_family, league_remap, fuzzy_rule_match, fuzzy_ratio_match, fixture_match, first_side_lookup, parse_title, json_props, winner_from_arrays, explode_markets, ts_roundtrip,
-        sweep_map_results, sweep_records, stream_dedup_ingest,
+        sweep_map_results, sweep_records, stream_dedup_ingest, stream_divergence,
     )
 }
 
@@ -311,5 +335,6 @@ SELECT p_partkey, CASE WHEN b0 IS NOT NULL THEN a0 END AS a, CASE WHEN a0 IS NOT
 FROM text GROUP BY seq, user_id""",
     "sweep_records": f"""WITH {_GROUPED}, r AS (SELECT seq, first(ts ORDER BY i) AS ts, first(fixed ORDER BY i) AS fixed, count(*) AS n, min('T' || event_id) AS c FROM text GROUP BY seq)
 SELECT count(*) AS n_records, min(fixed) AS oldest, sum(n)::BIGINT AS n_contracts, min(c) AS first_contract FROM r WHERE ts >= TIMESTAMP '2024-01-10'""",
+    "stream_divergence": market.SQL["divergences"],
     "stream_dedup_ingest": "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type",
 }
