@@ -83,7 +83,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("target"))
-    return quality.classify(documents(spark, sf_dir), labels)
+    return quality.classify(documents(spark, sf_dir), labels).withColumnRenamed("selected", "kept")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
