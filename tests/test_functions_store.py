@@ -238,3 +238,62 @@ def test_gates_through_the_command_line(spark, tmp_path, sf, capsys):
     assert "VERDICT: " in capsys.readouterr().out
     with pytest.raises(KeyError):
         plugins.sport("chess")
+
+
+def candle(t, bid, ask):
+    return {"end_period_ts": t, "yes_bid": {"close_dollars": bid}, "yes_ask": {"close_dollars": ask}}
+
+
+def test_candles_points_and_series(spark):
+    from tidemark.plans import series
+
+    rows = [("x", json.dumps(candle(*c))) for c in ((100, ".40", ".44"), (160, ".50", ".54"), (220, "bad", ".94"), (280, "0", "0"))]
+    candles = spark.createDataFrame(rows, "k_ticker string, raw string").withColumn("candle", F.from_json("raw", series.CANDLE))
+    at = spark.createDataFrame([("x", t) for t in (50, 100, 200, 230, 300)], "k_ticker string, at long")
+    assert {r["at"]: r.price for r in series.candle_mid_at(at, candles, ["k_ticker"], "at").collect()} == {50: None, 100: 0.42, 200: 0.52, 230: None, 300: None}
+    assert sorted((r.t, r.price) for r in series.candle_series(candles, ["k_ticker"]).collect()) == [(100, 0.42), (160, 0.52)]
+    maps = spark.createDataFrame([("m1", 150, 700, "A", "A", "x", "tok"), ("m2", 150, 30, "A", "B", None, "tok")], "match_id string, kickoff long, length_s int, team_a string, winner string, k_ticker string, p_token string")
+    history = spark.createDataFrame([("tok", 90, 0.3), ("tok", 155, 0.6)], "p_token string, t long, price double")
+    got = sorted((r.match_id, r.venue, r.regime, r.p, r.y) for r in series.build_points(maps, candles, history).collect())
+    assert got == [("m1", "K", "pre_match", 0.42, 1.0), ("m1", "P", "in_game", 0.6, 1.0), ("m1", "P", "pre_match", 0.3, 1.0), ("m2", "P", "pre_match", 0.3, 0.0)]
+    sliced = series.map_series(maps, history, "p_token")
+    assert sorted((r.match_id, r.t, r.regime) for r in sliced.collect()) == [("m1", 90, "pre_match"), ("m1", 155, "in_game"), ("m2", 90, "pre_match"), ("m2", 155, "in_game")]
+    r = one(spark, i=series.side_key(F.array(F.lit("T1"), F.lit("Gen.G Esports")), F.lit("Gen.G")))
+    assert r.i == 1
+
+
+def test_market_snapshots_with_raw_ladders(spark):
+    kind = "struct<yes_bid_dollars: string, yes_ask_dollars: string, yes_bid_size_fp: string, yes_ask_size_fp: string>"
+    market = F.from_json(F.lit('{"yes_bid_dollars": ".60", "yes_ask_dollars": ".64", "yes_bid_size_fp": "1000", "yes_ask_size_fp": "500"}'), kind)
+    levels = lambda x: F.from_json(F.lit(x), "array<array<string>>")
+    r = spark.range(1).select(*book.market_snapshot(market, levels('[["0.5", "10"]]'), levels("[]"), market)).first()
+    assert (r.mid, r.top_bid_usd, r.top_ask_usd, r.full_bid_usd, r.full_ask_usd, r.n_levels, r.book_ok) == (0.62, 600.0, 320.0, 5.0, None, 1, 1)
+    bad = spark.range(1).select(*book.market_snapshot(market, levels('[["x", "10"]]'), levels("[]"), market)).first()
+    assert (bad.full_bid_usd, bad.n_levels) == (None, None)
+
+
+def test_live_depth_sweep(spark):
+    event = {"title": "LCK: A vs B (BO3)", "slug": "lol-a-b-2025-03-01", "markets": [{"question": "Game 1 Winner", "conditionId": "c1", "clobTokenIds": '["t1"]'}, {"question": "Game 2 Winner", "conditionId": "c2", "clobTokenIds": '["t2"]'}]}
+    rows = sweeps.parsed(spark.createDataFrame([(0, json.dumps(event))], "seq int, item string"), sweeps.P_EVENT)
+    books = spark.range(1).select(F.lit("t1").alias("token"), ladder((0.40, 100), (0.55, 200)).alias("bids"), ladder().alias("asks"))
+    got = sweeps.live_quotes(rows, books, ("map_winner",), F.lit("2025-02-01").cast("timestamp")).collect()
+    assert [(r.contract_id, r.regime, r.bid, r.mid, r.bid_size_usd, r.ask_size_usd) for r in got] == [("c1", "pre_match", 0.55, None, 110.0, None)]
+
+
+def test_ingest_from_the_command_line(spark, tmp_path):
+    from tidemark import cli, plugins
+
+    for name in ("k", "p"):
+        (tmp_path / name).mkdir()
+    market = {"yes_sub_title": "T1", "close_time": "2025-03-01T10:00:00Z"}
+    pages(tmp_path / "k", {"items": [{"event_ticker": "E-1", "title": "T1 vs Gen.G: Map 1 winner", "markets": [market | {"ticker": "a"}, market | {"ticker": "b", "yes_sub_title": "Gen.G"}]}]})
+    pages(tmp_path / "p", {"items": [{"title": "LCK: A vs B (BO3)", "slug": "lol-2025-03-01", "markets": [{"question": "Game 1 Winner", "conditionId": "c1"}, {"question": "first blood", "conditionId": "c2"}]}]})
+    (tmp_path / "r.csv").write_text("gameid,league,date,game,position,side,teamname,result,gamelength\ng1,LCK,2025-03-01 10:00:00,1,team,Blue,T1,1,1800\ng1,LCK,2025-03-01 10:00:00,1,team,Red,Gen.G,0,1800\n")
+    store = Store(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        assert cli.run_ingest(store, plugins.sport("lol"), str(tmp_path / "r.csv"), str(tmp_path / "k"), str(tmp_path / "p")) == 0
+    assert sorted(r.contract_id for r in store.read("contracts").collect()) == ["a", "b", "c1"]
+    assert [(r.match_id, r.result_ts) for r in store.read("matches").collect()] == [("g1", dt.datetime(2025, 3, 1, 10, 30))]
+    assert {r.contract_id for r in store.read("discards").collect()} == {"c2"}
+    store.log_spend("K", "/events", 200)
+    assert store.read("spend_log").first().status == 200

@@ -1,6 +1,7 @@
 """Command line: gates over stored tables, and the recorder.
 
     python -m tidemark.cli gate G2 --data DIR --store DIR
+    python -m tidemark.cli ingest --results 'FILES*.csv' --k-pages DIR --p-pages DIR --store DIR
     python -m tidemark.cli record --pages DIR --store DIR --once
 """
 
@@ -26,6 +27,12 @@ def parser() -> argparse.ArgumentParser:
     gate.add_argument("--sport", default="lol", choices=sorted(plugins.SPORTS))
     gate.add_argument("--data", default="", help="folder of the driver's tables; not needed for G4")
     gate.add_argument("--store", required=True)
+    ingest = sub.add_parser("ingest")
+    ingest.add_argument("--sport", default="lol", choices=sorted(plugins.SPORTS))
+    ingest.add_argument("--results", help="glob of neutral results files")
+    ingest.add_argument("--k-pages", help="folder of stored event pages of venue K")
+    ingest.add_argument("--p-pages", help="folder of stored event pages of venue P")
+    ingest.add_argument("--store", required=True)
     rec = sub.add_parser("record")
     rec.add_argument("--pages", required=True, help="folder of stored pages to replay")
     rec.add_argument("--store", required=True)
@@ -56,6 +63,27 @@ def run_gate(store: Store, gate: str, data: str, sport: plugins.Sport) -> int:
     return 0
 
 
+def run_ingest(store: Store, sport: plugins.Sport, results: str | None, k_pages: str | None, p_pages: str | None) -> int:
+    """Matches and contracts into the store; what a sweep leaves out is counted in the discards."""
+    from tidemark.sources import sweeps
+    from tidemark.sources.rest import RestSource
+
+    spark, census = store.spark, sport.params.census
+    spark.dataSource.register(RestSource)
+    if results:
+        store.upsert("matches", sport.matches(spark, results))
+    if k_pages:
+        events = sweeps.parsed(spark.read.format("rest").option("path", k_pages).load(), sweeps.K_EVENT)
+        store.upsert("contracts", sweeps.k_contracts(sweeps.k_records(events, sport.family(F.col("e.title")), census.window_start)))
+    if p_pages:
+        events = sweeps.parsed(spark.read.format("rest").option("path", p_pages).load(), sweeps.P_EVENT)
+        markets = sweeps.p_markets(events, census.families, census.window_start)
+        store.upsert("contracts", markets.withColumn("venue", F.lit("P")).withColumn("outcome_side", F.concat_ws(" vs ", "teams")))
+        lost = sweeps.flat_markets(events).select(F.col("m.conditionId").alias("contract_id")).where("contract_id IS NOT NULL").join(markets, "contract_id", "left_anti")
+        store.record_discards(lost, "sweep", F.lit("no family, pair or date in the window"))
+    return 0
+
+
 def run_recorder(store: Store, pages: str, once: bool) -> int:
     from tidemark.functions import book
     from tidemark.sources.rest import RestSource
@@ -82,6 +110,8 @@ def main(argv: list[str] | None = None) -> int:
     store = Store(session(), args.store)
     if args.command == "gate":
         return run_gate(store, args.gate, args.data, plugins.sport(args.sport))
+    if args.command == "ingest":
+        return run_ingest(store, plugins.sport(args.sport), args.results, args.k_pages, args.p_pages)
     return run_recorder(store, args.pages, args.once)
 
 

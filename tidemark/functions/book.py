@@ -57,3 +57,21 @@ def snapshot(bids: Column, asks: Column, raw: Column) -> list[Column]:
         both.cast("int").alias("book_ok"),
         F.to_json(raw).alias("raw_json"),
     ]
+
+
+def market_snapshot(market: Column, yes: Column, no: Column, raw: Column) -> list[Column]:
+    """Columns of a stored snapshot from a market's top-of-book fields and its raw ladders, arrays of [price, size].
+
+    The top comes from the fields; a ladder that cannot be read leaves its sums null.
+    """
+    bid, ask, bid_size, ask_size = (market[c].try_cast("double") for c in ("yes_bid_dollars", "yes_ask_dollars", "yes_bid_size_fp", "yes_ask_size_fp"))
+    both = bid.isNotNull() & ask.isNotNull()
+    bids, asks = (parsed_levels(F.coalesce(x, F.array().cast("array<array<string>>"))) for x in (yes, no))
+    levels = F.size(bids) + F.size(asks)
+    readable = bids.isNotNull() & asks.isNotNull() & (levels > 0)
+    return [
+        bid.alias("best_bid"), ask.alias("best_ask"), mid(bid, ask).alias("mid"),
+        F.when(both & (bid_size != 0), usd(bid, bid_size)).alias("top_bid_usd"), F.when(both & (ask_size != 0), usd(ask, ask_size)).alias("top_ask_usd"),
+        F.when(readable, notional(bids)).alias("full_bid_usd"), F.when(readable, notional(asks)).alias("full_ask_usd"), F.when(readable, levels).alias("n_levels"), both.cast("int").alias("book_ok"),
+        F.to_json(raw).alias("raw_json"),
+    ]

@@ -102,6 +102,14 @@ class Store:
         row = self.read("cursors").where(F.col("stream") == stream).first()
         return row["cursor_value"] if row else None
 
+    def log_spend(self, venue: str, endpoint: str, status: int, remaining_quota: str | None = None, note: str | None = None) -> None:
+        row = self.spark.createDataFrame([(venue, endpoint, status, remaining_quota, note)], "venue string, endpoint string, status int, remaining_quota string, note string")
+        self.append("spend_log", row.withColumn("ts", F.current_timestamp()))
+
+    def record_discards(self, rows: DataFrame, stage: str, reason: Column) -> None:
+        """Every row that a stage leaves out, with its keys where it has them."""
+        self.append("discards", rows.withColumn("stage", F.lit(stage)).withColumn("reason", reason).withColumn("ts", F.current_timestamp()))
+
     def write_artifact(self, gate: str, payload: dict, run_id: str) -> dict:
         """Store a gate's result as JSON with sorted keys; returns it with its path.  The hash is of the payload without the path."""
         text = json.dumps(payload, sort_keys=True, default=str)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, bootstrap, divergence, scoring
 from tidemark.params import Calibration
+from tidemark.plans import series
 
 CENTERS = Calibration().buckets
 HOUR = 3_600_000_000
@@ -263,16 +264,66 @@ SELECT x.regime, x.n AS n_divergences, round(CASE WHEN n_blocks >= 2 THEN point
 FROM b_summary x LEFT JOIN b_ends y ON x.regime = y.regime"""
 
 
+def candles(rows: DataFrame) -> DataFrame:
+    """Clicks as raw candles: bid the value (unreadable where k % 5 = 0, zero on both sides where k % 7 = 0), ask k above it."""
+    bid = F.when(F.col("k") % 5 == 0, "bad").when(F.col("k") % 7 == 0, "0").otherwise(F.col("value").cast("string"))
+    ask = F.when(F.col("k") % 7 == 0, "0.0").otherwise((F.col("value") + F.col("k")).cast("string"))
+    close = lambda c: F.struct(c.alias("close_dollars"))
+    made = F.struct(F.col("t").alias("end_period_ts"), close(bid).alias("yes_bid"), close(ask).alias("yes_ask"))
+    return rows.where("venue = 'K'").select("user_id", F.from_json(F.to_json(made), series.CANDLE).alias("candle"))
+
+
+def candle_mid_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ticks(spark, sf_dir)
+    return series.candle_mid_at(asked(rows), candles(rows), ["user_id"], "t")
+
+
+def candle_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.candle_series(candles(ticks(spark, sf_dir)), ["user_id"])
+
+
+def maps(rows: DataFrame) -> DataFrame:
+    """Purchases as maps of length k * 20 seconds, won by team a where k >= 50; times in seconds."""
+    return rows.where("event_type = 'purchase'").select(
+        F.col("event_id").alias("match_id"), F.floor(F.col("t") / 1_000_000).alias("kickoff"), (F.col("k") * 20).alias("length_s"), F.lit("a").alias("team_a"), F.when(F.col("k") >= 50, "a").otherwise("b").alias("winner"),
+        F.col("user_id").alias("k_ticker"), F.when(F.col("k") % 4 != 0, F.col("user_id")).alias("p_token"),
+    )
+
+
+def build_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ticks(spark, sf_dir)
+    seconds = candles(rows.withColumn("t", F.floor(F.col("t") / 1_000_000))).withColumnRenamed("user_id", "k_ticker")
+    history = of_venue(rows, "P").select(F.col("user_id").alias("p_token"), F.floor(F.col("t") / 1_000_000).alias("t"), "price")
+    return series.build_points(maps(rows), seconds, history)
+
+
+def map_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ticks(spark, sf_dir)
+    history = of_venue(rows, "P").select(F.col("user_id").alias("p_token"), F.floor(F.col("t") / 1_000_000).alias("t"), "price")
+    return series.map_series(maps(rows), history, "p_token")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         asof_inclusive, asof_bucketed, asof_strict, asof_forward_tol, read_asof_prefix, latest_before, grid_align, snapshot_multi_target, brier_logloss, reliability_curve, ece_by_venue,
-        calibration_report, compare_venues, block_bootstrap_ci, bootstrap_median, divergences, convergence, lead_lag_report, regime_slices, lagged_correlation,
+        calibration_report, compare_venues, block_bootstrap_ci, bootstrap_median, divergences, convergence, lead_lag_report, regime_slices, lagged_correlation, candle_mid_at, candle_series, build_points, map_series,
     )
 }
 
 SCORES = "count(*) AS n, avg((p - y) * (p - y)) AS brier, -avg(y * ln(least(1 - 1e-9, greatest(1e-9, p))) + (1 - y) * ln(1 - least(1 - 1e-9, greatest(1e-9, p)))) AS log_loss"
+CANDLES = ASOF + """, candles AS (SELECT user_id, t, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN NULL ELSE round((value + (value + k)) / 2, 6) END AS price FROM ticks WHERE venue = 'K')"""
+MAPS = CANDLES + """, maps AS (
+  SELECT event_id AS match_id, user_id, t // 1000000 AS kickoff, k * 20 AS length_s, CASE WHEN k >= 50 THEN 1.0 ELSE 0.0 END AS y, k % 4 <> 0 AS has_p FROM ticks WHERE event_type = 'purchase'
+), wanted AS (SELECT *, 'pre_match' AS regime, kickoff AS at FROM maps UNION ALL SELECT *, 'in_game', kickoff + 600 FROM maps WHERE length_s >= 600),
+ks AS (SELECT user_id, t // 1000000 AS t, price FROM candles), ps AS (SELECT user_id, t // 1000000 AS t, price FROM p)"""
 SQL = {
+    "candle_mid_at": f"WITH {CANDLES} SELECT a.event_id, a.user_id, a.t, q.price FROM asked a ASOF LEFT JOIN candles q ON a.user_id = q.user_id AND a.t >= q.t",
+    "candle_series": f"WITH {CANDLES} SELECT user_id, t, price FROM candles WHERE price IS NOT NULL",
+    "build_points": f"""WITH {MAPS} SELECT match_id, 'K' AS venue, regime, price AS p, y FROM wanted w ASOF JOIN ks q ON w.user_id = q.user_id AND w.at >= q.t WHERE price IS NOT NULL
+UNION ALL SELECT match_id, 'P', regime, price, y FROM (SELECT * FROM wanted WHERE has_p) w ASOF JOIN ps q ON w.user_id = q.user_id AND w.at >= q.t WHERE price IS NOT NULL""",
+    "map_series": f"""WITH {MAPS}, x AS (SELECT match_id, s.t, s.price, kickoff, kickoff + length_s AS e, count(*) OVER (PARTITION BY match_id) AS n FROM maps m JOIN ps s ON m.has_p AND s.user_id = m.user_id AND s.t BETWEEN kickoff - 21600 AND kickoff + length_s + 300)
+SELECT match_id, t, price, CASE WHEN t < kickoff THEN 'pre_match' WHEN t < e + 1 THEN 'in_game' END AS regime FROM x WHERE n >= 2""",
     "asof_inclusive": INCLUSIVE,
     "asof_bucketed": INCLUSIVE,
     "asof_strict": f"WITH {ASOF} SELECT {_CHOSEN} FROM asked a ASOF LEFT JOIN everything q ON a.user_id = q.user_id AND a.t > q.t",

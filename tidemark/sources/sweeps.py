@@ -85,3 +85,26 @@ def quote_of_k(m: Column) -> list[Column]:
         bid.alias("bid"), ask.alias("ask"), book.mid(bid, ask).alias("mid"), m["last_price_dollars"].try_cast("double").alias("last"),
         book.usd(bid, bid_size).alias("bid_size_usd"), book.usd(ask, ask_size).alias("ask_size_usd"),
     ]
+
+
+def live_quotes(events: DataFrame, books: DataFrame, families: tuple[str, ...], now: Column) -> DataFrame:
+    """Quotes of open markets from the book of their first token; markets without a book are left out.
+
+    ``books`` has ``token``, ``bids`` and ``asks`` (ladders).  Before a start in the future or an
+    unknown one the regime is the one before the match.
+    """
+    from tidemark.functions import book
+    from tidemark.params import IN_GAME, PRE_MATCH
+
+    rows = events.select(
+        text.title_pair(F.col("e.title")).alias("pair"), clock.slug_day(F.col("e.slug"), F.col("e.endDate"), F.col("e.startDate")).alias("start"), F.col("e.title").alias("title"), F.explode("e.markets").alias("m")
+    )
+    rows = rows.withColumn("question_text", F.concat_ws(" — ", "title", "m.question")).withColumn("family", text.family(F.col("question_text")))
+    fit = F.col("pair").isNotNull() & F.col("family").isin(list(families)) & (F.coalesce("m.conditionId", F.lit("")) != "")
+    rows = rows.where(fit).withColumn("token", F.get(nested.json_list(F.col("m.clobTokenIds")), F.lit(0))).join(books, "token")
+    bid, ask = book.best_bid(F.col("bids")), book.best_ask(F.col("asks"))
+    return rows.select(
+        F.col("m.conditionId").alias("contract_id"), F.lit("P").alias("venue"), now.alias("ts"), F.lit("live").alias("source"), F.when(F.col("start").isNull() | (F.col("start") > now), PRE_MATCH).otherwise(IN_GAME).alias("regime"),
+        bid["price"].alias("bid"), ask["price"].alias("ask"), book.mid(bid["price"], ask["price"]).alias("mid"), book.usd(bid["price"], bid["size"]).alias("bid_size_usd"), book.usd(ask["price"], ask["size"]).alias("ask_size_usd"),
+        "family", "question_text", F.concat_ws(" vs ", "pair.a", "pair.b").alias("outcome_side"),
+    )
