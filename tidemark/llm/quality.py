@@ -95,9 +95,11 @@ def log_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_ngrams bigint, log_weight double")
 
 
-def threshold(scored: DataFrame, labels: DataFrame, low: float = -2.0, high: float = 2.0) -> float:
-    """The log weight that parts the labelled rows not fitted to with the fewest errors; of several the lowest.
+def threshold(scored: DataFrame, labels: DataFrame, target_cost: int = 4, low: float = -2.0, high: float = 2.0) -> float:
+    """The log weight that parts the labelled rows not fitted to at the least cost; of several the lowest.
 
+    A target row below it costs ``target_cost`` times as much as another row above it: what is
+    lost here is lost for good.
     Minus infinity if there are no such rows or if none of them is to go.
     """
     step = (high - low) / BINS
@@ -107,7 +109,7 @@ def threshold(scored: DataFrame, labels: DataFrame, low: float = -2.0, high: flo
         counts[int(target), at] = n
     if not counts.any():
         return float("-inf")
-    errors = np.r_[0, counts[1].cumsum()] + counts[0].sum() - np.r_[0, counts[0].cumsum()]
+    errors = target_cost * np.r_[0, counts[1].cumsum()] + counts[0].sum() - np.r_[0, counts[0].cumsum()]
     best = int(errors.argmin())
     return low + best * step if best else float("-inf")
 
