@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,11 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "t
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver was started; a cluster gets it by --py-files."""
+    root, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
