@@ -314,7 +314,7 @@ QUERIES = {
 SCORES = "count(*) AS n, avg((p - y) * (p - y)) AS brier, -avg(y * ln(least(1 - 1e-9, greatest(1e-9, p))) + (1 - y) * ln(1 - least(1 - 1e-9, greatest(1e-9, p)))) AS log_loss"
 CANDLES = ASOF + """, candles AS (SELECT user_id, t, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN NULL ELSE round((value + (value + k)) / 2, 6) END AS price FROM ticks WHERE venue = 'K')"""
 MAPS = CANDLES + """, maps AS (
-  SELECT event_id AS match_id, user_id, t // 1000000 AS kickoff, k * 20 AS length_s, CASE WHEN k >= 50 THEN 1.0 ELSE 0.0 END AS y, k % 4 <> 0 AS has_p FROM ticks WHERE event_type = 'purchase'
+  SELECT event_id AS match_id, user_id, t // 1000000 AS kickoff, k * 20 AS length_s, CASE WHEN k >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, k % 4 <> 0 AS has_p FROM ticks WHERE event_type = 'purchase'
 ), wanted AS (SELECT *, 'pre_match' AS regime, kickoff AS at FROM maps UNION ALL SELECT *, 'in_game', kickoff + 600 FROM maps WHERE length_s >= 600),
 ks AS (SELECT user_id, t // 1000000 AS t, price FROM candles), ps AS (SELECT user_id, t // 1000000 AS t, price FROM p)"""
 SQL = {
