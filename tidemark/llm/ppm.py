@@ -184,19 +184,21 @@ def score(docs: DataFrame, held_out, order: int = ORDER, smoothing: float = 0.1,
     def scored(texts: pa.Table, entries: pa.Table) -> pa.Table:
         is_word = entries.column("word").is_valid()
         of_words = entries.filter(is_word)
-        c = dict(zip(of_words.column("word").to_pylist(), of_words.column("value").to_pylist(), strict=True))
-        log_c = {w: math.log10((x + smoothing) / whole) for w, x in c.items()}
+        logs = np.log10((of_words.column("value").to_numpy() + smoothing) / whole)
+        log_c = dict(zip(of_words.column("word").to_pylist(), logs.tolist(), strict=True))
+        unknown = float(np.log10(np.float64(smoothing) / whole))  # of a word with no count; all others have more
+        del of_words, logs
         of_grams = entries.filter(entries.column("gram").is_valid())
+        of_grams = of_grams.sort_by("gram")
         keys, values = of_grams.column("gram").to_numpy(), of_grams.column("value").to_numpy()
-        order_of = np.argsort(keys, kind="stable")
-        keys, values = keys[order_of], values[order_of]
         n_tokens, n_known, base, byte_score = [], [], [], []
         for text in texts.column("text"):
             raw = text.as_py()
             own = tokens(raw)
             n_tokens.append(len(own))
-            n_known.append(len(own) - list(map(c.__getitem__, own)).count(0.0))
-            base.append(math.fsum(map(log_c.__getitem__, own)))
+            each = list(map(log_c.__getitem__, own))
+            n_known.append(len(own) - each.count(unknown))
+            base.append(math.fsum(each))
             byte_score.append(float(values[np.searchsorted(keys, grams(raw, order))].sum()))
         n = len(n_tokens)
         return pa.Table.from_arrays(
