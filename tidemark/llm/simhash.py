@@ -209,7 +209,8 @@ def groups(prints: DataFrame, max_bits: int, label: str = "simhash", wide: Seque
     found = components(links(signatures, narrow, max_bits, wide, max_wide), label)
     rooted = signatures.join(found, "node", "left").select(*spark_cols, F.coalesce("root", "node").alias("root"))
     rows = prints.join(rooted, spark_cols)
-    smallest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below has exchanges of its own, which Spark splits where a group is large.
+    smallest = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), f"{label}-smallest")
     return rows.join(smallest, "root").drop("root")
 
 
