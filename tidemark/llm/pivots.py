@@ -32,6 +32,7 @@ from tidemark.llm.common import materialise
 from tidemark.llm.graph import components
 
 BLOCK = 1024  # vectors in a block
+PART = 4096  # vectors of a label that are dealt to cells at a time
 EDGE = 1e-9  # what rounding may add to a distance
 
 
@@ -56,32 +57,37 @@ def links(vectors: DataFrame, min_cosine: float) -> tuple[DataFrame, DataFrame]:
     """Links between entries: ``vectors`` has ``node`` (long), ``label``, ``v`` (array of double, finite, not zero) and ``weight``.
 
     Returns (``node``, ``n`` the weight of the other entries linked with it) and (``u``, ``v``
-    enough links to join all linked entries).  The pivots of labels with over ``BLOCK``
-    entries are broadcast: at most the root of a label's entries, so their number grows with
-    the root of the input.
+    enough links to join all linked entries).  Labels with over ``BLOCK`` entries have pivots,
+    about a sixteenth of the root of their entries; they travel to the parts of their label,
+    and nothing is broadcast or brought to the driver.
     """
-    spark = vectors.sparkSession
     r = math.sqrt(2.0 - 2.0 * min_cosine)
     sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > BLOCK).withColumn("wanted", F.ceil(F.sqrt("n") / 16))
-    # A hash of the node below wanted / n: about as many candidates as wanted, spread over all rows.
-    chance = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = vectors.join(large, "label").where(chance < 2 * F.col("wanted") / F.col("n")).orderBy("label", "node").select("label", "v").toPandas()
-    pivots = {label: spread_out(unit(np.stack(some["v"].to_numpy()).astype(np.float64)), r / 2) for label, some in drawn.groupby("label")}
-    shared = spark.sparkContext.broadcast(pivots)
+    sizes = materialise(sizes.withColumn("wanted", F.ceil(F.sqrt("n") / 16)).withColumn("parts", F.ceil(F.col("n") / PART).cast("int")), "pivot-sizes")
     label_type = vectors.schema["label"].dataType.simpleString()
-
-    def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for label, some in batch.groupby("label"):
-                u = unit(np.stack(some["v"].to_numpy()).astype(np.float64))
-                own = shared.value.get(label)
-                d = distances(u, own) if own is not None else np.zeros((len(u), 1))
-                home = d.argmin(axis=1)
-                row, cell = np.nonzero(d <= d[np.arange(len(d)), home][:, None] + 2 * r + EDGE)
-                yield pd.DataFrame({"node": some["node"].to_numpy()[row], "label": label, "cell": cell, "home": cell == home[row], "d": d[row, cell] if own is not None else -1.0, "weight": some["weight"].to_numpy()[row], "v": list(u[row])})
-
-    placed = materialise(vectors.mapInPandas(place, f"node bigint, label {label_type}, cell int, home boolean, d double, weight bigint, v array<double>"), "pivot-cells")
+    # A hash of the node below wanted / n: about twice as many candidates as wanted, spread over all rows.
+    chance = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = vectors.join(sizes.where(F.col("n") > BLOCK), "label").where(chance < 2 * F.col("wanted") / F.col("n")).select("label", "parts", "node", "v")
+
+    def choose(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values("node")
+        chosen = spread_out(unit(np.stack(some["v"].to_numpy()).astype(np.float64)), r / 2)
+        return pd.DataFrame({"label": some["label"].iloc[0], "parts": int(some["parts"].iloc[0]), "cell": np.arange(len(chosen)), "v": list(chosen)})
+
+    pivots = drawn.groupBy("label").applyInPandas(lambda some: choose(some), f"label {label_type}, parts int, cell int, v array<double>")
+    pivots = materialise(pivots, "pivots").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    parted = vectors.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")).select("label", "part", "node", "weight", "v")
+
+    def place(some: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if some.empty:
+            return pd.DataFrame({"node": [], "label": [], "cell": [], "home": [], "d": [], "weight": [], "v": []})
+        u = unit(np.stack(some["v"].to_numpy()).astype(np.float64))
+        d = np.zeros((len(u), 1)) if own.empty else distances(u, np.stack(own.sort_values("cell")["v"].to_numpy()))
+        home = d.argmin(axis=1)
+        row, cell = np.nonzero(d <= d[np.arange(len(d)), home][:, None] + 2 * r + EDGE)
+        return pd.DataFrame({"node": some["node"].to_numpy()[row], "label": some["label"].iloc[0], "cell": cell, "home": cell == home[row], "d": -1.0 if own.empty else d[row, cell], "weight": some["weight"].to_numpy()[row], "v": list(u[row])})
+
+    placed = materialise(parted.groupBy("label", "part").cogroup(pivots.groupBy("label", "part")).applyInPandas(lambda some, own: place(some, own), f"node bigint, label {label_type}, cell int, home boolean, d double, weight bigint, v array<double>"), "pivot-cells")
     cells = placed.groupBy("label", "cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("homes"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("members"))
     blocked = placed.join(cells, ["label", "cell"]).where("homes > 0")
     own_home = F.pmod(F.xxhash64("node"), F.col("homes")).cast("int")
