@@ -74,7 +74,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one of them.  A null id comes last.
     """
     named_rows = materialise(identities(docs, id_col, text_col, block_bytes), "naming-identities")
-    best = named_rows.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join below has exchanges of its own, which Spark splits where a group is large.
+    best = materialise(named_rows.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size")), "naming-best")
     return named_rows.join(best, ["n_blocks", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256"
     )
