@@ -124,3 +124,29 @@ def test_differing_counts_bits():
     a = np.array([[0, 1], [3, 0]], dtype=np.uint64)
     assert simhash.differing(a, np.zeros(2, dtype=np.uint64)).tolist() == [1, 2]
     assert F is not None
+
+
+def edited(rng, words, kind, share):
+    """A copy that lost, gained or has another contiguous passage of a share of its words."""
+    n = round(len(words) * share)
+    at = rng.randrange(len(words) - n)
+    new = [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    return {"cut": words[:-n], "lost": words[:at] + words[at + n :], "gained": words[:at] + new + words[at:], "replaced": words[:at] + new + words[at + n :]}[kind]
+
+
+def test_near_stage_equals_brute_force_on_passage_edits(spark, frame):
+    rng = random.Random(8)
+    texts = []
+    for kind in ("cut", "lost", "gained", "replaced"):
+        for share in (0.05, 0.1, 0.15, 0.18, 0.22):
+            for _ in range(5):
+                words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+                texts += [" ".join(words), " ".join(edited(rng, words, kind, share))]
+    base = [f"b{rng.randrange(3000)}" for _ in range(300)]
+    for _ in range(40):  # a large group with links of some of its pairs only
+        texts.append(" ".join(edited(rng, base, "replaced", rng.choice((0.04, 0.09, 0.14)))))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = sorted(set(union_find(range(len(sets)), links).values()))
+    assert len(links) > 100
+    assert sorted(r.doc_id for r in simhash.keep_one(frame(list(enumerate(texts)))).collect()) == want

@@ -220,18 +220,164 @@ def near_duplicates(docs: DataFrame, n: int = 3, max_bits: int = 3, seed: int =
     return groups(prints, max_bits)
 
 
-def keep_one(docs: DataFrame, max_bits: int = 5, max_wide: int = 44, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# -- near copies by exact similarity -----------------------------------------------------
+BANDS, BAND_ROWS = 20, 4  # a pair alike to 0.8 shares no band with probability (1 - 0.8^4)^20 = 3e-5
+LEAST_ALIKE = 48  # of 80 smallest hashes; a pair alike to 0.8 shares fewer with probability 1e-5
+_KEYS = (np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+
+def shingle_set(text: bytes | None, n: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct ``n``-word shingles of a whole text."""
+    return whole_hashes((text or b"").lower().split(), n, 42, True)
+
+
+def smallest(h: np.ndarray) -> np.ndarray:
+    """The smallest value of the hashes under each of ``BANDS * BAND_ROWS`` hash functions."""
+    least = np.full(len(_KEYS), 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(h), 2048):
+        z = h[None, at : at + 2048] + _KEYS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        least = np.minimum(least, (z ^ (z >> np.uint64(31))).min(axis=1))
+    return least
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of hashes have a Jaccard similarity of 0.8 or more, in whole numbers."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+def _plausible(size_a: np.ndarray, a: np.ndarray, size_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)) & ((a == b).sum(axis=-1) >= LEAST_ALIKE)
+
+
+def shingle_sketches(rows: DataFrame) -> DataFrame:
+    """For each ``rid``, ``text``: digest and ``size`` of its shingle set, its ``bands`` and a byte of each smallest hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes, bands, sketches = [], [], [], []
+            for text in batch.column(1):
+                h = shingle_set(text.as_py())
+                least = smallest(h)
+                digests.append(xxhash.xxh128_digest(h.tobytes()))
+                sizes.append(len(h))
+                bands.append([xxhash.xxh64_intdigest(least[at : at + BAND_ROWS].tobytes(), at) - 2**63 for at in range(0, len(least), BAND_ROWS)] if len(h) else [])
+                sketches.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["rid", "digest", "size", "bands", "sketch"]
+            )
+
+    return rows.select("rid", F.col("text").cast("binary")).mapInArrow(run, "rid bigint, digest binary, size bigint, bands array<bigint>, sketch binary")
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs ``u``, ``v`` whose shingle sets are alike to 0.8 or more, by their texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            keep = []
+            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if u != last:
+                    last, left = u, shingle_set(a.as_py())
+                keep.append(alike(left, shingle_set(b.as_py())))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    text = F.col("text").cast("binary")
+    sides = pairs.join(rows.select(F.col("rid").alias("v"), text.alias("b")), "v").join(rows.select(F.col("rid").alias("u"), text.alias("a")), "u")
+    return sides.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def mixed_pairs(entries: DataFrame) -> DataFrame:
+    """Plausible pairs ``u``, ``v`` of different ``root`` within each ``key`` (``node``, ``root``, ``size``, ``sketch``)."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, node, root, size, sketch = part
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                for i in range(s, e - 1):
+                    hit = np.flatnonzero((root[i + 1 : e] != root[i]) & _plausible(size[i], sketch[i], size[i + 1 : e], sketch[i + 1 : e])) + i + 1
+                    if len(hit):
+                        u, v = np.minimum(node[i], node[hit]), np.maximum(node[i], node[hit])
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [*[c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]], _sketches(batch.column(4))]
+            if held:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on in the next batch
+            if last:
+                yield from out([x[:last] for x in rows])
+            held = [x[last:] for x in rows]
+        if held:
+            yield from out(held)
+
+    runs = entries.select("key", "node", "root", "size", "sketch").repartition(partitions(entries.sparkSession), "key").sortWithinPartitions("key", "node")
+    return runs.mapInArrow(read, "u bigint, v bigint").distinct()
+
+
+def plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Those of the pairs ``u``, ``v`` that may be alike to 0.8 by sizes and sketches."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                size_a, size_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
+                hit = _plausible(size_a, _sketches(batch.column(3)), size_b, _sketches(batch.column(5)))
+                yield batch.select(["u", "v"]).filter(pa.array(hit))
+
+    sides = pairs
+    for end in ("u", "v"):
+        sides = sides.join(signatures.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+    return sides.select("u", "v", "size_u", "sketch_u", "size_v", "sketch_v").mapInArrow(run, "u bigint, v bigint")
+
+
+def near_groups(rows: DataFrame) -> DataFrame:
+    """``rid``, ``root`` of each row of ``rows`` (``rid``, ``text``, written): rows joined by links of similarity 0.8 or more share a root.
+
+    Equal shingle sets are one node.  Nodes that share a band are candidates, and every link
+    is verified by the exact similarity.  First each node is held against the least node of
+    each of its bands; then, in bands that still hold different components, all plausible
+    pairs of different components are.
+    """
+    prints = materialise(shingle_sketches(rows), "near-prints")
+    nodes = materialise(prints.groupBy("digest").agg(F.min("rid").alias("node")), "near-nodes")
+    signatures = materialise(prints.join(nodes, F.col("rid") == F.col("node"), "left_semi").withColumnRenamed("rid", "node").drop("digest"), "near-signatures")
+    entries = signatures.select("node", F.explode("bands").alias("key"))
+    lows = entries.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = materialise(entries.join(lows, "key"), "near-entries")
+    stars = shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
+    tried = materialise(plausible(stars, signatures), "near-stars")
+    edges = materialise(verified(tried, rows), "near-links")
+    first = components(edges, "near")
+    rooted = materialise(shared.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
+    unlike = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    rest = rooted.join(unlike, "key").join(signatures.select("node", "size", "sketch"), "node")
+    further = materialise(mixed_pairs(rest).join(tried, ["u", "v"], "left_anti"), "near-pairs")
+    found = components(edges.unionByName(verified(further, rows)), "near")
+    rooted_nodes = nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return prints.select("rid", "digest").join(rooted_nodes, "digest").select("rid", "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of documents whose five-word shingle sets are alike to 0.8 or more.
 
-    Candidates share a fingerprint of their distinct words up to ``max_bits`` of 64 bits, in
-    one of two fingerprints; a link is verified by a 256-bit fingerprint of the distinct
-    five-word shingles.  A Jaccard similarity of 0.8 is a cosine of 0.889, an angle of 0.476
-    and so 38.8 differing bits of 256 in the mean, with a deviation of 5.7; 44 catches five of
-    six pairs at exactly 0.8, nearly all above 0.85 and few below 0.7.
+    Candidates share one of ``BANDS`` bands of smallest hashes of their distinct five-word
+    shingles, so that it does not matter whether an edit is scattered or in one passage; a
+    link is verified by the exact Jaccard similarity.
     The row with the smallest id of a group stays, with all rows that share that id; rows
     that have no words are alike.
     """
-    prints = materialise(fingerprints(docs.select(id_col, text_col), [(1, True, 2), (5, True, 4)], 42, id_col, text_col), "near-prints")
-    found = groups(prints, max_bits, "near", [f"f{i}" for i in range(2, 6)], max_wide)
-    leaders = found.where("doc_id = component_id").select(F.col("doc_id").alias("_tm_id")).distinct()
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", F.monotonically_increasing_id()), "near-rows")
+    found = near_groups(rows).join(rows.select("rid", "doc_id"), "rid")
+    leaders = found.groupBy("root").agg(F.min("doc_id").alias("_tm_id")).select("_tm_id").distinct()
     return docs.join(leaders, F.col(id_col) == F.col("_tm_id"), "left_semi")
