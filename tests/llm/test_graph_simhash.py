@@ -150,3 +150,19 @@ def test_near_stage_equals_brute_force_on_passage_edits(spark, frame):
     want = sorted(set(union_find(range(len(sets)), links).values()))
     assert len(links) > 100
     assert sorted(r.doc_id for r in simhash.keep_one(frame(list(enumerate(texts)))).collect()) == want
+
+
+def test_near_stage_on_awkward_and_empty_tables(spark, frame, awkward):
+    kept = simhash.keep_one(frame(awkward))
+    assert kept.columns == frame(awkward).columns
+    # One of 1, 2, 8, 12; of 3, 4, 5 and the null text without an id; of 6, 7; of both 9; all others stay.
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([awkward[i][:2] for i in (0, 2, 5, 8, 10, 11, 13)], key=str)
+    without = [(None, "one text of its own"), (None, "another text of its own"), (None, "Another text  of its own"), (None, None)]
+    assert sorted((r.text or "").lower().split()[:1] for r in simhash.keep_one(frame(without)).collect()) == [[], ["another"], ["one"]]
+    assert simhash.keep_one(frame([])).count() == 0
+
+
+def test_near_stage_keeps_one_row_of_a_repeated_id(spark, frame):
+    rows = [(1, "a b c d e f"), (1, "A B C D E F"), (2, "a b c d e f"), (2, "some other words that stay here")]
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.keep_one(frame(rows)).collect()]
+    assert sorted(kept) == [(1, "a b c d e f"), (2, "some other words that stay here")]

@@ -374,10 +374,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Candidates share one of ``BANDS`` bands of smallest hashes of their distinct five-word
     shingles, so that it does not matter whether an edit is scattered or in one passage; a
     link is verified by the exact Jaccard similarity.
-    The row with the smallest id of a group stays, with all rows that share that id; rows
-    that have no words are alike.
+    The row with the smallest id of a group stays, a null id comes last, and of rows that
+    share the smallest id one stays; rows that have no words are alike.
     """
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", F.monotonically_increasing_id()), "near-rows")
-    found = near_groups(rows).join(rows.select("rid", "doc_id"), "rid")
-    leaders = found.groupBy("root").agg(F.min("doc_id").alias("_tm_id")).select("_tm_id").distinct()
-    return docs.join(leaders, F.col(id_col) == F.col("_tm_id"), "left_semi")
+    numbered = materialise(docs.withColumn("_tm_rid", F.monotonically_increasing_id()), "near-rows")
+    rows = numbered.select(F.col("_tm_rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = near_groups(rows.drop("doc_id")).join(rows.select("rid", "doc_id"), "rid")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
+    leaders = found.groupBy("root").agg(first.alias("first")).select(F.col("first.rid").alias("_tm_rid"))
+    return numbered.join(leaders, "_tm_rid", "left_semi").select(*docs.columns)
