@@ -208,3 +208,23 @@ def test_team_names(spark, a, b, same):
 def test_only_undecided_names_reach_python(spark):
     pairs = spark.createDataFrame([("JD Gaming", "JDG"), ("abcdefgh", "abcdefgx"), (None, "x")], "a string, b string")
     assert [r.same for r in matching.name_matches(pairs, "a", "b").orderBy(F.col("a").asc_nulls_first()).collect()] == [False, True, True]
+
+
+def _duck(sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("part", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con
+
+
+def test_fixture_match_takes_all_brands(spark, sf):
+    from tidemark.queries import names
+
+    two = " WHERE p_brand IN ('Brand#1', 'Brand#2')"
+    assert two in names._fixture_sql()
+    want = _duck(sf).sql(names._fixture_sql().replace(two, "")).fetchall()
+    got = [tuple(r) for r in names.fixture_match(spark, sf).collect()]
+    assert len({r[0] for r in want}) > 2
+    assert sorted(got) == sorted(want)

@@ -81,7 +81,7 @@ def fuzzy_ratio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixture_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unordered pairs: (a, b) against (b of one, a of the other) by rules."""
-    rows = name_pairs(spark, sf_dir).where("p_brand IN ('Brand#1', 'Brand#2')")
+    rows = name_pairs(spark, sf_dir)
     rules = lambda x, y: F.coalesce(text.rule_match(x, y), F.lit(False))
     swapped = rows.withColumn("c", F.concat("b", F.lit(" Team"))).withColumn("d", F.upper("a"))
     return swapped.select("p_brand", "a", "b", matching.same_pair(F.col("a"), F.col("b"), F.col("c"), F.col("d"), rules).alias("same"))
