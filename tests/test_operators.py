@@ -228,3 +228,23 @@ def test_fixture_match_takes_all_brands(spark, sf):
     got = [tuple(r) for r in names.fixture_match(spark, sf).collect()]
     assert len({r[0] for r in want}) > 2
     assert sorted(got) == sorted(want)
+
+
+def test_parity_gate_fails_below_95_percent(spark, sf, monkeypatch):
+    from tidemark.queries import records
+
+    rows = [("a", "a", "a") if i < 36 else ("a", "b", "a") for i in range(40)]  # 90 percent agree
+    monkeypatch.setattr(records, "aligned_three_way", lambda *_: spark.createDataFrame(rows, "winner string, k_winner string, p_winner string"))
+    monkeypatch.setattr(records, "voids", lambda *_: spark.createDataFrame([], "event_id long"))
+    found = records.gate_g1(spark, sf).first()
+    assert (found.n_aligned, found.n_agree, found.n_void, found.passed) == (40, 36, 0, False)
+
+
+def test_lead_gate_has_the_interval_of_10000_resamples(spark, sf):
+    from tidemark.params import Bootstrap
+    from tidemark.queries import market, records
+
+    whole = records._per_regime(market.LEADS) + market._bootstrap("leads", "regime", "lead", Bootstrap().resamples)
+    want = _duck(sf).sql(f"WITH RECURSIVE {whole} SELECT regime, round(ci_lo, 7), round(ci_hi, 7) FROM b_ends").fetchall()
+    got = [(r.regime, round(r.ci_lo, 7), round(r.ci_hi, 7)) for r in records.gate_g3(spark, sf).where("ci_lo IS NOT NULL").collect()]
+    assert want and sorted(got) == sorted(want)

@@ -45,7 +45,8 @@ def run_gate(store: Store, gate: str, data: str, sport: plugins.Sport) -> int:
 
     run_id = time.strftime("%Y%m%dT%H%M%SZ", time.gmtime())
     if gate != "G4":
-        rows = [r.asDict(recursive=True) for r in records.QUERIES[f"gate_{gate.lower()}"](store.spark, data).collect()]
+        settings = {"G1": {"params": sport.params.parity}, "G3": {"params": sport.params.bootstrap}}.get(gate, {})
+        rows = [r.asDict(recursive=True) for r in records.QUERIES[f"gate_{gate.lower()}"](store.spark, data, **settings).collect()]
         payload = store.write_artifact(gate, {"gate": gate, "sport": sport.key, "rows": rows}, run_id)
         print(json.dumps(payload, indent=2, default=str))
         return 0

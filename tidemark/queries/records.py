@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from tidemark import schema
 from tidemark.functions import book, clock, text
 from tidemark.operators import matching, scoring, store
-from tidemark.params import Calibration, Census, LeadLag, Parity
+from tidemark.params import Bootstrap, Calibration, Census, LeadLag, Parity
 from tidemark.plans import gates
 from tidemark.queries import market
-from tidemark.queries.market import CI, HOUR, SEED, TICKS, ticks
+from tidemark.queries.market import HOUR, TICKS, ticks
 from tidemark.streaming.recorder import capped
 
 FAMILIES = ("series_winner", "map_winner")
@@ -204,14 +204,14 @@ def gate_g0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("coverage", F.round("coverage", 9))
 
 
-def _g1(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _g1(spark: SparkSession, sf_dir: str, params: Parity = Parity()) -> DataFrame:
     counts = matching.parity_counts(aligned_three_way(spark, sf_dir), [], "winner", "k_winner", "p_winner")
     n_void = voids(spark, sf_dir).agg(F.count(F.lit(1)).alias("_void"))
-    return gates.parity(counts.crossJoin(n_void), F.col("_void"), Parity(min_pass_rate=0.2)).drop("_void")
+    return gates.parity(counts.crossJoin(n_void), F.col("_void"), params).drop("_void")
 
 
-def gate_g1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _g1(spark, sf_dir).select("n_aligned", "n_agree", F.round("pass_rate", 9).alias("pass_rate"), "n_void", "passed")
+def gate_g1(spark: SparkSession, sf_dir: str, params: Parity = Parity()) -> DataFrame:
+    return _g1(spark, sf_dir, params).select("n_aligned", "n_agree", F.round("pass_rate", 9).alias("pass_rate"), "n_void", "passed")
 
 
 def _g2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,14 +222,14 @@ def gate_g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _g2(spark, sf_dir).select("regime", F.round("ece_reference", 9).alias("ece_reference"), F.round("ece_target", 9).alias("ece_target"), "least_n", "n_points", "passed")
 
 
-def _g3(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _g3(spark: SparkSession, sf_dir: str, params: Bootstrap = Bootstrap()) -> DataFrame:
     rows = ticks(spark, sf_dir)
     p, k = (rows.where(F.col("venue") == v).select("user_id", "regime", "t", "price") for v in ("P", "K"))
-    return gates.lead_lag(p, k, ["user_id"], "t", "price", "user_id", LeadLag(threshold=0.1, confirmations=3), 24 * HOUR, 100, SEED, CI)
+    return gates.lead_lag(p, k, ["user_id"], "t", "price", "user_id", LeadLag(threshold=0.1, confirmations=3), 24 * HOUR, params.resamples, params.seed, params.ci_level)
 
 
-def gate_g3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _g3(spark, sf_dir).select("regime", F.col("n").alias("n_divergences"), *[F.round(c, 9).alias(c) for c in ("point", "ci_lo", "ci_hi")], "n_blocks", "leader", "passed")
+def gate_g3(spark: SparkSession, sf_dir: str, params: Bootstrap = Bootstrap()) -> DataFrame:
+    return _g3(spark, sf_dir, params).select("regime", F.col("n").alias("n_divergences"), *[F.round(c, 9).alias(c) for c in ("point", "ci_lo", "ci_hi")], "n_blocks", "leader", "passed")
 
 
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
