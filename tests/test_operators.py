@@ -248,3 +248,28 @@ def test_lead_gate_has_the_interval_of_10000_resamples(spark, sf):
     want = _duck(sf).sql(f"WITH RECURSIVE {whole} SELECT regime, round(ci_lo, 7), round(ci_hi, 7) FROM b_ends").fetchall()
     got = [(r.regime, round(r.ci_lo, 7), round(r.ci_hi, 7)) for r in records.gate_g3(spark, sf).where("ci_lo IS NOT NULL").collect()]
     assert want and sorted(got) == sorted(want)
+
+
+def test_bootstrap_queries_have_the_intervals_of_10000_resamples(spark, sf):
+    import hashlib
+
+    from tidemark.params import Bootstrap
+    from tidemark.queries import market
+
+    n, seed = Bootstrap().resamples, Bootstrap().seed
+    assert n == 10_000
+    errors = market.POINTS + ", errors AS (SELECT *, (p - y) * (p - y) AS e FROM points)" + market._bootstrap("errors", "venue, regime", "e", n)
+    want = _duck(sf).sql(f"WITH {errors} SELECT venue, regime, round(ci_lo, 7), round(ci_hi, 7) FROM b_ends").fetchall()
+    assert sorted((r.venue, r.regime, round(r.ci_lo, 7), round(r.ci_hi, 7)) for r in market.block_bootstrap_ci(spark, sf).collect()) == sorted(want)
+
+    sql = market._lead_report_sql(market.LEADS + ", regimes AS (SELECT *, 'all' AS regime FROM leads)", "regimes", n)
+    want = _duck(sf).sql(f"SELECT round(ci_lo, 7), round(ci_hi, 7), leader FROM ({sql})").fetchall()
+    assert [(round(r.ci_lo, 7), round(r.ci_hi, 7), r.leader) for r in market.lead_lag_report(spark, sf).collect()] == want
+
+    values = {}
+    for regime, _, e in _duck(sf).sql(f"WITH {market.POINTS} SELECT regime, user_id, sum((p - y) * (p - y)) FROM points GROUP BY ALL ORDER BY regime, user_id").fetchall():
+        values.setdefault(regime, []).append(e)
+    found = {r.regime: r for r in market.bootstrap_median(spark, sf).collect()}
+    for regime, xs in values.items():
+        stats = sorted(sorted(xs[int(hashlib.md5(f"{seed}:{r}:{k}".encode()).hexdigest()[:8], 16) % len(xs)] for k in range(len(xs)))[len(xs) // 2] for r in range(n))
+        assert found[regime].ci_lo == pytest.approx(stats[250], abs=1e-7) and found[regime].ci_hi == pytest.approx(stats[9749], abs=1e-7)

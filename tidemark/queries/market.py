@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, bootstrap, divergence, scoring
-from tidemark.params import Calibration
+from tidemark.params import Bootstrap, Calibration
 from tidemark.plans import series
 
 CENTERS = Calibration().buckets
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 WINDOW, THRESHOLD, NEED = DAY, 0.1, 3
-RESAMPLES, SEED, CI = 200, 20260709, 0.95
+RESAMPLES, SEED, CI = 200, 20260709, 0.95  # RESAMPLES: of the SQL; the queries take Bootstrap().resamples
 
 TICKS = """ticks AS (
   SELECT event_id, user_id, event_type, epoch_us(ts) AS t, ts, value, value / (value + 50.0) AS price,
@@ -142,14 +142,14 @@ def compare_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = points(spark, sf_dir).withColumn("e", scoring.squared_error(F.col("p"), F.col("y")))
-    found = bootstrap.bootstrap_mean(errors, ["venue", "regime"], "user_id", "e", RESAMPLES, SEED, CI)
+    found = bootstrap.bootstrap_mean(errors, ["venue", "regime"], "user_id", "e", Bootstrap().resamples, SEED, CI)
     return found.select("venue", "regime", *[F.round(c, 9).alias(c) for c in ("point", "ci_lo", "ci_hi")], "n_blocks", "n")
 
 
 def bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any statistic: the upper median of the squared errors."""
     errors = points(spark, sf_dir).withColumn("e", scoring.squared_error(F.col("p"), F.col("y"))).groupBy("regime", "user_id").agg(F.sum("e").alias("e"))
-    found = bootstrap.bootstrap(errors, ["regime"], "user_id", "e", lambda xs: sorted(xs)[len(xs) // 2], 40, SEED, CI)
+    found = bootstrap.bootstrap(errors, ["regime"], "user_id", "e", lambda xs: sorted(xs)[len(xs) // 2], Bootstrap().resamples, SEED, CI)
     return found.select("regime", *[F.round(c, 9).alias(c) for c in ("point", "ci_lo", "ci_hi")], "n_blocks")
 
 
@@ -174,7 +174,7 @@ def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lead_lag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lead_report(leads(spark, sf_dir).withColumn("regime", F.lit("all")), RESAMPLES)
+    return lead_report(leads(spark, sf_dir).withColumn("regime", F.lit("all")), Bootstrap().resamples)
 
 
 def lead_report(found: DataFrame, resamples: int) -> DataFrame:
