@@ -273,3 +273,15 @@ def test_bootstrap_queries_have_the_intervals_of_10000_resamples(spark, sf):
     for regime, xs in values.items():
         stats = sorted(sorted(xs[int(hashlib.md5(f"{seed}:{r}:{k}".encode()).hexdigest()[:8], 16) % len(xs)] for k in range(len(xs)))[len(xs) // 2] for r in range(n))
         assert found[regime].ci_lo == pytest.approx(stats[250], abs=1e-7) and found[regime].ci_hi == pytest.approx(stats[9749], abs=1e-7)
+
+
+def test_orphans_are_lines_without_any_order(spark, sf, tmp_path):
+    from tidemark.queries import records
+
+    assert records.foreign_key_orphans(spark, sf).count() == 0  # no line of the tables lacks its order
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.where("o_orderkey % 7 <> 0").write.parquet(f"{tmp_path}/orders.parquet")
+    want = lines.where("l_orderkey % 7 = 0").groupBy("l_returnflag").agg(F.count(F.lit(1)), F.min("l_orderkey")).collect()
+    assert want and sorted(map(tuple, records.foreign_key_orphans(spark, str(tmp_path)).collect())) == sorted(map(tuple, want))
