@@ -1,9 +1,10 @@
 """License scan: notice phrases and identifier tags.
 
 Aho-Corasick finds, in one pass over a text's words, the notice phrases and the places of
-identifier tags.  The expression after a tag is parsed with a shunting yard and evaluated:
-``or`` offers the labels of either side, ``and`` needs both, ``with`` adds an exception to a
-licence and leaves its label.
+identifier tags.  The expression after a tag is parsed with a shunting yard and evaluated: ``or``
+leaves a choice, of which the less restrictive side is taken, ``and`` binds to both sides,
+``with`` softens a copyleft licence by an exception.  The labels of what the evaluation comes
+to are the text's, so ``MIT OR GPL-2.0`` gives mit and ``MIT AND GPL-2.0`` gives both.
 """
 
 from __future__ import annotations
@@ -46,9 +47,14 @@ IDENTIFIERS = {
     "0bsd": "bsd", "isc": "isc", "bsl": "bsl", "cc-by": "cc-by", "cc-by-nc": "cc-by-nc", "cc0": "public-domain", "unlicense": "public-domain",
 }
 
-MOST_WAYS = 256
+#: How restrictive a label is; an identifier that is not known stands above all of them.
+RESTRICTIVE = {
+    "public-domain": 0, "mit": 1, "bsd": 1, "isc": 1, "bsl": 1, "apache": 1, "cc-by": 1, "mpl": 2, "epl": 2, "lgpl": 2, "gpl": 3, "agpl": 4, "cc-by-nc": 5,
+}
+UNKNOWN, SOFTENED = 6, {3: 2, 4: 2}  # an exception makes strong copyleft weak
+
 BINDING = {"or": 1, "and": 2, "with": 3}
-TAG_IN_TEXT = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[ \t]*:?[ \t]*([^\r\n]*)")
+TAG_IN_TEXT = re.compile(rb"(?<![0-9a-z\x80-\xff])spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier(?![0-9a-z\x80-\xff])[ \t]*:?[ \t]*([^\r\n]*)")
 TOKEN = re.compile(r"[()]|[0-9A-Za-z.+:-]+")
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -94,24 +100,31 @@ def label_of(identifier: str) -> str:
     return IDENTIFIERS[max(known, key=len)] if known else identifier
 
 
-def evaluate(expression: str) -> list[frozenset[str]]:
-    """The ways to meet a licence expression: each the set of labels that hold together.
+def evaluate(expression: str) -> frozenset[str]:
+    """The labels that bind whoever takes the least restrictive way to meet a licence expression.
 
-    Beyond ``MOST_WAYS`` ways they are given as one with all labels.
+    Of two sides of ``or`` the one whose most restrictive label is milder is taken; of sides
+    alike in that the one with fewer labels, then the first in the alphabet.  A way is as
+    restrictive as its most restrictive part, so choosing at each ``or`` is choosing overall,
+    and no ways are listed.
     """
-    stack: list[list[frozenset[str]]] = []
+    stack: list[tuple[int, int, list[str]]] = []  # restriction, number of labels, labels
     for token in postfix(expression):
         if token == "with":
             stack.pop()  # the exception
-        elif token == "or":
-            right, left = stack.pop(), stack.pop()
-            stack.append(list(dict.fromkeys(left + right)))
-        elif token == "and":
+            rank, n, labels = stack.pop()
+            stack.append((SOFTENED.get(rank, rank), n, labels))
+        elif token in BINDING:
             right, left = stack.pop(), stack.pop()
-            stack.append(list(dict.fromkeys(a | b for a in left for b in right)) if len(left) * len(right) <= MOST_WAYS else [frozenset().union(*left, *right)])
+            if token == "or":
+                stack.append(min(left, right))
+            else:
+                both = sorted({*left[2], *right[2]})
+                stack.append((max(left[0], right[0]), len(both), both))
         else:
-            stack.append([frozenset([label_of(token)])])
-    return stack[0]
+            label = label_of(token)
+            stack.append((RESTRICTIVE.get(label, UNKNOWN), 1, [label]))
+    return frozenset(stack[0][2])
 
 
 def automaton(phrases: Iterable[str]) -> ahocorasick.Automaton:
@@ -147,7 +160,7 @@ class Scanner:
         if any(p == TAG for _, p in found):
             for match in TAG_IN_TEXT.finditer(raw.lower()):
                 try:
-                    labels.update(*evaluate(match[1].decode("utf-8", "replace")))
+                    labels |= evaluate(match[1].decode("utf-8", "replace"))
                     score = 1.0
                 except ValueError:  # a malformed expression gives no labels
                     score = max(score, 0.5)
@@ -158,10 +171,12 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE_PHRASES, notices: dict[str
     """Licences in each whole text.
 
     Returns ``doc_id``, ``n_words``, ``n_base`` (places of base phrases), ``first_word``,
-    ``last_word`` (of their starts; null without any), ``base_labels``, ``labels`` (sorted arrays),
+    ``last_word`` (of their starts; null without any), ``base_labels``, ``labels`` (sorted arrays; of
+    a tag those that its expression comes to),
     ``score`` and ``places``, an array of (word, phrase).  The score is 1 for a tag with a
     valid expression, 0.9 for a base phrase, 0.7 for another notice, 0.5 for a malformed tag
-    and else 0.  Null counts as the empty text.  Rows stay where they are.
+    and else 0.  Null counts as the empty text, repeated rows and null ids give a row each,
+    an empty table none.  Rows stay where they are.
     """
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, score double, places array<struct<word: bigint, phrase: string>>"
 
