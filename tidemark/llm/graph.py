@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import discard, materialise
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -26,7 +26,9 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         parents = materialise(first.select("u", F.least(own, F.col("best"))["v"].alias("p")), f"{label}-parents")
         layers.append(parents)
         ends = edges.join(parents.select("u", F.col("p").alias("pu")), "u").join(parents.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
-        edges = materialise(ends.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), f"{label}-edges")
+        rest = materialise(ends.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), f"{label}-edges")
+        discard(edges)
+        edges = rest
     if not layers:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = layers[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
