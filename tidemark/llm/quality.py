@@ -1,10 +1,12 @@
 """Quality classification by importance resampling over hashed n-grams.
 
 Two generative models, each a distribution over hashed word n-grams (one and two words): one
-of the target texts, one of the raw texts.  A text's log weight is the log ratio of its
-probabilities, divided by its number of n-grams (and ``PRIOR`` more, so that a few odd words
-do not condemn a short text).  Sampling is Gumbel top-k: the k rows with the largest scaled log
-weight plus Gumbel noise are a sample without replacement in proportion to the weights.
+of the raw texts, one of the target texts.  The target model is the raw one times the ratio of
+counted to expected occurrences in the target texts, both with ``PRIOR`` more, so that a
+bucket that target rows have hardly shown says little.  A text's log weight is the log of the
+importance ratio, its probability under the target model over that under the raw one.
+Sampling is Gumbel top-k: the k rows with the largest log weight plus Gumbel noise are a
+sample without replacement in proportion to the weights.
 
 Counts cover all rows: they are summed per partition and then per hash bucket.  The tables on
 the driver have ``BUCKETS`` entries whatever the size of the input.  At most ``LABELS`` labelled
@@ -26,8 +28,9 @@ from tidemark.llm.common import materialise, numbered
 BUCKETS = 1 << 16
 SLICE = 1 << 18
 LABELS = 50_000
-PRIOR = 10
+PRIOR = 20
 BINS = 4096  # of the histogram in which the threshold is sought
+GATHER = 1 << 22  # n-grams that are counted or looked up at a time
 
 
 def ngram_buckets(text: bytes | None, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
@@ -52,18 +55,32 @@ def label_sample(labels: DataFrame, most: int = LABELS) -> DataFrame:
     return F.broadcast(drawn.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) > 0))
 
 
+def gathered(texts: Iterable[bytes | None], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash buckets of several texts' n-grams and the number of the text of each, about ``GATHER`` at a time."""
+    found, number, size = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
+    for i, text in enumerate(texts):
+        for part in ngram_buckets(text, buckets):
+            found.append(part)
+            number.append(np.full(len(part), i))
+            size += len(part)
+            if size >= GATHER:
+                yield np.concatenate(found), np.concatenate(number)
+                found, number, size = found[:1], number[:1], 0
+    yield np.concatenate(found), np.concatenate(number)
+
+
 def bucket_counts(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """N-gram counts of the target and of all rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(labels.where("fit").select("doc_id", "target"), "doc_id", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, buckets), dtype=np.int64)  # target, other
+        counts = np.zeros(2 * buckets, dtype=np.int64)  # target, other
         for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                for found in ngram_buckets(text.as_py(), buckets):
-                    counts[0 if target else 1] += np.bincount(found, minlength=buckets)
-        kind, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[kind, bucket])], names=["kind", "bucket", "n"])
+            other = np.array([not x for x in batch.column(1).to_pylist()], dtype=np.int64) * buckets
+            for found, number in gathered((x.as_py() for x in batch.column(0)), buckets):
+                counts += np.bincount(found + other[number], minlength=2 * buckets)
+        kind, bucket = np.nonzero(counts.reshape(2, buckets))
+        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[counts > 0])], names=["kind", "bucket", "n"])
 
     summed = rows.select("text", "target").mapInArrow(run, "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((2, buckets), dtype=np.int64)
@@ -72,30 +89,36 @@ def bucket_counts(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame
     return table[0], table.sum(axis=0)
 
 
+def log_ratio(good: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Per bucket the log of its probability under the target model over that under the raw one; zeros without target n-grams."""
+    if not good.any():
+        return np.zeros(len(good))
+    share = raw / raw.sum()
+    ratio = (good + PRIOR) / (good.sum() * share + PRIOR)
+    return np.log(ratio) - np.log((share * ratio).sum())  # the target model sums to one
+
+
 def log_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """``doc_id``, ``n_ngrams`` and ``log_weight`` (0 for a text without words, null and empty ones included).
 
-    ``labels`` comes from ``label_sample``.  Both models are smoothed by
-    one occurrence of every bucket.  Without target rows all weights are 0.
+    ``labels`` comes from ``label_sample``.  Without target rows all weights are 0.
     """
-    good, raw = bucket_counts(docs, id_col, text_col, labels, buckets)
-    ratio = np.log((good + 1) / (good.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets)) if good.any() else np.zeros(buckets)
+    ratio = log_ratio(*bucket_counts(docs, id_col, text_col, labels, buckets))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, total = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column(1)):
-                for found in ngram_buckets(text.as_py(), buckets):
-                    n[i] += len(found)
-                    total[i] += shared.value[found].sum()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total / (n + PRIOR))], names=["doc_id", "n_ngrams", "log_weight"])
+            for found, number in gathered((x.as_py() for x in batch.column(1)), buckets):
+                n += np.bincount(number, minlength=batch.num_rows)
+                total += np.bincount(number, weights=shared.value[found], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], names=["doc_id", "n_ngrams", "log_weight"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_ngrams bigint, log_weight double")
 
 
-def threshold(scored: DataFrame, labels: DataFrame, target_cost: int = 4, low: float = -2.0, high: float = 2.0) -> float:
+def threshold(scored: DataFrame, labels: DataFrame, target_cost: int = 4, low: float = -256.0, high: float = 256.0) -> float:
     """The log weight that parts the labelled rows not fitted to at the least cost; of several the lowest.
 
     A target row below it costs ``target_cost`` times as much as another row above it: what is
@@ -114,29 +137,31 @@ def threshold(scored: DataFrame, labels: DataFrame, target_cost: int = 4, low: f
     return low + best * step if best else float("-inf")
 
 
-def resample(scored: DataFrame, k: int, scale: float, seed: int = 42) -> DataFrame:
-    """Adds ``key`` and ``selected``: Gumbel top-k of the rows, ``log_weight * scale`` being their log weight.
+def resample(scored: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """Adds ``key`` and ``selected``: Gumbel top-k of the rows in proportion to their weights.
 
-    ``scale`` is the number of n-grams that a weight stands for: the larger, the less the
-    noise decides.  The noise is a hash of the id, so reruns agree; rows that repeat an id get
+    The noise is a hash of the id, so reruns agree; rows that repeat an id (or have none) get
     the same noise, and of rows that tie those written first are taken.
     """
     draw = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = scored.withColumn("key", F.col("log_weight") * scale - F.log(-F.log(draw))).withColumn("below", -F.col("key"))
+    keyed = scored.withColumn("key", F.col("log_weight") - F.log(-F.log(draw))).withColumn("below", -F.col("key"))
     ranked = numbered(materialise(keyed, "quality-keys"), [], ["below", "doc_id"], "rank", "quality-ranks")
     return ranked.withColumn("selected", F.col("rank") < k).drop("below", "rank")
 
 
-def classify(docs: DataFrame, labels: DataFrame, scale: float = 2000.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_ngrams``, ``log_weight``, ``key`` and ``selected`` of every row.
 
-    ``labels`` has ``doc_id`` and ``target``.  As many rows are sampled as have a log weight
-    above the threshold that parts the labelled rows best.
+    ``labels`` has ``doc_id`` and ``target``.  ``k`` rows are sampled; by default as many as have
+    a log weight above the threshold that parts the labelled rows best.  Null and empty texts
+    have log weight 0; without labels, and with k of at least the rows, all rows are selected;
+    no rows give none.  Rows that repeat are rows of their own.
     """
     sample = label_sample(labels)
     scored = materialise(log_weights(docs, sample, id_col, text_col), "quality-scores")
-    cut = threshold(scored, sample)
-    return resample(scored, scored.where(F.col("log_weight") >= cut).count(), scale)
+    if k is None:
+        k = scored.where(F.col("log_weight") >= threshold(scored, sample)).count()
+    return resample(scored, k)
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
