@@ -45,7 +45,7 @@ def test_targets_and_taken_words(frame):
         taken[by_no[r.source_no]] += r.rows * r.size * r.copies
     assert sum(r.rows for r in found) == len(rows)
     largest = max(len(t.split()) for _, t, _ in rows)
-    assert all(abs(taken[s] - target[s]) <= largest / 2 + 1e-6 for s in target)
+    assert all(abs(taken[s] - target[s]) <= largest / 2 + 1e-6 for s in target)  # the last row is a small one
     again, _ = collected(frame(rows))
     assert sorted((r.doc_id, r.copies) for r in found) == sorted((r.doc_id, r.copies) for r in again)
 
@@ -59,7 +59,7 @@ def test_chances_are_kept_in_the_mean(spark):
     got = collections.Counter()
     for r in mixing.rounded(df).collect():
         got[r.doc_id % 100] += r.copies
-    for i in (i for i in range(64) if i % 9 > 2):  # among the smallest is the last row, which is rounded to the nearer side
+    for i in range(64):
         p = 0.1 + 0.8 * (i % 8) / 7
         assert abs(got[i] / trials - p) < 4.5 * (p * (1 - p) / trials) ** 0.5 + 0.02
 
@@ -82,3 +82,19 @@ def test_no_python_in_the_plan(frame):
     found, _ = mixing.copies(frame([(i, "a b c", "s") for i in range(50)]))
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_only_row_of_a_source_is_drawn(spark):
+    units = [(i, i * 31, 1, 10, i, 0, 0.3) for i in range(4000)]
+    df = spark.createDataFrame(units, "doc_id long, h long, rows long, size long, source_no int, whole int, p double")
+    taken = sum(r.copies for r in mixing.rounded(df).collect())
+    assert abs(taken / 4000 - 0.3) < 4.5 * (0.3 * 0.7 / 4000) ** 0.5
+
+
+def test_many_sources_have_the_targets_of_the_rounds(spark):
+    rng = random.Random(9)
+    sizes = {f"s{i:04}é"[: 2 + i % 5] + str(i): rng.choice([0, 1, 5, 100, 10_000]) for i in range(500)} | {None: 70}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    want = water(sizes)
+    assert got == {s: pytest.approx(t) for s, t in want.items()}

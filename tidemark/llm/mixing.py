@@ -9,19 +9,20 @@ still fractional meets the next one.
 
 Rows meet in a reduction tree: blocks of about ``FAN_IN`` rows of one source, drawn by a hash,
 are folded from the largest row to the smallest, each leaving one fractional row, a small one
-as a rule; these form the next level, until one row is left for a source.  That one is rounded
-to the nearer side, so the words taken from a source differ from its target by at most half of
-one row.  All draws are hashes of row keys: reruns agree.
+as a rule; these form the next level, until one row is left for a source.  That one is drawn by
+its fraction, so every row is taken with its own probability, and the words taken from a
+source differ from its target by less than that one row.  All draws are hashes of row keys:
+reruns agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, numbered, partitions, running_sums
 
 FAN_IN = 64
 WEIGHTS = (5, 2, 1)
@@ -43,18 +44,17 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     shared among the rest by weight.  So the targets are min(cap, x * weight) for one x; the
     capped sources come first in the order of cap / weight.
     """
-    everything, order = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last())
-    number = (F.row_number().over(order) - 1).cast("int")
+    ordered = sizes.withColumn("none", F.col("source").isNull()).withColumn("at", F.coalesce("source", F.lit("")))
+    base = numbered(ordered, [], ["none", "at"], "source_no", "mixing-sources").withColumn("source_no", F.col("source_no").cast("int"))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    base = sizes.withColumn("source_no", number).withColumn("weight", F.element_at(cycle, F.col("source_no") % len(weights) + 1))
-    base = base.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", "source_no")
-    level = (F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(
-        by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    )
-    base = base.withColumn("level", level).withColumn("open", F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "source_no", "level")))
-    base = base.withColumn("x", F.min("open").over(everything)["level"])
-    return base.select("source", "source_no", "source_size", F.least("cap", F.coalesce(F.col("x") * F.col("weight"), F.col("cap"))).alias("target"))
+    base = base.withColumn("weight", F.element_at(cycle, F.col("source_no") % len(weights) + 1)).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
+    base = materialise(base.select("source", "source_no", "source_size", "weight", "cap", (F.col("cap") / F.col("weight")).alias("ratio")), "mixing-caps")
+    everything = base.agg(F.sum("source_size").alias("all_sizes"), F.sum("weight").alias("all_weights"))  # one row
+    sums = running_sums(base, ["ratio", "source_no"], {"cap": "cap_before", "weight": "weight_before"}, "mixing-ratios").crossJoin(everything)
+    # The x that fits if all sources before this one are capped and it and all after it are not.
+    level = (F.lit(float(share)) * F.col("all_sizes") - F.col("cap_before")) / (F.col("all_weights") - F.col("weight_before"))
+    first_open = sums.withColumn("level", level).where("ratio >= level").agg(F.min(F.struct("ratio", "source_no", "level")).alias("open"))  # one row
+    return base.crossJoin(first_open).select("source", "source_no", "source_size", F.least("cap", F.coalesce(F.col("open.level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def bind(value: Column, body) -> Column:  # noqa: ANN001
@@ -107,13 +107,16 @@ def rounded(units: DataFrame) -> DataFrame:
             return spark.createDataFrame([], units.select(_decided(F.struct(*UNIT), F.lit(0)).alias("d")).select("d.*").schema)
         block = F.pmod(F.xxhash64("doc_id", "h", F.lit(level)), F.col("blocks"))
         largest_first = F.sort_array(F.collect_list(F.struct(F.col("size").alias("by"), F.struct(*UNIT).alias("u"))), asc=False)
-        blocks = units.join(counts, "source_no").withColumn("block", block).groupBy("source_no", "block").agg(F.transform(largest_first, lambda s: s["u"]).alias("us"))
+        # Dealt out by number: by their few bytes, adaptive execution would fold all blocks in one task.
+        dealt = units.join(counts, "source_no").withColumn("block", block).repartition(partitions(spark), "source_no", "block")
+        blocks = dealt.groupBy("source_no", "block").agg(F.transform(largest_first, lambda s: s["u"]).alias("us"))
         start = F.struct(F.expr(f"cast(array() as array<{done_type}>)").alias("done"), F.expr(f"cast(null as {unit_type})").alias("carry"))
         folded = materialise(blocks.select(F.aggregate("us", start, _meet).alias("f")).select("f.*"), "mixing-level")
         out.append(folded.select(F.inline("done")))
         units = folded.select("carry.*")
         level += 1
-    out.append(units.select(_decided(F.struct(*UNIT), F.when(F.col("p") >= 0.5, 1).otherwise(0)).alias("d")).select("d.*"))
+    last = F.pmod(F.xxhash64("doc_id", "h", F.lit("last")), F.lit(1 << 53)) / F.lit(float(1 << 53)) < F.col("p")
+    out.append(units.select(_decided(F.struct(*UNIT), F.when(last, 1).otherwise(0)).alias("d")).select("d.*"))
     found = out[0]
     for part in out[1:]:
         found = found.unionByName(part)
@@ -125,7 +128,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     The first frame has ``doc_id``, ``h`` (hash of the text), ``rows`` (how many rows have both
     and the same source; each has that many copies), ``size``, ``source_no`` and ``copies``, 0 to 2.  Rows without
-    words have the whole part of the rate.  Null texts have size 0, null sources are one source.
+    words have the whole part of the rate.  Null texts have size 0, null sources are one source,
+    an empty table gives empty frames.
     """
     text = F.col(text_col)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(source_col).alias("source"), word_count(text).alias("size"))
