@@ -1,8 +1,8 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 from tidemark.llm.graph import components
@@ -79,25 +79,61 @@ def test_awkward_and_empty_tables(spark, frame, awkward):
     assert simhash.near_duplicates(frame([])).count() == 0
 
 
-def test_all_links_joined_also_in_long_lists(spark):
-    rng = random.Random(3)
+def clustered(rng, sizes, most):
     values = {rng.getrandbits(64) for _ in range(200)}
-    for centre in [rng.getrandbits(64) for _ in range(3)]:
-        for _ in range(150):  # lists of far more than SHORT entries
+    for size in sizes:
+        centre = rng.getrandbits(64)
+        for _ in range(size):
             x = centre
-            for _ in range(rng.randrange(0, 6)):
+            for _ in range(rng.randrange(0, most + 1)):
                 x ^= 1 << rng.randrange(64)
             values.add(x)
-    values = sorted(values)
+    return sorted(values)
+
+
+def joined(spark, values, k):
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
+    sig = spark.createDataFrame(list(enumerate(signed)), "node long, f0 long").repartition(3)
+    return [(r.u, r.v) for r in simhash.links(sig, k).collect()]
+
+
+@pytest.mark.parametrize("short", [64, 4])
+def test_all_links_joined_also_in_long_lists(spark, monkeypatch, short):
+    monkeypatch.setattr(simhash, "SHORT", short)  # 4: lists are split down to the last depth
+    values = clustered(random.Random(3), (150, 150, 150), 5)
     for k in (1, 3, 5):
-        sig = spark.createDataFrame(list(enumerate(signed)), "node long, f0 long")
-        got = [(r.u, r.v) for r in simhash.links(sig, ["f0"], k).collect()]
+        got = joined(spark, values, k)
         assert all((values[a] ^ values[b]).bit_count() <= k for a, b in got)
         want = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= k]
         assert partition(union_find(range(len(values)), got).items()) == partition(union_find(range(len(values)), want).items())
 
 
+def test_each_pair_is_tallied_in_one_list(spark):
+    values = clustered(random.Random(4), (20, 20), 3)  # no list is long
+    got = joined(spark, values, 3)
+    want = {(i, j) for j in range(len(values)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= 3}
+    assert sorted(got) == sorted(want)
+
+
+def test_fingerprints_that_share_bytes_but_do_not_link(spark):
+    rng = random.Random(5)
+    high = rng.getrandbits(40) << 24  # five bytes in common, the others apart
+    values = sorted({high | rng.getrandbits(24) for _ in range(600)})
+    got = joined(spark, values, 3)
+    want = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 3]
+    assert partition(union_find(range(len(values)), got).items()) == partition(union_find(range(len(values)), want).items())
+
+
+def test_no_list_outgrows_its_bound():
+    prints = np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)
+    key = simhash.list_key(prints, [0, 1, 2, 3, 4])
+    parts = list(simhash.part_keys(prints, key, [0, 1, 2, 3, 4], 4))
+    assert len(parts) == 4  # of 6 bits each: a list holds one value of 46 bits, so at most 2^18 fingerprints
+    flipped = prints ^ np.uint64(1 << 40 | 1 << 50 | 1 << 63)
+    again = list(simhash.part_keys(flipped, key, [0, 1, 2, 3, 4], 4))
+    assert (np.sum([a == b for a, b in zip(parts, again, strict=True)], axis=0) >= 1).all()
+
+
 def test_long_text_in_slices_is_the_same(monkeypatch):
     words = [f"w{i % 91}".encode() for i in range(1000)]
     whole = simhash.majority(simhash.whole_hashes(words, 3, 42, False))
@@ -120,10 +156,11 @@ def test_near_stage_keeps_one_of_each_group(spark, frame):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
 
 
-def test_differing_counts_bits():
-    a = np.array([[0, 1], [3, 0]], dtype=np.uint64)
-    assert simhash.differing(a, np.zeros(2, dtype=np.uint64)).tolist() == [1, 2]
-    assert F is not None
+def test_shared_positions():
+    a = np.array([0, 0x0102030405060708], dtype=np.uint64)
+    b = np.array([0xFF, 0x0102030405060709], dtype=np.uint64)
+    assert simhash.shared_positions(a, b).tolist() == [0b11111110, 0b11111110]
+    assert simhash.first_positions(3)[0b11111110] == 0b1110 and simhash.first_positions(3)[0b11] == 0
 
 
 def edited(rng, words, kind, share):
@@ -166,3 +203,20 @@ def test_near_stage_keeps_one_row_of_a_repeated_id(spark, frame):
     rows = [(1, "a b c d e f"), (1, "A B C D E F"), (2, "a b c d e f"), (2, "some other words that stay here")]
     kept = [(r.doc_id, r.text.lower()) for r in simhash.keep_one(frame(rows)).collect()]
     assert sorted(kept) == [(1, "a b c d e f"), (2, "some other words that stay here")]
+
+
+@pytest.mark.parametrize("busy", [128, 0])
+def test_near_stage_in_busy_lists_and_small_chunks(spark, frame, monkeypatch, busy):
+    """Texts that share a common part: their lists hold many unlike pairs, are split by further bands and dealt out in chunks."""
+    monkeypatch.setattr(simhash, "BUSY", busy)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rng = random.Random(11)
+    common = [f"c{rng.randrange(4000)}" for _ in range(160)]
+    texts = [" ".join([*common, *(f"o{rng.randrange(10**6)}" for _ in range(rng.choice((40, 90, 160))))]) for _ in range(120)]
+    for i in range(0, 60, 2):
+        texts.append(" ".join(edited(rng, texts[i].split(), "replaced", 0.04)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    roots = union_find(range(len(sets)), links)
+    assert len(links) >= 30
+    assert sorted(r.doc_id for r in simhash.keep_one(frame(list(enumerate(texts)))).collect()) == sorted(set(roots.values()))

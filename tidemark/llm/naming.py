@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, partitions
 
-BLOCK_BYTES = 16384
+BLOCK_BYTES = 1024
 SHA256 = "unhex(sha2({block}, 256))"
 
 
@@ -55,11 +55,12 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while span < most:
         level = materialise(level, "naming-level")
         done.append(level.where(F.col("n_blocks") <= span))
-        pairs = (
+        paired = (
             level.where(F.col("n_blocks") > span)
             .groupBy("rid", "n_blocks", F.expr("pos div 2").cast("int").alias("pos"))
             .agg(F.max(F.expr("if(pos % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(pos % 2 = 1, name, null)")), F.lit(-1)).alias("b"))
         )
+        pairs = materialise(paired, "naming-paired")
         level = pairs.join(named(pairs.select("a", "b"), "naming-pairs"), ["a", "b"]).select("rid", "n_blocks", "pos", "name")
         span *= 2
     for part in done:

@@ -1,14 +1,25 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most k bits agree in at least 8 - k of their 8
-bytes.  The index therefore lists every fingerprint under each choice of 8 - k byte
-positions together with the bytes there: a pair that shares no such entry has too few
-shared positional bytes and is never looked at; every pair that shares one has reached the
-guaranteed minimum and is verified by its differing bits.  Equal fingerprints are one entry.
-
-Entries are sorted by key and each list is read as one run.  Short lists are compared
-directly; in long ones a spanning forest of the links is walked, so a list of m fingerprints
-gives at most m - 1 links however many pairs it holds, and no link between components is lost.
+A fingerprint of 8 bytes is posted under its byte at every position.  Two fingerprints that
+differ in at most k bits share at least 8 - k positional bytes, so for each pair that meets
+the shared bytes are tallied, a pair that reaches the guaranteed minimum is kept, and what is
+kept is verified by its differing bits.  Equal fingerprints are one entry.
+
+A posting list by itself would hold a 256th of all fingerprints.  Lists are therefore read
+as their intersections: of 8 - k shared positions the first ``FIRST`` lie among the first
+k + ``FIRST`` ones, so a fingerprint stands in the sub-list of every choice of ``FIRST`` of
+these.  A pair is tallied in the one sub-list that belongs to its first shared positions and
+in no other.  A sub-list of over ``SHORT`` entries is not compared but split by one more
+position, over the cluster, until it is short or a pair in it has reached the minimum anyway;
+what is still long then is split by those of k + 1 parts of the remaining bits that agree
+(one of them does), which for k = 3 leaves at most 2^18 different fingerprints in a list.
+There a spanning forest of the links is walked, so a list of m fingerprints gives at most
+m - 1 links however many pairs it holds, and no link between components is lost.
+
+The near-duplicate stage looks for texts whose five-word shingles are alike to 0.8, at which
+8 bytes of a SimHash differ in about 10 bits and share too few bytes to be told from others.
+It runs the same index (postings by position and byte, tally, minimum, verification) over a
+signature of 80 bytes, one of the smallest hash of the shingles under each of 80 functions.
 """
 
 from __future__ import annotations
@@ -25,9 +36,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, partitions
 from tidemark.llm.graph import components
+from tidemark.llm.postings import SHORT, pairs_in_runs, signature_bytes, starts_of
 
-SHORT = 24  # lists up to this length are compared pair by pair
 SLICE = 1 << 16  # words of a text that are hashed at a time
+FIRST, LAST = 3, 5  # positions of the first sub-lists, and of the last that are split by a position
 
 
 # -- fingerprints ------------------------------------------------------------------------
@@ -71,49 +83,61 @@ def whole_hashes(words: Sequence[bytes], n: int, seed: int, distinct: bool) -> n
     return np.unique(h) if distinct else h
 
 
-def fingerprints(docs: DataFrame, features: Sequence[tuple[int, bool, int]], seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and fingerprints ``f0``, ``f1``, ... (long) of each whole text.
+def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and the SimHash ``f0`` (long) of each whole text.
 
-    ``features`` lists (words in a shingle, each distinct shingle once, number of 64-bit
-    fingerprints).  A-Z are lower-cased, words are split at ASCII white space.  The first
-    fingerprint of a feature is made of XXH64 hashes, further ones of hashes derived from
-    them.  Null and empty texts have fingerprint zero.
+    A-Z are lower-cased, words are split at ASCII white space, shingles have ``n`` words.  A bit
+    is set if it is in over half of the shingles' XXH64 hashes, repeats included.  Null and empty
+    texts have fingerprint zero.
     """
-    names = [f"f{i}" for i in range(sum(n for *_, n in features))]
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names)
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, f0 bigint"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
-            for i, text in enumerate(batch.column(1)):
-                words, at = (text.as_py() or b"").lower().split(), 0
-                for n, distinct, count in features:
-                    h = whole_hashes(words, n, seed, distinct)
-                    for k in range(count):
-                        rows[i, at] = majority(mixed(h, k))
-                        at += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(rows[:, k].view(np.int64)) for k in range(len(names))]], names=["doc_id", *names])
+            found = np.array([majority(whole_hashes((text.as_py() or b"").lower().split(), n, seed, False)) for text in batch.column(1)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "f0"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 # -- the index ---------------------------------------------------------------------------
-def index_entries(columns: Sequence[np.ndarray], matches: int) -> Iterator[np.ndarray]:
-    """Keys of the index: for each fingerprint column and choice of byte positions an array over the rows."""
-    number = 0
-    for column in columns:
-        parts = column.view(np.uint8).reshape(-1, 8).astype(np.int64)
-        for chosen in combinations(range(8), matches):
-            key = np.full(len(column), number, dtype=np.int64)
-            for position in chosen:
-                key = key << 8 | parts[:, position]
-            yield key
-            number += 1
+BITS = (1 << np.arange(8, dtype=np.uint8)).astype(np.uint8)
+TALLY = np.array([m.bit_count() for m in range(256)], dtype=np.uint8)  # of a mask of shared positions
 
 
-def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of rows of 64-bit words."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def first_positions(depth: int) -> np.ndarray:
+    """For each mask of shared positions the mask of its first ``depth``; 0 if it has fewer."""
+    out = np.zeros(256, dtype=np.int64)
+    for mask in range(256):
+        own = [p for p in range(8) if mask >> p & 1][:depth]
+        out[mask] = sum(1 << p for p in own) if len(own) == depth else 0
+    return out
+
+
+def shared_positions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The mask of the positions at which fingerprints have the same byte."""
+    return ((a ^ b).view(np.uint8).reshape(-1, 8) == 0) @ BITS
+
+
+def list_key(prints: np.ndarray, positions: Sequence[int]) -> np.ndarray:
+    """The sub-list of each fingerprint: the mask of the positions, above the bytes there (at most seven)."""
+    parts = prints.view(np.uint8).reshape(-1, 8)
+    key = np.full(len(prints), sum(1 << p for p in positions), dtype=np.uint64)
+    for p in positions:
+        key = key << np.uint64(8) | parts[:, p].astype(np.uint64)
+    return key.view(np.int64)
+
+
+def part_keys(prints: np.ndarray, key: np.ndarray, positions: Sequence[int], parts: int) -> Iterator[np.ndarray]:
+    """Keys of the lists by which a last sub-list is split: each of so many parts of the bits elsewhere."""
+    own, rest = prints.view(np.uint8).reshape(-1, 8), np.zeros(len(prints), dtype=np.uint64)
+    elsewhere = [p for p in range(8) if p not in positions]
+    for p in elsewhere:
+        rest = rest << np.uint64(8) | own[:, p].astype(np.uint64)
+    for part, bits in enumerate(np.array_split(np.arange(8 * len(elsewhere)), parts)):
+        if len(bits):
+            value = rest >> np.uint64(bits[0]) & np.uint64((1 << len(bits)) - 1)
+            yield mixed(mixed(key.view(np.uint64) ^ value * np.uint64(0x9E3779B97F4A7C15), 1) + np.uint64(part), 2).view(np.int64)
 
 
 def forest(node: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -130,100 +154,157 @@ def forest(node: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) ->
                 yield np.full(len(found), node[i]), node[found]
 
 
-def run_links(key: np.ndarray, node: np.ndarray, words: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the runs of equal keys (sorted); ``test`` says which rows of two blocks of words link."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    lengths = np.diff(np.r_[starts, len(key)])
-    us, vs = [], []
-    short = np.repeat(lengths <= SHORT, lengths)
-    for step in range(1, SHORT):
-        i = np.flatnonzero((key[:-step] == key[step:]) & short[:-step])
-        if not len(i):
-            break
-        i = i[test(words[i], words[i + step])]
-        us.append(node[i])
-        vs.append(node[i + step])
-    for s, n in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
-        own = words[s : s + n]
-        for u, v in forest(node[s : s + n], lambda i, rest, own=own: test(own[i], own[rest])):
-            us.append(u)
-            vs.append(v)
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *us]), np.concatenate([none, *vs])
-
-
-def links(signatures: DataFrame, fp_cols: Sequence[str], max_bits: int, wide_cols: Sequence[str] = (), max_wide: int = 0) -> DataFrame:
-    """Links ``u``, ``v`` between rows of ``node`` (long), enough of them to join every linked pair.
-
-    Rows link if one of the ``fp_cols`` (64-bit) differs in at most ``max_bits`` bits (0 to 7)
-    and, if ``wide_cols`` are given, those differ in at most ``max_wide`` bits together.
-    """
-    matches, narrow = 8 - max_bits, len(fp_cols)
-    columns = [*fp_cols, *wide_cols]
-    schema = "key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in columns)
+class Lists:
+    """Reads sub-lists of one depth, sorted by key, from Arrow batches of ``key``, ``node``, ``f0``."""
+
+    def __init__(self, max_bits: int, depth: int, last: int, short: int):
+        self.max_bits, self.least, self.depth, self.last, self.short = max_bits, 8 - max_bits, depth, last, short
+        self.first = first_positions(min(depth, last))
+
+    def kept(self, key: np.ndarray, prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs reach the minimum of shared bytes, belong to this list, and are verified."""
+        mask = shared_positions(prints[i], prints[j])
+        hit = TALLY[mask] >= self.least
+        if self.depth <= self.last:
+            hit &= self.first[mask] == key.view(np.uint64)[i] >> np.uint64(8 * self.depth)
+        hit[hit] = np.bitwise_count(prints[i[hit]] ^ prints[j[hit]]) <= self.max_bits
+        return hit
+
+    def deeper(self, key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Entries of long lists in the lists one position deeper."""
+        masks = (key.view(np.uint64) >> np.uint64(8 * self.depth)).astype(np.int64)
+        for mask in np.unique(masks):
+            own = masks == mask
+            positions = [p for p in range(8) if mask >> p & 1]
+            some = prints[own]
+            if self.depth < self.last:
+                onward = range(positions[-1] + 1, 8 - max(self.least - self.depth - 1, 0))
+                keys: Iterable[np.ndarray] = (list_key(some, [*positions, p]) for p in onward)
+            else:
+                keys = part_keys(some, key[own], positions, self.max_bits + 1)
+            for k in keys:
+                yield entry_batch(k, node[own], some)
+
+    def read(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, under_way = np.zeros(0, dtype=np.int64), None  # the long list that the last batch ended in
+        held = (none, none, none.astype(np.uint64))
+        for batch in chain_end(batches):
+            if batch is not None:
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                held = tuple(np.concatenate(x) for x in zip(held, (new[0], new[1], new[2].view(np.uint64)), strict=True))
+            key, node, prints = held
+            starts, lengths = starts_of(key)
+            if not len(starts):
+                continue
+            splits = self.depth <= self.last
+            long = lengths > self.short
+            if splits and under_way is not None:
+                long[0] |= key[0] == under_way
+            whole = len(key)
+            if batch is not None and not (splits and long[-1]):
+                whole = int(starts[-1])  # the last list may go on in the next batch
+            row_long = np.repeat(long, lengths)[:whole]
+            if splits:
+                under_way = key[-1] if long[-1] else None
+                if row_long.any():
+                    yield from self.deeper(key[:whole][row_long], node[:whole][row_long], prints[:whole][row_long])
+            else:
+                for s, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True):
+                    if s + n <= whole:
+                        own = prints[s : s + n]
+                        for u, v in forest(node[s : s + n], lambda i, rest, own=own: np.bitwise_count(own[i] ^ own[rest]) <= self.max_bits):
+                            yield link_batch(u, v)
+            short = ~row_long
+            k, own_node, own_prints = key[:whole][short], node[:whole][short], prints[:whole][short]
+            for i, j in pairs_in_runs(k, self.short):
+                hit = self.kept(k, own_prints, i, j)
+                if hit.any():
+                    yield link_batch(own_node[i[hit]], own_node[j[hit]])
+            held = tuple(x[whole:] for x in held)
+
+
+def chain_end(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches that have rows, and None for the end."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch
+    yield None
+
+
+ENTRY = "key bigint, node bigint, f0 bigint, other bigint"  # a link has no key: node and other are linked
+
+
+def entry_batch(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(prints.view(np.int64)), pa.nulls(len(key), pa.int64())], names=["key", "node", "f0", "other"])
+
+
+def link_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(u), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.array(u), none, pa.array(v)], names=["key", "node", "f0", "other"])
+
+
+def links(signatures: DataFrame, max_bits: int) -> DataFrame:
+    """Links ``u``, ``v`` between the different fingerprints ``f0`` (long) of ``node`` (long) that differ in at most ``max_bits`` bits (0 to 7), enough of them to join every linked pair."""
+    spark, least = signatures.sparkSession, 8 - max_bits
+    first, last = min(FIRST, least), min(LAST, least)
+    choices = list(combinations(range(max_bits + first), first))
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = list(batch.columns)
-            for key in index_entries([np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in rest[1 : 1 + narrow]], matches):
-                yield pa.RecordBatch.from_arrays([pa.array(key), *rest], names=["key", "node", *columns])
-
-    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(a[..., :narrow] ^ b[..., :narrow]).min(axis=-1) <= max_bits
-        return near & (differing(a[..., narrow:], b[..., narrow:]) <= max_wide) if wide_cols else near
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            u, v = run_links(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64), test)
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last run may go on in the next batch
-            if last or held and held[0][0, 0] != rows[0, 0]:
-                yield out(np.concatenate([*held, rows[:last]]))
-                held = []
-            held.append(rows[last:])
-        if held:
-            yield out(np.concatenate(held))
-
-    entries = signatures.select("node", *columns).mapInArrow(post, schema)
-    runs = entries.repartition(partitions(signatures.sparkSession), "key").sortWithinPartitions("key", "node")
-    return runs.mapInArrow(read, "u bigint, v bigint")
+            node, prints = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            prints = np.ascontiguousarray(prints).view(np.uint64)
+            for positions in choices:
+                yield entry_batch(list_key(prints, positions), node, prints)
+
+    entries = signatures.select("node", "f0").mapInArrow(post, ENTRY)
+    found = []
+    for depth in range(first, last + 2):
+        runs = entries.select("key", "node", "f0").repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
+        lists = materialise(runs.mapInArrow(Lists(max_bits, depth, last, SHORT).read, ENTRY), "simhash-lists")
+        found.append(lists.where("key IS NULL").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")))
+        entries = lists.where("key IS NOT NULL")
+        if entries.isEmpty():
+            break
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def groups(prints: DataFrame, max_bits: int, label: str = "simhash", wide: Sequence[str] = (), max_wide: int = 0) -> DataFrame:
-    """Rows of ``prints`` (``doc_id``, fingerprints) with ``component_id``, the smallest doc_id reachable by links.
+def groups(prints: DataFrame, max_bits: int, label: str = "simhash") -> DataFrame:
+    """Rows of ``prints`` (``doc_id``, ``f0``) with ``component_id``, the smallest doc_id reachable by links; null only where no row reached has an id.
 
     Rows with equal fingerprints are linked.  Give ``prints`` as a written table: it is read
     several times.
     """
-    spark_cols = [c for c in prints.columns if c.startswith("f") and c[1:].isdigit()]
-    narrow = [c for c in spark_cols if c not in wide]
-    signatures = materialise(prints.select(*spark_cols).distinct().withColumn("node", F.monotonically_increasing_id()), f"{label}-signatures")
-    found = components(links(signatures, narrow, max_bits, wide, max_wide), label)
-    rooted = signatures.join(found, "node", "left").select(*spark_cols, F.coalesce("root", "node").alias("root"))
-    rows = prints.join(rooted, spark_cols)
+    signatures = materialise(prints.select("f0").distinct().withColumn("node", F.monotonically_increasing_id()), f"{label}-signatures")
+    found = components(links(signatures, max_bits), label)
+    rooted = signatures.join(found, "node", "left").select("f0", F.coalesce("root", "node").alias("root"))
+    rows = prints.join(rooted, "f0")
     # Written, so that the join below has exchanges of its own, which Spark splits where a group is large.
-    smallest = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), f"{label}-smallest")
-    return rows.join(smallest, "root").drop("root")
+    least = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), f"{label}-smallest")
+    return rows.join(least, "root").drop("root")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, max_bits: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``f0`` and ``component_id`` of all documents by fingerprints of ``n``-word shingles, repeats included."""
-    prints = materialise(fingerprints(docs, [(n, False, 1)], seed, id_col, text_col), "simhash-prints")
+    """``doc_id``, ``f0`` and ``component_id`` of all documents by fingerprints of ``n``-word shingles, repeats included.
+
+    Null and empty texts have fingerprint zero and are linked with each other.  Rows that repeat
+    an id are rows of their own; a null id is not the smallest of a component, and one whose rows
+    all have none has a null ``component_id``.  An empty table gives no rows.
+    """
+    prints = materialise(fingerprints(docs, n, seed, id_col, text_col), "simhash-prints")
     return groups(prints, max_bits)
 
 
 # -- near copies by exact similarity -----------------------------------------------------
-BANDS, BAND_ROWS = 20, 4  # a pair alike to 0.8 shares no band with probability (1 - 0.8^4)^20 = 3e-5
-LEAST_ALIKE = 48  # of 80 smallest hashes; a pair alike to 0.8 shares fewer with probability 1e-5
-_KEYS = (np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+BANDS, BAND_BYTES = 20, 4  # a pair alike to 0.8 shares no band with probability (1 - 0.8^4)^20 = 3e-5
+WIDTH = BANDS * BAND_BYTES
+LEAST_SHARED = 48  # of 80 bytes; a pair alike to 0.8 shares fewer with probability 1e-5
+BUSY = 128  # a list with more unlike pairs for each entry is split by a further band
+DEEPEST = 4  # bands by which a list is split
+CHUNK = 1024  # entries of a list that one task compares with as many others
+_KEYS = (np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
 def shingle_set(text: bytes | None, n: int = 5) -> np.ndarray:
@@ -231,15 +312,15 @@ def shingle_set(text: bytes | None, n: int = 5) -> np.ndarray:
     return whole_hashes((text or b"").lower().split(), n, 42, True)
 
 
-def smallest(h: np.ndarray) -> np.ndarray:
-    """The smallest value of the hashes under each of ``BANDS * BAND_ROWS`` hash functions."""
-    least = np.full(len(_KEYS), 2**64 - 1, dtype=np.uint64)
+def sketch(h: np.ndarray) -> bytes:
+    """The lowest byte of the smallest value of the hashes under each of ``WIDTH`` hash functions."""
+    least = np.full(WIDTH, 2**64 - 1, dtype=np.uint64)
     for at in range(0, len(h), 2048):
         z = h[None, at : at + 2048] + _KEYS
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         least = np.minimum(least, (z ^ (z >> np.uint64(31))).min(axis=1))
-    return least
+    return (least & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -247,32 +328,35 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
-
-
-def _plausible(size_a: np.ndarray, a: np.ndarray, size_b: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)) & ((a == b).sum(axis=-1) >= LEAST_ALIKE)
+def plausible(size_a: np.ndarray, a: np.ndarray, size_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sizes allow a similarity of 0.8 and the tally of shared bytes reaches the minimum."""
+    return (5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)) & ((a == b).sum(axis=-1) >= LEAST_SHARED)
 
 
 def shingle_sketches(rows: DataFrame) -> DataFrame:
-    """For each ``rid``, ``text``: digest and ``size`` of its shingle set, its ``bands`` and a byte of each smallest hash."""
+    """For each ``rid``, ``text``: ``digest`` and ``size`` of its shingle set and its ``sketch``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, bands, sketches = [], [], [], []
-            for text in batch.column(1):
-                h = shingle_set(text.as_py())
-                least = smallest(h)
-                digests.append(xxhash.xxh128_digest(h.tobytes()))
-                sizes.append(len(h))
-                bands.append([xxhash.xxh64_intdigest(least[at : at + BAND_ROWS].tobytes(), at) - 2**63 for at in range(0, len(least), BAND_ROWS)] if len(h) else [])
-                sketches.append((least & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["rid", "digest", "size", "bands", "sketch"]
-            )
+            sets = (shingle_set(text.as_py()) for text in batch.column(1))
+            found = [(xxhash.xxh128_digest(h.tobytes()), len(h), sketch(h)) for h in sets]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["rid", "digest", "size", "sketch"])
+
+    return rows.select("rid", F.col("text").cast("binary")).mapInArrow(run, "rid bigint, digest binary, size bigint, sketch binary")
+
 
-    return rows.select("rid", F.col("text").cast("binary")).mapInArrow(run, "rid bigint, digest binary, size bigint, bands array<bigint>, sketch binary")
+def band(number):  # noqa: ANN001, ANN201
+    return F.substring(F.col("sketch"), number * BAND_BYTES + 1, BAND_BYTES)
+
+
+def posted(entries: DataFrame) -> DataFrame:
+    """Entries ``key``, ``last``, ``node`` in the sub-lists of one more band: ``entries`` has ``node``, ``sketch`` and, below the first bands, ``key`` and ``last``."""
+    onward = F.col("last") if "last" in entries.columns else F.lit(-1)
+    rows = entries.withColumn("band", F.explode(F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda x: x > onward)))
+    above = [F.col("key")] if "key" in entries.columns else []
+    of = [F.when(F.col("band") == b, band(b)) for b in range(BANDS)]
+    return rows.select(F.xxhash64(*above, "band", F.coalesce(*of)).alias("key"), F.col("band").alias("last"), "node")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -293,46 +377,14 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return sides.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def mixed_pairs(entries: DataFrame) -> DataFrame:
-    """Plausible pairs ``u``, ``v`` of different ``root`` within each ``key`` (``node``, ``root``, ``size``, ``sketch``)."""
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, node, root, size, sketch = part
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                for i in range(s, e - 1):
-                    hit = np.flatnonzero((root[i + 1 : e] != root[i]) & _plausible(size[i], sketch[i], size[i + 1 : e], sketch[i + 1 : e])) + i + 1
-                    if len(hit):
-                        u, v = np.minimum(node[i], node[hit]), np.maximum(node[i], node[hit])
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [*[c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]], _sketches(batch.column(4))]
-            if held:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on in the next batch
-            if last:
-                yield from out([x[:last] for x in rows])
-            held = [x[last:] for x in rows]
-        if held:
-            yield from out(held)
-
-    runs = entries.select("key", "node", "root", "size", "sketch").repartition(partitions(entries.sparkSession), "key").sortWithinPartitions("key", "node")
-    return runs.mapInArrow(read, "u bigint, v bigint").distinct()
-
-
-def plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Those of the pairs ``u``, ``v`` that may be alike to 0.8 by sizes and sketches."""
+def possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Those of the pairs ``u``, ``v`` that may be alike to 0.8 by sizes and shared bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for batch in chain_end(batches):
+            if batch is not None:
                 size_a, size_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
-                hit = _plausible(size_a, _sketches(batch.column(3)), size_b, _sketches(batch.column(5)))
+                hit = plausible(size_a, signature_bytes(batch.column(3), WIDTH), size_b, signature_bytes(batch.column(5), WIDTH))
                 yield batch.select(["u", "v"]).filter(pa.array(hit))
 
     sides = pairs
@@ -341,29 +393,110 @@ def plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return sides.select("u", "v", "size_u", "sketch_u", "size_v", "sketch_v").mapInArrow(run, "u bigint, v bigint")
 
 
+def in_chunks(entries: DataFrame, census: DataFrame) -> DataFrame:
+    """``task``, ``side``, ``node``, ``root``: entries dealt out so that all pairs of different roots in a list meet in some task.
+
+    Of a list's roots the one with the most entries stands in chunks of its own; chunks of
+    the others meet these and each other.  So a task holds about two chunks, however long the
+    list, and a large component next to a few others is not copied.  ``census`` has ``key``,
+    ``most`` (that root), ``n_most`` and ``n_rest``.
+    """
+    chunks = lambda c: F.greatest(F.ceil(F.col(c) / CHUNK), F.lit(1)).cast("int")
+    rows = entries.join(census.select("key", "most", chunks("n_most").alias("major"), chunks("n_rest").alias("minor")), "key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    task = lambda kind: F.xxhash64("key", F.lit(kind), "i", "j").alias("task")
+    large, small = rows.where("root = most"), rows.where("root <> most")
+    parts = [
+        large.withColumn("j", own("major")).withColumn("i", upto("minor")).select(task("across"), F.lit(2).alias("side"), "node", "root"),
+        small.withColumn("i", own("minor")).withColumn("j", upto("major")).select(task("across"), F.lit(1).alias("side"), "node", "root"),
+    ]
+    among = small.withColumn("a", own("minor")).withColumn("b", upto("minor")).withColumn("i", F.least("a", "b")).withColumn("j", F.greatest("a", "b"))
+    parts.append(among.select(task("among"), F.when(F.col("i") == F.col("j"), 3).when(F.col("a") == F.col("i"), 1).otherwise(2).alias("side"), "node", "root"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def unlike_pairs(dealt: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Plausible pairs ``u``, ``v`` of different ``root`` and opposite ``side`` within each ``task``."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tested(i: np.ndarray, j: np.ndarray, part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            _, side, node, root, size, own = part
+            meet = ((side[i] & 1) & (side[j] >> 1) | (side[i] >> 1) & (side[j] & 1)) > 0
+            meet &= root[i] != root[j]
+            i, j = i[meet], j[meet]
+            hit = plausible(size[i], own[i], size[j], own[j])
+            if hit.any():
+                u, v = node[i[hit]], node[j[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+        def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for i, j in pairs_in_runs(part[0]):
+                yield from tested(i, j, part)
+            starts, lengths = starts_of(part[0])
+            for s, n in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
+                for i in range(s, s + n - 1):
+                    yield from tested(np.full(s + n - i - 1, i), np.arange(i + 1, s + n), part)
+
+        held: list[np.ndarray] = []
+        for batch in chain_end(batches):
+            if batch is None:
+                if held:
+                    yield from out(held)
+                return
+            rows = [*[c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]], signature_bytes(batch.column(5), WIDTH)]
+            held = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on in the next batch
+            if last:
+                yield from out([x[:last] for x in held])
+            held = [x[last:] for x in held]
+
+    rows = dealt.join(signatures.select("node", "size", "sketch"), "node").select("task", "side", "node", "root", "size", "sketch")
+    runs = rows.repartition(partitions(dealt.sparkSession), "task").sortWithinPartitions("task", "node")
+    return runs.mapInArrow(read, "u bigint, v bigint").distinct()
+
+
 def near_groups(rows: DataFrame) -> DataFrame:
     """``rid``, ``root`` of each row of ``rows`` (``rid``, ``text``, written): rows joined by links of similarity 0.8 or more share a root.
 
-    Equal shingle sets are one node.  Nodes that share a band are candidates, and every link
-    is verified by the exact similarity.  First each node is held against the least node of
-    each of its bands; then, in bands that still hold different components, all plausible
-    pairs of different components are.
+    Equal shingle sets are one node.  A node is posted in the sub-list of each of ``BANDS``
+    bands of ``BAND_BYTES`` positions with its bytes there.  First each node is held against the
+    least node of each of its lists; then, in lists that still hold different components,
+    all pairs of different components are.  A list with over ``BUSY`` such pairs for each entry
+    (many texts that share a common part and little else) is split by a further band first, up
+    to ``DEEPEST`` bands; a pair alike to 0.8 that meets in such lists alone shares fewer than
+    two bands with a probability of 4e-4, fewer than four with one of 1.3e-2.  Every link is
+    verified by the exact similarity.
     """
     prints = materialise(shingle_sketches(rows), "near-prints")
     nodes = materialise(prints.groupBy("digest").agg(F.min("rid").alias("node")), "near-nodes")
     signatures = materialise(prints.join(nodes, F.col("rid") == F.col("node"), "left_semi").withColumnRenamed("rid", "node").drop("digest"), "near-signatures")
-    entries = signatures.select("node", F.explode("bands").alias("key"))
-    lows = entries.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = materialise(entries.join(lows, "key"), "near-entries")
-    stars = shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
-    tried = materialise(plausible(stars, signatures), "near-stars")
-    edges = materialise(verified(tried, rows), "near-links")
-    first = components(edges, "near")
-    rooted = materialise(shared.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
-    unlike = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    rest = rooted.join(unlike, "key").join(signatures.select("node", "size", "sketch"), "node")
-    further = materialise(mixed_pairs(rest).join(tried, ["u", "v"], "left_anti"), "near-pairs")
-    found = components(edges.unionByName(verified(further, rows)), "near")
+    entries = posted(signatures.where("size > 0").select("node", "sketch"))
+    edges = tried = None
+    for depth in range(1, DEEPEST + 1):
+        lists = entries.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        shared = materialise(entries.join(lists, "key"), "near-entries")
+        stars = shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
+        new = possible(stars if tried is None else stars.join(tried, ["u", "v"], "left_anti"), signatures)
+        new = materialise(new, "near-stars")
+        tried = new if tried is None else tried.unionByName(new)
+        links_here = materialise(verified(new, rows), "near-links")
+        edges = links_here if edges is None else edges.unionByName(links_here)
+        rooted = shared.join(components(edges, "near"), "node", "left").select("key", "last", "node", F.coalesce("root", "node").alias("root"))
+        rooted = materialise(rooted, "near-rooted")
+        by_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+        census = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("top"))
+        census = census.where("roots > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2 > F.lit(BUSY) * F.col("n")).alias("busy"), F.col("top.root").alias("most"), F.col("top.c").alias("n_most"), (F.col("n") - F.col("top.c")).alias("n_rest"))
+        census = materialise(census, "near-census")
+        now = census if depth == DEEPEST else census.where("NOT busy")
+        further = materialise(unlike_pairs(in_chunks(rooted, now), signatures).join(tried, ["u", "v"], "left_anti"), "near-pairs")
+        tried = tried.unionByName(further)
+        edges = edges.unionByName(materialise(verified(further, rows), "near-links"))
+        if depth == DEEPEST or census.where("busy").isEmpty():
+            break
+        split = rooted.join(census.where("busy").select("key"), "key").join(signatures.select("node", "sketch"), "node")
+        entries = materialise(posted(split), "near-postings")
+    found = components(edges, "near")
     rooted_nodes = nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return prints.select("rid", "digest").join(rooted_nodes, "digest").select("rid", "root")
 
@@ -371,11 +504,12 @@ def near_groups(rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of documents whose five-word shingle sets are alike to 0.8 or more.
 
-    Candidates share one of ``BANDS`` bands of smallest hashes of their distinct five-word
-    shingles, so that it does not matter whether an edit is scattered or in one passage; a
-    link is verified by the exact Jaccard similarity.
+    Candidates come from the index over 80-byte signatures of the distinct five-word shingles,
+    so that it does not matter whether an edit is scattered or in one passage; a link is
+    verified by the exact Jaccard similarity.
     The row with the smallest id of a group stays, a null id comes last, and of rows that
-    share the smallest id one stays; rows that have no words are alike.
+    share the smallest id one stays; rows that have no words are alike.  An empty table gives
+    no rows.
     """
     numbered = materialise(docs.withColumn("_tm_rid", F.monotonically_increasing_id()), "near-rows")
     rows = numbered.select(F.col("_tm_rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
