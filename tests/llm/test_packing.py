@@ -7,29 +7,43 @@ from tidemark.llm import packing
 
 def one_by_one(sizes, capacity):
     """Best-fit decreasing of single groups."""
-    rooms = []
+    rooms, loads = [], []
     for s in sorted(sizes, reverse=True):
         fits = [(r, i) for i, r in enumerate(rooms) if r >= s]
         if fits:
             rooms[min(fits)[1]] -= s
+            loads[min(fits)[1]] += s
         else:
             rooms.append(max(capacity, s) - s)
-    return sorted(max(capacity, 0) - r for r in rooms)
+            loads.append(s)
+    return sorted(loads)
+
+
+def loads_of(parts):
+    loads, done = defaultdict(int), Counter()
+    for part in parts:
+        assert part.start == done[part.size]
+        done[part.size] = part.upto
+        for number in range(part.start, part.upto):
+            loads[part.first_bin + (number - part.start) // part.per_bin] += part.size
+    return loads, done
 
 
 def test_runs_pack_as_single_groups_do():
     rng = random.Random(2)
-    for _ in range(60):
+    for _ in range(200):
         sizes = [rng.choice([3, 5, 8, 13, 40, rng.randrange(1, 60)]) for _ in range(rng.randrange(1, 200))]
-        runs = sorted(Counter(sizes).items(), reverse=True)
-        parts = packing.pack(runs, 50)
-        loads, before = defaultdict(int), Counter()
-        for size, upto, number in parts:
-            loads[number] += size * (upto - before[size])
-            before[size] = upto
-        assert before == Counter(sizes)
-        assert sorted(loads.values()) == sorted(x for x in one_by_one(sizes, 50)) or len(loads) == len(one_by_one(sizes, 50))
-        assert all(load <= 50 or load in sizes for load in loads.values())
+        loads, done = loads_of(packing.pack(sorted(Counter(sizes).items(), reverse=True), 50))
+        assert done == Counter(sizes)
+        assert sorted(loads.values()) == one_by_one(sizes, 50)
+        assert sorted(loads) == list(range(len(loads)))
+
+
+def test_steps_do_not_grow_with_the_bins():
+    few, many = (packing.pack([(40, n), (9, 3 * n), (4, 5 * n + 1)], 100) for n in (1000, 1_000_000))
+    assert len(many) <= len(few) + 4 < 30
+    assert packing.pack([(40, 1_000_000)], 100, most_bins=499_999) is None
+    assert packing.pack([(40, 1_000_000)], 100, most_bins=500_000) is not None
 
 
 def test_tree_finds_the_tightest_and_stays_balanced():

@@ -69,7 +69,7 @@ def check(docs, rows, order, chunk_bytes=32_000_000):
         assert any((r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, held_out(i)) and r.base_score == pytest.approx(base) and r.score == pytest.approx(want) for r in got[i])
 
 
-def test_whole_table_equals_brute_force(spark, sf):
+def test_sixty_documents_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")  # the brute force is slow
     check(docs, [(r.doc_id, r.text) for r in docs.collect()], 2, chunk_bytes=20_000)
 
@@ -80,6 +80,13 @@ def test_awkward_rows(frame, awkward, order):
     check(frame(rows), rows, order, chunk_bytes=500)
 
 
+def test_a_long_text_uncut_at_the_production_order(frame):
+    words = " ".join(f"word{i % 977} é{i % 13}" for i in range(3000))
+    rows = [(1, words), (2, words[:900]), (4, "word1 word2 word9"), (7, words + " and a tail that is new: 漢字")]
+    assert len(words) > 30_000
+    check(frame(rows), rows, ppm.ORDER, chunk_bytes=40_000)
+
+
 def test_nothing_to_learn_from(frame):
     assert ppm.score(frame([]), column()).count() == 0
     r = ppm.score(frame([(1, "ab")]), F.lit(True), order=2).first()

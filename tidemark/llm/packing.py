@@ -5,10 +5,12 @@ enters the bin with the least remaining capacity that still holds it, found in a
 tree of remaining capacities; if none does, a new bin is opened.
 
 Groups of one size class are interchangeable, so the driver packs runs (class, number of
-groups) instead of groups: a bin takes as many of a run as it holds.  The classes are the
-sizes rounded up to 12 significant bits, at most 2^11 per power of two, so the runs sent to
-the driver have a bound that does not depend on the input.  A group's bin follows from its
-number within its class.
+groups) instead of groups: a bin takes as many of a run as it holds.  Bins with the same
+remaining capacity that were filled alike are one range in the tree, so a run that opens a
+million bins is one step.  The classes are the sizes rounded up to 12 significant bits, at
+most 2^11 per power of two, so the runs sent to the driver, and the steps that packing them
+takes, have a bound that does not depend on the number of groups or bins.  A group's bin
+follows from its number within its class.
 """
 
 from __future__ import annotations
@@ -99,29 +101,55 @@ def tightest(node: Node | None, size: int) -> tuple[int, int] | None:
     return best
 
 
-def pack(runs: list[tuple[int, int]], capacity: int, most_bins: int | None = None) -> list[tuple[int, int, int]] | None:
+@dataclass(frozen=True)
+class Part:
+    """Groups ``start`` to ``upto`` - 1 of a class, ``per_bin`` of them to each bin from ``first_bin`` on."""
+
+    size: int
+    start: int
+    upto: int
+    first_bin: int
+    per_bin: int
+
+
+def pack(runs: list[tuple[int, int]], capacity: int, most_bins: int | None = None) -> list[Part] | None:
     """Best-fit decreasing of runs (size, number of groups), sizes falling.
 
-    Returns (size, number of groups up to here, bin) for each part of a run.  A group over
-    the capacity gets a bin of its own.  None if over ``most_bins`` bins are needed.
+    Of bins that fit equally well the one opened first is taken.  A group over the capacity
+    gets a bin of its own.  None if over ``most_bins`` bins are needed.
     """
-    tree, opened, out = None, 0, []
+    tree, alike, opened, out = None, {}, 0, []  # alike: the number of bins of a range in the tree
+
+    def put(room: int, first: int, bins: int) -> None:
+        nonlocal tree
+        if room and bins:
+            tree = insert(tree, (room, first))
+            alike[room, first] = bins
+
     for size, count in runs:
         done = 0
         while done < count:
             found = tightest(tree, size)
             if found is None:
-                if opened == most_bins:
+                room, first = max(capacity, size), opened
+                bins = -(-(count - done) // (room // size))
+                opened += bins
+                if most_bins is not None and opened > most_bins:
                     return None
-                found, opened = (max(capacity, size), opened), opened + 1
             else:
                 tree = remove(tree, found)
-            room, number = found
-            taken = min(count - done, room // size)
-            done += taken
-            out.append((size, done, number))
-            if room > taken * size:
-                tree = insert(tree, (room - taken * size, number))
+                (room, first), bins = found, alike.pop(found)
+            each = room // size
+            full = min(bins, (count - done) // each)
+            if full:
+                out.append(Part(size, done, done + full * each, first, each))
+                done += full * each
+                put(room - each * size, first, full)
+            if full < bins and done < count:  # fewer are left than the next bin holds
+                out.append(Part(size, done, count, first + full, count - done))
+                put(room - (count - done) * size, first + full, 1)
+                done, full = count, full + 1
+            put(room, first + full, bins - full)
     return out
 
 
@@ -156,7 +184,9 @@ def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = Non
     Give the number of shards, whose sizes come out near equal, or a capacity in bytes, of
     which as few shards as the method finds are filled.  A row's size is that of its text in
     UTF-8 plus 1; null counts as the empty text.  Equal texts share a shard; a group above the
-    capacity has a shard of its own.  Slots number a shard's rows from 0 by id.
+    capacity has a shard of its own.  Slots number a shard's rows from 0 by id, null first;
+    rows that repeat an id in the order in which they were written.  Groups of one class are
+    placed in the order of their digests.  An empty table gives no rows.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
@@ -169,9 +199,10 @@ def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = Non
     groups = numbered(materialise(groups, "shard-groups"), ["class"], ["gid"], "number", "shard-classes")
     runs = sorted(((r["class"], r["n"]) for r in groups.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     parts = pack(runs, least_capacity(runs, shards) if shards else capacity) if runs else []
-    by_class: dict[int, list[tuple[int, int]]] = {}
-    for size, upto, number in parts:
-        by_class.setdefault(size, []).append((upto, number))
-    places = docs.sparkSession.createDataFrame(list(by_class.items()), "class bigint, parts array<struct<upto: bigint, shard: int>>")
-    placed = groups.join(places, "class").select("gid", F.expr("filter(parts, p -> p.upto > number)[0].shard").alias("shard"))
+    by_class: dict[int, list[tuple[int, int, int, int]]] = {}
+    for part in parts:
+        by_class.setdefault(part.size, []).append((part.start, part.upto, part.first_bin, part.per_bin))
+    places = docs.sparkSession.createDataFrame(list(by_class.items()), "class bigint, parts array<struct<start: bigint, upto: bigint, first: bigint, per: bigint>>")
+    part = F.expr("filter(parts, p -> p.upto > number)[0]")
+    placed = groups.join(places, "class").withColumn("part", part).select("gid", F.expr("cast(part.first + (number - part.start) div part.per as int)").alias("shard"))
     return numbered(materialise(rows.join(placed, "gid").drop("gid"), "shard-placed"), ["shard"], ["doc_id", "text_crc32"], "slot", "shard-slots")

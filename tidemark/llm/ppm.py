@@ -169,6 +169,8 @@ def score(docs: DataFrame, held_out, order: int = ORDER, smoothing: float = 0.1,
     and ``score``.  ``score`` is the log10 probability of the whole text and its end under the
     byte model.  ``base_score`` is that of its words and end under smoothed word counts.  Null
     counts as the empty text; without training rows all bytes and words are equally likely.
+    Rows that repeat, or have no id, are scored and learnt from as rows of their own; an empty
+    table gives no rows.
     """
     chunks = in_chunks(docs, id_col, text_col, held_out, chunk_bytes)
     counts = materialise(chunk_counts(chunks, order), "ppm-chunk-counts")
