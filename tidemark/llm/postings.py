@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +10,12 @@ import pyarrow as pa
 SHORT = 64  # lists up to this length are compared pair by pair in one step for all of them
 
 
-def signature_bytes(column: pa.Array, width: int) -> np.ndarray:
+def signature_bytes(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """A binary column of values of one width (no nulls) as a matrix of bytes."""
     if not len(column):
         return np.zeros((0, width), dtype=np.uint8)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     column = column.cast(pa.binary())
     _, ends, data = column.buffers()
     offsets = np.frombuffer(ends, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
@@ -36,3 +38,19 @@ def pairs_in_runs(key: np.ndarray, short: int = SHORT) -> Iterator[tuple[np.ndar
         if not len(i):
             return
         yield i, i + step
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches that are sorted by their first column, cut only between its values."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            key = held.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
+            if last:
+                yield held.slice(0, last).combine_chunks()
+                held = held.slice(last)
+    if held is not None:
+        yield held.combine_chunks()

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, partitions
 from tidemark.llm.graph import components
-from tidemark.llm.postings import SHORT, pairs_in_runs, signature_bytes, starts_of
+from tidemark.llm.postings import SHORT, pairs_in_runs, signature_bytes, starts_of, whole_runs
 
 SLICE = 1 << 16  # words of a text that are hashed at a time
 FIRST, LAST = 3, 5  # positions of the first sub-lists, and of the last that are split by a position
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, max_bits: int = 3, seed: int =
 BANDS, BAND_BYTES = 20, 4  # a pair alike to 0.8 shares no band with probability (1 - 0.8^4)^20 = 3e-5
 WIDTH = BANDS * BAND_BYTES
 LEAST_SHARED = 48  # of 80 bytes; a pair alike to 0.8 shares fewer with probability 1e-5
-BUSY = 128  # a list with more unlike pairs for each entry is split by a further band
+BUSY = 512  # a list with more unlike pairs for each entry is split by a further band
 DEEPEST = 4  # bands by which a list is split
 CHUNK = 1024  # entries of a list that one task compares with as many others
 _KEYS = (np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
@@ -333,6 +333,17 @@ def plausible(size_a: np.ndarray, a: np.ndarray, size_b: np.ndarray, b: np.ndarr
     return (5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)) & ((a == b).sum(axis=-1) >= LEAST_SHARED)
 
 
+def first_bands(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """For each pair of signatures the mask of the first ``depth`` bands that they share; 0 if it shares fewer."""
+    shared = (a == b).reshape(-1, BANDS, BAND_BYTES).all(axis=2) @ (1 << np.arange(BANDS))
+    out = np.zeros(len(shared), dtype=np.int64)
+    for _ in range(depth):
+        least = shared & -shared
+        out = np.where(least > 0, out | least, 0)
+        shared = shared ^ least
+    return out
+
+
 def shingle_sketches(rows: DataFrame) -> DataFrame:
     """For each ``rid``, ``text``: ``digest`` and ``size`` of its shingle set and its ``sketch``."""
 
@@ -351,30 +362,34 @@ def band(number):  # noqa: ANN001, ANN201
 
 
 def posted(entries: DataFrame) -> DataFrame:
-    """Entries ``key``, ``last``, ``node`` in the sub-lists of one more band: ``entries`` has ``node``, ``sketch`` and, below the first bands, ``key`` and ``last``."""
-    onward = F.col("last") if "last" in entries.columns else F.lit(-1)
-    rows = entries.withColumn("band", F.explode(F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda x: x > onward)))
-    above = [F.col("key")] if "key" in entries.columns else []
-    of = [F.when(F.col("band") == b, band(b)) for b in range(BANDS)]
-    return rows.select(F.xxhash64(*above, "band", F.coalesce(*of)).alias("key"), F.col("band").alias("last"), "node")
+    """Entries ``key``, ``mask``, ``node`` in the sub-lists of one more band: ``entries`` has ``node``, ``sketch`` and, below the first bands, ``key`` and ``mask`` (of the bands so far)."""
+    deeper = "mask" in entries.columns
+    so_far = F.col("mask") if deeper else F.lit(0)
+    own = F.array(*[F.struct(F.lit(1 << b).alias("bit"), F.substring("sketch", b * BAND_BYTES + 1, BAND_BYTES).alias("bytes")) for b in range(BANDS)])
+    rows = entries.withColumn("band", F.explode(F.filter(own, lambda x: x["bit"] > so_far)))
+    return rows.select(F.xxhash64(*[F.col("key")][:deeper], "band.bit", "band.bytes").alias("key"), (so_far + F.col("band.bit")).alias("mask"), "node")
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs ``u``, ``v`` whose shingle sets are alike to 0.8 or more, by their texts."""
+def star_links(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs ``u``, ``v`` whose shingle sets are alike to 0.8 or more: all partners of one ``u`` against it, ``CHUNK`` to a task."""
+    sizes = stars.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    partners = stars.join(sizes, "u").select(F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("bigint")).alias("task"), F.col("v").alias("rid"), F.lit(True).alias("partner"))
+    centres = sizes.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(F.xxhash64("u", F.col("part").cast("bigint")).alias("task"), F.col("u").alias("rid"), F.lit(False).alias("partner"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, np.zeros(0, dtype=np.uint64)
-        for batch in batches:
-            keep = []
-            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if u != last:
-                    last, left = u, shingle_set(a.as_py())
-                keep.append(alike(left, shingle_set(b.as_py())))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for table in whole_runs(batches):
+            us, vs = [], []
+            for partner, rid, text in zip(table.column(1).to_pylist(), table.column(2).to_pylist(), table.column(3), strict=True):
+                own = shingle_set(text.as_py())
+                if not partner:
+                    u, centre = rid, own
+                elif alike(centre, own):
+                    us.append(u)
+                    vs.append(rid)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    text = F.col("text").cast("binary")
-    sides = pairs.join(rows.select(F.col("rid").alias("v"), text.alias("b")), "v").join(rows.select(F.col("rid").alias("u"), text.alias("a")), "u")
-    return sides.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    rows = partners.unionByName(centres).join(texts, "rid").select("task", "partner", "rid", "text")
+    return rows.repartition(partitions(stars.sparkSession), "task").sortWithinPartitions("task", "partner", "rid").mapInArrow(run, "u bigint, v bigint")
 
 
 def possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -394,7 +409,7 @@ def possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def in_chunks(entries: DataFrame, census: DataFrame) -> DataFrame:
-    """``task``, ``side``, ``node``, ``root``: entries dealt out so that all pairs of different roots in a list meet in some task.
+    """``task``, ``side``, ``node``, ``root``, ``mask``: entries dealt out so that all pairs of different roots in a list meet in some task.
 
     Of a list's roots the one with the most entries stands in chunks of its own; chunks of
     the others meet these and each other.  So a task holds about two chunks, however long the
@@ -403,57 +418,104 @@ def in_chunks(entries: DataFrame, census: DataFrame) -> DataFrame:
     """
     chunks = lambda c: F.greatest(F.ceil(F.col(c) / CHUNK), F.lit(1)).cast("int")
     rows = entries.join(census.select("key", "most", chunks("n_most").alias("major"), chunks("n_rest").alias("minor")), "key")
-    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    task = lambda kind: F.xxhash64("key", F.lit(kind), "i", "j").alias("task")
-    large, small = rows.where("root = most"), rows.where("root <> most")
-    parts = [
-        large.withColumn("j", own("major")).withColumn("i", upto("minor")).select(task("across"), F.lit(2).alias("side"), "node", "root"),
-        small.withColumn("i", own("minor")).withColumn("j", upto("major")).select(task("across"), F.lit(1).alias("side"), "node", "root"),
-    ]
-    among = small.withColumn("a", own("minor")).withColumn("b", upto("minor")).withColumn("i", F.least("a", "b")).withColumn("j", F.greatest("a", "b"))
-    parts.append(among.select(task("among"), F.when(F.col("i") == F.col("j"), 3).when(F.col("a") == F.col("i"), 1).otherwise(2).alias("side"), "node", "root"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def unlike_pairs(dealt: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Plausible pairs ``u``, ``v`` of different ``root`` and opposite ``side`` within each ``task``."""
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tested(i: np.ndarray, j: np.ndarray, part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            _, side, node, root, size, own = part
-            meet = ((side[i] & 1) & (side[j] >> 1) | (side[i] >> 1) & (side[j] & 1)) > 0
-            meet &= root[i] != root[j]
-            i, j = i[meet], j[meet]
-            hit = plausible(size[i], own[i], size[j], own[j])
-            if hit.any():
-                u, v = node[i[hit]], node[j[hit]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-        def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for i, j in pairs_in_runs(part[0]):
-                yield from tested(i, j, part)
-            starts, lengths = starts_of(part[0])
-            for s, n in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
-                for i in range(s, s + n - 1):
-                    yield from tested(np.full(s + n - i - 1, i), np.arange(i + 1, s + n), part)
-
-        held: list[np.ndarray] = []
-        for batch in chain_end(batches):
-            if batch is None:
-                if held:
-                    yield from out(held)
-                return
-            rows = [*[c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]], signature_bytes(batch.column(5), WIDTH)]
-            held = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
-            last = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on in the next batch
-            if last:
-                yield from out([x[:last] for x in held])
-            held = [x[last:] for x in held]
-
-    rows = dealt.join(signatures.select("node", "size", "sketch"), "node").select("task", "side", "node", "root", "size", "sketch")
-    runs = rows.repartition(partitions(dealt.sparkSession), "task").sortWithinPartitions("task", "node")
-    return runs.mapInArrow(read, "u bigint, v bigint").distinct()
+    place = lambda across, i, j, side: F.struct(F.lit(across).alias("across"), i.alias("i"), j.alias("j"), side.alias("side"))
+    a = own("minor")
+    as_most = F.transform(upto("minor"), lambda i: place(True, i, own("major"), F.lit(2)))
+    across = F.transform(upto("major"), lambda j: place(True, a, j, F.lit(1)))
+    among = F.transform(upto("minor"), lambda b: place(False, F.least(a, b), F.greatest(a, b), F.when(a == b, 3).when(a < b, 1).otherwise(2)))
+    places = F.when(F.col("root") == F.col("most"), as_most).otherwise(F.concat(across, among))
+    return rows.withColumn("at", F.explode(places)).select(F.xxhash64("key", "at.across", "at.i", "at.j").alias("task"), "at.side", "node", "root", "mask")
+
+
+class Unlike:
+    """Pairs of different ``root`` and opposite ``side`` in tasks that may be alike, each in the one list of its first shared bands."""
+
+    def __init__(self, table: pa.Table, depth: int):
+        self.task, self.side, self.node, self.root, self.mask, self.size = (table.column(k).to_numpy() for k in range(6))
+        self.sketch, self.depth = signature_bytes(table.column(6), WIDTH), depth
+
+    def meet(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the index pairs that are to be verified."""
+        a, b = self.side[i], self.side[j]
+        hit = ((a & 1 & b >> 1 | a >> 1 & b & 1) > 0) & (self.root[i] != self.root[j])
+        i, j = i[hit], j[hit]
+        hit = plausible(self.size[i], self.sketch[i], self.size[j], self.sketch[j])
+        i, j = i[hit], j[hit]
+        hit = first_bands(self.sketch[i], self.sketch[j], self.depth) == self.mask[i]
+        return i[hit], j[hit]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All of them, in portions; those of one row (as i) come in one portion where a task is long."""
+        for i, j in pairs_in_runs(self.task):
+            yield self.meet(i, j)
+        starts, lengths = starts_of(self.task)
+        for s, n in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
+            for i in range(s, s + n - 1):
+                yield self.meet(np.full(s + n - i - 1, i), np.arange(i + 1, s + n))
+
+
+def shared_counts(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sorted sets has in common with ``own``."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(own, flat)
+    at[at == len(own)] = 0
+    return np.add.reduceat(own[at] == flat, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
+def unlike_links(dealt: DataFrame, signatures: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
+    """Links ``u``, ``v`` between entries of different ``root``, enough of them to join all that are alike to 0.8 or more.
+
+    By their signatures first: an entry without a plausible partner in its task goes.  The
+    rest come with their texts and are verified where they meet, and what has been joined in
+    a task already is not compared again.  So a task gives on fewer rows than it holds.
+    """
+    spark, schema = dealt.sparkSession, "task bigint, side int, node bigint, root bigint, mask int"
+
+    def partnered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches):
+            keep = np.zeros(table.num_rows, dtype=bool)
+            for i, j in Unlike(table, depth).pairs():
+                keep[i] = keep[j] = True
+            yield from table.select(range(5)).filter(pa.array(keep)).to_batches()
+
+    def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches):
+            own = Unlike(table, depth)
+            sets = [shingle_set(text.as_py()) for text in table.column(7)]
+            parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def joined(row: int, own=own, parent=parent) -> tuple[int, int]:  # noqa: ANN001
+                x = (int(own.task[row]), int(own.root[row]))
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            us, vs = [], []
+            for i, j in own.pairs():
+                order = np.argsort(i, kind="stable")
+                for some in np.split(order, starts_of(i[order])[0][1:]) if len(i) else []:
+                    row = int(i[some[0]])
+                    at = joined(row)
+                    others = [k for k in j[some].tolist() if joined(k) != at]
+                    if others:
+                        both = shared_counts(sets[row], [sets[k] for k in others])
+                        for k, n in zip(others, both.tolist(), strict=True):
+                            if 9 * n >= 4 * (len(sets[row]) + len(sets[k])) and joined(k) != joined(row):
+                                parent[joined(k)] = joined(row)
+                                us.append(int(own.node[row]))
+                                vs.append(int(own.node[k]))
+            u, v = np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    def sorted_runs(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(spark), "task").sortWithinPartitions("task", "node")
+
+    signed = dealt.join(signatures.select("node", "size", "sketch"), "node").select("task", "side", "node", "root", "mask", "size", "sketch")
+    left = materialise(sorted_runs(signed).mapInArrow(partnered, schema), "near-partnered")
+    read = left.join(signatures.select("node", "size", "sketch"), "node").join(texts.withColumnRenamed("rid", "node"), "node")
+    return sorted_runs(read.select("task", "side", "node", "root", "mask", "size", "sketch", "text")).mapInArrow(verified, "u bigint, v bigint")
 
 
 def near_groups(rows: DataFrame) -> DataFrame:
@@ -472,26 +534,24 @@ def near_groups(rows: DataFrame) -> DataFrame:
     nodes = materialise(prints.groupBy("digest").agg(F.min("rid").alias("node")), "near-nodes")
     signatures = materialise(prints.join(nodes, F.col("rid") == F.col("node"), "left_semi").withColumnRenamed("rid", "node").drop("digest"), "near-signatures")
     entries = posted(signatures.where("size > 0").select("node", "sketch"))
-    edges = tried = None
+    edges = texts = None
     for depth in range(1, DEEPEST + 1):
         lists = entries.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         shared = materialise(entries.join(lists, "key"), "near-entries")
-        stars = shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
-        new = possible(stars if tried is None else stars.join(tried, ["u", "v"], "left_anti"), signatures)
-        new = materialise(new, "near-stars")
-        tried = new if tried is None else tried.unionByName(new)
-        links_here = materialise(verified(new, rows), "near-links")
-        edges = links_here if edges is None else edges.unionByName(links_here)
-        rooted = shared.join(components(edges, "near"), "node", "left").select("key", "last", "node", F.coalesce("root", "node").alias("root"))
+        stars = materialise(possible(shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), signatures), "near-stars")
+        if texts is None:  # of nodes that share a list with another: all that is compared
+            text = rows.select("rid", F.col("text").cast("binary").alias("text"))
+            texts = materialise(text.join(shared.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi"), "near-texts")
+        found = materialise(star_links(stars, texts), "near-links")
+        edges = found if edges is None else edges.unionByName(found)
+        rooted = shared.join(components(edges, "near"), "node", "left").select("key", "mask", "node", F.coalesce("root", "node").alias("root"))
         rooted = materialise(rooted, "near-rooted")
         by_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        census = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("top"))
-        census = census.where("roots > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2 > F.lit(BUSY) * F.col("n")).alias("busy"), F.col("top.root").alias("most"), F.col("top.c").alias("n_most"), (F.col("n") - F.col("top.c")).alias("n_rest"))
-        census = materialise(census, "near-census")
+        census = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root")).alias("top")).where("n > top.c")
+        busy = (F.col("n") * F.col("n") - F.col("same")) / 2 > F.lit(BUSY) * F.col("n")
+        census = materialise(census.select("key", busy.alias("busy"), F.col("top.root").alias("most"), F.col("top.c").alias("n_most"), (F.col("n") - F.col("top.c")).alias("n_rest")), "near-census")
         now = census if depth == DEEPEST else census.where("NOT busy")
-        further = materialise(unlike_pairs(in_chunks(rooted, now), signatures).join(tried, ["u", "v"], "left_anti"), "near-pairs")
-        tried = tried.unionByName(further)
-        edges = edges.unionByName(materialise(verified(further, rows), "near-links"))
+        edges = edges.unionByName(materialise(unlike_links(in_chunks(rooted, now), signatures, texts, depth), "near-links"))
         if depth == DEEPEST or census.where("busy").isEmpty():
             break
         split = rooted.join(census.where("busy").select("key"), "key").join(signatures.select("node", "sketch"), "node")
