@@ -1,12 +1,19 @@
-"""The stored tables: idempotent writes without a table format.
+"""The stored tables: idempotent, atomic writes without a table format.
 
-A table is a folder of Parquet files with one writer.  An upsert reads the partitions that the
-new rows touch, merges and overwrites these alone; snapshots are only ever appended.
+What the store holds is said by its last commit: a small file that lists, for every table
+and day, the folders with its rows.  A write puts new folders beside the old ones and then
+creates the next commit by one rename, for several tables at once where they belong
+together (snapshots and their cursor).  Whatever is cut off before that rename is not part of
+the store, and a reader sees the state before or after a write and nothing else.
+
+Quotes and snapshots are kept by day: a write reads and replaces the days that its rows
+touch and no others.  The other tables are small and replaced as a whole.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from hashlib import sha256
 
@@ -52,51 +59,152 @@ def discarded(rows: DataFrame, stage: str, keep: Column, reason: Column) -> tupl
     return rows.where(passes), lost
 
 
-class Store:
-    """The tables of one sport under a folder that Spark can write."""
+Parts = dict[str, list[str]]  # of a table: its days (or "all") and the folders that hold each
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+BY_DAY = {"quotes": "ts", "book_snapshots": "ts"}
+LOGS = ("discards", "spend_log")  # rows are only ever added
+MOST_FOLDERS = 16  # of a day; more are written anew as one
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+class Conflict(RuntimeError):
+    """Another writer has changed a table since it was read."""
 
-    def read(self, table: str) -> DataFrame:
-        """The table; empty if nothing has been written."""
-        if not self._exists(self.path(table)):
-            return self.spark.createDataFrame([], schema.TABLES[table])
-        return self.spark.read.schema(schema.TABLES[table]).parquet(self.path(table))
 
-    def _replace(self, table: str, rows: DataFrame) -> None:
-        """Write beside, then swap: a reader sees the old table or the new one."""
-        staged, path = f"{self.path(table)}.staged", self.path(table)
-        rows.write.mode("overwrite").parquet(staged)
-        p = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = p(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(p(path), True)
-        fs.rename(p(staged), p(path))
+class Store:
+    """The tables of one sport under a folder that Spark can write."""
+
+    def __init__(self, spark: SparkSession, root: str, strict: bool = False):
+        """``strict``: a write whose rows refer to missing parents is refused."""
+        self.spark, self.root, self.strict = spark, root.rstrip("/"), strict
+
+    # -- commits ---------------------------------------------------------------------------
+    def _path(self, path: str):  # noqa: ANN202
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self):  # noqa: ANN202
+        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """The numbers of the commits that are there."""
+        fs, log = self._fs(), self._path(f"{self.root}/_commits")
+        names = [f.getPath().getName() for f in fs.listStatus(log)] if fs.exists(log) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+    def _state(self) -> tuple[int, dict[str, Parts]]:
+        """The last commit and what it lists; (0, {}) for a new store."""
+        found = self.versions()
+        if not found:
+            return 0, {}
+        stream = self._fs().open(self._path(f"{self.root}/_commits/{found[-1]:012}.json"))
+        try:
+            return found[-1], json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, base: dict[str, Parts], changed: dict[str, Parts]) -> None:
+        """Make ``changed`` the state of its tables; other tables stay as another writer may have left them."""
+        fs, log = self._fs(), f"{self.root}/_commits"
+        while True:
+            version, now = self._state()
+            if any(now.get(t) != base.get(t) for t in changed):
+                raise Conflict(f"{', '.join(changed)}: another writer was faster")
+            staged, final = self._path(f"{log}/_{uuid.uuid4().hex}"), self._path(f"{log}/{version + 1:012}.json")
+            out = fs.create(staged, True)
+            out.write(bytearray(json.dumps(now | changed, sort_keys=True).encode()))
+            out.close()
+            if not fs.exists(final) and fs.rename(staged, final):
+                return
+            fs.delete(staged, False)
+
+    def vacuum(self, keep: int = 10) -> None:
+        """Delete all commits but the last ``keep`` and the folders that none of these lists.  No write may be under way."""
+        fs, old = self._fs(), self.versions()[:-keep]
+        for version in old:
+            fs.delete(self._path(f"{self.root}/_commits/{version:012}.json"), False)
+        listed = set()
+        for version in self.versions():
+            stream = fs.open(self._path(f"{self.root}/_commits/{version:012}.json"))
+            state = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+            listed |= {folder.split("/")[1] for parts in state.values() for folders in parts.values() for folder in folders}
+        for table in TABLES_OF_STORE:
+            at = self._path(f"{self.root}/{table}")
+            for found in fs.listStatus(at) if fs.exists(at) else []:
+                if found.getPath().getName() not in listed:
+                    fs.delete(found.getPath(), True)
+
+    # -- reading and writing ------------------------------------------------------------------
+    def _read(self, table: str, parts: Parts, days: Sequence[str] | None = None) -> DataFrame:
+        folders = [f"{self.root}/{f}" for day, fs in parts.items() if days is None or day in days for f in fs]
+        if not folders:
+            return self.spark.createDataFrame([], schema.TABLES[table])
+        return self.spark.read.schema(schema.TABLES[table]).parquet(*folders)
+
+    def read(self, table: str, days: Sequence[str] | None = None) -> DataFrame:
+        """The table, or the given days (ISO) of it; empty if nothing has been written."""
+        return self._read(table, self._state()[1].get(table, {}), days)
+
+    def _write(self, table: str, rows: DataFrame) -> Parts:
+        """Rows in a new folder, which no commit lists yet."""
+        at = f"{table}/{uuid.uuid4().hex}"
+        if table not in BY_DAY:
+            rows.write.parquet(f"{self.root}/{at}")
+            return {"all": [at]}
+        day = F.coalesce(F.date_format(BY_DAY[table], "yyyy-MM-dd"), F.lit("none"))
+        rows.withColumn("_day", day).write.partitionBy("_day").parquet(f"{self.root}/{at}")
+        names = [f.getPath().getName() for f in self._fs().listStatus(self._path(f"{self.root}/{at}")) if f.isDirectory()]
+        return {n.removeprefix("_day="): [f"{at}/{n}"] for n in sorted(names) if n.startswith("_day=")}
+
+    def _checked(self, table: str, rows: DataFrame) -> Parts:
+        """New rows in a folder of their own, where the table's rules hold; ValueError if they don't."""
+        new = self._write(table, schema.conform(rows, table))
+        staged = self._read(table, new)
+        faults = [f"{r['n']} without {r['column']}" for r in schema.faults(staged, table).collect()] if schema.REQUIRED.get(table) else []
+        if self.strict and table in schema.REFERENCES:
+            key, parents, parent_key = schema.REFERENCES[table]
+            if lost := schema.orphans(staged, self.read(parents), key, parent_key).count():
+                faults.append(f"{lost} whose {key} is not in {parents}")
+        if faults:
+            raise ValueError(f"{table}: {', '.join(faults)}")
+        return new
+
+    def _upserted(self, table: str, rows: DataFrame, parts: Parts) -> Parts:
+        new = self._checked(table, rows)
+        kept = ("venue",) if table in ("quotes", "contracts") else ()
+        merged = last_wins(self._read(table, parts, list(new)), self._read(table, new), schema.KEYS[table], kept, keep_if_null=("parity_ok",) if table == "contracts" else ())
+        return parts | self._write(table, merged)
+
+    def _added(self, table: str, rows: DataFrame, parts: Parts, once: bool) -> Parts:
+        new = self._checked(table, rows)
+        if once:
+            new = self._write(table, first_wins(self._read(table, parts, list(new)), self._read(table, new), schema.KEYS[table]))
+        out = parts | {day: [*parts.get(day, []), *folders] for day, folders in new.items()}
+        for day in [d for d in new if len(out[d]) > MOST_FOLDERS]:
+            out |= self._write(table, self._read(table, out, [day]))
+        return out
 
     def upsert(self, table: str, rows: DataFrame) -> None:
         """Last write wins, but a contract or quote keeps its venue, and a null parity flag leaves the one that is there."""
-        new = schema.conform(rows, table)
-        kept = ("venue",) if table in ("quotes", "contracts") else ()
-        self._replace(table, last_wins(self.read(table), new, schema.KEYS[table], kept, keep_if_null=("parity_ok",) if table == "contracts" else ()))
+        base = self._state()[1]
+        self._commit(base, {table: self._upserted(table, rows, base.get(table, {}))})
 
-    def append_absent(self, table: str, rows: DataFrame) -> None:
-        """First write wins; what is there stays untouched."""
-        new = schema.conform(rows, table)
-        first_wins(self.read(table), new, schema.KEYS[table]).write.mode("append").parquet(self.path(table))
+    def append_absent(self, table: str, rows: DataFrame, cursor: tuple[str, str] | None = None) -> None:
+        """First write wins; what is there stays untouched.  ``cursor`` (stream, value) moves in the same commit."""
+        base = self._state()[1]
+        changed = {table: self._added(table, rows, base.get(table, {}), True)}
+        if cursor:
+            changed["cursors"] = self._upserted("cursors", self._cursor_row(*cursor), base.get("cursors", {}))
+        self._commit(base, changed)
 
     def append(self, table: str, rows: DataFrame) -> None:
-        schema.conform(rows, table).write.mode("append").parquet(self.path(table))
+        base = self._state()[1]
+        self._commit(base, {table: self._added(table, rows, base.get(table, {}), False)})
+
+    def _cursor_row(self, stream: str, value: str) -> DataFrame:
+        return self.spark.range(1).select(F.lit(stream).alias("stream"), F.lit(value).alias("cursor_value"), F.current_timestamp().alias("updated_ts"))
 
     def set_cursor(self, stream: str, value: str) -> None:
-        row = self.spark.range(1).select(F.lit(stream).alias("stream"), F.lit(value).alias("cursor_value"), F.current_timestamp().alias("updated_ts"))
-        self.upsert("cursors", row)
+        self.upsert("cursors", self._cursor_row(stream, value))
 
     def cursor(self, stream: str) -> str | None:
         row = self.read("cursors").where(F.col("stream") == stream).first()
@@ -126,3 +234,6 @@ class Store:
             return None
         lines = self.spark.read.text(row["path"]).first()["value"]
         return json.loads(lines) | {"artifact_path": row["path"]}
+
+
+TABLES_OF_STORE = tuple(schema.TABLES)

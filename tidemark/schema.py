@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
-KINDS = {"string": StringType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+KINDS = {"string": StringType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType(), "long": LongType(), "strings": ArrayType(StringType())}
 
 TABLES: dict[str, StructType] = {
     name: StructType([StructField(column, KINDS[kind]) for column, kind in (part.split() for part in columns.split(","))])
@@ -20,6 +20,11 @@ TABLES: dict[str, StructType] = {
         "cursors": "stream string, cursor_value string, updated_ts timestamp",
         "discards": "stage string, contract_id string, match_id string, ts timestamp, reason string",
         "spend_log": "venue string, ts timestamp, endpoint string, status int, remaining_quota string, note string",
+        "maps": "match_id string, team_a string, team_b string, start_ts timestamp, map_no int, winner string, length_s int",
+        "records": "venue string, contract_id string, family string, team_a string, team_b string, ts timestamp",
+        "map_results": "venue string, contract_id string, seq long, team_a string, team_b string, ts timestamp, map_no int, winner string, names strings, contracts strings",
+        "prices": "venue string, contract_id string, t long, price double",
+        "sweeps": "venue string, n_records long, oldest_ts timestamp, capped boolean, ts timestamp",
         "run_artifacts": "run_id string, gate string, created_ts timestamp, path string, table_hash string",
     }.items()
 }
@@ -30,6 +35,11 @@ KEYS: dict[str, tuple[str, ...]] = {
     "quotes": ("contract_id", "ts", "source"),
     "book_snapshots": ("contract_id", "ts", "source"),
     "cursors": ("stream",),
+    "maps": ("match_id",),
+    "records": ("venue", "contract_id"),
+    "map_results": ("venue", "contract_id"),
+    "prices": ("venue", "contract_id", "t"),
+    "sweeps": ("venue",),
     "run_artifacts": ("run_id", "gate"),
 }
 
@@ -38,6 +48,10 @@ REQUIRED: dict[str, tuple[str, ...]] = {
     "contracts": ("contract_id", "venue"),
     "quotes": ("contract_id", "venue", "ts", "source"),
     "book_snapshots": ("contract_id", "venue", "ts", "source"),
+    "maps": ("match_id", "team_a", "team_b", "start_ts", "map_no"),
+    "records": ("venue", "contract_id", "ts"),
+    "map_results": ("venue", "contract_id", "map_no", "ts"),
+    "prices": ("venue", "contract_id", "t"),
 }
 
 REFERENCES: dict[str, tuple[str, str, str]] = {"quotes": ("contract_id", "contracts", "contract_id"), "contracts": ("match_id", "matches", "match_id")}
