@@ -1,8 +1,8 @@
 """Event-block bootstrap: blocks are drawn with replacement and move together.
 
-A draw is a hash of (seed, resample, position), so results do not depend on partitioning.
-For a mean every block is reduced to (sum, n) first; the draws are generated where they are
-used and never leave the plan.
+A draw is an integer hash of (seed, resample, place), so results do not depend on partitioning.
+For a mean every block is reduced to (sum, n) first and written once; the draws are generated
+where they are used and never leave the plan.
 """
 
 from __future__ import annotations
@@ -10,68 +10,89 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.tables import materialise, numbered
+
 BROADCAST_BLOCKS = 100_000  # up to so many blocks (of three numbers) the table is broadcast
+PER_TASK = 200  # resamples of an arbitrary statistic that one task makes
 
+#: The prime 2^31 - 1 and multipliers of the draw's hash.  All products stay below 2^48.
+PRIME, MULTIPLIERS, SHIFTS = 2_147_483_647, (48_271, 69_621, 16_807), (15, 13)
 
-def draw(seed: int, resample: Column, position: Column, n: Column) -> Column:
-    """Index from 0 below n from the first 32 bits of an MD5 digest."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), resample.cast("string"), position.cast("string")))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n).cast("int")
 
+def mix(x: int) -> int:
+    """A hash of a number, below 2^31."""
+    for multiplier, shift in zip(MULTIPLIERS, (*SHIFTS, 31), strict=True):
+        x = x % PRIME * multiplier % PRIME
+        x ^= x >> shift
+    return x
 
-def numbered_blocks(rows: DataFrame, by: Sequence[str], block: str, value: str) -> DataFrame:
-    blocks = rows.groupBy(*by, block).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
-    keys = list(by)
-    return blocks.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(block)) - 1).withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+def draw_of(seed: int, resample: int, place: int, n: int) -> int:
+    """The index from 0 below n that a resample has at a place."""
+    return mix(mix(resample + seed) ^ mix(place + 1)) % n
+
+
+def _mixed(x: Column) -> Column:
+    for multiplier, shift in zip(MULTIPLIERS, SHIFTS, strict=False):
+        x = x % PRIME * multiplier % PRIME
+        x = x.bitwiseXOR(F.shiftright(x, shift))  # evaluated once: a common subexpression
+    return x % PRIME * MULTIPLIERS[-1] % PRIME
+
+
+def draw(seed: int, resample: Column, place: Column, n: Column) -> Column:
+    """``draw_of`` as a Column."""
+    return _mixed(_mixed(resample.cast("bigint") + seed).bitwiseXOR(_mixed(place.cast("bigint") + 1))) % n
+
+
+def interval(stats: DataFrame, keys: Sequence[str], resamples: int, ci_level: float, *also: Column) -> DataFrame:
+    """``ci_lo`` and ``ci_hi`` of each key from one ``_stat`` for each resample."""
+    lo, hi = int((1 - ci_level) / 2 * resamples), int((1 + ci_level) / 2 * resamples) - 1
+    ordered = F.array_sort(F.collect_list("_stat"))
+    return stats.groupBy(*keys).agg(F.get(ordered, F.lit(lo)).alias("ci_lo"), F.get(ordered, F.lit(max(hi, 0))).alias("ci_hi"), *also)
 
 
 def bootstrap_mean(rows: DataFrame, by: Sequence[str], block: str, value: str, resamples: int, seed: int, ci_level: float) -> DataFrame:
-    """Per key: point, ci_lo, ci_hi, n_blocks and n of the mean.  Fewer than two blocks give no interval and no point."""
+    """Per key: point, ci_lo, ci_hi, n_blocks and n of the mean.  Fewer than two blocks give no interval and no point.
+
+    Blocks are numbered by range partitions and offsets, in their order.
+    """
     keys = list(by)
-    blocks = numbered_blocks(rows, keys, block, value)
+    blocks = materialise(rows.groupBy(*keys, block).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n")), "bootstrap-blocks")
     summary = blocks.groupBy(*keys).agg((F.sum("_sum") / F.sum("_n")).alias("point"), F.count(F.lit(1)).alias("n_blocks"), F.sum("_n").alias("n"))
+    table = numbered(blocks, keys, [block], "_i", "bootstrap-numbered").select(*keys, "_i", "_sum", "_n")
+    if blocks.count() <= BROADCAST_BLOCKS:
+        table = F.broadcast(table)
     draws = summary.where("n_blocks >= 2").select(*keys, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_r"))
     draws = draws.repartition(*keys, "_r").select(*keys, "_r", "n_blocks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("_k"))
     picked = draws.select(*keys, "_r", draw(seed, F.col("_r"), F.col("_k"), F.col("n_blocks")).alias("_i"))
-    table = blocks.select(*keys, "_i", "_sum", "_n")
-    if table.count() <= BROADCAST_BLOCKS:
-        table = F.broadcast(table)
     stats = picked.join(table, [*keys, "_i"]).groupBy(*keys, "_r").agg((F.sum("_sum") / F.sum("_n")).alias("_stat"))
-    lo, hi = int((1 - ci_level) / 2 * resamples), int((1 + ci_level) / 2 * resamples) - 1
-    ordered = F.array_sort(F.collect_list("_stat"))  # one number for each resample
-    ends = stats.groupBy(*keys).agg(F.get(ordered, F.lit(lo)).alias("ci_lo"), F.get(ordered, F.lit(max(hi, 0))).alias("ci_hi"))
     point = F.when(F.col("n_blocks") >= 2, F.col("point")).alias("point")
-    return summary.join(ends, keys, "left").select(*keys, point, "ci_lo", "ci_hi", "n_blocks", "n")
+    return summary.join(interval(stats, keys, resamples, ci_level), keys, "left").select(*keys, point, "ci_lo", "ci_hi", "n_blocks", "n")
 
 
 def bootstrap(rows: DataFrame, by: Sequence[str], block: str, value: str, statistic: Callable[[Sequence[float]], float], resamples: int, seed: int, ci_level: float) -> DataFrame:
     """The same for any statistic of a resample's values; the rows of one key are held by one task.
 
-    Resamples of one key are dealt over tasks in groups of 200, each with the key's rows.
+    Resamples of one key are dealt over tasks in groups of ``PER_TASK``, each with the key's rows.
     """
     keys = list(by)
-    lo, hi = int((1 - ci_level) / 2 * resamples), int((1 + ci_level) / 2 * resamples) - 1
-    parts = rows.select(*keys, block, value).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 200))))
+    parts = rows.select(*keys, block, value).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // PER_TASK))))
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", _stat double, _point double, _blocks int"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
         groups = [g[value].tolist() for _, g in part.sort_values(block).groupby(block)]
-        first = int(part["_part"].iloc[0]) * 200
-        stats = []
+        first, stats = int(part["_part"].iloc[0]) * PER_TASK, []
         if len(groups) >= 2:
-            for r in range(first, min(first + 200, resamples)):
-                at = (int(hashlib.md5(f"{seed}:{r}:{k}".encode()).hexdigest()[:8], 16) % len(groups) for k in range(len(groups)))
-                stats.append(float(statistic([x for i in at for x in groups[i]])))
+            for r in range(first, min(first + PER_TASK, resamples)):
+                stats.append(float(statistic([x for k in range(len(groups)) for x in groups[draw_of(seed, r, k, len(groups))]])))
         out = pd.DataFrame({"_stat": stats or [None], "_point": float(statistic(part[value].tolist())) if len(groups) >= 2 else None, "_blocks": len(groups)})
         for k in keys:
             out[k] = part[k].iloc[0]
         return out[[*keys, "_stat", "_point", "_blocks"]]
 
     stats = parts.groupBy(*keys, "_part").applyInPandas(lambda part: run(part), schema)
-    ordered = F.array_sort(F.collect_list("_stat"))
-    return stats.groupBy(*keys).agg(F.first("_point").alias("point"), F.get(ordered, F.lit(lo)).alias("ci_lo"), F.get(ordered, F.lit(max(hi, 0))).alias("ci_hi"), F.max("_blocks").alias("n_blocks"))
+    found = interval(stats, keys, resamples, ci_level, F.first("_point").alias("point"), F.max("_blocks").alias("n_blocks"))
+    return found.select(*keys, "point", "ci_lo", "ci_hi", "n_blocks")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.tables import materialise, running_sums
+
 
 def squared_error(p: Column, y: Column) -> Column:
     return F.pow(p - y, F.lit(2.0))
@@ -59,25 +62,46 @@ def compare(report: DataFrame, regime: str, venue: str, reference: str, target:
 def nearest_rank(values: Column, q: float) -> Column:
     """Quantile by nearest rank, position round-half-even(q * (n - 1)); ``values`` is a column to aggregate.
 
-    The values of a group are sorted in one task: for groups that fit into one.  ``nearest_rank_by_count`` has no such limit.
+    The values of a group are sorted in one task: for groups that fit into one.  ``quantiles_by_count`` has no such limit.
     """
     ordered = F.array_sort(F.collect_list(values))
     return F.get(ordered, F.bround(F.lit(q) * (F.size(ordered) - 1)).cast("int"))
 
 
-def nearest_rank_by_count(rows: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Quantiles by nearest rank from counts of distinct values, for groups of any size with repeated values."""
-    from pyspark.sql import Window
+def quantiles_by_count(rows: DataFrame, by: Sequence[str], value: str, nearest: dict[str, float], middle: str | None = None) -> DataFrame:
+    """Quantiles by nearest rank, and the interpolated median as ``middle``, for groups of any size.
 
+    Ranks come from counts of distinct values: running sums over range partitions, so no task
+    holds a group.  Keys that are null are a group.
+    """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(value))
-    ranked = counts.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    picks = [F.min(F.when(F.col("_upto") > F.bround(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return ranked.groupBy(*by).agg(*picks)
+    placed = materialise(running_sums(counts, [*by, value], {"_c": "_before"}, "quantile-counts"), "quantile-places")
+    groups = placed.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.min("_before").alias("_first"), F.sum("_c").alias("_n"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.lit(True))
+    upto = F.col("_before") - F.col("_first") + F.col("_c")
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(upto > place, F.col(value)))
+
+    last = F.col("_n") - 1
+    picks = [at(F.bround(F.lit(q) * last)).alias(name) for name, q in nearest.items()]
+    if middle:
+        picks.append(((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias(middle))
+    return placed.join(groups, on).groupBy(*by).agg(*picks)
+
+
+def nearest_rank_by_count(rows: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    return quantiles_by_count(rows, by, value, quantiles)
 
 
 def depth_stats(quotes: DataFrame, by: Sequence[str], bid_usd: str, ask_usd: str) -> DataFrame:
     """Per key over rows with both sides: n, median (interpolated), p25 and p75 (nearest rank), least and most of the thinner side."""
     depth = quotes.where(F.col(bid_usd).isNotNull() & F.col(ask_usd).isNotNull()).withColumn("_depth", F.least(bid_usd, ask_usd))
-    base = depth.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median("_depth").alias("median_usd"), F.min("_depth").alias("min_usd"), F.max("_depth").alias("max_usd"))
-    return base.join(nearest_rank_by_count(depth, by, "_depth", {"p25_usd": 0.25, "p75_usd": 0.75}), list(by))
+    base = depth.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_depth").alias("min_usd"), F.max("_depth").alias("max_usd"))
+    return base.join(quantiles_by_count(depth, by, "_depth", {"p25_usd": 0.25, "p75_usd": 0.75}, "median_usd"), list(by))
+
+
+def signal_depth(quotes: DataFrame, venue: str) -> DataFrame:
+    """Depth per regime at the moments a signal would fire: live quotes of one venue with both sides.  Stored bars have no book any more."""
+    live = quotes.where((F.col("venue") == venue) & (F.col("source") == "live") & F.col("regime").isNotNull())
+    return depth_stats(live, ["regime"], "bid_size_usd", "ask_size_usd")
