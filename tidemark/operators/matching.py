@@ -50,6 +50,85 @@ def banded_candidates(left: DataFrame, right: DataFrame, left_day: str, right_da
     return spread.join(renamed, on).drop("_day")
 
 
+def same_names(left: DataFrame, right: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
+    """``l``, ``r``: names of ``left`` and ``right`` (``_day``, ``name``) that are seen on one day and mean one team, by rules or spelling."""
+    met = left.distinct().join(right.distinct().withColumnRenamed("name", "r"), "_day").select(F.col("name").alias("l"), "r").distinct()
+    return name_matches(met, "l", "r", threshold=threshold, min_acronym=min_acronym).where("same").select("l", "r")
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, day: str, teams: Sequence[str], equal: Sequence[str] = (), days: int = 1, prefix: str = "r_", threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
+    """Pairs of fixtures within ``days`` days whose ``equal`` columns agree and whose two ``teams`` mean the same in either order.
+
+    Names are decided once for each pair of names that meet on a day; fixtures are then
+    joined by equality on day, ``equal`` and both names, so pairs of fixtures that do not
+    match are never made.  ``dshift`` is the right day minus the left day.  Fixtures that
+    match in both orders come twice; missing names match nothing.
+    """
+    a, b = teams
+    shifts = F.sequence(F.lit(-days), F.lit(days))
+    spread = left.withColumn("dshift", F.explode(shifts)).withColumn("_day", F.date_add(F.col(day), F.col("dshift")))
+    renamed = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
+    named = lambda rows, at, *names: rows.select(at, F.explode(F.array(*names)).alias("name")).where("name IS NOT NULL")
+    same = same_names(named(spread, F.col("_day"), a, b), named(renamed, F.col(prefix + day).alias("_day"), prefix + a, prefix + b), threshold, min_acronym)
+    for team, out in ((a, "_x"), (b, "_y")):
+        spread = spread.join(same.select(F.col("l").alias(team), F.col("r").alias(out)), team)
+    either = renamed.withColumn("_p", F.col(prefix + a)).withColumn("_q", F.col(prefix + b))
+    either = either.unionByName(renamed.withColumn("_p", F.col(prefix + b)).withColumn("_q", F.col(prefix + a)))
+    on = (F.col("_day") == F.col(prefix + day)) & (F.col("_x") == F.col("_p")) & (F.col("_y") == F.col("_q"))
+    for c in equal:
+        on &= F.col(c) == F.col(prefix + c)
+    return spread.join(either, on).select(*left.columns, "dshift", *renamed.columns)
+
+
+def same_claim(pairs: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
+    """Adds ``same_claim`` to pairs of contracts (``a_1``, ``b_1``, ``map_1``, ``winner_1`` and ``_2``): one map of one fixture and, where both are settled, one winner."""
+    numbered = pairs
+    sides = {"aa": ("a_1", "a_2"), "bb": ("b_1", "b_2"), "ab": ("a_1", "b_2"), "ba": ("b_1", "a_2"), "ww": ("winner_1", "winner_2")}
+    for name, (x, y) in sides.items():
+        numbered = name_matches(numbered, x, y, f"_{name}", threshold, min_acronym)
+    fixture = (F.col("_aa") & F.col("_bb")) | (F.col("_ab") & F.col("_ba"))
+    settled = F.col("winner_1").isNotNull() & F.col("winner_2").isNotNull()
+    found = F.col("map_1").eqNullSafe(F.col("map_2")) & fixture & (~settled | F.col("_ww"))
+    return numbered.withColumn("same_claim", found).drop(*[f"_{n}" for n in sides])
+
+
+def first_name(rows: DataFrame, key: str, names: str, team: str, out: str, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
+    """Adds ``out``: the place of the first of ``names`` that means the team, by rules or spelling; null without one.  ``key`` identifies rows."""
+    each = rows.select(key, team, F.posexplode(names).alias("_pos", "_name"))
+    hit = name_matches(each, team, "_name", "_same", threshold, min_acronym).where("_same").groupBy(key).agg(F.min("_pos").alias(out))
+    return rows.join(hit, key, "left")
+
+
+def settled_once(rows: DataFrame, day: str, teams: Sequence[str], seq: str = "seq") -> DataFrame:
+    """One row for each unordered pair of normalised names, day and ``map_no``: the first settled one, else the first.  ``slot`` is the first place."""
+    pair = text.pair_key(text.normal_name(F.col(teams[0])), text.normal_name(F.col(teams[1])))
+    found = prefer_settled(rows.withColumn("_pair", pair), ["_pair", day, "map_no"], "winner", seq)
+    return found.select(*rows.columns, "slot")
+
+
+def aligned_maps(neutral: DataFrame, first: DataFrame, second: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
+    """Played maps with the map that each venue has for it: ``first_*`` and ``second_*``, null where a venue has none.
+
+    ``neutral`` has ``match_id``, ``day``, ``team_a``, ``team_b``, ``map_no``; the venues' rows come from
+    ``settled_once``.  Of several hits the one on the earliest day, then the first listed, counts.
+    """
+    out = neutral
+    for name, rows in (("first", first), ("second", second)):
+        hits = fuzzy_candidates(neutral, rows, "day", ("team_a", "team_b"), ["map_no"], 1, f"{name}_", threshold, min_acronym)
+        columns = [f"{name}_{c}" for c in rows.columns if c not in ("day", "map_no", "slot")]
+        out = first_match(out, hits, ["match_id"], ["dshift", f"{name}_slot"], columns)
+    return out
+
+
+def fuzzy_void_breaks(venue: DataFrame, neutral: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
+    """Settled venue maps that were not played although another map of the fixture was, within a day.  ``seq`` identifies the venue's rows."""
+    settled = venue.where("winner IS NOT NULL")
+    played = fuzzy_candidates(settled, neutral, "day", ("team_a", "team_b"), ["map_no"], 1, "n_", threshold, min_acronym).select("seq").distinct()
+    rest = settled.join(played, "seq", "left_anti")
+    met = fuzzy_candidates(rest, neutral, "day", ("team_a", "team_b"), [], 1, "n_", threshold, min_acronym).select("seq").distinct()
+    return rest.join(met, "seq", "left_semi")
+
+
 def first_match(left: DataFrame, hits: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Every left row with the columns of its first hit by ``order``, null without one.  ``key`` identifies left rows."""
     picked = hits.groupBy(*key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_hit"))

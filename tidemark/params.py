@@ -40,6 +40,7 @@ class Census:
     families: tuple[str, ...] = ("series_winner", "map_winner")
     day_tolerance: int = 1
     match_threshold: float = 0.85
+    min_acronym: int = 1
     leagues: tuple[str, ...] = ("LCK", "LPL", "LEC", "LCS", "LTA", "LCP", "MSI", "Worlds")
     window_start: str = "2025-01-01T00:00:00.000Z"
 
