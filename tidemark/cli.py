@@ -1,22 +1,23 @@
-"""Command line: gates over stored tables, and the recorder.
+"""Command line: ingest files and pages into a store, run the gates on it, record books.
 
-    python -m tidemark.cli gate G2 --data DIR --store DIR
-    python -m tidemark.cli ingest --results 'FILES*.csv' --k-pages DIR --p-pages DIR --store DIR
+    python -m tidemark.cli ingest --results 'FILES*.csv' --k-pages DIR --p-pages DIR --k-candles FILE --p-history FILE --store DIR
+    python -m tidemark.cli gate G2 --store DIR
     python -m tidemark.cli record --pages DIR --store DIR --once
+    python -m tidemark.cli record --k-url URL --p-events-url URL --p-books-url URL --store DIR --cycles 3
 """
 
 from __future__ import annotations
 
 import argparse
-import json
 import time
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import plugins, schema
 from tidemark.operators.store import Store
-from tidemark.plans import gates, report
-from tidemark.session import session
+from tidemark.plans import report, series, study
+from tidemark.session import reachable, session
 
 
 def parser() -> argparse.ArgumentParser:
@@ -24,96 +25,131 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     gate = sub.add_parser("gate")
     gate.add_argument("gate", choices=["G0", "G1", "G2", "G3", "G4"])
-    gate.add_argument("--sport", default="lol", choices=sorted(plugins.SPORTS))
-    gate.add_argument("--data", default="", help="folder of the driver's tables; not needed for G4")
-    gate.add_argument("--store", required=True)
     ingest = sub.add_parser("ingest")
-    ingest.add_argument("--sport", default="lol", choices=sorted(plugins.SPORTS))
     ingest.add_argument("--results", help="glob of neutral results files")
     ingest.add_argument("--k-pages", help="folder of stored event pages of venue K")
-    ingest.add_argument("--p-pages", help="folder of stored event pages of venue P")
-    ingest.add_argument("--store", required=True)
+    ingest.add_argument("--p-pages", help="folder of stored event pages of venue P, paged by offset")
+    ingest.add_argument("--k-candles", help="JSON lines: ticker and a candle")
+    ingest.add_argument("--p-history", help="JSON lines: token, t and p")
+    ingest.add_argument("--p-live", help="folder of stored pages of open events of venue P")
+    ingest.add_argument("--p-books", help="JSON lines: token, bids and asks of their books")
     rec = sub.add_parser("record")
-    rec.add_argument("--pages", required=True, help="folder of stored pages to replay")
-    rec.add_argument("--store", required=True)
-    rec.add_argument("--once", action="store_true")
+    rec.add_argument("--pages", help="folder of stored snapshots to replay as a stream")
+    rec.add_argument("--once", action="store_true", help="what is there and no more, or one cycle")
+    rec.add_argument("--cycles", type=int, help="so many cycles; without it and --once no end")
+    for name in ("k-url", "p-events-url", "p-books-url"):
+        rec.add_argument(f"--{name}", help="base of the venue's interface, for polling")
+    for command in (gate, ingest, rec):
+        command.add_argument("--sport", default="lol", choices=sorted(plugins.SPORTS))
+        command.add_argument("--store", required=True)
     return top
 
 
-def run_gate(store: Store, gate: str, data: str, sport: plugins.Sport) -> int:
-    from tidemark.queries import records
-
+def run_gate(store: Store, gate: str, sport: plugins.Sport) -> int:
     run_id = time.strftime("%Y%m%dT%H%M%SZ", time.gmtime())
-    if gate != "G4":
-        settings = {"G1": {"params": sport.params.parity}, "G3": {"params": sport.params.bootstrap}}.get(gate, {})
-        rows = [r.asDict(recursive=True) for r in records.QUERIES[f"gate_{gate.lower()}"](store.spark, data, **settings).collect()]
-        payload = store.write_artifact(gate, {"gate": gate, "sport": sport.key, "rows": rows}, run_id)
-        print(json.dumps(payload, indent=2, default=str))
-        return 0
-    found = {g: store.latest_artifact(g) for g in ("G0", "G1", "G2", "G3")}
-    if missing := [g for g, x in found.items() if x is None]:
+    found = study.g4(store, sport.params) if gate == "G4" else study.GATES[gate](store, sport.params)
+    if found is None:
+        missing = [g for g in study.GATES if store.latest_artifact(g) is None]
         print(f"no artifact of {', '.join(missing)}: run these gates first")
         return 2
-    def frame(g: str, columns: str):  # noqa: ANN202
-        names = [c.split()[0] for c in columns.split(", ")]
-        return store.spark.createDataFrame([tuple(r[c] for c in names) for r in found[g]["rows"]], columns)
-
-    verdict = gates.verdict(frame("G0", "family string, depth_pass boolean"), frame("G1", "passed boolean"), frame("G2", "regime string, passed boolean"), frame("G3", "regime string, passed boolean, leader string"))
-    store.write_artifact("G4", {"gate": "G4", "sport": sport.key, "rows": [r.asDict() for r in verdict.collect()]}, run_id)
-    print(report.render(verdict, sport.params.bounded_date, {g: x["artifact_path"] for g, x in found.items()}))
+    payload = store.write_artifact(gate, {"gate": gate, "sport": sport.key} | found, run_id)
+    print(report.render(payload))
+    print(f"artifact: {payload['artifact_path']}")
     return 0
 
 
-def run_ingest(store: Store, sport: plugins.Sport, results: str | None, k_pages: str | None, p_pages: str | None) -> int:
-    """Matches and contracts into the store; what a sweep leaves out is counted in the discards."""
-    from tidemark.sources import sweeps
+def run_ingest(store: Store, sport: plugins.Sport, results: str | None = None, k_pages: str | None = None, p_pages: str | None = None, k_candles: str | None = None, p_history: str | None = None, p_live: str | None = None, p_books: str | None = None) -> int:
+    """Files and pages into the store; what a sweep leaves out is counted in the discards."""
+    from tidemark.sources import files, sweeps
     from tidemark.sources.rest import RestSource
+    from tidemark.tables import materialise
 
     spark, census = store.spark, sport.params.census
     spark.dataSource.register(RestSource)
+    reachable(spark)
+
+    def events(folder: str, kind: str, **options: str) -> tuple[DataFrame, DataFrame]:
+        items = materialise(spark.read.format("rest").options(path=folder, **options).load(), "ingest-items")
+        return items, sweeps.parsed(items, kind)
+
+    def swept(venue: str, items: DataFrame, records: DataFrame) -> None:
+        capped = items.agg(F.coalesce(F.bool_or("capped"), F.lit(False)).alias("capped"))
+        row = records.agg(F.count(F.lit(1)).alias("n_records"), F.min("ts").alias("oldest_ts")).crossJoin(capped)  # single rows
+        store.upsert("sweeps", row.withColumn("venue", F.lit(venue)).withColumn("ts", F.current_timestamp()))
+
     if results:
         store.upsert("matches", sport.matches(spark, results))
+        store.upsert("maps", files.stored_maps(sport.map_results(spark, results)))
     if k_pages:
-        events = sweeps.parsed(spark.read.format("rest").option("path", k_pages).load(), sweeps.K_EVENT)
-        store.upsert("contracts", sweeps.k_contracts(sweeps.k_records(events, sport.family(F.col("e.title")), census.window_start)))
+        items, parsed = events(k_pages, sweeps.K_EVENT)
+        records = sweeps.k_records(parsed, sport.family(F.col("e.title")), census.window_start)
+        store.upsert("contracts", sweeps.k_contracts(records))
+        store.upsert("records", sweeps.stored_records(records, "K"))
+        store.upsert("map_results", sweeps.stored_k_maps(sweeps.k_map_results(parsed), census.window_start))
+        swept("K", items, records)
     if p_pages:
-        events = sweeps.parsed(spark.read.format("rest").option("path", p_pages).load(), sweeps.P_EVENT)
-        markets = sweeps.p_markets(events, census.families, census.window_start)
+        items, parsed = events(p_pages, sweeps.P_EVENT, paging="offset", stop_before=census.window_start)
+        markets = sweeps.p_markets(parsed, census.families, census.window_start)
         store.upsert("contracts", markets.withColumn("venue", F.lit("P")).withColumn("outcome_side", F.concat_ws(" vs ", "teams")))
-        lost = sweeps.flat_markets(events).select(F.col("m.conditionId").alias("contract_id")).where("contract_id IS NOT NULL").join(markets, "contract_id", "left_anti")
+        store.upsert("records", sweeps.stored_records(markets, "P"))
+        store.upsert("map_results", sweeps.stored_p_maps(sweeps.p_map_results(markets)))
+        swept("P", items, markets)
+        lost = sweeps.flat_markets(parsed).select(F.col("m.conditionId").alias("contract_id")).where("contract_id IS NOT NULL").join(markets, "contract_id", "left_anti")
         store.record_discards(lost, "sweep", F.lit("no family, pair or date in the window"))
+    if k_candles:
+        rows = spark.read.schema(f"ticker string, candle {series.CANDLE}").json(k_candles).where("ticker IS NOT NULL AND candle.end_period_ts IS NOT NULL")
+        store.upsert("prices", rows.select(F.lit("K").alias("venue"), F.col("ticker").alias("contract_id"), F.col("candle.end_period_ts").alias("t"), series.candle_mid(F.col("candle")).alias("price")))
+    if p_history:
+        rows = spark.read.schema("token string, t long, p double").json(p_history).where("token IS NOT NULL AND t IS NOT NULL")
+        store.upsert("prices", rows.select(F.lit("P").alias("venue"), F.col("token").alias("contract_id"), "t", F.col("p").alias("price")))
+    if p_live and p_books:
+        _, parsed = events(p_live, sweeps.P_EVENT, paging="offset")
+        books = spark.read.schema(f"token string, bids {sweeps.LEVELS}, asks {sweeps.LEVELS}").json(p_books)
+        books = books.select("token", sweeps.ladder(F.col("bids")).alias("bids"), sweeps.ladder(F.col("asks")).alias("asks"))
+        quotes = materialise(sweeps.live_quotes(parsed, books, census.families, F.current_timestamp()), "ingest-quotes")
+        store.upsert("contracts", quotes)
+        store.upsert("quotes", quotes)
     return 0
 
 
 def run_recorder(store: Store, pages: str, once: bool) -> int:
+    """Replay stored snapshots as a stream."""
     from tidemark.functions import book
+    from tidemark.sources import sweeps
     from tidemark.sources.rest import RestSource
     from tidemark.streaming.recorder import record
 
+    reachable(store.spark)
     store.spark.dataSource.register(RestSource)
-    raw = "struct<contract_id: string, venue: string, ts: string, bids: array<struct<price: string, size: string>>, asks: array<struct<price: string, size: string>>>"
+    raw = f"struct<contract_id: string, venue: string, ts: string, regime: string, bids: {sweeps.LEVELS}, asks: {sweeps.LEVELS}>"
     items = store.spark.readStream.format("rest").option("path", pages).load().withColumn("b", F.from_json("item", raw))
-
-    def ladder(c: str):  # noqa: ANN202
-        levels = F.transform(F.coalesce(c, F.array().cast("array<struct<price: string, size: string>>")), lambda x: F.struct(x["price"].try_cast("double").alias("price"), x["size"].try_cast("double").alias("size")))
-        return F.filter(levels, lambda x: x["price"].isNotNull() & x["size"].isNotNull())
-
-    rows = items.withColumn("bids", ladder("b.bids")).withColumn("asks", ladder("b.asks"))
+    rows = items.withColumn("bids", sweeps.ladder(F.col("b.bids"))).withColumn("asks", sweeps.ladder(F.col("b.asks")))
     columns = book.snapshot(F.col("bids"), F.col("asks"), F.struct("bids", "asks"))
-    rows = rows.select("b.contract_id", "b.venue", F.try_to_timestamp("b.ts").alias("ts"), F.lit("live").alias("source"), F.col("latency_ms").alias("fetch_latency_ms"), *columns)
+    rows = rows.select("b.contract_id", "b.venue", F.try_to_timestamp("b.ts").alias("ts"), F.lit("live").alias("source"), "b.regime", F.col("latency_ms").alias("fetch_latency_ms"), *columns)
+    rows = rows.where("contract_id IS NOT NULL AND venue IS NOT NULL AND ts IS NOT NULL")  # no key, no snapshot
     query = record(schema.conform(rows, "book_snapshots"), store, "books", f"{store.root}/_checkpoint", once=once)
     query.awaitTermination()
     return 0
 
 
+def run_poller(store: Store, sport: plugins.Sport, k_url: str, p_events_url: str, p_books_url: str, cycles: int | None) -> int:
+    from tidemark.sources.venues import VenueK, VenueP, http_get
+    from tidemark.streaming.recorder import Poller
+
+    poller = Poller(store, sport, VenueK(http_get(k_url)), VenueP(http_get(p_events_url), http_get(p_books_url)), sport.params.recorder)
+    return 1 if poller.run(cycles) else 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    store = Store(session(), args.store)
+    store, sport = Store(session(), args.store, strict=args.command == "ingest"), plugins.sport(args.sport)
     if args.command == "gate":
-        return run_gate(store, args.gate, args.data, plugins.sport(args.sport))
+        return run_gate(store, args.gate, sport)
     if args.command == "ingest":
-        return run_ingest(store, plugins.sport(args.sport), args.results, args.k_pages, args.p_pages)
-    return run_recorder(store, args.pages, args.once)
+        return run_ingest(store, sport, args.results, args.k_pages, args.p_pages, args.k_candles, args.p_history, args.p_live, args.p_books)
+    if args.pages:
+        return run_recorder(store, args.pages, args.once)
+    return run_poller(store, sport, args.k_url, args.p_events_url, args.p_books_url, 1 if args.once else args.cycles)
 
 
 if __name__ == "__main__":

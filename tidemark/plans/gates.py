@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators import asof, bootstrap, divergence, matching, scoring
-from tidemark.params import Calibration, Census, LeadLag, Parity
+from tidemark.params import Bootstrap, Calibration, Census, LeadLag, Parity
+from tidemark.tables import materialise
 
 
 def any_known(flag: Column) -> Column:
@@ -32,6 +34,23 @@ def coverage(spine: DataFrame, records: DataFrame, key: Sequence[str], day: str,
     return joined.select(*key, day, has("_all").alias("covered"), *[(has("_all") & has(f"_{f}")).alias(f"covered_{f}") for f in families])
 
 
+def fuzzy_coverage(spine: DataFrame, records: DataFrame, venues: Sequence[str], params: Census) -> DataFrame:
+    """Series of the spine with ``covered`` and, per family, ``covered_<family>``, by fuzzy names within the day tolerance.
+
+    ``spine`` has ``match_id``, ``team_a``, ``team_b``, ``day``; maps of one unordered pair on one day are one
+    series, named by the first match.  ``records`` have ``venue``, ``family``, ``team_a``, ``team_b``, ``day``.
+    """
+    pair = text.pair_key(text.normal_name(F.col("team_a")), text.normal_name(F.col("team_b")))
+    series = matching.series_first(spine.withColumn("_pair", pair), ["_pair", "day"], ["match_id"]).drop("_pair")
+    hits = matching.fuzzy_candidates(series, records, "day", ("team_a", "team_b"), (), params.day_tolerance, "r_", params.match_threshold, params.min_acronym)
+    flags = hits.groupBy("match_id").agg(
+        F.count_distinct("r_venue").alias("_all"), *[F.count_distinct(F.when(F.col("r_family") == f, F.col("r_venue"))).alias(f"_{f}") for f in params.families]
+    )
+    joined = series.join(flags, "match_id", "left")
+    has = lambda c: F.coalesce(F.col(c) == len(venues), F.lit(False))
+    return joined.select("match_id", "team_a", "team_b", "day", has("_all").alias("covered"), *[(has("_all") & has(f"_{f}")).alias(f"covered_{f}") for f in params.families])
+
+
 def census(covered: DataFrame, depth: DataFrame, existence: DataFrame, venues: Sequence[str], params: Census) -> DataFrame:
     """G0, one row per family: counts, ratio, whether both venues have it, and the verdicts on coverage and depth.
 
@@ -48,12 +67,44 @@ def census(covered: DataFrame, depth: DataFrame, existence: DataFrame, venues: S
     return joined.withColumn("go_on", F.col("both_venues") & (F.col("n_family") >= params.min_covered))
 
 
+def fuzzy_parity(neutral: DataFrame, first: DataFrame, second: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Counts of agreement on played maps (one row, with ``n_void``), and the disagreements: ``kind``, ``venue``, teams, ``map_no``, winners.
+
+    ``neutral`` has ``match_id``, ``day``, ``team_a``, ``team_b``, ``map_no``, ``winner``; the venues' rows the same and ``seq``.
+    """
+    first, second = (matching.settled_once(rows, "day", ("team_a", "team_b")) for rows in (first, second))
+    played = neutral.where("winner IS NOT NULL")
+    aligned = matching.aligned_maps(played, first, second, threshold, min_acronym).where("first_winner IS NOT NULL AND second_winner IS NOT NULL")
+    for x, y, out in (("first_winner", "second_winner", "agree"), ("first_winner", "winner", "with_first"), ("second_winner", "winner", "with_second")):
+        aligned = matching.name_matches(aligned, x, y, out, threshold, min_acronym)
+    aligned = materialise(aligned.select("match_id", "team_a", "team_b", "map_no", "winner", "first_winner", "second_winner", "agree", "with_first", "with_second"), "parity-aligned")
+    none = F.lit(None).cast("string")
+    lost = [aligned.where("NOT agree").select(F.lit("winner_mismatch").alias("kind"), none.alias("venue"), "team_a", "team_b", "map_no", "winner", "first_winner", "second_winner")]
+    for venue, rows in (("K", first), ("P", second)):
+        breaks = matching.fuzzy_void_breaks(rows, neutral, threshold, min_acronym)
+        lost.append(breaks.select(F.lit("void_break").alias("kind"), F.lit(venue).alias("venue"), "team_a", "team_b", "map_no", none.alias("winner"), none.alias("first_winner"), none.alias("second_winner")))
+    lost = materialise(lost[0].unionByName(lost[1]).unionByName(lost[2]), "parity-lost")
+    n, has = F.count(F.lit(1)), F.col("n_aligned") > 0
+    counts = aligned.agg(n.alias("n_aligned"), F.count_if("agree").alias("n_agree"), F.count_if("with_first").alias("n_first"), F.count_if("with_second").alias("n_second"))
+    counts = counts.crossJoin(lost.agg(F.count_if(F.col("kind") == "void_break").alias("n_void")))  # single rows
+    rate = lambda c: F.when(has, F.col(c) / F.col("n_aligned"))
+    return counts.select("n_aligned", "n_agree", "n_void", F.coalesce(rate("n_agree"), F.lit(0.0)).alias("pass_rate"), rate("n_first").alias("first_rate"), rate("n_second").alias("second_rate")), lost
+
+
 def parity(counts: DataFrame, n_void: Column, params: Parity) -> DataFrame:
     """G1: passes with a high enough rate and no void breaks; null with too few aligned maps."""
     enough = F.col("n_aligned") >= params.min_aligned
     return counts.withColumn("n_void", n_void).withColumn("passed", F.when(enough, (F.col("pass_rate") >= params.min_pass_rate) & (F.col("n_void") == 0)))
 
 
+def calibration_with_interval(points: DataFrame, block: str, params: Calibration, boot: Bootstrap) -> DataFrame:
+    """The calibration report of each venue and regime with the interval of its Brier score over whole blocks (matches)."""
+    report = scoring.calibration_report(points, ["venue", "regime"], "p", "y", params.buckets)
+    errors = points.withColumn("_e", scoring.squared_error(F.col("p"), F.col("y")))
+    ends = bootstrap.bootstrap_mean(errors, ["venue", "regime"], block, "_e", boot.resamples, boot.seed, boot.ci_level)
+    return report.join(ends.select("venue", "regime", F.col("ci_lo").alias("brier_lo"), F.col("ci_hi").alias("brier_hi"), "n_blocks"), ["venue", "regime"])
+
+
 def calibration(points: DataFrame, params: Calibration, reference: str = "K", target: str = "P") -> DataFrame:
     """G2, one row per regime: errors of both venues and the verdict, null with too few points of either."""
     report = scoring.calibration_report(points, ["venue", "regime"], "p", "y", params.buckets)
@@ -68,7 +119,8 @@ def lead_lag(p: DataFrame, k: DataFrame, by: Sequence[str], t: str, value: str,
     Each regime's grid starts cold; the lead is measured on the whole series.
     """
     keys = [*by, "regime"]
-    aligned = asof.grid(p, k, keys, t, value, "p", "k")
+    during_p, during_k = (x.where("regime IS NOT NULL") for x in (p, k))  # what lies outside all regimes shows the convergence only
+    aligned = asof.grid(during_p, during_k, keys, t, value, "p", "k")
     found = divergence.divergences(aligned, keys, t, "p", "k", params.threshold, params.confirmations, window)
     leads = divergence.convergence(found, p.select(*by, t, value), k.select(*by, t, value), by, t, value, window)
     report = bootstrap.bootstrap_mean(leads, ["regime"], block, "lead", resamples, seed, ci_level)

@@ -43,19 +43,26 @@ def targets(maps: DataFrame, checkpoint_s: int) -> DataFrame:
     return rows.where((F.col("regime") == PRE_MATCH) | (F.col("length_s") >= checkpoint_s))
 
 
-def build_points(maps: DataFrame, k_candles: DataFrame, p_history: DataFrame, checkpoint_s: int = 600) -> DataFrame:
+def points_of(maps: DataFrame, k_prices: DataFrame, p_prices: DataFrame, checkpoint_s: int = 600) -> DataFrame:
     """Calibration points: ``match_id``, ``venue``, ``regime``, ``p``, ``y``; instants without a price give none.
 
     ``maps`` has ``match_id``, ``kickoff``, ``length_s``, ``team_a``, ``winner``, ``k_ticker`` and ``p_token`` (both
-    of team_a, null where a venue does not have the map); candles are keyed by ``k_ticker``,
-    histories (``t``, ``price``) by ``p_token``.
+    of team_a, null where a venue does not have the map); prices have ``k_ticker`` or ``p_token``,
+    ``t`` and ``price``, where a null price is a gap and not a reason to look back.
     """
-    wanted = targets(maps, checkpoint_s)
-    k = candle_mid_at(wanted.where("k_ticker IS NOT NULL"), k_candles, ["k_ticker"], "at").withColumn("venue", F.lit("K"))
-    p = asof_join(wanted.where("p_token IS NOT NULL"), p_history, ["p_token"], "at", "t").withColumnRenamed("r_price", "price").withColumn("venue", F.lit("P"))
+    wanted, out = targets(maps, checkpoint_s), None
     outcome = (F.col("winner") == F.col("team_a")).cast("double")
-    both = k.select("match_id", "venue", "regime", "price", "winner", "team_a").unionByName(p.select("match_id", "venue", "regime", "price", "winner", "team_a"))
-    return both.where("price IS NOT NULL").select("match_id", "venue", "regime", F.col("price").alias("p"), outcome.alias("y"))
+    for venue, key, prices in (("K", "k_ticker", k_prices), ("P", "p_token", p_prices)):
+        at = asof_join(wanted.where(F.col(key).isNotNull()), prices.select(key, "t", "price"), [key], "at", "t")
+        rows = at.where("r_price IS NOT NULL").select("match_id", F.lit(venue).alias("venue"), "regime", F.col("r_price").alias("p"), outcome.alias("y"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def build_points(maps: DataFrame, k_candles: DataFrame, p_history: DataFrame, checkpoint_s: int = 600) -> DataFrame:
+    """``points_of`` from raw candles (``k_ticker``, ``candle``) and histories (``p_token``, ``t``, ``price``)."""
+    prices = k_candles.select("k_ticker", F.col("candle")["end_period_ts"].alias("t"), candle_mid(F.col("candle")).alias("price"))
+    return points_of(maps, prices, p_history, checkpoint_s)
 
 
 def map_series(maps: DataFrame, series: DataFrame, key: str, min_points: int = 2) -> DataFrame:

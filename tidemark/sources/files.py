@@ -42,6 +42,10 @@ def map_results(found: DataFrame) -> DataFrame:
     return numbered.withColumn("length_s", F.col("gamelength").try_cast("double").try_cast("int")).drop("game", "gamelength")
 
 
+def stored_maps(found: DataFrame) -> DataFrame:
+    return found.select("match_id", "team_a", "team_b", "start_ts", "map_no", F.col("result_winner").alias("winner"), "length_s")
+
+
 def price_range(spark: SparkSession, path: str, t: str, lo: int, hi: int) -> DataFrame:
     """Rows with ``lo <= t <= hi``; the bounds reach the file's statistics."""
     return spark.read.parquet(path).where(F.col(t).between(lo, hi))

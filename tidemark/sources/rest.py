@@ -7,6 +7,7 @@ JSON, so that parsing is done by Spark's own functions.
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 import urllib.error
@@ -18,7 +19,7 @@ from pathlib import Path
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, SimpleDataSourceStreamReader
 
 Fetch = Callable[[dict], dict]
-SCHEMA = "page int, seq int, item string, status string, start_date string, fetched_ms bigint, latency_ms int"
+SCHEMA = "page int, seq int, item string, status string, start_date string, series_ticker string, fetched_ms bigint, latency_ms int, capped boolean"
 
 
 class VendorError(RuntimeError):
@@ -79,21 +80,24 @@ def cursor_pages(fetch: Fetch, params: dict, items: str = "items") -> Iterator[l
 
 
 def offset_pages(fetch: Fetch, params: dict, limit: int = 100, stop_before: str | None = None, capped: Callable[[], None] = lambda: None, items: str = "items") -> Iterator[list[dict]]:
-    """Pages newest first until one is short, empty or older than ``stop_before``; a 422 ends them and is reported by ``capped``."""
-    offset = 0
-    while True:
+    """Pages newest first until one is short, empty or reaches back before ``stop_before``; a 422 ends them and is reported by ``capped``."""
+    for number in itertools.count():
         try:
-            page = fetch(params | {"offset": offset, "limit": limit}).get(items) or []
+            page = fetch(params | {"offset": number * limit, "limit": limit}).get(items) or []
         except VendorError as e:
             if e.status != 422:
                 raise
-            capped()
-            return
+            return capped()
         yield page
-        oldest = min((x.get("startDate") or "" for x in page), default="")
-        if len(page) < limit or stop_before and oldest and oldest < stop_before:
-            return
-        offset += limit
+        dates = sorted(str(x["startDate"]) for x in page if x.get("startDate"))
+        all_dated = len(dates) == len(page)
+        if len(page) < limit or stop_before and all_dated and dates[0] < stop_before:
+            return None
+
+
+def row_of(page: int, seq: int, item: dict, series: str | None, fetched: float, began: float) -> tuple:
+    raw = json.dumps(item, separators=(",", ":"))
+    return page, seq, raw, item.get("status"), item.get("startDate"), item.get("series_ticker") or series, int(fetched * 1000), int((fetched - began) * 1000), False
 
 
 class RestReader(DataSourceReader):
@@ -101,10 +105,10 @@ class RestReader(DataSourceReader):
         self.options, self.params = options, {}
 
     def pushFilters(self, filters: list[Filter]):  # noqa: ANN201, N802
-        """Equality on ``status`` and a bound on ``start_date`` go to the server; both stay as filters too."""
+        """Equality on ``status`` or ``series_ticker`` and a bound on ``start_date`` go to the server; all stay as filters too."""
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("status",):
-                self.params["status"] = f.value
+            if isinstance(f, EqualTo) and f.attribute in (("status",), ("series_ticker",)):
+                self.params[f.attribute[0]] = f.value
             if isinstance(f, GreaterThanOrEqual) and f.attribute == ("start_date",):
                 self.params["stop_before"] = f.value
             yield f
@@ -115,22 +119,27 @@ class RestReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         o = self.options
         fetch = replay_fetch(o["path"]) if o.get("transport", "replay") == "replay" else http_fetch(o["url"], int(o.get("timeout_s", 30)))
-        params = {k[6:]: v for k, v in o.items() if k.startswith("param.")} | {k: v for k, v in self.params.items() if k == "status"}
+        params = {k[6:]: v for k, v in o.items() if k.startswith("param.")} | {k: v for k, v in self.params.items() if k != "stop_before"}
+        if "limit" in o:
+            params["limit"] = int(o["limit"])
+        ended: list[bool] = []
         if o.get("paging", "cursor") == "cursor":
             pages = cursor_pages(fetch, params, o.get("items", "items"))
         else:
-            pages = offset_pages(fetch, params, int(o.get("limit", 100)), self.params.get("stop_before"), items=o.get("items", "items"))
-        seq, began = 0, time.time()
+            pages = offset_pages(fetch, params, int(o.get("limit", 100)), self.params.get("stop_before") or o.get("stop_before"), lambda: ended.append(True), o.get("items", "items"))
+        seq, began, number = 0, time.time(), -1
         for number, page in enumerate(pages):
             now = time.time()
             for item in page:
-                yield number, seq, json.dumps(item, separators=(",", ":")), item.get("status"), item.get("startDate"), int(now * 1000), int((now - began) * 1000)
+                yield row_of(number, seq, item, params.get("series_ticker"), now, began)
                 seq += 1
             began = time.time()
+        if ended:  # a row of its own without an item says that the pages were cut off
+            yield number + 1, seq, None, None, None, None, int(time.time() * 1000), 0, True
 
 
 class ReplayStream(SimpleDataSourceStreamReader):
-    """Stored pages; the offset is the number of pages read.  A micro-batch takes what is there, at most ``pages_per_batch``."""
+    """Stored pages; the offset is the number of pages read.  A micro-batch admits what is there, at most ``pages_per_batch``: the rest waits for the next."""
 
     def __init__(self, options: dict):
         self.folder, self.most = options["path"], int(options.get("pages_per_batch", 1000))
@@ -142,9 +151,10 @@ class ReplayStream(SimpleDataSourceStreamReader):
         pages = sorted(Path(self.folder).glob("*.json"))
         if at >= len(pages):
             return []
+        began = time.time()
         page = json.loads(pages[at].read_text())
-        items = page if isinstance(page, list) else page.get("items") or []
-        return [(at, i, json.dumps(x, separators=(",", ":")), x.get("status"), x.get("startDate"), 0, 0) for i, x in enumerate(items)]
+        items, now = page if isinstance(page, list) else page.get("items") or [], time.time()
+        return [row_of(at, i, x, None, now, began) for i, x in enumerate(items)]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = {"page": min(len(list(Path(self.folder).glob("*.json"))), start["page"] + self.most)}

@@ -1,16 +1,60 @@
-"""Divergences of a live stream, by the rule of ``operators.divergence`` with kept state."""
+"""Divergences of a live stream, by the rule of ``operators.divergence`` with kept state.
+
+State of a key: the last price of either side, the run that is under way (its first instant
+and how many it has) and the end of the window in which nothing counts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key string, t_start long, p_start double, k_start double, gap double"
-STATE = "p double, k double, n int, sign int, t0 long, p0 double, k0 double, until long"
-FRESH = (None, None, 0, 0, 0, 0.0, 0.0, -1)
+STATE = "p double, k double, until long, run_length int, run_t long, run_p double, run_k double"
+
+
+@dataclass
+class Series:
+    """What is kept of one key."""
+
+    p: float | None = None
+    k: float | None = None
+    until: int = -1
+    run_length: int = 0
+    run_t: int = 0
+    run_p: float = 0.0
+    run_k: float = 0.0
+
+    def held(self, ticks: pd.DataFrame) -> pd.DataFrame:
+        """One row per instant, in order, with the price that either side has then; moves ``p`` and ``k`` on."""
+        wide = ticks.groupby(["t", "side"])["price"].last().unstack("side").reindex(columns=["p", "k"]).sort_index()
+        wide = wide.ffill().fillna({s: x for s, x in (("p", self.p), ("k", self.k)) if x is not None})
+        self.p, self.k = (None if np.isnan(x) else float(x) for x in wide.iloc[-1])
+        return wide.dropna()
+
+    def confirmed(self, ticks: pd.DataFrame, threshold: float, need: int, window: int) -> list[tuple[int, float, float, float]]:
+        """Divergences that these ticks confirm."""
+        out = []
+        for t, p, k in self.held(ticks).itertuples():
+            if t <= self.until:
+                continue
+            wide_enough = abs(k - p) >= threshold and k != p
+            if self.run_length and wide_enough and (k > p) == (self.run_k > self.run_p):
+                self.run_length += 1
+            elif self.run_length or not wide_enough:
+                self.run_length = 0  # a run ends; an instant of the other sign opens none
+                continue
+            else:
+                self.run_length, self.run_t, self.run_p, self.run_k = 1, int(t), float(p), float(k)
+            if self.run_length == need:
+                out.append((self.run_t, self.run_p, self.run_k, self.run_k - self.run_p))
+                self.until, self.run_length = self.run_t + window, 0
+        return out
 
 
 def live_divergences(ticks: DataFrame, threshold: float, need: int, window: int) -> DataFrame:
@@ -21,26 +65,9 @@ def live_divergences(ticks: DataFrame, threshold: float, need: int, window: int)
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p, k, n, sign, t0, p0, k0, until = state.get if state.exists else FRESH
-        rows = pd.concat(list(batches)).sort_values("t", kind="stable")
-        out = []
-        for t, instant in rows.groupby("t", sort=True):
-            for side, price in zip(instant["side"], instant["price"], strict=True):
-                p, k = (price, k) if side == "p" else (p, price)
-            if t <= until or p is None or k is None:
-                continue
-            gap = k - p
-            s = (gap > 0) - (gap < 0)
-            if abs(gap) >= threshold and s and (n == 0 or s == sign):
-                if n == 0:
-                    t0, p0, k0 = int(t), p, k
-                n, sign = n + 1, s
-                if n >= need:
-                    out.append((key[0], t0, p0, k0, k0 - p0))
-                    until, n, sign = t0 + window, 0, 0
-            else:
-                n, sign = 0, 0
-        state.update((p, k, n, sign, t0, p0, k0, until))
-        yield pd.DataFrame(out, columns=["key", "t_start", "p_start", "k_start", "gap"])
+        series = Series(*state.get) if state.exists else Series()
+        found = series.confirmed(pd.concat(list(batches)), threshold, need, window)
+        state.update(astuple(series))
+        yield pd.DataFrame([(key[0], *x) for x in found], columns=["key", "t_start", "p_start", "k_start", "gap"])
 
     return ticks.groupBy("key").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,20 +1,29 @@
-"""The recorder: snapshots of books in micro-batches, restartable at any point.
+"""The recorder: snapshots of books, polled in cycles or from a stream, restartable at any point.
 
-Delivery is at least once; a snapshot is stored once, by its key.  The data are written
-before the cursor, so a batch that is cut off is done again and changes nothing twice.
+Delivery is at least once; a snapshot is stored once, by its key.  The data and the cursor
+are one commit, so a batch that is cut off is done again and changes nothing twice.  What has
+been fetched is stored, all of it: the cap holds for what a cycle asks for, and what it
+leaves out is counted in the discards.
 """
 
 from __future__ import annotations
 
+import json
+import logging
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.store import Store
 from tidemark.params import Recorder
+from tidemark.sources import sweeps
 from tidemark.sources.rest import VendorError
+from tidemark.sources.venues import VenueK, VenueP
 
 
 @dataclass
@@ -57,13 +66,102 @@ def capped(rows: DataFrame, venue: str, order: list[str], cap: int) -> tuple[Dat
     return numbered.where(F.col("_n") <= cap).drop("_n"), counts
 
 
+POLLED = "venue string, contract_id string, ts timestamp, fetch_latency_ms int, kickoff timestamp, market string, raw string"
+log = logging.getLogger(__name__)
+
+
+class Poller:
+    """Asks the venues for the books of their open markets, cycle by cycle.
+
+    Everything a cycle holds on the driver is bounded by the cap per venue.
+    """
+
+    def __init__(self, store: Store, sport, k: VenueK, p: VenueP, params: Recorder = Recorder(), clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):  # noqa: ANN001, B008
+        self.store, self.sport, self.params, self.clock, self.sleep = store, sport, params, clock, sleep
+        self.venues = {"K": k, "P": p}
+        self.breaker = Breaker(params.cooldown_s)
+        self.catalogs = {v: Catalog(lambda v=v: self._discovered(v), params.catalog_ttl_s) for v in self.venues}
+
+    def _discovered(self, venue: str) -> tuple[list[Row], int]:
+        """The open markets that a cycle may ask for, in the order of the venue's events, and how many more there are."""
+        spark = self.store.spark
+        if venue == "K":
+            events = [e for series in self.sport.series for e in self.venues["K"].events(series, "open")]
+        else:
+            events = list(self.venues["P"].events(self.sport.tag, closed=False))
+        items = spark.createDataFrame([(i, json.dumps(e)) for i, e in enumerate(events)], "seq long, item string")
+        found = sweeps.open_k(sweeps.parsed(items, sweeps.K_EVENT)) if venue == "K" else sweeps.open_p(sweeps.parsed(items, sweeps.P_EVENT), self.sport)
+        markets = found.select(*sweeps.OPEN).collect()
+        return markets[: self.params.cap_per_venue], max(len(markets) - self.params.cap_per_venue, 0)
+
+    def _refused(self, venue: str, endpoint: str, error: VendorError) -> None:
+        self.breaker.failed(venue, error, self.clock())
+        if error.is_refusal():
+            log.error("%s is left alone for %s s: %s", venue, self.params.cooldown_s, error)
+            self.store.log_spend(venue, endpoint, error.status, note=f"cooldown: {error}")
+
+    def _polled(self, venue: str, markets: list[Row]) -> tuple[list[tuple], list[str]]:
+        """Rows of ``POLLED``, and the contracts whose book could not be read."""
+        rows, gaps = [], []
+        for m in markets:
+            began = time.perf_counter()
+            try:
+                raw = self.venues[venue].book(m["token"])
+            except VendorError as error:
+                self._refused(venue, "book", error)
+                if error.is_refusal():
+                    break
+                gaps.append(m["contract_id"])
+                continue
+            latency, now = int((time.perf_counter() - began) * 1000), datetime.fromtimestamp(self.clock(), timezone.utc)
+            rows.append((venue, m["contract_id"], now, latency, m["kickoff"], m["market"], json.dumps(raw, separators=(",", ":"))))
+        return rows, gaps
+
+    def poll(self) -> dict[str, dict[str, int]]:
+        """One cycle; per venue the number of ``stored`` and ``over_cap`` markets and of ``gaps``."""
+        rows, lost, counts = [], [], {}
+        for venue in self.venues:
+            own, gaps, over = [], [], 0
+            if self.breaker.open_for(venue, self.clock()):
+                try:
+                    markets, over = self.catalogs[venue].get(self.clock())
+                    own, gaps = self._polled(venue, markets)
+                except VendorError as error:
+                    self._refused(venue, "events", error)
+            rows += own
+            lost += [("recorder", contract, f"{venue}: no book") for contract in gaps]
+            lost += [("recorder", None, f"{venue}: {over} over the cap of {self.params.cap_per_venue}")] if over else []
+            counts[venue] = {"stored": len(own), "over_cap": over, "gaps": len(gaps)}
+        spark, at = self.store.spark, datetime.fromtimestamp(self.clock(), timezone.utc)
+        self.store.append_absent("book_snapshots", sweeps.snapshots(spark.createDataFrame(rows, POLLED)), ("recorder:cycle", at.isoformat()))
+        if lost:
+            self.store.append("discards", spark.createDataFrame(lost, "stage string, contract_id string, reason string").withColumn("ts", F.lit(at)))
+        return counts
+
+    def run(self, max_cycles: int | None = None) -> int:
+        """Cycles until ``max_cycles``; one that fails is logged and the next one begins.  Returns how many failed."""
+        done = failed = 0
+        while max_cycles is None or done < max_cycles:
+            if done:
+                self.sleep(self.params.poll_seconds)
+            try:
+                log.info("cycle: %s", self.poll())
+            except Exception:  # noqa: BLE001  a bad cycle must not end the recorder
+                failed += 1
+                log.exception("a cycle failed")
+            done += 1
+        return failed
+
+
 def record(snapshots: DataFrame, store: Store, stream: str, checkpoint: str, params: Recorder = Recorder(), once: bool = True) -> StreamingQuery:  # noqa: B008
-    """Store a stream of snapshots: new keys are appended, then the cursor moves to the batch."""
+    """Store a stream of snapshots: a batch's new keys and the cursor are one commit.
+
+    A batch is stored whole.  How much a batch admits is the source's matter (``pages_per_batch``);
+    what it does not admit waits for the next one.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        kept, _ = capped(rows, "venue", ["contract_id", "ts"], params.cap_per_venue)
-        store.append_absent("book_snapshots", kept)
-        store.set_cursor(stream, str(number))
+        store.append_absent("book_snapshots", rows, (stream, str(number)))
 
     writer = snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{params.poll_seconds} seconds")
