@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, bootstrap, divergence, scoring
 from tidemark.params import Bootstrap, Calibration
-from tidemark.plans import series
+from tidemark.plans import gates, series
 
 CENTERS = Calibration().buckets
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 WINDOW, THRESHOLD, NEED = DAY, 0.1, 3
-RESAMPLES, SEED, CI = 200, 20260709, 0.95  # RESAMPLES: of the SQL; the queries take Bootstrap().resamples
+RESAMPLES, SEED, CI = Bootstrap().resamples, Bootstrap().seed, Bootstrap().ci_level
 
 TICKS = """ticks AS (
   SELECT event_id, user_id, event_type, epoch_us(ts) AS t, ts, value, value / (value + 50.0) AS price,
@@ -52,18 +52,17 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("venue", "regime", "user_id", F.col("price").alias("p"), (F.col("k") >= 50).cast("double").alias("y"))
 
 
-POINTS = TICKS + ", points AS (SELECT venue, regime, user_id, price AS p, CASE WHEN k >= 50 THEN 1.0 ELSE 0.0 END AS y FROM ticks WHERE venue IS NOT NULL)"
+POINTS_CTE = "points AS (SELECT venue, regime, user_id, price AS p, CASE WHEN k >= 50 THEN 1.0 ELSE 0.0 END AS y FROM ticks WHERE venue IS NOT NULL)"
+POINTS = f"{TICKS}, {POINTS_CTE}"
 CENTER_LIST = "[" + ", ".join(f"{c!r}::DOUBLE" for c in CENTERS) + "]"
-CURVE = (
-    POINTS
-    + f""", placed AS (
+CURVE_CTE = f"""placed AS (
   SELECT *, list_min(list_transform({CENTER_LIST}, lambda c: {{'d': abs(p - c), 'c': c}})).c AS center FROM points
 ), curve AS (
   SELECT venue, regime, center, avg(p) AS mean_price, avg(y) AS realised, count(*) AS n FROM placed GROUP BY ALL
 ), ece AS (
   SELECT venue, regime, sum(n * abs(mean_price - realised)) / sum(n) AS ece, CAST(sum(n) AS BIGINT) AS n FROM curve GROUP BY ALL
 )"""
-)
+CURVE = f"{POINTS}, {CURVE_CTE}"
 
 
 def asof_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +145,12 @@ def block_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("venue", "regime", *[F.round(c, 9).alias(c) for c in ("point", "ci_lo", "ci_hi")], "n_blocks", "n")
 
 
+def calibration_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of each venue and regime with the interval of its Brier score."""
+    report = gates.calibration_with_interval(points(spark, sf_dir), "user_id", Calibration(), Bootstrap())
+    return report.select("venue", "regime", "n", *[F.round(c, 9).alias(c) for c in ("brier", "ece", "brier_lo", "brier_hi")], "n_blocks")
+
+
 def bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any statistic: the upper median of the squared errors."""
     errors = points(spark, sf_dir).withColumn("e", scoring.squared_error(F.col("p"), F.col("y"))).groupBy("regime", "user_id").agg(F.sum("e").alias("e"))
@@ -201,56 +206,91 @@ def lagged_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("corr IS NOT NULL AND NOT isnan(corr)").groupBy("lag").agg(F.count(F.lit(1)).alias("users"), F.round(F.avg("corr"), 6).alias("mean_corr"))
 
 
-ASOF = TICKS + """, asked AS (SELECT event_id, user_id, t FROM ticks WHERE event_type = 'purchase'),
-p AS (SELECT user_id, t, price FROM ticks WHERE venue = 'P'), kk AS (SELECT user_id, t, price FROM ticks WHERE venue = 'K'), everything AS (SELECT user_id, t, price FROM ticks)
-"""
+ASOF_CTE = """asked AS (SELECT event_id, user_id, t FROM ticks WHERE event_type = 'purchase'),
+p AS (SELECT user_id, regime, t, price FROM ticks WHERE venue = 'P'), kk AS (SELECT user_id, regime, t, price FROM ticks WHERE venue = 'K'), everything AS (SELECT user_id, t, price FROM ticks)"""
+ASOF = f"{TICKS}, {ASOF_CTE}"
 _CHOSEN = "a.event_id, a.user_id, a.t, q.t AS quote_t, q.price AS quote_price"
 INCLUSIVE = f"WITH {ASOF} SELECT {_CHOSEN} FROM asked a ASOF LEFT JOIN p q ON a.user_id = q.user_id AND a.t >= q.t"
 
-GRID = ASOF + """, instants AS (SELECT user_id, t FROM p UNION SELECT user_id, t FROM kk),
+
+
+def _listed(keys: tuple[str, ...], of: str = "") -> str:
+    return ", ".join(f"{of}.{k}" if of else k for k in keys)
+
+
+def _equal(keys: tuple[str, ...], x: str, y: str) -> str:
+    return " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys)
+
+
+def grid_cte(keys: tuple[str, ...] = ("user_id",)) -> str:
+    """The instants of both series of a key."""
+    ks = _listed(keys)
+    return f"""instants AS (SELECT {ks}, t FROM p UNION SELECT {ks}, t FROM kk),
 grid AS (
-  SELECT i.user_id, i.t, a.price AS p, b.price AS k FROM instants i
-  ASOF LEFT JOIN p a ON i.user_id = a.user_id AND i.t >= a.t ASOF LEFT JOIN kk b ON i.user_id = b.user_id AND i.t >= b.t
+  SELECT {_listed(keys, 'i')}, i.t, a.price AS p, b.price AS k FROM instants i
+  ASOF LEFT JOIN p a ON {_equal(keys, 'i', 'a')} AND i.t >= a.t ASOF LEFT JOIN kk b ON {_equal(keys, 'i', 'b')} AND i.t >= b.t
 )"""
 
-AUTOMATON = GRID + f""", steps AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM grid WHERE p IS NOT NULL AND k IS NOT NULL
+
+def found_cte(keys: tuple[str, ...] = ("user_id",)) -> str:
+    """The divergences of each key's grid: a fold, row by row."""
+    ks = _listed(keys)
+    return f"""{grid_cte(keys)}, steps AS (
+  SELECT *, row_number() OVER (PARTITION BY {ks} ORDER BY t) AS i FROM grid WHERE p IS NOT NULL AND k IS NOT NULL
 ), fold AS (
-  SELECT user_id, 0::BIGINT AS i, 0 AS len, 0 AS sgn, 0::BIGINT AS t0, 0.0::DOUBLE AS p0, 0.0::DOUBLE AS k0, (-1)::BIGINT AS cooldown, false AS emits
-  FROM (SELECT DISTINCT user_id FROM steps)
+  SELECT {ks}, 0::BIGINT AS i, 0 AS len, 0 AS sgn, 0::BIGINT AS t0, 0.0::DOUBLE AS p0, 0.0::DOUBLE AS k0, (-1)::BIGINT AS cooldown, false AS emits
+  FROM (SELECT DISTINCT {ks} FROM steps)
   UNION ALL
-  SELECT user_id, i, CASE WHEN waits THEN len WHEN ok AND len + 1 < {NEED} THEN len + 1 ELSE 0 END,
+  SELECT {ks}, i, CASE WHEN waits THEN len WHEN ok AND len + 1 < {NEED} THEN len + 1 ELSE 0 END,
     CASE WHEN waits THEN sgn WHEN ok AND len + 1 < {NEED} THEN s ELSE 0 END,
     CASE WHEN NOT waits AND ok AND len = 0 THEN t ELSE t0 END, CASE WHEN NOT waits AND ok AND len = 0 THEN p ELSE p0 END, CASE WHEN NOT waits AND ok AND len = 0 THEN k ELSE k0 END,
     CASE WHEN NOT waits AND ok AND len + 1 >= {NEED} THEN t0 + {WINDOW} ELSE cooldown END, NOT waits AND ok AND len + 1 >= {NEED}
   FROM (
-    SELECT f.user_id, s.i, f.len, f.sgn, f.t0, f.p0, f.k0, f.cooldown, s.t, s.p, s.k, s.t <= f.cooldown AS waits, sign(s.k - s.p)::INT AS s,
+    SELECT {_listed(keys, 'f')}, s.i, f.len, f.sgn, f.t0, f.p0, f.k0, f.cooldown, s.t, s.p, s.k, s.t <= f.cooldown AS waits, sign(s.k - s.p)::INT AS s,
       abs(s.k - s.p) >= {THRESHOLD} AND sign(s.k - s.p) <> 0 AND (f.len = 0 OR f.sgn = sign(s.k - s.p)) AS ok
-    FROM fold f JOIN steps s ON s.user_id = f.user_id AND s.i = f.i + 1
+    FROM fold f JOIN steps s ON {_equal(keys, 's', 'f')} AND s.i = f.i + 1
   )
-), found AS (SELECT user_id, t0 AS t_start, p0 AS p_start, k0 AS k_start, k0 - p0 AS gap FROM fold WHERE emits)"""
+), found AS (SELECT {ks}, t0 AS t_start, p0 AS p_start, k0 AS k_start, k0 - p0 AS gap FROM fold WHERE emits)"""
+
 
-LEADS = AUTOMATON + f""", ends AS (SELECT *, t_start + {WINDOW} AS t_end FROM found), leads AS (
-  SELECT e.user_id, e.t_start, e.gap,
+def leads_cte(keys: tuple[str, ...] = ("user_id",)) -> str:
+    """The lead of each divergence, by the whole series of its user."""
+    return f"""{found_cte(keys)}, ends AS (SELECT *, t_start + {WINDOW} AS t_end FROM found), leads AS (
+  SELECT {_listed(keys, 'e')}, e.t_start, e.gap,
     coalesce(CASE WHEN e.gap > 0 THEN 1 ELSE -1 END * (a.price - e.p_start + b.price - e.k_start), 0.0) AS lead
   FROM ends e ASOF LEFT JOIN p a ON e.user_id = a.user_id AND e.t_end >= a.t ASOF LEFT JOIN kk b ON e.user_id = b.user_id AND e.t_end >= b.t
 )"""
 
 
+GRID, AUTOMATON, LEADS = (f"{ASOF}, {cte}" for cte in (grid_cte(), found_cte(), leads_cte()))
+
+
+def _mixed_sql(x: str) -> str:
+    """The hash of a draw: the rule of ``operators.bootstrap.mix``."""
+    for multiplier, shift in zip(bootstrap.MULTIPLIERS, bootstrap.SHIFTS, strict=False):
+        x = f"list_transform([({x}) % {bootstrap.PRIME} * {multiplier} % {bootstrap.PRIME}], lambda v: xor(v, v >> {shift}))[1]"
+    return f"(({x}) % {bootstrap.PRIME} * {bootstrap.MULTIPLIERS[-1]} % {bootstrap.PRIME})"
+
+
+def _draws_sql(by: str, resamples: int) -> str:
+    """CTEs of the draws: the hashes of resamples and places come first, each once."""
+    return f"""b_r AS (SELECT r, {_mixed_sql(f'r + {SEED}')} AS hr FROM range({resamples}) a(r)),
+b_k AS (SELECT k, {_mixed_sql('k + 1')} AS hk FROM range((SELECT coalesce(max(n_blocks), 0) FROM b_summary)::BIGINT) a(k)),
+b_draws AS (SELECT {by}, r, {_mixed_sql('xor(hr, hk)')} % n_blocks AS i FROM b_summary, b_r, b_k WHERE n_blocks >= 2 AND k < n_blocks)"""
+
+
 def _bootstrap(rows: str, by: str, value: str, resamples: int) -> str:
     """CTEs ``b_summary`` and ``b_ends`` of the block bootstrap of the mean of ``value`` in ``rows``."""
     lo, hi = int((1 - CI) / 2 * resamples), int((1 + CI) / 2 * resamples) - 1
     on = " AND ".join(f"x.{c} = y.{c}" for c in by.split(", "))
     xs = ", ".join(f"x.{c}" for c in by.split(", "))
-    return f""", b_blocks AS (
+    return f"""b_blocks AS (
   SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY user_id) - 1 AS i
   FROM (SELECT {by}, user_id, sum({value}) AS total, count({value}) AS cnt FROM {rows} GROUP BY {by}, user_id)
 ), b_summary AS (
   SELECT {by}, sum(total) / sum(cnt) AS point, count(*) AS n_blocks, CAST(sum(cnt) AS BIGINT) AS n FROM b_blocks GROUP BY {by}
-), b_draws AS (
-  SELECT {by}, r, ('0x' || substr(md5('{SEED}:' || r || ':' || kk), 1, 8))::BIGINT % n_blocks AS i
-  FROM b_summary, range({resamples}) a(r), LATERAL (SELECT unnest(range(n_blocks)) AS kk) WHERE n_blocks >= 2
-), b_stats AS (
+), {_draws_sql(by, resamples)},
+b_stats AS (
   SELECT {xs}, x.r, sum(y.total) / sum(y.cnt) AS stat FROM b_draws x JOIN b_blocks y ON {on} AND x.i = y.i GROUP BY {xs}, x.r
 ), b_ends AS (
   SELECT {by}, list_sort(list(stat))[{lo + 1}] AS ci_lo, list_sort(list(stat))[{hi + 1}] AS ci_hi FROM b_stats GROUP BY {by}
@@ -258,7 +298,7 @@ def _bootstrap(rows: str, by: str, value: str, resamples: int) -> str:
 
 
 def _lead_report_sql(prelude: str, rows: str, resamples: int) -> str:
-    return f"""WITH RECURSIVE {prelude} {_bootstrap(rows, 'regime', 'lead', resamples)}
+    return f"""WITH RECURSIVE {prelude}, {_bootstrap(rows, 'regime', 'lead', resamples)}
 SELECT x.regime, x.n AS n_divergences, round(CASE WHEN n_blocks >= 2 THEN point END, 9) AS point, round(ci_lo, 9) AS ci_lo, round(ci_hi, 9) AS ci_hi, n_blocks,
   CASE WHEN round(ci_lo, 9) > 0 THEN 'K' WHEN round(ci_hi, 9) < 0 THEN 'P' END AS leader
 FROM b_summary x LEFT JOIN b_ends y ON x.regime = y.regime"""
@@ -307,7 +347,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_inclusive, asof_bucketed, asof_strict, asof_forward_tol, read_asof_prefix, latest_before, grid_align, snapshot_multi_target, brier_logloss, reliability_curve, ece_by_venue,
-        calibration_report, compare_venues, block_bootstrap_ci, bootstrap_median, divergences, convergence, lead_lag_report, regime_slices, lagged_correlation, candle_mid_at, candle_series, build_points, map_series,
+        calibration_report, calibration_interval, compare_venues, block_bootstrap_ci, bootstrap_median, divergences, convergence, lead_lag_report, regime_slices, lagged_correlation, candle_mid_at, candle_series, build_points, map_series,
     )
 }
 
@@ -343,9 +383,17 @@ SELECT s.venue, s.regime, s.n, round(brier, 9) AS brier, round(log_loss, 9) AS l
 FROM s JOIN ece e ON s.venue = e.venue AND s.regime = e.regime JOIN b ON s.venue = b.venue AND s.regime = b.regime""",
     "compare_venues": f"""WITH {CURVE} SELECT regime, round(max(ece) FILTER (venue = 'K'), 9) AS ece_reference, round(max(ece) FILTER (venue = 'P'), 9) AS ece_target,
   max(ece) FILTER (venue = 'K') <= max(ece) FILTER (venue = 'P') + 0.0 AS passed FROM ece GROUP BY regime""",
-    "block_bootstrap_ci": f"""WITH {POINTS}, errors AS (SELECT *, (p - y) * (p - y) AS e FROM points) {_bootstrap('errors', 'venue, regime', 'e', RESAMPLES)}
+    "block_bootstrap_ci": f"""WITH {POINTS}, errors AS (SELECT *, (p - y) * (p - y) AS e FROM points), {_bootstrap('errors', 'venue, regime', 'e', RESAMPLES)}
 SELECT x.venue, x.regime, round(CASE WHEN n_blocks >= 2 THEN point END, 9) AS point, round(ci_lo, 9) AS ci_lo, round(ci_hi, 9) AS ci_hi, n_blocks, n
 FROM b_summary x LEFT JOIN b_ends y ON x.venue = y.venue AND x.regime = y.regime""",
+    "calibration_interval": f"""WITH {CURVE}, s AS (SELECT venue, regime, {SCORES} FROM points GROUP BY ALL), errors AS (SELECT *, (p - y) * (p - y) AS e FROM points), {_bootstrap('errors', 'venue, regime', 'e', RESAMPLES)}
+SELECT s.venue, s.regime, s.n, round(brier, 9) AS brier, round(ece, 9) AS ece, round(ci_lo, 9) AS brier_lo, round(ci_hi, 9) AS brier_hi, n_blocks
+FROM s JOIN ece e ON s.venue = e.venue AND s.regime = e.regime JOIN b_summary x ON s.venue = x.venue AND s.regime = x.regime LEFT JOIN b_ends y ON s.venue = y.venue AND s.regime = y.regime""",
+    "bootstrap_median": f"""WITH {POINTS}, b_blocks AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY user_id) - 1 AS i FROM (SELECT regime, user_id, sum((p - y) * (p - y)) AS e FROM points GROUP BY regime, user_id)),
+b_summary AS (SELECT regime, count(*) AS n_blocks, list_sort(list(e))[count(*) // 2 + 1] AS point FROM b_blocks GROUP BY regime), {_draws_sql('regime', RESAMPLES)},
+b_stats AS (SELECT x.regime, x.r, list_sort(list(y.e))[count(*) // 2 + 1] AS stat FROM b_draws x JOIN b_blocks y ON x.regime = y.regime AND x.i = y.i GROUP BY x.regime, x.r),
+b_ends AS (SELECT regime, list_sort(list(stat))[{int((1 - CI) / 2 * RESAMPLES) + 1}] AS ci_lo, list_sort(list(stat))[{int((1 + CI) / 2 * RESAMPLES)}] AS ci_hi FROM b_stats GROUP BY regime)
+SELECT x.regime, round(point, 9) AS point, round(ci_lo, 9) AS ci_lo, round(ci_hi, 9) AS ci_hi, n_blocks::INT AS n_blocks FROM b_summary x LEFT JOIN b_ends y ON x.regime = y.regime""",
     "divergences": f"WITH RECURSIVE {AUTOMATON} SELECT user_id, t_start, round(p_start, 9) AS p_start, round(k_start, 9) AS k_start, round(gap, 9) AS gap FROM found",
     "convergence": f"WITH RECURSIVE {LEADS} SELECT user_id, t_start, round(lead, 9) AS lead FROM leads",
     "lead_lag_report": _lead_report_sql(LEADS + ", regimes AS (SELECT *, 'all' AS regime FROM leads)", "regimes", RESAMPLES),

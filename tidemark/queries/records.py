@@ -80,10 +80,11 @@ def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FIXTURES = TICKS + """, fixtures AS (
+FIXTURES_CTE = """fixtures AS (
   SELECT event_id, user_id, event_type, t, CAST(ts AS DATE) AS day, k % 10 AS map_no, CASE WHEN k % 9 = 0 THEN NULL WHEN k >= 50 THEN 'a' ELSE 'b' END AS winner,
     CASE WHEN event_type = 'purchase' THEN 'N' ELSE venue END AS side, CASE WHEN k >= 50 THEN 'map_winner' ELSE 'series_winner' END AS family FROM ticks
 )"""
+FIXTURES = f"{TICKS}, {FIXTURES_CTE}"
 
 
 def of_side(rows: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -258,19 +259,21 @@ LADDER = """levels AS (
 
 HIT = """(SELECT min(struct_pack(s := date_diff('day', n.day, x.day), e := x.event_id, w := x.winner)) FROM fixtures x
   WHERE x.side = '{side}' AND x.user_id = n.user_id AND x.map_no = n.map_no AND abs(date_diff('day', n.day, x.day)) <= 1)"""
-THREE = FIXTURES + f""", hits AS (SELECT n.event_id, n.winner, {HIT.format(side='K')} AS kh, {HIT.format(side='P')} AS ph FROM fixtures n WHERE n.side = 'N'),
+THREE_CTE = f"""hits AS (SELECT n.event_id, n.winner, {HIT.format(side='K')} AS kh, {HIT.format(side='P')} AS ph FROM fixtures n WHERE n.side = 'N'),
 aligned AS (SELECT event_id, winner, kh.e AS k_event_id, kh.w AS k_winner, ph.e AS p_event_id, ph.w AS p_winner FROM hits WHERE winner IS NOT NULL AND kh.w IS NOT NULL AND ph.w IS NOT NULL)"""
+THREE = f"{FIXTURES}, {THREE_CTE}"
 COUNTS = """count(*) AS n_aligned, count(*) FILTER (k_winner = p_winner AND k_winner = winner) AS n_agree,
   CASE WHEN count(*) > 0 THEN round(count(*) FILTER (k_winner = p_winner AND k_winner = winner) / count(*), 9) END AS pass_rate"""
 VOIDS = """voids AS (SELECT event_id, user_id, day, map_no, winner FROM fixtures p WHERE side = 'P' AND winner IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM fixtures n WHERE n.side = 'N' AND n.user_id = p.user_id AND n.day = p.day AND n.map_no = p.map_no)
   AND EXISTS (SELECT 1 FROM fixtures n WHERE n.side = 'N' AND n.user_id = p.user_id AND n.day = p.day))"""
-COVERED = FIXTURES + """, series AS (SELECT DISTINCT user_id, day FROM fixtures WHERE side = 'N'),
+COVERED_CTE = """series AS (SELECT DISTINCT user_id, day FROM fixtures WHERE side = 'N'),
 flags AS (
   SELECT s.user_id, s.day, count(DISTINCT r.side) AS n_all, count(DISTINCT r.side) FILTER (r.family = 'series_winner') AS n_s, count(DISTINCT r.side) FILTER (r.family = 'map_winner') AS n_m
   FROM series s LEFT JOIN fixtures r ON r.side IN ('K', 'P') AND r.user_id = s.user_id AND abs(date_diff('day', s.day, r.day)) <= 1 GROUP BY s.user_id, s.day
 ), covered AS (SELECT user_id, day, n_all = 2 AS covered, n_all = 2 AND n_s = 2 AS covered_series_winner, n_all = 2 AND n_m = 2 AS covered_map_winner FROM flags)"""
-G0 = COVERED + """, medians AS (
+COVERED = f"{FIXTURES}, {COVERED_CTE}"
+G0_CTE = """medians AS (
   SELECT regime, median(least(value * k, value * 40)) AS m FROM ticks WHERE venue = 'P' AND k > 10 GROUP BY regime
 ), there AS (SELECT family, count(DISTINCT side) = 2 AS both_venues FROM fixtures WHERE side IN ('K', 'P') GROUP BY family),
 totals AS (SELECT count(*) AS n_series, count(*) FILTER (covered) AS n_covered, count(*) FILTER (covered_series_winner) AS n_s, count(*) FILTER (covered_map_winner) AS n_m FROM covered),
@@ -279,35 +282,20 @@ g0 AS (
     CASE f.family WHEN 'map_winner' THEN n_m ELSE n_s END AS n_family, coalesce(both_venues, false) AS both_venues
   FROM totals, (VALUES ('series_winner'), ('map_winner')) f(family) LEFT JOIN there t ON t.family = f.family
 )"""
-G1 = "g1 AS (SELECT *, CASE WHEN n_aligned >= 30 THEN pass_rate >= 0.2 AND n_void = 0 END AS passed FROM (SELECT " + COUNTS + ", (SELECT count(*) FROM voids) AS n_void FROM aligned))"
+G0 = f"{COVERED}, {G0_CTE}"
+G1 = "g1 AS (SELECT *, CASE WHEN n_aligned >= 30 THEN pass_rate >= 0.95 AND n_void = 0 END AS passed FROM (SELECT " + COUNTS + ", (SELECT count(*) FROM voids) AS n_void FROM aligned))"
 G2 = """g2 AS (
   SELECT regime, round(max(ece) FILTER (venue = 'K'), 9) AS ece_reference, round(max(ece) FILTER (venue = 'P'), 9) AS ece_target, min(n) AS least_n, CAST(sum(n) AS BIGINT) AS n_points,
     CASE WHEN min(n) >= 50 THEN max(ece) FILTER (venue = 'K') <= max(ece) FILTER (venue = 'P') END AS passed FROM ece GROUP BY regime
 )"""
 
 
-def _per_regime(sql: str) -> str:
-    """The divergence CTEs with the regime as part of the key of grid and automaton."""
-    sql = sql.replace("SELECT user_id, t, price FROM ticks WHERE venue", "SELECT user_id, regime, t, price FROM ticks WHERE venue")
-    sql = sql.replace("SELECT user_id, t FROM p UNION SELECT user_id, t FROM kk", "SELECT user_id, regime, t FROM p UNION SELECT user_id, regime, t FROM kk")
-    sql = sql.replace("SELECT i.user_id, i.t, a.price AS p", "SELECT i.user_id, i.regime, i.t, a.price AS p")
-    sql = sql.replace("p a ON i.user_id = a.user_id AND", "p a ON i.user_id = a.user_id AND i.regime = a.regime AND").replace("kk b ON i.user_id = b.user_id AND", "kk b ON i.user_id = b.user_id AND i.regime = b.regime AND")
-    sql = sql.replace("PARTITION BY user_id ORDER BY t) AS i", "PARTITION BY user_id, regime ORDER BY t) AS i").replace("SELECT user_id, 0::BIGINT AS i", "SELECT user_id, regime, 0::BIGINT AS i")
-    sql = sql.replace("(SELECT DISTINCT user_id FROM steps)", "(SELECT DISTINCT user_id, regime FROM steps)").replace("SELECT user_id, i, CASE", "SELECT user_id, regime, i, CASE")
-    sql = sql.replace("SELECT f.user_id, s.i", "SELECT f.user_id, f.regime, s.i").replace("s.user_id = f.user_id AND s.i", "s.user_id = f.user_id AND s.regime = f.regime AND s.i")
-    return sql.replace("SELECT user_id, t0 AS t_start", "SELECT user_id, regime, t0 AS t_start").replace("SELECT e.user_id, e.t_start", "SELECT e.user_id, e.regime, e.t_start")
-
-
-G3 = (
-    _per_regime(market.LEADS)
-    + market._bootstrap("leads", "regime", "lead", 100)
-    + """, g3 AS (
+G3_CTE = f"""{market.leads_cte(('user_id', 'regime'))}, {market._bootstrap('leads', 'regime', 'lead', market.RESAMPLES)}, g3 AS (
   SELECT x.regime, x.n AS n_divergences, CASE WHEN n_blocks >= 2 THEN point END AS point, ci_lo, ci_hi, n_blocks, CASE WHEN ci_lo > 0 THEN 'K' WHEN ci_hi < 0 THEN 'P' END AS leader,
     CASE WHEN x.n >= 30 THEN coalesce(ci_lo > 0, false) END AS passed
   FROM b_summary x LEFT JOIN b_ends y ON x.regime = y.regime
 )"""
-)
-_WITHOUT_TICKS = len(TICKS)
+G3 = f"{market.ASOF}, {G3_CTE}"
 
 SQL = {
     "best_of_ladder": f"WITH {LADDER} SELECT l_orderkey, round(bid, 9) AS bid, bid_size, round(ask, 9) AS ask, ask_size FROM books",
@@ -348,16 +336,17 @@ SELECT venue, max(event_id) FILTER (n <= 400) AS last_kept, least(count(*), 400)
 g AS (SELECT l_orderkey, list(struct_pack(seq := seq, s := l_suppkey, won := won) ORDER BY seq, l_suppkey, won) AS s FROM x GROUP BY l_orderkey HAVING count(*) = 2 AND count(*) FILTER (won) = 1)
 SELECT l_orderkey, s[1].seq AS a_seq, s[2].seq AS b_seq, s[1].won AS winner_first FROM g""",
     "foreign_key_orphans": """SELECT l_returnflag, count(*) AS n, min(l_orderkey) AS first_order FROM lineitem
-WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey % 2 = 1 AND o_orderkey = l_orderkey) GROUP BY l_returnflag""",
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) GROUP BY l_returnflag""",
     "gate_g0": f"WITH {G0} SELECT *, both_venues AND n_family >= 60 AS go_on FROM g0",
     "gate_g1": f"WITH {THREE}, {VOIDS}, {G1} SELECT n_aligned, n_agree, pass_rate, n_void, passed FROM g1",
     "gate_g2": f"WITH {market.CURVE}, {G2} SELECT * FROM g2",
     "gate_g3": f"WITH RECURSIVE {G3} SELECT regime, n_divergences, round(point, 9) AS point, round(ci_lo, 9) AS ci_lo, round(ci_hi, 9) AS ci_hi, n_blocks, leader, passed FROM g3",
-    "verdict": f"""WITH RECURSIVE {G3}{market.CURVE[_WITHOUT_TICKS:]}, {G2}{G0[_WITHOUT_TICKS:]}{THREE[len(FIXTURES):]}, {VOIDS}, {G1},
+    "verdict": f"""WITH RECURSIVE {G3}, {market.POINTS_CTE}, {market.CURVE_CTE}, {G2}, {FIXTURES_CTE}, {COVERED_CTE}, {G0_CTE}, {THREE_CTE}, {VOIDS}, {G1},
 rows AS (
   SELECT coalesce(a.regime, b.regime) AS regime, a.passed AS calibration_pass, b.passed AS lead_pass, b.leader, (SELECT bool_or(depth_pass) FROM g0) AS depth_pass, (SELECT coalesce(bool_and(passed), false) FROM g1) AS parity_pass
   FROM g2 a FULL JOIN g3 b ON a.regime = b.regime
-), flagged AS (SELECT *, coalesce(parity_pass AND calibration_pass AND lead_pass, false) AS reference_valid, false AS tradeable FROM rows)
-SELECT *, CASE WHEN (SELECT bool_or(reference_valid) FROM flagged) THEN 'CONDITIONAL' ELSE 'KILL' END AS verdict,
-  CASE WHEN (SELECT bool_or(reference_valid) FROM flagged) THEN CASE WHEN coalesce(depth_pass, false) THEN 'no live corroboration' ELSE 'depth,no live corroboration' END ELSE '' END AS blockers FROM flagged""",
+), flagged AS (SELECT *, coalesce(parity_pass AND calibration_pass AND lead_pass, false) AS reference_valid FROM rows), corroborated AS (SELECT false AS live),
+judged AS (SELECT flagged.*, reference_valid AND coalesce(depth_pass, false) AND live AS tradeable FROM flagged, corroborated)
+SELECT *, CASE WHEN (SELECT bool_or(tradeable) FROM judged) THEN 'GO' WHEN (SELECT bool_or(reference_valid) FROM judged) THEN 'CONDITIONAL' ELSE 'KILL' END AS verdict,
+  CASE WHEN (SELECT bool_or(reference_valid) AND NOT bool_or(tradeable) FROM judged) THEN CASE WHEN coalesce(depth_pass, false) THEN 'no live corroboration' ELSE 'depth,no live corroboration' END ELSE '' END AS blockers FROM judged""",
 }
