@@ -237,9 +237,12 @@ def test_parity_gate_fails_below_95_percent(spark, sf, monkeypatch):
 
 
 def test_the_draw_is_the_same_in_the_plan_and_outside(spark):
-    rows = spark.createDataFrame([(r, k, n) for r in (0, 1, 9999) for k in (0, 1, 10**6) for n in (1, 7, 2**31)], "r int, k long, n long")
-    got = rows.select("r", "k", "n", bootstrap.draw(20260709, F.col("r"), F.col("k"), F.col("n")).alias("i")).collect()
-    assert all(x.i == bootstrap.draw_of(20260709, x.r, x.k, x.n) for x in got)
+    sizes = spark.createDataFrame([("a", 1), ("b", 7), ("c", 400)], "g string, n long")
+    got = {}
+    for r in bootstrap.with_draws(sizes, 20260709, 5, "n", "i").collect():
+        got.setdefault((r.g, r.n, r._r), []).append(r.i)
+    assert len(got) == 15
+    assert all(sorted(xs) == sorted(bootstrap.draw_of(20260709, r, k, n) for k in range(n)) for (_, n, r), xs in got.items())
 
 
 def test_draws_are_even_and_resamples_unlike():

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,11 @@ PER_TASK = 200  # resamples of an arbitrary statistic that one task makes
 PRIME, MULTIPLIERS, SHIFTS = 2_147_483_647, (48_271, 69_621, 16_807), (15, 13)
 
 
-def mix(x: int) -> int:
-    """A hash of a number, below 2^31."""
+def mix(x):  # noqa: ANN001, ANN201
+    """A hash of a number or an array of numbers, below 2^31."""
     for multiplier, shift in zip(MULTIPLIERS, (*SHIFTS, 31), strict=True):
         x = x % PRIME * multiplier % PRIME
-        x ^= x >> shift
+        x = x ^ x >> shift
     return x
 
 
@@ -35,16 +36,21 @@ def draw_of(seed: int, resample: int, place: int, n: int) -> int:
     return mix(mix(resample + seed) ^ mix(place + 1)) % n
 
 
-def _mixed(x: Column) -> Column:
+def _mixed(rows: DataFrame, x: str) -> DataFrame:
+    """``mix`` of a column, in its place.  One step to a projection: each is used twice by the next, and so computed once."""
     for multiplier, shift in zip(MULTIPLIERS, SHIFTS, strict=False):
-        x = x % PRIME * multiplier % PRIME
-        x = x.bitwiseXOR(F.shiftright(x, shift))  # evaluated once: a common subexpression
-    return x % PRIME * MULTIPLIERS[-1] % PRIME
+        rows = rows.withColumn(x, F.col(x) % PRIME * multiplier % PRIME)
+        rows = rows.withColumn(x, F.col(x).bitwiseXOR(F.shiftright(x, shift)))
+    return rows.withColumn(x, F.col(x) % PRIME * MULTIPLIERS[-1] % PRIME)
 
 
-def draw(seed: int, resample: Column, place: Column, n: Column) -> Column:
-    """``draw_of`` as a Column."""
-    return _mixed(_mixed(resample.cast("bigint") + seed).bitwiseXOR(_mixed(place.cast("bigint") + 1))) % n
+def with_draws(rows: DataFrame, seed: int, resamples: int, n: str, out: str) -> DataFrame:
+    """Rows with every resample ``_r``, and ``out``, the index that ``draw_of`` gives for each of its places from 0 below ``n``."""
+    draws = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_hr", F.col("_r").cast("bigint") + seed)
+    draws = _mixed(draws, "_hr").repartition(*rows.columns, "_r")
+    draws = _mixed(draws.withColumn("_hk", F.explode(F.expr(f"sequence(1L, {n})"))), "_hk")
+    draws = _mixed(draws.withColumn(out, F.col("_hr").bitwiseXOR(F.col("_hk"))), out)
+    return draws.withColumn(out, F.col(out) % F.col(n)).drop("_hr", "_hk")
 
 
 def interval(stats: DataFrame, keys: Sequence[str], resamples: int, ci_level: float, *also: Column) -> DataFrame:
@@ -65,9 +71,7 @@ def bootstrap_mean(rows: DataFrame, by: Sequence[str], block: str, value: str, r
     table = numbered(blocks, keys, [block], "_i", "bootstrap-numbered").select(*keys, "_i", "_sum", "_n")
     if blocks.count() <= BROADCAST_BLOCKS:
         table = F.broadcast(table)
-    draws = summary.where("n_blocks >= 2").select(*keys, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_r"))
-    draws = draws.repartition(*keys, "_r").select(*keys, "_r", "n_blocks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("_k"))
-    picked = draws.select(*keys, "_r", draw(seed, F.col("_r"), F.col("_k"), F.col("n_blocks")).alias("_i"))
+    picked = with_draws(summary.where("n_blocks >= 2").select(*keys, "n_blocks"), seed, resamples, "n_blocks", "_i")
     stats = picked.join(table, [*keys, "_i"]).groupBy(*keys, "_r").agg((F.sum("_sum") / F.sum("_n")).alias("_stat"))
     point = F.when(F.col("n_blocks") >= 2, F.col("point")).alias("point")
     return summary.join(interval(stats, keys, resamples, ci_level), keys, "left").select(*keys, point, "ci_lo", "ci_hi", "n_blocks", "n")
@@ -85,9 +89,10 @@ def bootstrap(rows: DataFrame, by: Sequence[str], block: str, value: str, statis
     def run(part: pd.DataFrame) -> pd.DataFrame:
         groups = [g[value].tolist() for _, g in part.sort_values(block).groupby(block)]
         first, stats = int(part["_part"].iloc[0]) * PER_TASK, []
-        if len(groups) >= 2:
-            for r in range(first, min(first + PER_TASK, resamples)):
-                stats.append(float(statistic([x for k in range(len(groups)) for x in groups[draw_of(seed, r, k, len(groups))]])))
+        places = mix(np.arange(1, len(groups) + 1, dtype=np.int64))
+        for r in range(first, min(first + PER_TASK, resamples)) if len(groups) >= 2 else ():
+            drawn = mix(mix(r + seed) ^ places) % len(groups)
+            stats.append(float(statistic([x for i in drawn.tolist() for x in groups[i]])))
         out = pd.DataFrame({"_stat": stats or [None], "_point": float(statistic(part[value].tolist())) if len(groups) >= 2 else None, "_blocks": len(groups)})
         for k in keys:
             out[k] = part[k].iloc[0]

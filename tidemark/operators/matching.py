@@ -56,20 +56,28 @@ def same_names(left: DataFrame, right: DataFrame, threshold: float = 0.85, min_a
     return name_matches(met, "l", "r", threshold=threshold, min_acronym=min_acronym).where("same").select("l", "r")
 
 
-def fuzzy_candidates(left: DataFrame, right: DataFrame, day: str, teams: Sequence[str], equal: Sequence[str] = (), days: int = 1, prefix: str = "r_", threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
+def named(rows: DataFrame, day: str, names: Sequence[str], days: int = 0) -> DataFrame:
+    """``_day``, ``name``: names of a table's rows on their days and ``days`` around them."""
+    spread = rows.withColumn("_day", F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda x: F.date_add(F.col(day), x))))
+    return spread.select("_day", F.explode(F.array(*names)).alias("name")).where("name IS NOT NULL")
+
+
+def fuzzy_candidates(
+    left: DataFrame, right: DataFrame, day: str, teams: Sequence[str], equal: Sequence[str] = (), days: int = 1, prefix: str = "r_", threshold: float = 0.85, min_acronym: int = 1, same: DataFrame | None = None
+) -> DataFrame:
     """Pairs of fixtures within ``days`` days whose ``equal`` columns agree and whose two ``teams`` mean the same in either order.
 
-    Names are decided once for each pair of names that meet on a day; fixtures are then
-    joined by equality on day, ``equal`` and both names, so pairs of fixtures that do not
-    match are never made.  ``dshift`` is the right day minus the left day.  Fixtures that
-    match in both orders come twice; missing names match nothing.
+    Names are decided once for each pair of names that meet on a day (``same``, if that has
+    been done already); fixtures are then joined by equality on day, ``equal`` and both
+    names, so pairs of fixtures that do not match are never made.  ``dshift`` is the right day
+    minus the left day.  Fixtures that match in both orders come twice; missing names match
+    nothing.
     """
     a, b = teams
-    shifts = F.sequence(F.lit(-days), F.lit(days))
-    spread = left.withColumn("dshift", F.explode(shifts)).withColumn("_day", F.date_add(F.col(day), F.col("dshift")))
+    spread = left.withColumn("dshift", F.explode(F.sequence(F.lit(-days), F.lit(days)))).withColumn("_day", F.date_add(F.col(day), F.col("dshift")))
     renamed = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
-    named = lambda rows, at, *names: rows.select(at, F.explode(F.array(*names)).alias("name")).where("name IS NOT NULL")
-    same = same_names(named(spread, F.col("_day"), a, b), named(renamed, F.col(prefix + day).alias("_day"), prefix + a, prefix + b), threshold, min_acronym)
+    if same is None:
+        same = same_names(named(left, day, teams, days), named(right, day, teams), threshold, min_acronym)
     for team, out in ((a, "_x"), (b, "_y")):
         spread = spread.join(same.select(F.col("l").alias(team), F.col("r").alias(out)), team)
     either = renamed.withColumn("_p", F.col(prefix + a)).withColumn("_q", F.col(prefix + b))
@@ -106,26 +114,27 @@ def settled_once(rows: DataFrame, day: str, teams: Sequence[str], seq: str = "se
     return found.select(*rows.columns, "slot")
 
 
-def aligned_maps(neutral: DataFrame, first: DataFrame, second: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
+def aligned_maps(neutral: DataFrame, first: DataFrame, second: DataFrame, same: DataFrame) -> DataFrame:
     """Played maps with the map that each venue has for it: ``first_*`` and ``second_*``, null where a venue has none.
 
     ``neutral`` has ``match_id``, ``day``, ``team_a``, ``team_b``, ``map_no``; the venues' rows come from
     ``settled_once``.  Of several hits the one on the earliest day, then the first listed, counts.
+    ``same`` has the names that mean one team.
     """
     out = neutral
     for name, rows in (("first", first), ("second", second)):
-        hits = fuzzy_candidates(neutral, rows, "day", ("team_a", "team_b"), ["map_no"], 1, f"{name}_", threshold, min_acronym)
+        hits = fuzzy_candidates(neutral, rows, "day", ("team_a", "team_b"), ["map_no"], 1, f"{name}_", same=same)
         columns = [f"{name}_{c}" for c in rows.columns if c not in ("day", "map_no", "slot")]
         out = first_match(out, hits, ["match_id"], ["dshift", f"{name}_slot"], columns)
     return out
 
 
-def fuzzy_void_breaks(venue: DataFrame, neutral: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
+def fuzzy_void_breaks(venue: DataFrame, neutral: DataFrame, same: DataFrame) -> DataFrame:
     """Settled venue maps that were not played although another map of the fixture was, within a day.  ``seq`` identifies the venue's rows."""
     settled = venue.where("winner IS NOT NULL")
-    played = fuzzy_candidates(settled, neutral, "day", ("team_a", "team_b"), ["map_no"], 1, "n_", threshold, min_acronym).select("seq").distinct()
+    played = fuzzy_candidates(settled, neutral, "day", ("team_a", "team_b"), ["map_no"], 1, "n_", same=same).select("seq").distinct()
     rest = settled.join(played, "seq", "left_anti")
-    met = fuzzy_candidates(rest, neutral, "day", ("team_a", "team_b"), [], 1, "n_", threshold, min_acronym).select("seq").distinct()
+    met = fuzzy_candidates(rest, neutral, "day", ("team_a", "team_b"), [], 1, "n_", same=same).select("seq").distinct()
     return rest.join(met, "seq", "left_semi")
 
 

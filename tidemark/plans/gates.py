@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,21 +68,29 @@ def census(covered: DataFrame, depth: DataFrame, existence: DataFrame, venues: S
     return joined.withColumn("go_on", F.col("both_venues") & (F.col("n_family") >= params.min_covered))
 
 
+def known_names(tables: Sequence[DataFrame], threshold: float, min_acronym: int) -> DataFrame:
+    """``l``, ``r``: names of teams and winners in any of the tables, seen within two days of each other, that mean one team; written."""
+    columns = ["team_a", "team_b", "winner"]
+    everyone = materialise(reduce(DataFrame.unionByName, [t.select("day", *columns) for t in tables]).distinct(), "names-seen")
+    return materialise(matching.same_names(matching.named(everyone, "day", columns, 2), matching.named(everyone, "day", columns), threshold, min_acronym), "names-same")
+
+
 def fuzzy_parity(neutral: DataFrame, first: DataFrame, second: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> tuple[DataFrame, DataFrame]:
     """Counts of agreement on played maps (one row, with ``n_void``), and the disagreements: ``kind``, ``venue``, teams, ``map_no``, winners.
 
     ``neutral`` has ``match_id``, ``day``, ``team_a``, ``team_b``, ``map_no``, ``winner``; the venues' rows the same and ``seq``.
     """
-    first, second = (matching.settled_once(rows, "day", ("team_a", "team_b")) for rows in (first, second))
-    played = neutral.where("winner IS NOT NULL")
-    aligned = matching.aligned_maps(played, first, second, threshold, min_acronym).where("first_winner IS NOT NULL AND second_winner IS NOT NULL")
+    first, second = (materialise(matching.settled_once(rows, "day", ("team_a", "team_b")), "parity-venue") for rows in (first, second))
+    neutral = materialise(neutral, "parity-neutral")
+    same = known_names([neutral, first, second], threshold, min_acronym)
+    aligned = matching.aligned_maps(neutral.where("winner IS NOT NULL"), first, second, same).where("first_winner IS NOT NULL AND second_winner IS NOT NULL")
     for x, y, out in (("first_winner", "second_winner", "agree"), ("first_winner", "winner", "with_first"), ("second_winner", "winner", "with_second")):
-        aligned = matching.name_matches(aligned, x, y, out, threshold, min_acronym)
+        aligned = aligned.join(same.select(F.col("l").alias(x), F.col("r").alias(y), F.lit(True).alias(out)), [x, y], "left").fillna(False, out)
     aligned = materialise(aligned.select("match_id", "team_a", "team_b", "map_no", "winner", "first_winner", "second_winner", "agree", "with_first", "with_second"), "parity-aligned")
     none = F.lit(None).cast("string")
     lost = [aligned.where("NOT agree").select(F.lit("winner_mismatch").alias("kind"), none.alias("venue"), "team_a", "team_b", "map_no", "winner", "first_winner", "second_winner")]
     for venue, rows in (("K", first), ("P", second)):
-        breaks = matching.fuzzy_void_breaks(rows, neutral, threshold, min_acronym)
+        breaks = matching.fuzzy_void_breaks(rows, neutral, same)
         lost.append(breaks.select(F.lit("void_break").alias("kind"), F.lit(venue).alias("venue"), "team_a", "team_b", "map_no", none.alias("winner"), none.alias("first_winner"), none.alias("second_winner")))
     lost = materialise(lost[0].unionByName(lost[1]).unionByName(lost[2]), "parity-lost")
     n, has = F.count(F.lit(1)), F.col("n_aligned") > 0

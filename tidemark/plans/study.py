@@ -68,8 +68,9 @@ def g1(store: Store, params: SportParams) -> dict:
 def priced_maps(store: Store, params: SportParams) -> DataFrame:
     """Played maps that both venues have, with the contract of the first team at either: ``k_ticker``, ``p_token``; null where a venue's names do not say."""
     own = params.census.match_threshold, params.census.min_acronym
-    k, p = (matching.settled_once(venue_maps(store, v), "day", ("team_a", "team_b")) for v in VENUES)
-    both = matching.aligned_maps(neutral_maps(store), k, p, *own).where("first_contract_id IS NOT NULL AND second_contract_id IS NOT NULL")
+    k, p = (materialise(matching.settled_once(venue_maps(store, v), "day", ("team_a", "team_b")), "priced-venue") for v in VENUES)
+    neutral = neutral_maps(store)
+    both = matching.aligned_maps(neutral, k, p, gates.known_names([neutral, k, p], *own)).where("first_contract_id IS NOT NULL AND second_contract_id IS NOT NULL")
     for side, contract in (("first", "k_ticker"), ("second", "p_token")):
         both = matching.first_name(both, "match_id", f"{side}_names", "team_a", f"{side}_at", *own).withColumn(contract, F.get(f"{side}_contracts", F.col(f"{side}_at")))
     both = matching.name_matches(both, "team_a", "winner", "won", *own).withColumn("winner", F.when(F.col("won"), F.col("team_a")).otherwise(F.col("winner")))
