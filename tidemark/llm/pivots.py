@@ -155,9 +155,8 @@ def block_links(block: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
     block = block.sort_values(["d", "node"])
     side, both = block["side"].to_numpy(), bool(block["both"].iloc[0])
     q, m = side & 1 > 0, side & 2 > 0
-    none = pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
     if not q.any() or not m.any():
-        return none
+        return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
     node, d, weight, vector = block["node"].to_numpy(), block["d"].to_numpy(), block["weight"].to_numpy(), unit(block["v"])
     (qn, qd, qw, qv), (mn, md, mw, mv) = (tuple(x[own] for x in (node, d, weight, vector)) for own in (q, m))
     n, n_m = np.zeros(len(qn), dtype=np.int64), np.zeros(len(mn), dtype=np.int64)
@@ -184,8 +183,9 @@ def block_links(block: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
     u, v = np.concatenate(us), np.concatenate(vs)
     pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0) if len(u) else np.zeros((0, 2), dtype=np.int64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    counted = [pd.DataFrame({"u": ids[c > 0], "v": ids[c > 0], "n": c[c > 0]}) for ids, c in ((qn, n), (mn, n_m))][: 1 + both]
-    return pd.concat([none, pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "n": -1}), *counted])
+    counted = [np.stack([ids[c > 0], ids[c > 0], c[c > 0]], axis=1) for ids, c in ((qn, n), (mn, n_m))][: 1 + both]
+    out = np.concatenate([np.column_stack([pairs, np.full(len(pairs), -1)]), *counted])
+    return pd.DataFrame(out, columns=["u", "v", "n"])
 
 
 def links(vectors: DataFrame, min_cosine: float) -> tuple[DataFrame, DataFrame]:
