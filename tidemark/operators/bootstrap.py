@@ -1,6 +1,7 @@
 """Event-block bootstrap: blocks are drawn with replacement and move together.
 
-A draw is an integer hash of (seed, resample, place), so results do not depend on partitioning.
+A draw is an integer hash of (seed, resample, place), so results do not depend on partitioning,
+but for the last digit of sums.
 For a mean every block is reduced to (sum, n) first and written once; the draws are generated
 where they are used and never leave the plan.
 """
@@ -67,14 +68,16 @@ def bootstrap_mean(rows: DataFrame, by: Sequence[str], block: str, value: str, r
     """
     keys = list(by)
     blocks = materialise(rows.groupBy(*keys, block).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n")), "bootstrap-blocks")
-    summary = blocks.groupBy(*keys).agg((F.sum("_sum") / F.sum("_n")).alias("point"), F.count(F.lit(1)).alias("n_blocks"), F.sum("_n").alias("n"))
-    table = numbered(blocks, keys, [block], "_i", "bootstrap-numbered").select(*keys, "_i", "_sum", "_n")
-    if blocks.count() <= BROADCAST_BLOCKS:
-        table = F.broadcast(table)
-    picked = with_draws(summary.where("n_blocks >= 2").select(*keys, "n_blocks"), seed, resamples, "n_blocks", "_i")
-    stats = picked.join(table, [*keys, "_i"]).groupBy(*keys, "_r").agg((F.sum("_sum") / F.sum("_n")).alias("_stat"))
+    table = materialise(numbered(blocks, [], [*keys, block], "_at", "bootstrap-numbered"), "bootstrap-table")
+    # A key's blocks are the numbers from its first on, so a draw is one long and needs no key beside it.
+    summary = table.groupBy(*keys).agg((F.sum("_sum") / F.sum("_n")).alias("point"), F.count(F.lit(1)).alias("n_blocks"), F.sum("_n").alias("n"), F.min("_at").alias("_first"))
+    values = table.select("_at", "_sum", "_n")
+    if table.count() <= BROADCAST_BLOCKS:
+        values = F.broadcast(values)
+    picked = with_draws(summary.where("n_blocks >= 2").select("_first", "n_blocks"), seed, resamples, "n_blocks", "_i").withColumn("_at", F.col("_first") + F.col("_i"))
+    stats = picked.join(values, "_at").groupBy("_first", "_r").agg((F.sum("_sum") / F.sum("_n")).alias("_stat"))
     point = F.when(F.col("n_blocks") >= 2, F.col("point")).alias("point")
-    return summary.join(interval(stats, keys, resamples, ci_level), keys, "left").select(*keys, point, "ci_lo", "ci_hi", "n_blocks", "n")
+    return summary.join(interval(stats, ["_first"], resamples, ci_level), "_first", "left").select(*keys, point, "ci_lo", "ci_hi", "n_blocks", "n")
 
 
 def bootstrap(rows: DataFrame, by: Sequence[str], block: str, value: str, statistic: Callable[[Sequence[float]], float], resamples: int, seed: int, ci_level: float) -> DataFrame:
