@@ -532,3 +532,14 @@ def test_ingest_from_the_command_line(spark, tmp_path):
     assert {r.contract_id for r in store.read("discards").collect()} == {"c2"}
     store.log_spend("K", "/events", 200)
     assert store.read("spend_log").first().status == 200
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    from tidemark.tables import materialise, scratch
+
+    with scratch() as keep:
+        gone = materialise(spark.range(3), "t")
+        kept = keep(materialise(gone.selectExpr("id + 1 AS id"), "t"))
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3]
+    with pytest.raises(Exception, match="(?i)not.*exist|PATH_NOT_FOUND"):
+        spark.read.parquet(gone._tm_path).count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,20 +64,28 @@ def discard(table: DataFrame) -> None:
         _delete(*entry)
 
 
-def release(keep: int = 0) -> None:
-    """Delete the tables that ``materialise`` wrote, all but the first ``keep``."""
-    while len(_written) > keep:
+def release() -> None:
+    """Delete the tables that ``materialise`` wrote."""
+    while _written:
         _delete(*_written.pop())
 
 
 @contextmanager
-def scratch() -> Iterator[None]:
-    """Tables that are written inside go when the block ends; write the block's result within it elsewhere."""
-    before = len(_written)
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written inside go when the block ends, but for those that are given to the function it yields."""
+    before, kept = len(_written), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._tm_path)
+        return table
+
     try:
-        yield
+        yield keep
     finally:
-        release(before)
+        for entry in _written[before:]:
+            if entry[1] not in kept:
+                _written.remove(entry)
+                _delete(*entry)
 
 
 atexit.register(release)
