@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, scratch
 
 ORDER = 4
 CHUNK_BYTES = 32_000_000
@@ -179,7 +179,9 @@ def score(docs: DataFrame, held_out, order: int = ORDER, smoothing: float = 0.1,
     known, total = vocabulary.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0))).first()
     whole = total + smoothing * (known + 1)
     coded = counts.where("gram IS NOT NULL")
-    table = materialise(model(materialise(coded.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams"), order), "ppm-model")
+    with scratch() as keep:  # the tables of the shorter contexts go
+        top = materialise(coded.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
+        table = keep(materialise(model(top, order), "ppm-model"))
     lookups = words.select("chunk", "word").join(vocabulary, "word").select("chunk", "word", F.lit(None).cast("bigint").alias("gram"), F.col("c").cast("double").alias("value"))
     lookups = lookups.unionByName(coded.select("chunk", "gram").join(table, "gram").select("chunk", F.lit(None).cast("binary").alias("word"), "gram", F.col("lp").alias("value")))
 
