@@ -2,6 +2,7 @@ import collections
 import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,15 @@ def test_probabilities_after_a_context_sum_to_one(spark):
     for r in lp:
         total[r.gram >> 8] += 10**r.lp
     assert all(v == pytest.approx(1.0) for v in total.values())
+
+
+@pytest.mark.parametrize("order", [1, 4, 6, 7])
+def test_sums_of_many_texts_at_once(monkeypatch, order):
+    texts = [b"abracadabra", None, b"", b"ab" * 50, "é漢字".encode(), b"x" * 300]
+    keys = np.unique(np.concatenate([ppm.grams(t, order) for t in texts]))
+    values = np.random.default_rng(2).random(len(keys))
+    want = [float(values[np.searchsorted(keys, ppm.grams(t, order))].sum()) for t in texts]
+    for size in (4_000_000, 120, 5):
+        monkeypatch.setattr(ppm, "SLICE_BYTES", size)
+        assert ppm.gram_sums(texts, order, keys, values) == [pytest.approx(x) for x in want]
+    assert ppm.gram_sums([], order, keys, values) == []

@@ -50,6 +50,37 @@ def grams(text: bytes | None, order: int) -> np.ndarray:
     return code
 
 
+def gram_sums(texts: Iterable[bytes | None], order: int, keys: np.ndarray, values: np.ndarray) -> list[float]:
+    """For each text the sum of the values of its grams; ``keys`` (sorted) has them all.
+
+    Codes of many texts are sorted together with the number of their text beside them, so each
+    distinct gram of a slice is looked up once.
+    """
+    bits = max(0, 62 - 8 * (order + 1))
+    out: list[float] = []
+    held: list[np.ndarray] = []
+
+    def summed() -> list[float]:
+        if len(held) == 1:  # a long text, or no room for a number
+            return [float(values[np.searchsorted(keys, held[0])].sum())]
+        number = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        both = np.sort(np.concatenate(held) << bits | number)
+        code = both >> bits
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        each = np.repeat(values[np.searchsorted(keys, code[starts])], np.diff(np.r_[starts, len(code)]))
+        return np.bincount(both & ((1 << bits) - 1), weights=each, minlength=len(held)).tolist()
+
+    size = 0
+    for text in texts:
+        own = grams(text, order)
+        if held and (size + len(own) > SLICE_BYTES or len(held) >= 1 << bits):
+            out += summed()
+            held, size = [], 0
+        held.append(own)
+        size += len(own)
+    return out + summed() if held else out
+
+
 class GramCounts:
     """Distinct grams and their counts, gathered a slice at a time."""
 
@@ -193,9 +224,11 @@ def score(docs: DataFrame, held_out, order: int = ORDER, smoothing: float = 0.1,
         unknown = float(np.log10(np.float64(smoothing) / whole))  # of a word with no count; all others have more
         del of_words, logs
         of_grams = entries.filter(entries.column("gram").is_valid())
-        of_grams = of_grams.sort_by("gram")
         keys, values = of_grams.column("gram").to_numpy(), of_grams.column("value").to_numpy()
-        n_tokens, n_known, base, byte_score = [], [], [], []
+        by_gram = np.argsort(keys)
+        keys, values = keys[by_gram], values[by_gram]
+        byte_score = gram_sums((text.as_py() for text in texts.column("text")), order, keys, values)
+        n_tokens, n_known, base = [], [], []
         for text in texts.column("text"):
             raw = text.as_py()
             own = tokens(raw)
@@ -203,7 +236,6 @@ def score(docs: DataFrame, held_out, order: int = ORDER, smoothing: float = 0.1,
             each = list(map(log_c.__getitem__, own))
             n_known.append(len(own) - each.count(unknown))
             base.append(math.fsum(each))
-            byte_score.append(float(values[np.searchsorted(keys, grams(raw, order))].sum()))
         n = len(n_tokens)
         return pa.Table.from_arrays(
             [texts.column("doc_id"), texts.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([total] * n, pa.int64()), pa.array(base, pa.float64()), pa.array(byte_score, pa.float64())],
