@@ -114,6 +114,6 @@ def test_sums_of_many_texts_at_once(monkeypatch, order):
     values = np.random.default_rng(2).random(len(keys))
     want = [float(values[np.searchsorted(keys, ppm.grams(t, order))].sum()) for t in texts]
     for size in (4_000_000, 120, 5):
-        monkeypatch.setattr(ppm, "SLICE_BYTES", size)
+        monkeypatch.setattr(ppm, "LOOKUP_BYTES", size)
         assert ppm.gram_sums(texts, order, keys, values) == [pytest.approx(x) for x in want]
     assert ppm.gram_sums([], order, keys, values) == []

@@ -30,7 +30,8 @@ from tidemark.llm.common import materialise, scratch
 
 ORDER = 4
 CHUNK_BYTES = 32_000_000
-SLICE_BYTES = 4_000_000  # grams that are sorted at a time
+SLICE_BYTES = 4_000_000  # grams that are counted at a time
+LOOKUP_BYTES = 400_000  # grams that are looked up at a time
 START, END = b"\xfe", b"\xff"
 END_TOKEN = b"\n"  # no word holds it
 
@@ -73,7 +74,7 @@ def gram_sums(texts: Iterable[bytes | None], order: int, keys: np.ndarray, value
     size = 0
     for text in texts:
         own = grams(text, order)
-        if held and (size + len(own) > SLICE_BYTES or len(held) >= 1 << bits):
+        if held and (size + len(own) > LOOKUP_BYTES or len(held) >= 1 << bits):
             out += summed()
             held, size = [], 0
         held.append(own)
