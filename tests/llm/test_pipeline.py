@@ -1,3 +1,5 @@
+from hashlib import sha256
+
 import corpus_pipeline
 from tidemark.llm.common import materialise
 from tidemark.llm.registry import ORACLES, QUERIES
@@ -36,3 +38,23 @@ def test_empty_table(spark, tmp_path):
 def test_a_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_awkward_rows_through_every_stage(spark, frame, awkward, tmp_path):
+    """Null ids and texts, empty, blank and very long texts, repeated rows, columns whose names the operators use inside."""
+    sf = str(tmp_path)
+    frame(awkward).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")  # nothing to learn from: all stay
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, sf), f"test-{name}")
+        assert name == "encode" or docs.columns == columns
+        kept[name] = sorted((r.doc_id for r in docs.collect()), key=str)
+    assert kept["quality"] == sorted((r[0] for r in awkward), key=str)
+    assert kept["exact"] == sorted([2, 4, 5, 6, 7, 8, 9, 10, None, 11, 12], key=str)  # the largest id of equal texts; null is empty
+    assert kept["near"] == sorted([2, 4, 6, 9, 10, None, 11], key=str)
+    assert set(kept["mix"]) <= set(kept["near"]) and max(map(kept["mix"].count, kept["mix"])) <= 2
+    texts = {(t or "").encode() for _, t in (r[:2] for r in awkward)}
+    assert {r.decoded_sha256 for r in docs.collect()} <= {sha256(t).hexdigest() for t in texts}
+    assert sorted((r.doc_id for r in corpus_pipeline.run(spark, sf).collect()), key=str) == kept["encode"]
