@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, scratch
+from tidemark.llm.common import materialise, partitions, scratch
 
 ORDER = 4
 CHUNK_BYTES = 32_000_000
@@ -244,4 +244,6 @@ def score(docs: DataFrame, held_out, order: int = ORDER, smoothing: float = 0.1,
         )
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return chunks.groupBy("chunk").cogroup(lookups.groupBy("chunk")).applyInArrow(lambda texts, entries: scored(texts, entries), schema)
+    parts = max(partitions(chunks.sparkSession), 2 * chunks.agg(F.count_distinct("chunk")).first()[0])  # a task gets few chunks, however many there are
+    texts, entries = (x.repartition(parts, "chunk").groupBy("chunk") for x in (chunks, lookups))
+    return texts.cogroup(entries).applyInArrow(lambda texts, entries: scored(texts, entries), schema)
