@@ -46,7 +46,8 @@ def test_null_and_repeated_ids(spark):
 
 @pytest.mark.parametrize("cosine", [0.93, 0.6])
 def test_cells_blocks_and_dense_groups(spark, cosine, monkeypatch):
-    monkeypatch.setattr(pivots, "BLOCK", 64)
+    monkeypatch.setattr(pivots, "CUT", 64)
+    monkeypatch.setattr(pivots, "BLOCK_VALUES", 64 * 8)
     monkeypatch.setattr(pivots, "PIVOTS", 8)
     rng = np.random.default_rng(7)
     centre = rng.normal(size=(6, 8))
@@ -59,7 +60,8 @@ def test_cells_blocks_and_dense_groups(spark, cosine, monkeypatch):
 
 
 def test_cells_are_cut_again_where_that_pays_and_only_there(spark, monkeypatch):
-    monkeypatch.setattr(pivots, "BLOCK", 32)
+    monkeypatch.setattr(pivots, "CUT", 32)
+    monkeypatch.setattr(pivots, "BLOCK_VALUES", 32 * 24)
     monkeypatch.setattr(pivots, "PIVOTS", 8)
     rng = np.random.default_rng(3)
     own = [[np.eye(24)[k] + 0.5 * x / np.linalg.norm(x) for x in rng.normal(size=(6, 24))] for k in range(8)]  # groups of groups

@@ -35,10 +35,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, partitions
 from tidemark.llm.graph import components
 
-BLOCK = 4096  # vectors in a block; a cell with more at home may be cut
+BLOCK_VALUES = 1 << 20  # components of a block's vectors, about: 16384 vectors of 64, 1024 of 1024
+CUT = 4096  # a cell with more vectors at home may be cut
 PART = 4096  # vectors of a cell that are dealt out at a time
 PIVOTS = 128  # of one cut
 SAMPLE = 2048  # vectors by which a cut is judged, about
@@ -109,7 +110,7 @@ def cells(vectors: DataFrame, r: float) -> DataFrame:
 
     for _ in range(DEPTH):
         sizes = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("members"))
-        large = materialise(sizes.where(F.col("homes") > BLOCK).withColumn("parts", F.ceil(F.col("members") / PART).cast("int")), "pivot-large")
+        large = materialise(sizes.where(F.col("homes") > CUT).withColumn("parts", F.ceil(F.col("members") / PART).cast("int")), "pivot-large")
         if large.isEmpty():
             break
         chance = F.pmod(F.xxhash64("node", "cell"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -135,8 +136,8 @@ def blocks(rows: DataFrame) -> DataFrame:
     ``side`` is 1 for what is joined from (its links are counted), 2 for what is joined with, 3 for
     a block that is joined with itself.  With ``both`` links are counted on either side.
     """
-    n = lambda c: F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int")
-    sizes = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("members")).where("homes > 0")
+    n = lambda c: F.greatest(F.ceil(c * F.col("width") / BLOCK_VALUES), F.lit(1)).cast("int")
+    sizes = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("members"), F.max(F.size("v")).alias("width")).where("homes > 0")
     sizes = materialise(sizes.select("cell", (F.col("homes") == F.col("members")).alias("alike"), n(F.col("homes")).alias("hb"), n(F.col("members")).alias("mb")), "pivot-sizes")
     numbered = rows.join(sizes, "cell").withColumn("own_h", F.pmod(F.xxhash64("node"), F.col("hb")).cast("int")).withColumn("own_m", F.pmod(F.xxhash64("node", F.lit(1)), F.col("mb")).cast("int"))
     columns = ["cell", "i", "j", "both", "side", "node", "d", "weight", "v"]
@@ -196,6 +197,8 @@ def links(vectors: DataFrame, min_cosine: float) -> tuple[DataFrame, DataFrame]:
     nothing is broadcast or brought to the driver.
     """
     dealt = blocks(cells(vectors, math.acos(min_cosine)))
+    # Dealt out by number: by their few bytes, adaptive execution would compare many blocks in one task.
+    dealt = dealt.repartition(partitions(vectors.sparkSession), "cell", "i", "j")
     found = dealt.groupBy("cell", "i", "j").applyInPandas(lambda block: block_links(block, min_cosine), "u bigint, v bigint, n bigint")
     found = materialise(found, "pivot-links")
     counts = found.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
