@@ -49,6 +49,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder; what is written there goes as the tables of ``materialise`` do."""
+    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,18 +72,18 @@ def discard(table: DataFrame) -> None:
 
 
 def release() -> None:
-    """Delete the tables that ``materialise`` wrote."""
+    """Delete the tables that ``materialise`` wrote, and the folders of ``folder``."""
     while _written:
         _delete(*_written.pop())
 
 
 @contextmanager
-def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables that are written inside go when the block ends, but for those that are given to the function it yields."""
+def scratch() -> Iterator[Callable]:
+    """Tables and folders that are made inside go when the block ends, but for those that are given to the function it yields."""
     before, kept = len(_written), set()
 
-    def keep(table: DataFrame) -> DataFrame:
-        kept.add(table._tm_path)
+    def keep(table):  # noqa: ANN001, ANN202
+        kept.add(table if isinstance(table, str) else table._tm_path)
         return table
 
     try:
