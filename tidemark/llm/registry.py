@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, edits, licenses, mixing, naming, packing, pivots, ppm, quality, simhash
-from tidemark.llm.common import documents
+from tidemark.llm import bpe, edits, fim, licenses, mixing, naming, packing, pivots, ppm, quality, simhash, trie, warc
+from tidemark.llm.common import documents, folder
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -91,6 +91,66 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(documents(spark, sf_dir), seed=1, percent=90, spm_percent=20)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS s FROM documents),
+h AS (SELECT *, len(u) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, u,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, list_reduce(list_concat([4294967295], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda k: ascii(substr(conv_id::VARCHAR, k, 1)))), lambda crc, b:
+    list_reduce(list_concat([xor(crc, b)], range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM (SELECT DISTINCT conv_id FROM t)
+), h AS (SELECT conv_id AS c, xor(crc, 4294967295) % 9 AS h FROM convs), turns AS (
+  SELECT c, 0 AS own, i, role, text FROM h JOIN t ON t.conv_id = c - c % 5 AND i < h UNION ALL SELECT c, 1, i, role, text FROM h JOIN t ON t.conv_id = c AND i >= h
+), whole AS (
+  SELECT h.c, coalesce(list({'role': role, 'text': text} ORDER BY own, i) FILTER (role IS NOT NULL), []) AS s FROM h LEFT JOIN turns x ON h.c = x.c GROUP BY h.c
+), members AS (SELECT c, d, s[1:d] AS p, d = len(s) AS ends FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM whole)), nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ended,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].text) END AS saved FROM members GROUP BY p, d
+), shown AS (SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes x WHERE x.d = n.d + 1 AND x.p[1:n.d] = n.p) AS n_children FROM nodes n LEFT JOIN nodes u ON n.d > 0 AND u.d = n.d - 1 AND u.p = n.p[1:n.d - 1])
+SELECT a.conv_id, a.d AS depth, any_value(a.parent_conv_id) AS parent_conv_id, any_value(a.n_convs) AS n_convs, any_value(a.n_children) AS n_children,
+  count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens, sha256(any_value(a.ended)) AS ends_sha256
+FROM shown a JOIN shown b ON b.d >= a.d AND b.p[1:a.d] = a.p GROUP BY a.conv_id, a.d
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = warc.read(warc.write(pages, folder(spark, "warc")), payloads=False)
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT *, list_transform(range(4), lambda k: ('0x' || hex[10 * k + 1:10 * k + 10])::BIGINT) AS v FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v[k // 8 + 1] >> (5 * (7 - k % 8))) & 31) + 1]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pivots": op2_pivots,
@@ -102,6 +162,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_naming": op8_naming,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_fim": op11_fim,
+    "op12_trie": op12_trie,
+    "op13_warc": op13_warc,
 }
 
 OP2_SQL = """
@@ -122,4 +185,4 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.u = e.vec_id) AS n_links,
 FROM embeddings e JOIN roots r ON r.vec_id = e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op2_pivots": OP2_SQL, "op8_naming": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_pivots": OP2_SQL, "op8_naming": OP8_SQL, "op11_fim": OP11_SQL, "op12_trie": OP12_SQL, "op13_warc": OP13_SQL}
