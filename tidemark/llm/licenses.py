@@ -41,17 +41,30 @@ NOTICE_PHRASES = {
 #: Words of an identifier tag, as words of the text.
 TAG = "spdx license identifier"
 
-#: Beginnings of licence identifiers, and labels.  The longest that fits holds.
-IDENTIFIERS = {
-    "mit": "mit", "apache": "apache", "gpl": "gpl", "agpl": "agpl", "lgpl": "lgpl", "mpl": "mpl", "epl": "epl", "bsd": "bsd",
-    "0bsd": "bsd", "isc": "isc", "bsl": "bsl", "cc-by": "cc-by", "cc-by-nc": "cc-by-nc", "cc0": "public-domain", "unlicense": "public-domain",
-}
-
-#: How restrictive a label is; an identifier that is not known stands above all of them.
-RESTRICTIVE = {
-    "public-domain": 0, "mit": 1, "bsd": 1, "isc": 1, "bsl": 1, "apache": 1, "cc-by": 1, "mpl": 2, "epl": 2, "lgpl": 2, "gpl": 3, "agpl": 4, "cc-by-nc": 5,
-}
-UNKNOWN, SOFTENED = 6, {3: 2, 4: 2}  # an exception makes strong copyleft weak
+#: How restrictive a label is, from 0: free of conditions, notice only, unknown, conditions on changed files,
+#: on whole works, on use over a network, on purpose or change, no licence at all.  What is not known is never
+#: a reason to take a copyleft side, nor to leave a side that is known to ask for a notice only.
+FREE, NOTICE, UNKNOWN, FILES, WORKS, NETWORK, LIMITED, CLOSED = range(8)
+
+#: Families of licence identifiers (what comes before a version or variant), by how restrictive they are.
+FAMILIES = {
+    FREE: "0bsd blessing cc0 cc-pddc fsfap fsfullr libselinux mit-0 pddl public-domain sax-pd unlicense wtfpl",
+    NOTICE: "adsl afl amdplpa aml apache apafml artistic bitstream-vera blueoak boehm-gc borceux bsd bsl bzip2 caldera cc-by cecill-b cnri cube curl diffmark dotseqn dsdp egenix entessa eudatagrid fsful ftl giftware glide hpnd "
+    "ibm-pibs icu ijg imagemagick info-zip intel isc jasper json latex2e libpng libtiff mirros mit mit-cmu mitnfa mpich2 mtll mulanpsl naumen ncsa net-snmp netcdf newsletr nist ntp odc-by ofl ogl oldap olfl openssl php plexus postgresql psf "
+    "psfrag psutils python rsa-md ruby saxpath sgi-b smlnj ssh-openssh tcl tcp-wrappers tmate torque ucar unicode upl vim vsl w3c x11 xerox xinetd xnet xpp zed zend zlib zpl",
+    FILES: "apsl cddl cecill-c cpl ecl ecos epl erlpl frameworx ipl lgpl lgpllr lpl mpl ms-pl ms-rl nasa nokia nosl npl rpsl simpl spl sissl ypl zimbra",
+    WORKS: "cc-by-sa cecill copyleft-next eupl gfdl gpl lal odbl ms-lpl osl qpl rpl sleepycat watcom",
+    NETWORK: "agpl cpal sspl parity",
+    LIMITED: "aladdin busl cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd elastic hippocratic polyform prosperity",
+    CLOSED: "none noassertion proprietary",
+}
+RANK_OF_FAMILY = {family: rank for rank, families in FAMILIES.items() for family in families.split()}
+
+#: Labels that stand for several families.
+SAME_LABEL = {"0bsd": "bsd", "cc0": "public-domain", "cc-pddc": "public-domain", "unlicense": "public-domain", "none": "proprietary", "noassertion": "unknown"}
+RESTRICTIVE = {SAME_LABEL.get(f, f): rank for f, rank in RANK_OF_FAMILY.items()} | {"public-domain": FREE, "bsd": NOTICE, "unknown": UNKNOWN}
+SOFTENED = {WORKS: FILES, NETWORK: FILES}  # an exception makes strong copyleft weak
+IDENTIFIER = re.compile(r"licenseref-|documentref-|.*[0-9-]")  # what an identifier that is not known looks like; other words are prose
 
 BINDING = {"or": 1, "and": 2, "with": 3}
 TAG_IN_TEXT = re.compile(rb"(?<![0-9a-z\x80-\xff])spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier(?![0-9a-z\x80-\xff])[ \t]*:?[ \t]*([^\r\n]*)")
@@ -95,9 +108,14 @@ def postfix(expression: str) -> list[str]:
 
 
 def label_of(identifier: str) -> str:
-    """The label of a licence identifier, or itself if none is known."""
-    known = [k for k in IDENTIFIERS if identifier == k or identifier.startswith((k + "-", k + "+"))]
-    return IDENTIFIERS[max(known, key=len)] if known else identifier
+    """The label of a licence identifier: that of the longest family it belongs to, ``unknown`` without one.  ValueError if it is a word of prose."""
+    parts = re.split("(?=[-+])", identifier.removesuffix("+"))
+    for n in range(len(parts), 0, -1):
+        if (family := "".join(parts[:n])) in RANK_OF_FAMILY:
+            return SAME_LABEL.get(family, family)
+    if not IDENTIFIER.match(identifier):
+        raise ValueError(f"{identifier} is no identifier")
+    return "unknown"
 
 
 def evaluate(expression: str) -> frozenset[str]:
@@ -123,7 +141,7 @@ def evaluate(expression: str) -> frozenset[str]:
                 stack.append((max(left[0], right[0]), len(both), both))
         else:
             label = label_of(token)
-            stack.append((RESTRICTIVE.get(label, UNKNOWN), 1, [label]))
+            stack.append((RESTRICTIVE[label], 1, [label]))
     return frozenset(stack[0][2])
 
 
@@ -174,8 +192,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE_PHRASES, notices: dict[str
     ``last_word`` (of their starts; null without any), ``base_labels``, ``labels`` (sorted arrays; of
     a tag those that its expression comes to),
     ``score`` and ``places``, an array of (word, phrase).  The score is 1 for a tag with a
-    valid expression, 0.9 for a base phrase, 0.7 for another notice, 0.5 for a malformed tag
-    and else 0.  Null counts as the empty text, repeated rows and null ids give a row each,
+    valid expression, 0.9 for a base phrase, 0.7 for another notice, 0.5 for a malformed tag (also one
+    that is followed by prose, which gives no labels) and else 0.  An identifier that is not known has the label ``unknown``.  Null counts as the empty text, repeated rows and null ids give a row each,
     an empty table none.  Rows stay where they are.
     """
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, score double, places array<struct<word: bigint, phrase: string>>"
