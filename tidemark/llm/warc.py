@@ -3,7 +3,7 @@
 The reader is splittable: an archive is cut into ranges, a task scans its range for the gzip
 magic, takes a place for the beginning of a member only if the header's flags hold, the whole
 member decodes with the right checksum to a WARC record of the stated length, and another
-member or the end of the file follows, and owns the records that begin inside its range.
+member or the end of the file follows (or the file begins there), and owns the records that begin inside its range.
 From the first one on members follow each other without a scan.
 
 Files are reached through ``pyarrow.fs``, by the scheme of their path.  A task names its
@@ -161,7 +161,7 @@ class Archive:
             window = self.bytes_at(at, CHUNK + len(MAGIC) - 1)  # a magic across two windows is seen by the first
             found = window.find(MAGIC)
             while 0 <= found < CHUNK and at + found < end:
-                if (whole := self.member(at + found)) and parsed(whole[0]) and (whole[1] == self.size or self.begins(whole[1])):
+                if (whole := self.member(at + found)) and parsed(whole[0]) and (at + found == 0 or whole[1] == self.size or self.begins(whole[1])):
                     return at + found
                 found = window.find(MAGIC, found + 1)
             at += CHUNK
