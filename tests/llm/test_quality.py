@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from tidemark.llm import quality
@@ -86,3 +88,17 @@ def test_texts_are_gathered_in_parts(monkeypatch):
     monkeypatch.setattr(quality, "GATHER", 2)
     parts = [np.concatenate(x) for x in zip(*quality.gathered(texts, 64), strict=True)]
     assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
+
+
+def test_threshold_lies_anywhere(spark):
+    """Long texts have weights far from zero: brute force over all places, at the stated resolution."""
+    rng = random.Random(4)
+    for shift, scale in ((0, 5), (-90_000, 4000), (50_000, 30)):
+        rows = [(i, shift + scale * (rng.gauss(2, 1) if i % 3 else rng.gauss(-2, 1)), bool(i % 3)) for i in range(400)]
+        scored = spark.createDataFrame([r[:2] for r in rows], "doc_id long, log_weight double")
+        labels = spark.createDataFrame([(r[0], r[2], False) for r in rows], "doc_id long, target boolean, fit boolean")
+        cost = lambda at: sum(4 if target else 0 for _, w, target in rows if w < at) + sum(not target for _, w, target in rows if w >= at)  # noqa: E731, B023
+        found = quality.threshold(scored, labels)
+        assert cost(found) <= min(cost(w + 0.07) for _, w, _ in rows) + 1
+    assert quality.threshold(scored, labels.where("doc_id < 0")) == float("-inf")
+    assert quality.threshold(scored, labels.where("target")) == float("-inf")

@@ -45,14 +45,14 @@ def ngram_buckets(text: bytes | None, buckets: int = BUCKETS) -> Iterator[np.nda
 
 
 def label_sample(labels: DataFrame, most: int = LABELS) -> DataFrame:
-    """At most ``most`` rows ``doc_id``, ``target``, ``fit``: one for each id, the ids drawn by a hash.  Nulls are left out.
+    """At most ``most`` rows ``doc_id``, ``target``, ``fit``, written once: one for each id, the ids drawn by a hash.  Nulls are left out.
 
     Three of four are for fitting; the rest find the threshold, as a text's own n-grams in the
     target model would flatter it.
     """
     known = labels.where("doc_id IS NOT NULL AND target IS NOT NULL").groupBy("doc_id").agg(F.max("target").alias("target"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return F.broadcast(drawn.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) > 0))
+    return F.broadcast(materialise(drawn.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) > 0), "quality-labels"))
 
 
 def gathered(texts: Iterable[bytes | None], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,23 +118,32 @@ def log_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_ngrams bigint, log_weight double")
 
 
-def threshold(scored: DataFrame, labels: DataFrame, target_cost: int = 4, low: float = -256.0, high: float = 256.0) -> float:
+def threshold(scored: DataFrame, labels: DataFrame, target_cost: int = 4, resolution: float = 0.125) -> float:
     """The log weight that parts the labelled rows not fitted to at the least cost; of several the lowest.
 
     A target row below it costs ``target_cost`` times as much as another row above it: what is
-    lost here is lost for good.
+    lost here is lost for good.  It is sought between the least and the largest weight of
+    these rows, in ``BINS`` steps, and again around the best of them until a step is fine enough.
     Minus infinity if there are no such rows or if none of them is to go.
     """
-    step = (high - low) / BINS
-    place = F.least(F.greatest(F.floor((F.col("log_weight") - low) / step), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    counts = np.zeros((2, BINS), dtype=np.int64)
-    for target, at, n in scored.join(labels.where("NOT fit"), "doc_id").groupBy("target", place.alias("at")).agg(F.count(F.lit(1))).collect():  # at most 2 * BINS rows
-        counts[int(target), at] = n
-    if not counts.any():
+    held = materialise(scored.join(labels.where("NOT fit"), "doc_id").select("target", "log_weight"), "quality-held-out")  # at most the label sample, times repeated ids
+    low, high = held.agg(F.min("log_weight"), F.max("log_weight")).first()
+    if low is None:
         return float("-inf")
-    errors = target_cost * np.r_[0, counts[1].cumsum()] + counts[0].sum() - np.r_[0, counts[0].cumsum()]
-    best = int(errors.argmin())
-    return low + best * step if best else float("-inf")
+    while True:
+        step = max((high - low) / BINS, resolution / 2)
+        place = F.least(F.greatest(F.floor((F.col("log_weight") - low) / step) + 1, F.lit(0)), F.lit(BINS + 1)).cast("int")
+        counts = np.zeros((2, BINS + 2), dtype=np.int64)  # of others and targets: below all steps, in each, above
+        for target, at, n in held.groupBy("target", place.alias("at")).agg(F.count(F.lit(1))).collect():  # at most 2 * (BINS + 2) rows
+            counts[int(target), at] = n
+        below = np.c_[np.zeros(2, dtype=np.int64), counts.cumsum(axis=1)]  # of nothing, of what is below the first step, ...
+        errors = target_cost * below[1] + counts[0].sum() - below[0]
+        best = int(errors.argmin())
+        if best == 0:
+            return float("-inf")
+        if step <= resolution:
+            return low + (best - 1) * step
+        low, high = low + (best - 2) * step, low + best * step
 
 
 def resample(scored: DataFrame, k: int, seed: int = 42) -> DataFrame:
