@@ -1,7 +1,8 @@
+import os
 from hashlib import sha256
 
 import corpus_pipeline
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, release, shared_dir
 from tidemark.llm.registry import ORACLES, QUERIES
 
 
@@ -28,6 +29,15 @@ def test_run_gives_the_stages_rows(spark, sf):
     assert once == again and once
 
 
+def test_nothing_is_left_in_the_shared_folder(spark, sf):
+    release()
+    corpus_pipeline.run(spark, sf).count()
+    at = shared_dir(spark).removeprefix("file:").replace("//", "/")
+    assert sum(x.startswith("tidemark-pipeline") for x in os.listdir(at)) == 1  # what the last stage reads
+    release()
+    assert [x for x in os.listdir(at) if x.startswith("tidemark-")] == []
+
+
 def test_empty_table(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     for t in ("documents", "labels"):
@@ -36,7 +46,7 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_a_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
