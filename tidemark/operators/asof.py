@@ -66,15 +66,28 @@ def asof_join(
     return found.select("_l.*", *[F.col(f"_r.{c}").alias(prefix + c) for c in carried])
 
 
-def grid(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, value: str, left_name: str, right_name: str, ties: Sequence[str] = ()) -> DataFrame:
-    """All instants of both series of a key, each once, with the value that each side has then (null before its first)."""
+def grid(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, value: str, left_name: str, right_name: str, ties: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
+    """All instants of both series of a key, each once, with the value that each side has then (null before its first).
+
+    ``bucket`` cuts a key's time as in ``asof_join``, so that no task sorts a whole key.
+    """
     tie = F.struct(*[F.col(c) for c in ties] or [F.lit(0).alias("none")]).alias("_tie")
     none = F.lit(None).cast("double")
     one = left.select(*by, t, tie, F.struct(F.col(value).alias("v")).alias("_a"))
     two = right.select(*by, t, tie, F.struct(F.col(value).alias("v")).alias("_b"))
     per_instant = one.unionByName(two, allowMissingColumns=True).groupBy(*by, t).agg(F.max_by("_a", F.when(F.col("_a").isNotNull(), F.col("_tie"))).alias("_a"), F.max_by("_b", F.when(F.col("_b").isNotNull(), F.col("_tie"))).alias("_b"))
-    running = Window.partitionBy(*by).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = list(by)
+    if bucket:
+        group = [*by, "_cell"]
+        per_instant = per_instant.where(F.col(t).isNotNull()).withColumn("_cell", F.floor(F.col(t) / bucket))
+        last = per_instant.groupBy(*group).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(t))).alias(c) for c in ("_a", "_b")])
+        before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row per key and bucket
+        seeds = last.withColumns({c: F.last(c, ignorenulls=True).over(before) for c in ("_a", "_b")}).where("_a IS NOT NULL OR _b IS NOT NULL")
+        per_instant = per_instant.unionByName(seeds, allowMissingColumns=True)  # a seed has no time and comes first
+    running = Window.partitionBy(*group).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = per_instant.withColumn("_a", F.last("_a", ignorenulls=True).over(running)).withColumn("_b", F.last("_b", ignorenulls=True).over(running))
+    if bucket:
+        held = held.where(F.col(t).isNotNull())
     return held.select(*by, t, F.coalesce(F.col("_a.v"), none).alias(left_name), F.coalesce(F.col("_b.v"), none).alias(right_name))
 
 

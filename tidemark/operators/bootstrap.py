@@ -2,22 +2,28 @@
 
 A draw is an integer hash of (seed, resample, place), so results do not depend on partitioning,
 but for the last digit of sums.
-For a mean every block is reduced to (sum, n) first and written once; the draws are generated
-where they are used and never leave the plan.
+For a mean every block is reduced to (sum, n) first and written once.  A key's blocks then travel as
+arrays, and a task makes a range of resamples from them: draws are places in an array and never
+rows.  Where a key has more blocks than a task holds, its chunks give partial sums of each
+resample, which add up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.tables import materialise, numbered
 
-BROADCAST_BLOCKS = 100_000  # up to so many blocks (of three numbers) the table is broadcast
+MOST_BLOCKS = 1 << 20  # blocks that a task holds, as arrays of two numbers each
+MOST_DRAWS = 1 << 27  # draws that a task makes
+PLACES = 1 << 20  # places that are drawn for at a time
 PER_TASK = 200  # resamples of an arbitrary statistic that one task makes
 
 #: The prime 2^31 - 1 and multipliers of the draw's hash.  All products stay below 2^48.
@@ -37,21 +43,47 @@ def draw_of(seed: int, resample: int, place: int, n: int) -> int:
     return mix(mix(resample + seed) ^ mix(place + 1)) % n
 
 
-def _mixed(rows: DataFrame, x: str) -> DataFrame:
-    """``mix`` of a column, in its place.  One step to a projection: each is used twice by the next, and so computed once."""
-    for multiplier, shift in zip(MULTIPLIERS, SHIFTS, strict=False):
-        rows = rows.withColumn(x, F.col(x) % PRIME * multiplier % PRIME)
-        rows = rows.withColumn(x, F.col(x).bitwiseXOR(F.shiftright(x, shift)))
-    return rows.withColumn(x, F.col(x) % PRIME * MULTIPLIERS[-1] % PRIME)
+def chunks_of(table: DataFrame, summary: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
+    """``_first``, ``n_blocks``, ``_from``, ``_sums``, ``_ns``: each key's blocks in their order, as arrays of at most ``most``; ``_from`` is the place of the first.
+
+    ``table`` has ``_at``, ``_sum``, ``_n``, of which a key's are the numbers from ``_first`` on.
+    """
+    keys = [c for c in summary.columns if c in table.columns]
+    of = summary.select("_first", "n_blocks", *[F.col(c).alias(f"_of_{c}") for c in keys])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], F.lit(True))
+    placed = table.join(of, same).withColumn("_i", F.col("_at") - F.col("_first"))
+    blocks = F.array_sort(F.collect_list(F.struct("_i", "_sum", "_n")))
+    grouped = placed.groupBy("_first", "n_blocks", F.floor(F.col("_i") / most).alias("_chunk")).agg(blocks.alias("_b"))
+    return grouped.select("_first", "n_blocks", (F.col("_chunk") * most).alias("_from"), F.transform("_b", lambda b: F.coalesce(b["_sum"], F.lit(0.0)).cast("double")).alias("_sums"), F.transform("_b", lambda b: b["_n"]).alias("_ns"))
 
 
-def with_draws(rows: DataFrame, seed: int, resamples: int, n: str, out: str) -> DataFrame:
-    """Rows with every resample ``_r``, and ``out``, the index that ``draw_of`` gives for each of its places from 0 below ``n``."""
-    draws = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_hr", F.col("_r").cast("bigint") + seed)
-    draws = _mixed(draws, "_hr").repartition(*rows.columns, "_r")
-    draws = _mixed(draws.withColumn("_hk", F.explode(F.expr(f"sequence(1L, {n})"))), "_hk")
-    draws = _mixed(draws.withColumn(out, F.col("_hr").bitwiseXOR(F.col("_hk"))), out)
-    return draws.withColumn(out, F.col(out) % F.col(n)).drop("_hr", "_hk")
+def resampled(chunks: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """``_first``, ``_r``, ``_stat``: the mean of each resample of each key.
+
+    A task draws a range of resamples against one chunk and gives their sums; chunks of a key add up.
+    """
+    step = F.greatest(F.lit(1), F.least(F.lit(resamples), F.floor(F.lit(MOST_DRAWS) / F.col("n_blocks")))).cast("int")
+    work = chunks.withColumn("_step", step).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("_step")))).repartition("_first", "_from", "_r")
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                first, n, begin, step, r = (x.as_py() for x in (*row[:3], *row[5:]))
+                sums, ns = (x.values.to_numpy(zero_copy_only=False) for x in row[3:5])
+                count = min(step, resamples - r)
+                totals, counts = np.zeros(count), np.zeros(count, dtype=np.int64)
+                for at in range(0, n, PLACES):
+                    places = mix(np.arange(at + 1, min(at + PLACES, n) + 1, dtype=np.int64))
+                    for k in range(count):
+                        drawn = mix(mix(r + k + seed) ^ places) % n - begin
+                        if len(sums) < n:
+                            drawn = drawn[(drawn >= 0) & (drawn < len(sums))]
+                        totals[k] += sums[drawn].sum()
+                        counts[k] += ns[drawn].sum()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, first)), pa.array(np.arange(r, r + count)), pa.array(totals), pa.array(counts)], names=["_first", "_r", "_sum", "_n"])
+
+    parts = work.select("_first", "n_blocks", "_from", "_sums", "_ns", "_step", "_r").mapInArrow(draw, "_first bigint, _r bigint, _sum double, _n bigint")
+    return parts.groupBy("_first", "_r").agg((F.sum("_sum") / F.sum("_n")).alias("_stat"))
 
 
 def interval(stats: DataFrame, keys: Sequence[str], resamples: int, ci_level: float, *also: Column) -> DataFrame:
@@ -69,13 +101,9 @@ def bootstrap_mean(rows: DataFrame, by: Sequence[str], block: str, value: str, r
     keys = list(by)
     blocks = materialise(rows.groupBy(*keys, block).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n")), "bootstrap-blocks")
     table = materialise(numbered(blocks, [], [*keys, block], "_at", "bootstrap-numbered"), "bootstrap-table")
-    # A key's blocks are the numbers from its first on, so a draw is one long and needs no key beside it.
+    # A key's blocks are the numbers from its first on, so a place in a key is one long.
     summary = table.groupBy(*keys).agg((F.sum("_sum") / F.sum("_n")).alias("point"), F.count(F.lit(1)).alias("n_blocks"), F.sum("_n").alias("n"), F.min("_at").alias("_first"))
-    values = table.select("_at", "_sum", "_n")
-    if table.count() <= BROADCAST_BLOCKS:
-        values = F.broadcast(values)
-    picked = with_draws(summary.where("n_blocks >= 2").select("_first", "n_blocks"), seed, resamples, "n_blocks", "_i").withColumn("_at", F.col("_first") + F.col("_i"))
-    stats = picked.join(values, "_at").groupBy("_first", "_r").agg((F.sum("_sum") / F.sum("_n")).alias("_stat"))
+    stats = resampled(chunks_of(table, summary.where("n_blocks >= 2")), resamples, seed)
     point = F.when(F.col("n_blocks") >= 2, F.col("point")).alias("point")
     return summary.join(interval(stats, ["_first"], resamples, ci_level), "_first", "left").select(*keys, point, "ci_lo", "ci_hi", "n_blocks", "n")
 

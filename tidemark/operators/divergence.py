@@ -1,19 +1,23 @@
 """Confirmed divergences of two series, and which of them leads.
 
 The rule is greedy: what an instant means depends on the runs before it, so it is a fold over
-the sorted grid of one key, in the JVM.  A key (a match and a regime: hours of quotes) must
-fit into one task; ``streaming.live`` has the same rule with kept state for endless series.
+the sorted grid of one key, in the JVM.  With ``bucket`` no task holds a key: stretches of the
+grid become maps of states (``operators.stretches``), the maps are applied in order, which
+reads one row per stretch, and each stretch is then folded from the state that enters it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import stretches
 from tidemark.operators.asof import asof_join
 
+STATE_IN = "struct<len: int, sign: int, t0: bigint, p0: double, k0: double, until: bigint>"
 STATE = "struct<len: int, sign: int, t0: bigint, p0: double, k0: double, until: bigint, found: array<struct<t_start: bigint, p_start: double, k_start: double, gap: double>>>"
 
 
@@ -40,26 +44,80 @@ def _step(threshold: float, need: int, window: int):  # noqa: ANN202
     return step
 
 
-def divergences(grid: DataFrame, by: Sequence[str], t: str, p: str, k: str, threshold: float, need: int, window: int) -> DataFrame:
+def entering_states(grid: DataFrame, by: Sequence[str], t: str, p: str, k: str, threshold: float, need: int, window: int) -> DataFrame:
+    """``by``, ``_cell`` and the state (``stretches.STATE``) with which the rule enters each cell of a key's grid; the grid has ``_cell``, and both sides are seen."""
+    keys = [f"{c} {grid.schema[c].dataType.simpleString()}" for c in [*by, "_cell"]]
+    n = len(keys)
+    cells = grid.select(*by, "_cell", F.col(t).cast("bigint").alias("_t"), F.col(p).cast("double").alias("_p"), F.col(k).cast("double").alias("_k"))
+    names = [*by, "_cell"]
+
+    def table(rows: list[tuple], like: pa.Schema, kinds: Sequence[pa.DataType], columns: str) -> pa.RecordBatch:
+        types = [*[like.field(i).type for i in range(n)], *kinds]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=[*names, *[c.split()[0] for c in columns.split(", ")]])
+
+    def seen(batches: Iterable[pa.RecordBatch], known: list[pa.Schema]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known[:] = [batch.schema]
+            yield batch
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        like, out = [], []
+        for key, columns in stretches.groups(seen(batches, like), n):
+            out.append((*key, *stretches.rows_of(stretches.folded(*columns, threshold, need, window))))
+            if len(out) >= 256:
+                yield table(out, like[0], stretches.MAP_TYPES, stretches.MAP)
+                out = []
+        if out:
+            yield table(out, like[0], stretches.MAP_TYPES, stretches.MAP)
+
+    def compose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, stretches.State()
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[: n - 1] != key:
+                    key, state = row[: n - 1], stretches.State()
+                out.append((*row[:n], *stretches.fields(state)))
+                state = stretches.applied(stretches.stretch_of(row[n:]), state, need, window)
+            yield table(out, batch.schema, stretches.STATE_TYPES, stretches.STATE)
+
+    maps = cells.repartition(*by, "_cell").sortWithinPartitions(*by, "_cell", "_t").mapInArrow(fold, ", ".join([*keys, stretches.MAP]))
+    return maps.repartition(*by).sortWithinPartitions(*by, "_cell").mapInArrow(compose, ", ".join([*keys, stretches.STATE]))
+
+
+def divergences(grid: DataFrame, by: Sequence[str], t: str, p: str, k: str, threshold: float, need: int, window: int, bucket: int | None = None) -> DataFrame:
     """Confirmed divergences of the grid: ``t_start``, ``p_start``, ``k_start``, ``gap`` for each key.
 
     ``need`` instants in a row with a gap of at least the threshold and one sign confirm the
     run; its first instant opens a window in which nothing counts.  An instant of the other
     sign ends a run and opens none.  Instants at which a side is unseen are passed over.
+    ``bucket`` cuts a key's time into stretches; without it a key's grid must fit into one task.
     """
-    start = F.struct(
-        F.lit(0).alias("len"), F.lit(0).alias("sign"), F.lit(0).cast("bigint").alias("t0"), F.lit(0.0).alias("p0"), F.lit(0.0).alias("k0"), F.lit(-1).cast("bigint").alias("until"), F.array().alias("found")
-    ).cast(STATE)
-    series = grid.where(F.col(p).isNotNull() & F.col(k).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(p).alias("p"), F.col(k).alias("k")))).alias("_s"))
+    zero = F.lit(0).cast("bigint")
+    instant = F.struct(F.col(t).cast("bigint").alias("t"), F.col(p).cast("double").alias("p"), F.col(k).cast("double").alias("k"))
+    grid, group = grid.where(F.col(p).isNotNull() & F.col(k).isNotNull()), list(by)
+    begin = F.lit(None).cast(STATE_IN)
+    rows = grid
+    if bucket:
+        group = [*by, "_cell"]
+        rows = grid.withColumn("_cell", F.floor(F.col(t) / bucket))
+        state = F.struct(F.col("_len").alias("len"), F.col("_sign").alias("sign"), F.col("_t").alias("t0"), F.col("_p").alias("p0"), F.col("_k").alias("k0"), F.col("_until").alias("until")).cast(STATE_IN)
+        states = entering_states(rows, by, t, p, k, threshold, need, window).select(*group, F.lit(None).cast("struct<t: bigint, p: double, k: double>").alias("_x"), state.alias("_begin"))
+        rows = rows.select(*group, instant.alias("_x"), begin.alias("_begin")).unionByName(states)
+    else:
+        rows = rows.select(*group, instant.alias("_x"), begin.alias("_begin"))
+    cold = F.struct(F.lit(0).alias("len"), F.lit(0).alias("sign"), zero.alias("t0"), F.lit(0.0).alias("p0"), F.lit(0.0).alias("k0"), F.lit(stretches.LONG_AGO).alias("until")).cast(STATE_IN)
+    series = rows.groupBy(*group).agg(F.array_sort(F.collect_list("_x")).alias("_s"), F.coalesce(F.max("_begin"), cold).alias("_begin"))
+    start = F.struct(*[F.col(f"_begin.{c}").alias(c) for c in ("len", "sign", "t0", "p0", "k0", "until")], F.array().alias("found")).cast(STATE)
     return series.select(*by, F.inline(F.aggregate("_s", start, _step(threshold, need, window), lambda acc: acc["found"])))
 
 
-def convergence(found: DataFrame, target: DataFrame, reference: DataFrame, by: Sequence[str], t: str, value: str, window: int, ties: Sequence[str] = ()) -> DataFrame:
+def convergence(found: DataFrame, target: DataFrame, reference: DataFrame, by: Sequence[str], t: str, value: str, window: int, ties: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
     """Adds ``lead``: sign of the gap times the movement of both series from the start to the window's end; 0 if a side is missing."""
     ends = found.withColumn("_end", F.col("t_start") + window)
     columns = [*by, t, value, *ties]
-    at = asof_join(ends, target.select(*columns), by, "_end", t, "_p_", ties=ties)
-    at = asof_join(at, reference.select(*columns), by, "_end", t, "_k_", ties=ties)
+    at = asof_join(ends, target.select(*columns), by, "_end", t, "_p_", ties=ties, bucket=bucket)
+    at = asof_join(at, reference.select(*columns), by, "_end", t, "_k_", ties=ties, bucket=bucket)
     moved = F.col(f"_p_{value}") - F.col("p_start") + F.col(f"_k_{value}") - F.col("k_start")
     return at.select(*found.columns, F.coalesce(F.when(F.col("gap") > 0, moved).otherwise(-moved), F.lit(0.0)).alias("lead"))
 

@@ -31,6 +31,7 @@ class LeadLag:
     confirmations: int = 3
     window_s: int = 300
     min_divergences: int = 30
+    bucket_s: int = 6 * 3600  # of a key's grid that one task folds
 
 
 @dataclass(frozen=True)

@@ -122,16 +122,16 @@ def calibration(points: DataFrame, params: Calibration, reference: str = "K", ta
     return compared.join(least, "regime").withColumn("passed", F.when(F.col("least_n") >= params.min_points, F.col("passed")))
 
 
-def lead_lag(p: DataFrame, k: DataFrame, by: Sequence[str], t: str, value: str, block: str, params: LeadLag, window: int, resamples: int, seed: int, ci_level: float, reference: str = "K", target: str = "P") -> DataFrame:
+def lead_lag(p: DataFrame, k: DataFrame, by: Sequence[str], t: str, value: str, block: str, params: LeadLag, window: int, resamples: int, seed: int, ci_level: float, bucket: int | None = None, reference: str = "K", target: str = "P") -> DataFrame:
     """G3, one row per regime (a column of both series and of ``by``): divergences, signed lead with its interval, leader, verdict.
 
-    Each regime's grid starts cold; the lead is measured on the whole series.
+    ``bucket`` cuts the time of a key, which else is one task's.  Each regime's grid starts cold; the lead is measured on the whole series.
     """
     keys = [*by, "regime"]
     during_p, during_k = (x.where("regime IS NOT NULL") for x in (p, k))  # what lies outside all regimes shows the convergence only
-    aligned = asof.grid(during_p, during_k, keys, t, value, "p", "k")
-    found = divergence.divergences(aligned, keys, t, "p", "k", params.threshold, params.confirmations, window)
-    leads = divergence.convergence(found, p.select(*by, t, value), k.select(*by, t, value), by, t, value, window)
+    aligned = asof.grid(during_p, during_k, keys, t, value, "p", "k", bucket=bucket)
+    found = divergence.divergences(aligned, keys, t, "p", "k", params.threshold, params.confirmations, window, bucket)
+    leads = divergence.convergence(found, p.select(*by, t, value), k.select(*by, t, value), by, t, value, window, bucket=bucket)
     report = bootstrap.bootstrap_mean(leads, ["regime"], block, "lead", resamples, seed, ci_level)
     report = report.withColumn("leader", divergence.leader(F.col("ci_lo"), F.col("ci_hi"), reference, target))
     enough = F.col("n") >= params.min_divergences

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import nested, text
 from tidemark.operators.asof import asof_join
+from tidemark.operators.interval import interval_join
 from tidemark.params import IN_GAME, PRE_MATCH
 
 PREROLL_S, TAIL_S, DEFAULT_LENGTH_S = 6 * 3600, 300, 2400
@@ -71,8 +72,8 @@ def map_series(maps: DataFrame, series: DataFrame, key: str, min_points: int = 2
     Maps with fewer than ``min_points`` are left out.  ``series`` has the key, ``t`` and ``price``.
     """
     end = F.col("kickoff") + F.coalesce("length_s", F.lit(DEFAULT_LENGTH_S))
-    rows = maps.where(F.col(key).isNotNull()).withColumn("end", end).join(series, key)
-    rows = rows.where(F.col("t").between(F.col("kickoff") - PREROLL_S, F.col("end") + TAIL_S))
+    spans = maps.where(F.col(key).isNotNull()).withColumn("end", end).withColumn("_lo", F.col("kickoff") - PREROLL_S).withColumn("_hi", F.col("end") + TAIL_S)
+    rows = interval_join(spans.select("match_id", "kickoff", "end", "_lo", "_hi", key), series.select(key, "t", "price"), [key], "_lo", "_hi", "t", PREROLL_S + DEFAULT_LENGTH_S + TAIL_S)
     enough = rows.groupBy("match_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).select("match_id")
     regime = F.when(F.col("t") < F.col("kickoff"), PRE_MATCH).when(F.col("t") < F.col("end") + 1, IN_GAME)
     return rows.join(enough, "match_id", "left_semi").select("match_id", "t", "price", regime.alias("regime"))

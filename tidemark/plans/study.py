@@ -103,7 +103,7 @@ def g3(store: Store, params: SportParams) -> dict:
     both = enough(k).join(enough(p), ["match_id", "regime"]).withColumn("_in", F.lit(True))
     k, p = (x.join(both, ["match_id", "regime"], "left").withColumn("regime", F.when(F.col("_in"), F.col("regime"))).drop("_in") for x in (k, p))
     boot = params.bootstrap
-    rows = gates.lead_lag(p, k, ["match_id"], "t", "price", "match_id", rules, rules.window_s, boot.resamples, boot.seed, boot.ci_level)
+    rows = gates.lead_lag(p, k, ["match_id"], "t", "price", "match_id", rules, rules.window_s, boot.resamples, boot.seed, boot.ci_level, rules.bucket_s)
     every = store.spark.createDataFrame([(PRE_MATCH,), (IN_GAME,)], "regime string").join(rows, "regime", "left").fillna({"n": 0, "n_blocks": 0})
     return {
         "rows": listed(every.orderBy("regime")), "inputs": {"maps": k.select("match_id").distinct().count()}, "frozen_rules": asdict(rules) | asdict(boot),

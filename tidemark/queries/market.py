@@ -18,6 +18,7 @@ CENTERS = Calibration().buckets
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 WINDOW, THRESHOLD, NEED = DAY, 0.1, 3
+BUCKET = 5 * DAY  # of a user's grid that one task folds
 RESAMPLES, SEED, CI = Bootstrap().resamples, Bootstrap().seed, Bootstrap().ci_level
 
 TICKS = """ticks AS (
@@ -101,7 +102,7 @@ def latest_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ticks(spark, sf_dir)
-    return asof.grid(of_venue(rows, "P"), of_venue(rows, "K"), ["user_id"], "t", "price", "p", "k")
+    return asof.grid(of_venue(rows, "P"), of_venue(rows, "K"), ["user_id"], "t", "price", "p", "k", bucket=BUCKET)
 
 
 def snapshot_multi_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +161,8 @@ def bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def found_divergences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = ticks(spark, sf_dir)
-    aligned = asof.grid(of_venue(rows, "P"), of_venue(rows, "K"), ["user_id"], "t", "price", "p", "k")
-    return rows, divergence.divergences(aligned, ["user_id"], "t", "p", "k", THRESHOLD, NEED, WINDOW)
+    aligned = asof.grid(of_venue(rows, "P"), of_venue(rows, "K"), ["user_id"], "t", "price", "p", "k", bucket=BUCKET)
+    return rows, divergence.divergences(aligned, ["user_id"], "t", "p", "k", THRESHOLD, NEED, WINDOW, BUCKET)
 
 
 def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +172,7 @@ def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, found = found_divergences(spark, sf_dir)
-    return divergence.convergence(found, of_venue(rows, "P"), of_venue(rows, "K"), ["user_id"], "t", "price", WINDOW)
+    return divergence.convergence(found, of_venue(rows, "P"), of_venue(rows, "K"), ["user_id"], "t", "price", WINDOW, bucket=BUCKET)
 
 
 def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:

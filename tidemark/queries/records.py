@@ -226,7 +226,7 @@ def gate_g2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _g3(spark: SparkSession, sf_dir: str, params: Bootstrap = Bootstrap()) -> DataFrame:
     rows = ticks(spark, sf_dir)
     p, k = (rows.where(F.col("venue") == v).select("user_id", "regime", "t", "price") for v in ("P", "K"))
-    return gates.lead_lag(p, k, ["user_id"], "t", "price", "user_id", LeadLag(threshold=0.1, confirmations=3), 24 * HOUR, params.resamples, params.seed, params.ci_level)
+    return gates.lead_lag(p, k, ["user_id"], "t", "price", "user_id", LeadLag(threshold=0.1, confirmations=3), 24 * HOUR, params.resamples, params.seed, params.ci_level, market.BUCKET)
 
 
 def gate_g3(spark: SparkSession, sf_dir: str, params: Bootstrap = Bootstrap()) -> DataFrame:
