@@ -1,10 +1,13 @@
 """Pinned behaviours of the point-in-time operators."""
 
 import random
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators import asof, bootstrap, divergence, matching, scoring
 from tidemark.params import Calibration
 
@@ -237,13 +240,32 @@ def test_parity_gate_fails_below_95_percent(spark, sf, monkeypatch):
     assert (found.n_aligned, found.n_agree, found.n_void, found.passed) == (40, 36, 0, False)
 
 
-def test_the_draw_is_the_same_in_the_plan_and_outside(spark):
-    sizes = spark.createDataFrame([("a", 1), ("b", 7), ("c", 400)], "g string, n long")
-    got = {}
-    for r in bootstrap.with_draws(sizes, 20260709, 5, "n", "i").collect():
-        got.setdefault((r.g, r.n, r._r), []).append(r.i)
-    assert len(got) == 15
-    assert all(sorted(xs) == sorted(bootstrap.draw_of(20260709, r, k, n) for k in range(n)) for (_, n, r), xs in got.items())
+def test_the_draw_of_an_array_is_that_of_its_places():
+    for n in (1, 7, 400):
+        places = bootstrap.mix(np.arange(1, n + 1, dtype=np.int64))
+        for r in range(5):
+            assert (bootstrap.mix(bootstrap.mix(r + 20260709) ^ places) % n).tolist() == [bootstrap.draw_of(20260709, r, k, n) for k in range(n)]
+
+
+def test_names_are_decided_as_pair_by_pair(spark):
+    """Forms derived once and letters counted first: the same pairs as rules and ratio on all pairs."""
+    rng = random.Random(6)
+    words = ["Red", "Comet", "Blue", "Harbor", "Stone", "Team", "Esports", "Academy", "KT", "T1"]
+    made = {" ".join(rng.sample(words, rng.randrange(1, 4))) for _ in range(40)}
+    typos = {n[:i] + rng.choice("abx ") + n[i + 1 :] for n in made for i in [rng.randrange(len(n))]}
+    names = sorted({*made, *typos, "", "'", "É", "Red’s"})
+    pairs = spark.createDataFrame([(x, y) for x in names for y in names], "l string, r string")
+    got = {tuple(r) for r in matching.same_of(pairs, 0.85).collect()}
+    each = pairs.withColumn("rule", text.rule_match(F.col("l"), F.col("r"))).withColumn("nl", text.normal_name(F.col("l"))).withColumn("nr", text.normal_name(F.col("r"))).collect()
+    by_ratio = {(r.l, r.r) for r in each if r.rule is None and SequenceMatcher(None, r.nl, r.nr).ratio() >= 0.85}
+    assert got == by_ratio | {(r.l, r.r) for r in each if r.rule} and len(by_ratio) >= 10
+
+
+def test_hopeless_spellings_never_reach_python(spark):
+    pairs = spark.createDataFrame([("abcdef", "abcdeg"), ("abcdef", "uvwxyz"), ("abcdef", "abcdefghijklm qrstuv")], "l string, r string")
+    ruled = matching.ruled_pairs(pairs, 2).where("same IS NULL")
+    bound = matching.could_be_alike(F.col("_x.normal"), F.col("_y.normal"), F.col("_x_count"), F.col("_y_count"), 0.8)
+    assert [(r.l, r.r) for r in ruled.where(bound).collect()] == [("abcdef", "abcdeg")]
 
 
 def test_draws_are_even_and_resamples_unlike():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions import text
+from tidemark.tables import materialise
 
 
 @F.pandas_udf(DoubleType())
@@ -19,21 +20,63 @@ def spelling_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def ruled_pairs(pairs: DataFrame, min_acronym: int = 1) -> DataFrame:
+    """Pairs (``l``, ``r``) with ``same`` (null where no rule decides) and the ``forms`` of both, each derived once for each name.  Missing names are left out."""
+    names = pairs.select(F.explode(F.array("l", "r")).alias("name")).where("name IS NOT NULL").distinct()
+    known = names.select("name", text.forms(F.col("name")).alias("form"), letters(text.normal_name(F.col("name"))).alias("count"))
+    for side, form in (("l", "_x"), ("r", "_y")):
+        pairs = pairs.join(known.select(F.col("name").alias(side), F.col("form").alias(form), F.col("count").alias(f"{form}_count")), side)
+    return pairs.withColumn("same", text.decided(F.col("_x"), F.col("_y"), min_acronym))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "  # of a normal form
+
+
+def letters(normal: Column) -> Column:
+    """How often each of ``LETTERS`` stands in a normal form."""
+    return F.array(*[F.length(normal) - F.length(F.translate(normal, c, "")) for c in LETTERS])
+
+
+def could_be_alike(x: Column, y: Column, x_count: Column, y_count: Column, threshold: float) -> Column:
+    """Whether two normal forms have enough letters in common for the ratio: it can't be above twice the common letters over all."""
+    common = F.aggregate(F.zip_with(x_count, y_count, lambda p, q: F.least(p, q)), F.lit(0), lambda total, n: total + n)
+    return common * 2 >= (F.length(x) + F.length(y)) * threshold
+
+
+def same_of(pairs: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
+    """The pairs (``l``, ``r``, each once) that mean one team: by rules, and by spelling only where no rule decides and the letters leave it open."""
+    ruled = ruled_pairs(materialise(pairs, "names-met"), min_acronym)
+    x, y = F.col("_x.normal"), F.col("_y.normal")
+    undecided = ruled.where(F.col("same").isNull() & could_be_alike(x, y, F.col("_x_count"), F.col("_y_count"), threshold))
+    alike = undecided.withColumn("_ratio", spelling_ratio(x, y)).where(F.col("_ratio") >= threshold)
+    return ruled.where("same").select("l", "r").unionByName(alike.select("l", "r"))
+
+
 def name_matches(pairs: DataFrame, a: str, b: str, out: str = "same", threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
-    """Whether two name columns mean one team: by rules, and by spelling only where no rule decides.
+    """Adds ``out``: whether two name columns mean one team.  Each distinct pair is decided once; missing names match nothing."""
+    same = same_of(pairs.select(F.col(a).alias("l"), F.col(b).alias("r")).distinct(), threshold, min_acronym)
+    return with_same(pairs, a, b, out, same)
 
-    Distinct undecided pairs alone reach the Python worker.
-    """
-    ruled = pairs.withColumn(out, text.rule_match(F.col(a), F.col(b), min_acronym))
-    open_pairs = ruled.where(F.col(out).isNull()).select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
-    ratios = open_pairs.withColumn("_ratio", spelling_ratio(text.normal_name(F.col("_a")), text.normal_name(F.col("_b"))))
-    joined = ruled.join(ratios, F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b")) & F.col(out).isNull(), "left")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.col("_ratio") >= threshold, F.lit(False))).drop("_a", "_b", "_ratio")
+
+def with_same(pairs: DataFrame, a: str, b: str, out: str, same: DataFrame) -> DataFrame:
+    known = same.select(F.col("l").alias("_l"), F.col("r").alias("_r"), F.lit(True).alias("_same"))
+    joined = pairs.join(known, (F.col(a) == F.col("_l")) & (F.col(b) == F.col("_r")), "left")
+    return joined.withColumn(out, F.coalesce("_same", F.lit(False))).drop("_l", "_r", "_same")
 
 
-def same_pair(a: Column, b: Column, c: Column, d: Column, same) -> Column:  # noqa: ANN001
-    """Whether (a, b) and (c, d) are one fixture in either order."""
-    return (same(a, c) & same(b, d)) | (same(a, d) & same(b, c))
+def pairs_of(rows: DataFrame, sides: Sequence[tuple[str, str]]) -> DataFrame:
+    """The distinct pairs (``l``, ``r``) of the given pairs of columns; missing names are left out."""
+    both = F.explode(F.array(*[F.struct(F.col(x).alias("l"), F.col(y).alias("r")) for x, y in sides])).alias("_x")
+    return rows.select(both).select("_x.*").where("l IS NOT NULL AND r IS NOT NULL").distinct()
+
+
+def same_pair(rows: DataFrame, one: Sequence[str], other: Sequence[str], out: str, same: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds ``out``: whether two pairs of name columns are one fixture in either order.  ``same`` picks those that mean one team from pairs (``l``, ``r``)."""
+    sides = [(a, b) for a in one for b in other]
+    known = same(pairs_of(rows, sides))
+    for k, (a, b) in enumerate(sides):
+        rows = with_same(rows, a, b, f"_s{k}", known)
+    return rows.withColumn(out, (F.col("_s0") & F.col("_s3")) | (F.col("_s1") & F.col("_s2"))).drop("_s0", "_s1", "_s2", "_s3")
 
 
 def banded_candidates(left: DataFrame, right: DataFrame, left_day: str, right_day: str, equal: Sequence[str] = (), days: int = 1, prefix: str = "r_") -> DataFrame:
@@ -53,7 +96,7 @@ def banded_candidates(left: DataFrame, right: DataFrame, left_day: str, right_da
 def same_names(left: DataFrame, right: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
     """``l``, ``r``: names of ``left`` and ``right`` (``_day``, ``name``) that are seen on one day and mean one team, by rules or spelling."""
     met = left.distinct().join(right.distinct().withColumnRenamed("name", "r"), "_day").select(F.col("name").alias("l"), "r").distinct()
-    return name_matches(met, "l", "r", threshold=threshold, min_acronym=min_acronym).where("same").select("l", "r")
+    return same_of(met, threshold, min_acronym)
 
 
 def named(rows: DataFrame, day: str, names: Sequence[str], days: int = 0) -> DataFrame:
@@ -88,16 +131,19 @@ def fuzzy_candidates(
     return spread.join(either, on).select(*left.columns, "dshift", *renamed.columns)
 
 
+CLAIM_SIDES = {"aa": ("a_1", "a_2"), "bb": ("b_1", "b_2"), "ab": ("a_1", "b_2"), "ba": ("b_1", "a_2"), "ww": ("winner_1", "winner_2")}
+
+
 def same_claim(pairs: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
     """Adds ``same_claim`` to pairs of contracts (``a_1``, ``b_1``, ``map_1``, ``winner_1`` and ``_2``): one map of one fixture and, where both are settled, one winner."""
+    same = same_of(pairs_of(pairs, list(CLAIM_SIDES.values())), threshold, min_acronym)
     numbered = pairs
-    sides = {"aa": ("a_1", "a_2"), "bb": ("b_1", "b_2"), "ab": ("a_1", "b_2"), "ba": ("b_1", "a_2"), "ww": ("winner_1", "winner_2")}
-    for name, (x, y) in sides.items():
-        numbered = name_matches(numbered, x, y, f"_{name}", threshold, min_acronym)
+    for name, (x, y) in CLAIM_SIDES.items():
+        numbered = with_same(numbered, x, y, f"_{name}", same)
     fixture = (F.col("_aa") & F.col("_bb")) | (F.col("_ab") & F.col("_ba"))
     settled = F.col("winner_1").isNotNull() & F.col("winner_2").isNotNull()
     found = F.col("map_1").eqNullSafe(F.col("map_2")) & fixture & (~settled | F.col("_ww"))
-    return numbered.withColumn("same_claim", found).drop(*[f"_{n}" for n in sides])
+    return numbered.withColumn("same_claim", found).drop(*[f"_{n}" for n in CLAIM_SIDES])
 
 
 def first_name(rows: DataFrame, key: str, names: str, team: str, out: str, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ creates the next commit by one rename, for several tables at once where they bel
 together (snapshots and their cursor).  Whatever is cut off before that rename is not part of
 the store, and a reader sees the state before or after a write and nothing else.
 
-Quotes and snapshots are kept by day: a write reads and replaces the days that its rows
+Quotes, snapshots and prices are kept by day: a write reads and replaces the days that its rows
 touch and no others.  The other tables are small and replaced as a whole.
 """
 
@@ -61,7 +61,7 @@ def discarded(rows: DataFrame, stage: str, keep: Column, reason: Column) -> tupl
 
 Parts = dict[str, list[str]]  # of a table: its days (or "all") and the folders that hold each
 
-BY_DAY = {"quotes": "ts", "book_snapshots": "ts"}
+BY_DAY = {"quotes": "ts", "book_snapshots": "ts", "prices": "t"}  # a time, or a number of seconds
 LOGS = ("discards", "spend_log")  # rows are only ever added
 MOST_FOLDERS = 16  # of a day; more are written anew as one
 
@@ -150,7 +150,8 @@ class Store:
         if table not in BY_DAY:
             rows.write.parquet(f"{self.root}/{at}")
             return {"all": [at]}
-        day = F.coalesce(F.date_format(BY_DAY[table], "yyyy-MM-dd"), F.lit("none"))
+        at_time = F.col(BY_DAY[table])
+        day = F.coalesce(F.date_format(at_time if dict(rows.dtypes)[BY_DAY[table]] == "timestamp" else F.timestamp_seconds(at_time), "yyyy-MM-dd"), F.lit("none"))
         rows.withColumn("_day", day).write.partitionBy("_day").parquet(f"{self.root}/{at}")
         names = [f.getPath().getName() for f in self._fs().listStatus(self._path(f"{self.root}/{at}")) if f.isDirectory()]
         return {n.removeprefix("_day="): [f"{at}/{n}"] for n in sorted(names) if n.startswith("_day=")}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from tidemark.queries import market
 from tidemark.queries.market import TICKS, ticks
 from tidemark.sources import sweeps
 from tidemark.streaming import live, recorder
-from tidemark.tables import shared_dir
+from tidemark.tables import folder
 
 ENDINGS = ("", " Esports", " Academy", "'s Gaming", " Club")
 TITLES = (
@@ -75,7 +73,9 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_pairs(spark, sf_dir).select("p_brand", "a", "b", text.rule_match(F.col("a"), F.col("b")).alias("same"))
+    pairs = name_pairs(spark, sf_dir)
+    ruled = matching.ruled_pairs(pairs.select(F.col("a").alias("l"), F.col("b").alias("r")).distinct()).select(F.col("l").alias("a"), F.col("r").alias("b"), "same")
+    return pairs.join(ruled, ["a", "b"]).select("p_brand", "a", "b", "same")
 
 
 def fuzzy_ratio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +84,9 @@ def fuzzy_ratio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixture_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unordered pairs: (a, b) against (b of one, a of the other) by rules."""
-    rows = name_pairs(spark, sf_dir)
-    rules = lambda x, y: F.coalesce(text.rule_match(x, y), F.lit(False))
-    swapped = rows.withColumn("c", F.concat("b", F.lit(" Team"))).withColumn("d", F.upper("a"))
-    return swapped.select("p_brand", "a", "b", matching.same_pair(F.col("a"), F.col("b"), F.col("c"), F.col("d"), rules).alias("same"))
+    rows = name_pairs(spark, sf_dir).withColumn("c", F.concat("b", F.lit(" Team"))).withColumn("d", F.upper("a"))
+    found = matching.same_pair(rows, ("a", "b"), ("c", "d"), "same", lambda met: matching.ruled_pairs(met).where("same").select("l", "r"))
+    return found.select("p_brand", "a", "b", "same")
 
 
 def first_side_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +133,7 @@ def explode_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     markets = F.transform(turns, lambda x: F.struct(x["role"].alias("question"), x["turn"].cast("string").alias("conditionId")))
     events = rows.groupBy("conv_id").agg(F.to_json(F.struct(F.lit("x: a vs b").alias("title"), markets.alias("markets"))).alias("item"))
     flat = sweeps.flat_markets(sweeps.parsed(events.withColumnRenamed("conv_id", "seq"), sweeps.P_EVENT))
-    several = flat.groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("seq")
-    return flat.join(several, "seq", "left_semi").select(F.col("seq").alias("conv_id"), "pos", F.col("m.question").alias("role"))
+    return flat.select(F.col("seq").alias("conv_id"), "pos", F.col("m.question").alias("role"))
 
 
 def ts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +177,7 @@ STREAM_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 
 def _drained(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """All that a stream gives until what is there now is read: its batches, written."""
-    conf, root = "spark.sql.streaming.stateStore.providerClass", f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    conf, root = "spark.sql.streaming.stateStore.providerClass", folder(spark, label)
     before = spark.conf.get(conf, None)
     spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -197,13 +195,13 @@ def _drained(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
 
 def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream, every one delivered again by a later batch, stored once; the stored rows per type."""
-    folder = f"{shared_dir(spark)}/tm_twice-{uuid.uuid4().hex}"
+    twice = folder(spark, "twice")
     rows = spark.read.schema(STREAM_SCHEMA).parquet(f"{sf_dir}/events.parquet")
     for delivery in ("first", "second"):
-        rows.write.parquet(f"{folder}/{delivery}")
-    files = len(spark.read.schema(STREAM_SCHEMA).parquet(f"{folder}/first").inputFiles())
-    stream = spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", max(files, 1)).parquet(f"{folder}/*").withColumn("ts", F.col("ts").cast("timestamp"))
-    stored = _drained(recorder.deduplicated(stream, "ts", "1 hour", ["event_id"]), spark, "tm_ingest")
+        rows.write.parquet(f"{twice}/{delivery}")
+    files = len(spark.read.schema(STREAM_SCHEMA).parquet(f"{twice}/first").inputFiles())
+    stream = spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", max(files, 1)).parquet(f"{twice}/*").withColumn("ts", F.col("ts").cast("timestamp"))
+    stored = _drained(recorder.deduplicated(stream, "ts", "1 hour", ["event_id"]), spark, "ingest")
     return stored.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -213,7 +211,7 @@ def stream_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = rows.select(
         F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.when(F.col("event_type") == "click", "k").otherwise("p").alias("side"), (F.col("value") / (F.col("value") + 50.0)).alias("price")
     )
-    out = _drained(live.live_divergences(sides, market.THRESHOLD, market.NEED, market.WINDOW), spark, "tm_live")
+    out = _drained(live.live_divergences(sides, market.THRESHOLD, market.NEED, market.WINDOW), spark, "live")
     return out.select(F.col("key").cast("bigint").alias("user_id"), "t_start", *[F.round(c, 9).alias(c) for c in ("p_start", "k_start", "gap")])
 
 
@@ -342,10 +340,16 @@ SELECT p_partkey, prop, CASE WHEN prop THEN NULL WHEN regexp_matches(title, {_q(
 
 
 def _fixture_sql() -> str:
-    sides = {"ac": ("a", "b || ' Team'"), "bd": ("b", "upper(a)"), "ad": ("a", "upper(a)"), "bc": ("b", "b || ' Team'")}
-    ctes = "".join(f", {k} AS (SELECT p_brand, a, b, coalesce({_RULE}, false) AS same FROM (SELECT p_brand, a, b, {_parts(x, '1')}, {_parts(y, '2')} FROM pairs))" for k, (x, y) in sides.items())
-    on = " ".join(f"JOIN {k} USING (p_brand, a, b)" for k in ("bd", "ad", "bc"))
-    return f"WITH {_PAIRS}{ctes} SELECT p_brand, a, b, (ac.same AND bd.same) OR (ad.same AND bc.same) AS same FROM ac {on}"
+    """Forms of each name once, each pair of names once."""
+    sides = {"ac": ("a", "c"), "ad": ("a", "d"), "bc": ("b", "c"), "bd": ("b", "d")}
+    met = " UNION ".join(f"SELECT {x} AS l, {y} AS r FROM four" for x, y in sides.values())
+    looked_up = " ".join(f"LEFT JOIN same {k} ON {k}.l = f.{x} AND {k}.r = f.{y}" for k, (x, y) in sides.items())
+    known = {k: f"{k}.l IS NOT NULL" for k in sides}
+    return f"""WITH {_PAIRS}, four AS MATERIALIZED (SELECT *, b || ' Team' AS c, upper(a) AS d FROM pairs),
+forms AS MATERIALIZED (SELECT name, {_parts('name', '')} FROM (SELECT DISTINCT unnest([a, b, c, d]) AS name FROM four)), met AS ({met}),
+ruled AS (SELECT l, r, x.n AS n1, x.a AS a1, x.c AS c1, x.s AS s1, y.n AS n2, y.a AS a2, y.c AS c2, y.s AS s2 FROM met JOIN forms x ON x.name = l JOIN forms y ON y.name = r),
+same AS MATERIALIZED (SELECT l, r FROM ruled WHERE {_RULE})
+SELECT p_brand, f.a, f.b, ({known['ac']} AND {known['bd']}) OR ({known['ad']} AND {known['bc']}) AS same FROM four f {looked_up}"""
 
 
 _GROUPED = TICKS + """, turns AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY CAST(ts AS DATE), user_id) AS n FROM ticks),
@@ -414,7 +418,7 @@ SELECT p_partkey, CASE WHEN b0 IS NOT NULL THEN a0 END AS a, CASE WHEN a0 IS NOT
     "json_props": """SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS INTEGER))::BIGINT AS sum_k, max(json_array_length('[' || json_extract_string(props, '$.k') || ', 7]'))::BIGINT AS listed,
   max(CASE WHEN json_valid(event_type) THEN json_array_length(event_type) ELSE 0 END)::BIGINT AS bad, max(CASE WHEN json_valid(event_type) THEN json_extract_string(event_type, '$[0]') ELSE event_type END) AS itself, min(sha256(props)) AS least_sha FROM events GROUP BY event_type""",
     "winner_from_arrays": f"WITH {TICKS} SELECT event_id, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN 'a' WHEN k % 2 = 0 THEN 'b' END AS winner FROM ticks",
-    "explode_markets": """SELECT conv_id, (row_number() OVER w - 1)::INT AS pos, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role) QUALIFY count(*) OVER (PARTITION BY conv_id) >= 2""",
+    "explode_markets": """SELECT conv_id, (row_number() OVER w - 1)::INT AS pos, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role)""",
     "ts_roundtrip": f"""WITH {TICKS} SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS fixed, epoch_us(strptime(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), '%Y-%m-%dT%H:%M:%S.%g')) = t // 1000 * 1000 AS whole_ms,
   CAST(ts AS DATE) AS day, t // 1000000 AS epoch_s, regime, try_strptime('', '%Y-%m-%dT%H:%M:%S.%g') IS NULL AS empty_is_null FROM ticks""",
     "sweep_map_results": f"""WITH {_GROUPED} SELECT seq, string_agg(event_type || i, ',' ORDER BY i) AS teams, first(fixed ORDER BY i) AS ts, user_id::INT AS map_no, first(event_type || i ORDER BY i) FILTER (k >= 50) AS winner, 'T' || first(event_id ORDER BY i) AS first_ticker
