@@ -160,7 +160,7 @@ def test_paging_rules():
     assert len(list(offset_pages(fetch, {}, 2, stop_before="2025-01-09T"))) == 1
     cursors = {None: {"items": [1], "cursor": "x"}, "x": {"items": None}}
     assert list(cursor_pages(lambda p: cursors[p["cursor"]], {})) == [[1], []]
-    assert [VendorError(s, "").is_refusal() for s in (0, 404, 429, 500)] == [True, False, True, True]
+    assert [VendorError(s, "").refuses_all for s in (0, 404, 429, 500)] == [True, False, True, True]
 
 
 def test_sweeps_of_venue_p(spark):
@@ -340,11 +340,11 @@ def poller(spark, root, k, p, **params):
 
 def test_a_cycle_stores_both_venues(spark, tmp_path):
     own = poller(spark, tmp_path, FakeK(), FakeP())
-    assert own.poll() == {"K": {"stored": 4, "over_cap": 0, "gaps": 0}, "P": {"stored": 1, "over_cap": 0, "gaps": 0}}
+    assert own.poll() == {"K": {"stored": 4, "over_cap": 0, "skipped": 0, "gaps": 0}, "P": {"stored": 1, "over_cap": 0, "skipped": 0, "gaps": 0}}
     rows = {r.contract_id: r for r in own.store.read("book_snapshots").collect()}
     assert {c: (r.venue, r.regime, r.mid, r.source) for c, r in rows.items() if c in ("0xabc", "KXLOL-0")} == {"0xabc": ("P", "in_game", 0.55, "live"), "KXLOL-0": ("K", None, 0.62, "live")}
     assert json.loads(rows["0xabc"].raw_json)["bids"][0]["price"] == "0.5" and rows["0xabc"].fetch_latency_ms >= 0 and rows["KXLOL-0"].full_bid_usd == 5.0
-    assert own.store.cursor("recorder:cycle").startswith("2026-07-24")
+    assert own.store.cursor("polled-books").startswith("2026-07-24")
 
 
 def test_a_refusal_blocks_its_venue_and_a_missing_book_does_not(spark, tmp_path):
@@ -352,14 +352,16 @@ def test_a_refusal_blocks_its_venue_and_a_missing_book_does_not(spark, tmp_path)
     assert own.poll()["P"]["stored"] == 0 and own.store.read("book_snapshots").where("venue = 'K'").count() == 4
     assert not own.breaker.open_for("P", own.clock()) and own.breaker.open_for("K", own.clock())
     assert [r.status for r in own.store.read("spend_log").collect()] == [429]
+    assert own.poll()["P"]["skipped"] == 1  # while the venue is left alone
+    assert [r.reason for r in own.store.read("discards").collect()] == ["P: 1 left out after a refusal"] * 2
     gap = poller(spark, tmp_path / "b", FakeK(), FakeP(404))
-    assert gap.poll()["P"] == {"stored": 0, "over_cap": 0, "gaps": 1} and gap.breaker.open_for("P", gap.clock())
+    assert gap.poll()["P"] == {"stored": 0, "over_cap": 0, "skipped": 0, "gaps": 1} and gap.breaker.open_for("P", gap.clock())
     assert [(r.contract_id, r.reason) for r in gap.store.read("discards").collect()] == [("0xabc", "P: no book")]
 
 
 def test_the_cap_limits_what_is_asked_for_and_is_counted(spark, tmp_path):
     own = poller(spark, tmp_path, FakeK(), FakeP(), cap_per_venue=3)
-    assert own.poll()["K"] == {"stored": 3, "over_cap": 1, "gaps": 0}
+    assert own.poll()["K"] == {"stored": 3, "over_cap": 1, "skipped": 0, "gaps": 0}
     assert [r.reason for r in own.store.read("discards").collect()] == ["K: 1 over the cap of 3"]
 
 

@@ -23,15 +23,11 @@ SCHEMA = "page int, seq int, item string, status string, start_date string, seri
 
 
 class VendorError(RuntimeError):
-    """A fetch that failed: never an empty relation."""
+    """A fetch that failed: never an empty relation.  ``refuses_all`` if it speaks of the vendor and not of the item: no answer, too many requests, an error of the server."""
 
     def __init__(self, status: int, message: str):
         super().__init__(f"{status}: {message}")
-        self.status = status
-
-    def is_refusal(self) -> bool:
-        """The vendor refuses all requests for now: no answer at all, too many requests or a server error."""
-        return self.status == 0 or self.status == 429 or 500 <= self.status < 600
+        self.status, self.refuses_all = status, status in (0, 429) or status // 100 == 5
 
 
 def http_fetch(url: str, timeout_s: int = 30) -> Fetch:

@@ -11,9 +11,10 @@ from __future__ import annotations
 import json
 import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from itertools import chain, count
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ class Breaker:
         return now >= self.until.get(venue, 0.0)
 
     def failed(self, venue: str, error: VendorError, now: float) -> None:
-        if error.is_refusal():
+        if error.refuses_all:
             self.until[venue] = now + self.cooldown_s
         else:
             self.gaps[venue] = self.gaps.get(venue, 0) + 1
@@ -67,90 +68,116 @@ def capped(rows: DataFrame, venue: str, order: list[str], cap: int) -> tuple[Dat
 
 
 POLLED = "venue string, contract_id string, ts timestamp, fetch_latency_ms int, kickoff timestamp, market string, raw string"
+STREAM = "polled-books"
 log = logging.getLogger(__name__)
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """What became of one market of a cycle, or of ``n`` of them (null if nobody can tell how many)."""
+
+    venue: str
+    kind: str  # stored, gap, over_cap, skipped, or refused: that the venue wants to be left alone
+    n: int | None = 1
+    contract_id: str | None = None
+    row: tuple | None = None  # of ``POLLED``
+    error: VendorError | None = None
+    endpoint: str = "book"
+
+    def reason(self, cap: int) -> str:
+        said = {"gap": "no book", "over_cap": f"{self.n} over the cap of {cap}", "skipped": f"{'all' if self.n is None else self.n} left out after a refusal"}
+        return f"{self.venue}: {said[self.kind]}"
+
+
 class Poller:
     """Asks the venues for the books of their open markets, cycle by cycle.
 
-    Everything a cycle holds on the driver is bounded by the cap per venue.
+    A venue's cycle is a series of outcomes, one for each market that it lists: stored, a gap, over the cap
+    or skipped, so that nothing is left uncounted.  The list of a venue's open events passes
+    through the driver, as its interface gives it; of the markets found in it the driver
+    holds as many as the cap admits.
     """
 
     def __init__(self, store: Store, sport, k: VenueK, p: VenueP, params: Recorder = Recorder(), clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):  # noqa: ANN001, B008
         self.store, self.sport, self.params, self.clock, self.sleep = store, sport, params, clock, sleep
         self.venues = {"K": k, "P": p}
         self.breaker = Breaker(params.cooldown_s)
-        self.catalogs = {v: Catalog(lambda v=v: self._discovered(v), params.catalog_ttl_s) for v in self.venues}
+        self.catalogs = {v: Catalog(lambda v=v: self.listed(v), params.catalog_ttl_s) for v in self.venues}
 
-    def _discovered(self, venue: str) -> tuple[list[Row], int]:
+    def listed(self, venue: str) -> tuple[list[Row], int]:
         """The open markets that a cycle may ask for, in the order of the venue's events, and how many more there are."""
-        spark = self.store.spark
-        if venue == "K":
-            events = [e for series in self.sport.series for e in self.venues["K"].events(series, "open")]
-        else:
-            events = list(self.venues["P"].events(self.sport.tag, closed=False))
-        items = spark.createDataFrame([(i, json.dumps(e)) for i, e in enumerate(events)], "seq long, item string")
+        own = self.venues[venue]
+        events = chain.from_iterable(own.events(s, "open") for s in self.sport.series) if venue == "K" else own.events(self.sport.tag, closed=False)
+        items = self.store.spark.createDataFrame([(i, json.dumps(e)) for i, e in enumerate(events)], "seq long, item string")
         found = sweeps.open_k(sweeps.parsed(items, sweeps.K_EVENT)) if venue == "K" else sweeps.open_p(sweeps.parsed(items, sweeps.P_EVENT), self.sport)
-        markets = found.select(*sweeps.OPEN).collect()
-        return markets[: self.params.cap_per_venue], max(len(markets) - self.params.cap_per_venue, 0)
-
-    def _refused(self, venue: str, endpoint: str, error: VendorError) -> None:
-        self.breaker.failed(venue, error, self.clock())
-        if error.is_refusal():
-            log.error("%s is left alone for %s s: %s", venue, self.params.cooldown_s, error)
-            self.store.log_spend(venue, endpoint, error.status, note=f"cooldown: {error}")
-
-    def _polled(self, venue: str, markets: list[Row]) -> tuple[list[tuple], list[str]]:
-        """Rows of ``POLLED``, and the contracts whose book could not be read."""
-        rows, gaps = [], []
-        for m in markets:
-            began = time.perf_counter()
-            try:
-                raw = self.venues[venue].book(m["token"])
-            except VendorError as error:
-                self._refused(venue, "book", error)
-                if error.is_refusal():
-                    break
-                gaps.append(m["contract_id"])
-                continue
-            latency, now = int((time.perf_counter() - began) * 1000), datetime.fromtimestamp(self.clock(), timezone.utc)
-            rows.append((venue, m["contract_id"], now, latency, m["kickoff"], m["market"], json.dumps(raw, separators=(",", ":"))))
-        return rows, gaps
+        within = found.select(*sweeps.OPEN).limit(self.params.cap_per_venue).collect()
+        return within, found.count() - len(within)
+
+    def asked(self, venue: str, market: Row) -> Outcome:
+        """The book of one market."""
+        started = time.perf_counter()
+        try:
+            raw = self.venues[venue].book(market["token"])
+        except VendorError as error:
+            return Outcome(venue, "refused" if error.refuses_all else "gap", 1, market["contract_id"], error=error)
+        latency_ms = int(1000 * (time.perf_counter() - started))
+        row = (venue, market["contract_id"], datetime.fromtimestamp(self.clock(), timezone.utc), latency_ms, market["kickoff"], market["market"], json.dumps(raw, separators=(",", ":")))
+        return Outcome(venue, "stored", 1, market["contract_id"], row)
+
+    def outcomes(self, venue: str) -> Iterator[Outcome]:
+        """What becomes of the venue's markets in one cycle; a refusal ends it, and all that was not asked for is skipped."""
+        held = self.catalogs[venue].held
+        if not self.breaker.open_for(venue, self.clock()):
+            yield Outcome(venue, "skipped", held and len(held[0]) + held[1])
+            return
+        try:
+            markets, over = self.catalogs[venue].get(self.clock())
+        except VendorError as error:
+            yield Outcome(venue, "refused", error=error, endpoint="events")
+            yield Outcome(venue, "skipped", held and len(held[0]) + held[1])
+            return
+        if over:
+            yield Outcome(venue, "over_cap", over)
+        for at, market in enumerate(markets):
+            found = self.asked(venue, market)
+            yield found
+            if found.kind == "refused":
+                yield Outcome(venue, "skipped", len(markets) - at)
+                return
 
     def poll(self) -> dict[str, dict[str, int]]:
-        """One cycle; per venue the number of ``stored`` and ``over_cap`` markets and of ``gaps``."""
-        rows, lost, counts = [], [], {}
-        for venue in self.venues:
-            own, gaps, over = [], [], 0
-            if self.breaker.open_for(venue, self.clock()):
-                try:
-                    markets, over = self.catalogs[venue].get(self.clock())
-                    own, gaps = self._polled(venue, markets)
-                except VendorError as error:
-                    self._refused(venue, "events", error)
-            rows += own
-            lost += [("recorder", contract, f"{venue}: no book") for contract in gaps]
-            lost += [("recorder", None, f"{venue}: {over} over the cap of {self.params.cap_per_venue}")] if over else []
-            counts[venue] = {"stored": len(own), "over_cap": over, "gaps": len(gaps)}
-        spark, at = self.store.spark, datetime.fromtimestamp(self.clock(), timezone.utc)
-        self.store.append_absent("book_snapshots", sweeps.snapshots(spark.createDataFrame(rows, POLLED)), ("recorder:cycle", at.isoformat()))
-        if lost:
+        """One cycle, stored; per venue the number of ``stored``, ``over_cap`` and ``skipped`` markets and of ``gaps``."""
+        found, spark = [], self.store.spark
+        for outcome in chain.from_iterable(map(self.outcomes, self.venues)):
+            found.append(outcome)
+            if outcome.error:
+                self.breaker.failed(outcome.venue, outcome.error, self.clock())
+            if outcome.kind == "refused":
+                log.error("%s refuses: %s", outcome.venue, outcome.error)
+                self.store.log_spend(outcome.venue, outcome.endpoint, outcome.error.status, note=str(outcome.error))
+        at = datetime.fromtimestamp(self.clock(), timezone.utc)
+        rows = spark.createDataFrame([o.row for o in found if o.kind == "stored"], POLLED)
+        self.store.append_absent("book_snapshots", sweeps.snapshots(rows), (STREAM, at.isoformat()))
+        if lost := [("recorder", o.contract_id, o.reason(self.params.cap_per_venue)) for o in found if o.kind in ("gap", "over_cap", "skipped")]:
             self.store.append("discards", spark.createDataFrame(lost, "stage string, contract_id string, reason string").withColumn("ts", F.lit(at)))
-        return counts
+        total = lambda venue, kind: sum(o.n or 0 for o in found if (o.venue, o.kind) == (venue, kind))
+        return {v: {"stored": total(v, "stored"), "over_cap": total(v, "over_cap"), "skipped": total(v, "skipped"), "gaps": total(v, "gap")} for v in self.venues}
+
+    def attempted(self, number: int) -> bool:
+        """Cycle ``number``, after the wait between cycles; whether it ended well.  What went wrong is in the log."""
+        if number:
+            self.sleep(self.params.poll_seconds)
+        try:
+            counts = self.poll()
+        except Exception:  # noqa: BLE001
+            log.exception("cycle %s", number)
+            return False
+        log.info("cycle %s: %s", number, counts)
+        return True
 
     def run(self, max_cycles: int | None = None) -> int:
-        """Cycles until ``max_cycles``; one that fails is logged and the next one begins.  Returns how many failed."""
-        done = failed = 0
-        while max_cycles is None or done < max_cycles:
-            if done:
-                self.sleep(self.params.poll_seconds)
-            try:
-                log.info("cycle: %s", self.poll())
-            except Exception:  # noqa: BLE001  a bad cycle must not end the recorder
-                failed += 1
-                log.exception("a cycle failed")
-            done += 1
-        return failed
+        """So many cycles, or cycles without end; returns how many of them failed."""
+        return sum(not self.attempted(n) for n in (count() if max_cycles is None else range(max_cycles)))
 
 
 def record(snapshots: DataFrame, store: Store, stream: str, checkpoint: str, params: Recorder = Recorder(), once: bool = True) -> StreamingQuery:  # noqa: B008
