@@ -215,6 +215,26 @@ def stream_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").cast("bigint").alias("user_id"), "t_start", *[F.round(c, 9).alias(c) for c in ("p_start", "k_start", "gap")])
 
 
+LATE = market.DAY  # by so much ticks come late at most
+
+
+def stream_late_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of several batches in which ticks come up to a day late and out of order; the rows of the batch rule."""
+    rows = spark.read.schema(STREAM_SCHEMA).parquet(f"{sf_dir}/events.parquet").where("event_type IN ('click', 'view')")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    sides = rows.select(F.col("user_id").cast("string").alias("key"), micros.alias("t"), F.when(F.col("event_type") == "click", "k").otherwise("p").alias("side"), (F.col("value") / (F.col("value") + 50.0)).alias("price"), "event_id")
+    late = sides.withColumn("batch", F.floor((F.col("t") + F.pmod(F.xxhash64("event_id"), F.lit(LATE))) / (8 * LATE))).drop("event_id")
+    sent, files = folder(spark, "late"), max(len(rows.inputFiles()), 1)
+    first, last, end = late.agg(F.min("batch"), F.max("batch"), F.max("t")).first()
+    for number in range(first or 0, (last or -1) + 1):  # a few deliveries, one after another
+        late.where(F.col("batch") == number).drop("batch").repartition(files).write.mode("append").parquet(sent)
+    closing = spark.range(1).select(F.lit("").alias("key"), F.lit((end or 0) + 400 * market.DAY).alias("t"), F.lit("p").alias("side"), F.lit(0.0).alias("price"))
+    closing.write.mode("append").parquet(sent)  # a tick far ahead moves the watermark over all others
+    stream = spark.readStream.schema("key string, t bigint, side string, price double").option("maxFilesPerTrigger", files).parquet(sent)
+    out = _drained(live.event_time_divergences(stream, market.THRESHOLD, market.NEED, market.WINDOW, f"{LATE // 1_000_000} seconds", 90 * market.DAY), spark, "late-out")
+    return out.select(F.col("key").cast("bigint").alias("user_id"), "t_start", *[F.round(c, 9).alias(c) for c in ("p_start", "k_start", "gap")])
+
+
 # -- fixtures under perturbed names -------------------------------------------------------------
 #: Invented teams; two share their initials.
 ROSTER = (
@@ -281,7 +301,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_name, classify_family, league_remap, fuzzy_rule_match, fuzzy_ratio_match, fixture_match, first_side_lookup, parse_title, json_props, winner_from_arrays, explode_markets, ts_roundtrip,
-        sweep_map_results, sweep_records, stream_dedup_ingest, stream_divergence, banded_fuzzy_first_match, coverage_fuzzy, same_claim, parity_fuzzy,
+        sweep_map_results, sweep_records, stream_dedup_ingest, stream_divergence, stream_late_divergence, banded_fuzzy_first_match, coverage_fuzzy, same_claim, parity_fuzzy,
     )
 }
 
@@ -441,5 +461,6 @@ FROM series s LEFT JOIN flags f ON s.event_id = f.event_id""",
 FROM fx x JOIN fx y ON x.side = 'P' AND y.side = 'K' AND x.day = y.day AND x.user_id // 2 = y.user_id // 2""",
     "parity_fuzzy": PARITY_FUZZY,
     "stream_divergence": market.SQL["divergences"],
+    "stream_late_divergence": market.SQL["divergences"],
     "stream_dedup_ingest": "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type",
 }

@@ -1,7 +1,8 @@
 """Divergences of a live stream, by the rule of ``operators.divergence`` with kept state.
 
 State of a key: the last price of either side, the run that is under way (its first instant
-and how many it has) and the end of the window in which nothing counts.
+and how many it has) and the end of the window in which nothing counts.  ``live_divergences``
+takes ticks as they come; ``event_time_divergences`` puts late ones in their place first.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from dataclasses import astuple, dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 OUT = "key string, t_start long, p_start double, k_start double, gap double"
 STATE = "p double, k double, until long, run_length int, run_t long, run_p double, run_k double"
@@ -57,6 +60,12 @@ class Series:
         return out
 
 
+def as_rows(key: str, found: list[tuple]) -> pd.DataFrame:
+    """Rows of ``OUT``, with its types also where there are none."""
+    kinds = {"key": object, "t_start": "int64", "p_start": "float64", "k_start": "float64", "gap": "float64"}
+    return pd.DataFrame([(key, *x) for x in found], columns=list(kinds)).astype(kinds)
+
+
 def live_divergences(ticks: DataFrame, threshold: float, need: int, window: int) -> DataFrame:
     """``ticks`` has ``key`` (string), ``t`` (long), ``side`` ('p' or 'k') and ``price``; rows of one micro-batch are put in order of time.
 
@@ -68,6 +77,68 @@ def live_divergences(ticks: DataFrame, threshold: float, need: int, window: int)
         series = Series(*state.get) if state.exists else Series()
         found = series.confirmed(pd.concat(list(batches)), threshold, need, window)
         state.update(astuple(series))
-        yield pd.DataFrame([(key[0], *x) for x in found], columns=["key", "t_start", "p_start", "k_start", "gap"])
+        yield as_rows(key[0], found)
 
     return ticks.groupBy("key").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+class InOrder(StatefulProcessor):
+    """Keeps a key's ticks until the watermark has passed them, then applies the rule to them in order of time.
+
+    A value state has the rule's state, a list state the ticks that are still waiting.  A timer is set for
+    the first of them, so a key moves on without new ticks; once it has had none for
+    ``idle_ms`` of event time and nothing waits, its state goes.
+    """
+
+    def __init__(self, threshold: float, need: int, window: int, idle_ms: int):
+        self.rule, self.idle_ms = (threshold, need, window), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.series = handle.getValueState("series", f"{STATE}, last_t long")
+        self.waiting = handle.getListState("waiting", "t long, side string, price double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ticks = [x for part in rows for x in part[["t", "side", "price"]].itertuples(index=False, name=None)]
+        yield self.passed(key, ticks, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self.passed(key, [], timerValues)
+
+    def passed(self, key: tuple, ticks: list[tuple], timers: TimerValues) -> pd.DataFrame:
+        """What is confirmed by the ticks, kept and new, that the watermark has passed."""
+        mark_ms = timers.getCurrentWatermarkInMs()
+        held = [*(self.waiting.get() if self.waiting.exists() else ()), *ticks]
+        ripe = [x for x in held if x[0] <= mark_ms * 1000]
+        rest = [x for x in held if x[0] > mark_ms * 1000]
+        known = self.series.get() if self.series.exists() else None
+        series, last_t = (Series(*known[:-1]), known[-1]) if known else (Series(), 0)
+        found = []
+        if ripe:
+            found = series.confirmed(pd.DataFrame(ripe, columns=["t", "side", "price"]), *self.rule)
+            last_t = max(x[0] for x in ripe)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(-(-min(x[0] for x in rest) // 1000))
+        else:
+            self.waiting.clear()
+        if not rest and mark_ms >= last_t // 1000 + self.idle_ms:
+            self.series.clear()
+            return as_rows(key[0], found)
+        self.series.update((*astuple(series), last_t))
+        if not rest:
+            self.handle.registerTimer(last_t // 1000 + self.idle_ms)
+        return as_rows(key[0], found)
+
+
+def event_time_divergences(ticks: DataFrame, threshold: float, need: int, window: int, delay: str, idle: int) -> DataFrame:
+    """The same of ticks that may come late, by at most ``delay`` behind the latest of any key, in any order; what is later is left out.
+
+    ``ticks`` has ``key`` (string), ``t`` (long, microseconds), ``side`` and ``price``.  An instant counts when the watermark has
+    passed it, so a divergence comes out ``delay`` after it.  A key without ticks for ``idle``
+    microseconds is forgotten: it begins anew, with both sides unseen.  ``idle`` should be well over ``window``.
+    """
+    timed = ticks.withColumn("_at", F.timestamp_micros("t")).withWatermark("_at", delay)
+    return timed.groupBy("key").transformWithStateInPandas(InOrder(threshold, need, window, idle // 1000), OUT, "Append", "eventTime")
