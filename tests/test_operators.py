@@ -107,7 +107,7 @@ def test_bootstrap_moves_blocks_together_and_repeats(spark):
     first, again = (bootstrap.bootstrap_mean(rows.repartition(n), ["regime"], "block", "v", 500, 1, 0.95).first() for n in (1, 4))
     assert tuple(first)[1:] == pytest.approx(tuple(again)[1:], rel=1e-12)  # the order of sums shows in the last digit
     assert first.n_blocks == 3 and first.ci_lo <= first.point <= first.ci_hi
-    general = bootstrap.bootstrap(rows, ["regime"], "block", "v", lambda xs: sum(xs) / len(xs), 500, 1, 0.95).first()
+    general = bootstrap.bootstrap_merged(rows, ["regime"], "block", "v", bootstrap.Moments(lambda n, total, squares: total / n), 500, 1, 0.95).first()
     assert (general.ci_lo, general.ci_hi) == (pytest.approx(first.ci_lo), pytest.approx(first.ci_hi))
     one = bootstrap.bootstrap_mean(rows.where("block = 'm1'"), ["regime"], "block", "v", 500, 1, 0.95).first()
     assert (one.point, one.ci_lo, one.ci_hi, one.n_blocks) == (None, None, None, 1)

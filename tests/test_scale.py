@@ -127,4 +127,34 @@ def test_draws_are_no_rows(spark):
     assert plan.count("Generate") == 1  # ranges of resamples; a draw is no row
 
 
+def resampled(rows, key, seed, resamples):
+    """Values of each resample, by brute force from the hash of each draw."""
+    blocks = {}
+    for _, b, v in sorted((r for r in rows if r[0] == key and r[2] is not None), key=lambda r: r[1]):
+        blocks.setdefault(b, []).append(v)
+    values, n = list(blocks.values()), len(blocks)
+    return n, [[x for at in range(n) for x in values[bootstrap.draw_of(seed, r, at, n)]] for r in range(resamples)], [x for v in values for x in v]
+
+
+@pytest.mark.parametrize(("part", "draws"), [(1 << 16, 1 << 27), (3, 1 << 27), (2, 90)])
+def test_statistics_over_parts_equal_those_of_whole_resamples(spark, monkeypatch, part, draws):
+    """Medians by weighted ranks over runs, and a merged deviation, with ties, nulls and a null key."""
+    rng = random.Random(5)
+    rows = [(key, f"b{b:02}", rng.choice([0.0, 0.25, rng.random(), None])) for key, blocks in (("x", 19), (None, 8), ("one", 1)) for b in range(blocks) for _ in range(rng.randrange(1, 4))]
+    rows += [("one", "b00", 0.5)]
+    monkeypatch.setattr(bootstrap, "PART_VALUES", part)
+    monkeypatch.setattr(bootstrap, "MOST_DRAWS", draws)
+    df = spark.createDataFrame(rows, "k string, b string, v double").repartition(3)
+    deviation = bootstrap.Moments(lambda n, s, q: np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)))
+    medians = {r.k: r for r in bootstrap.bootstrap_quantile(df, ["k"], "b", "v", 0.5, 120, 7, 0.9).collect()}
+    deviations = {r.k: r for r in bootstrap.bootstrap_merged(df, ["k"], "b", "v", deviation, 120, 7, 0.9).collect()}
+    assert set(medians) == set(deviations) == {"x", None, "one"}
+    for found, of in ((medians, lambda xs: sorted(xs)[len(xs) // 2]), (deviations, lambda xs: float(np.std(xs)))):
+        for key in ("x", None):
+            n, drawn, own = resampled(rows, key, 7, 120)
+            stats = sorted(map(of, drawn))
+            assert (found[key].n_blocks, found[key].point, found[key].ci_lo, found[key].ci_hi) == (n, *map(pytest.approx, (of(own), stats[int((1 - 0.9) / 2 * 120)], stats[int((1 + 0.9) / 2 * 120) - 1])))
+        assert tuple(found["one"])[1:] == (None, None, None, 1)
+
+
 CHUNKS = bootstrap.chunks_of

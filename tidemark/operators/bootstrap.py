@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
+from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.tables import materialise, numbered
@@ -24,7 +24,8 @@ from tidemark.tables import materialise, numbered
 MOST_BLOCKS = 1 << 20  # blocks that a task holds, as arrays of two numbers each
 MOST_DRAWS = 1 << 27  # draws that a task makes
 PLACES = 1 << 20  # places that are drawn for at a time
-PER_TASK = 200  # resamples of an arbitrary statistic that one task makes
+PART_VALUES = 1 << 16  # values that a task holds of a key
+SLICE = 64  # resamples whose weights it holds at a time
 
 #: The prime 2^31 - 1 and multipliers of the draw's hash.  All products stay below 2^48.
 PRIME, MULTIPLIERS, SHIFTS = 2_147_483_647, (48_271, 69_621, 16_807), (15, 13)
@@ -108,27 +109,153 @@ def bootstrap_mean(rows: DataFrame, by: Sequence[str], block: str, value: str, r
     return summary.join(interval(stats, ["_first"], resamples, ci_level), "_first", "left").select(*keys, point, "ci_lo", "ci_hi", "n_blocks", "n")
 
 
-def bootstrap(rows: DataFrame, by: Sequence[str], block: str, value: str, statistic: Callable[[Sequence[float]], float], resamples: int, seed: int, ci_level: float) -> DataFrame:
-    """The same for any statistic of a resample's values; the rows of one key are held by one task.
+class Mergeable(Protocol):
+    """A statistic whose state is ``size`` numbers: of parts of the data, for many resamples at once (a row each)."""
 
-    Resamples of one key are dealt over tasks in groups of ``PER_TASK``, each with the key's rows.
+    size: int
+
+    def update(self, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """States of values that stand in each resample as often as ``weights`` (resamples by values) say."""
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """States of both parts together."""
+
+    def finish(self, states: np.ndarray) -> np.ndarray:
+        """The statistic of each state."""
+
+
+class Moments:
+    """Number, sum and sum of squares; ``of`` makes the statistic of these three."""
+
+    size = 3
+
+    def __init__(self, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
+        self.of = of
+
+    def update(self, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return weights @ np.stack([np.ones(len(values)), values, values * values], axis=1)
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a + b
+
+    def finish(self, states: np.ndarray) -> np.ndarray:
+        return self.of(*states.T)
+
+
+def block_counts(seed: int, resample: int, n: int) -> np.ndarray:
+    """How often each of a key's n blocks stands in a resample."""
+    counts = np.zeros(n, dtype=np.int64)
+    for at in range(0, n, PLACES):
+        counts += np.bincount(mix(mix(resample + seed) ^ mix(np.arange(at + 1, min(at + PLACES, n) + 1, dtype=np.int64))) % n, minlength=n)
+    return counts
+
+
+def placed_blocks(rows: DataFrame, keys: Sequence[str], block: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Values (not null) with ``_first`` (of their key), ``n_blocks`` and the place ``_i`` of their block; and a row for each key."""
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(block).alias("_block"), F.col(value).cast("double").alias("_v"))
+    table = materialise(numbered(rows.select(*keys, "_block").distinct(), [], [*keys, "_block"], "_at", "bootstrap-numbered"), "bootstrap-table")
+    summary = materialise(table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_blocks"), F.min("_at").alias("_first")), "bootstrap-keys")
+    for other, on in ((table, [*keys, "_block"]), (summary, list(keys))):
+        named = other.select(*[F.col(c).alias(f"_of_{c}") for c in on], *[c for c in other.columns if c not in on])
+        rows = rows.join(named, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on], F.lit(True))).drop(*[f"_of_{c}" for c in on])
+    return rows.select("_first", "n_blocks", (F.col("_at") - F.col("_first")).alias("_i"), "_v"), summary
+
+
+def with_ranges(parts: DataFrame, resamples: int, cells: Column) -> DataFrame:
+    """Parts with ``_r`` and ``_step``: ranges of resamples of which a task makes one, shorter where a resample costs more ``cells``."""
+    step = F.greatest(F.lit(1), F.least(F.lit(resamples), F.floor(F.lit(MOST_DRAWS) / F.greatest(cells, F.lit(1))))).cast("int")
+    return parts.withColumn("_step", step).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("_step")))).repartition("_first", "_part", "_r")
+
+
+def bootstrap_merged(rows: DataFrame, by: Sequence[str], block: str, value: str, statistic: Mergeable, resamples: int, seed: int, ci_level: float) -> DataFrame:
+    """Per key: point, ci_lo, ci_hi and n_blocks of a mergeable statistic; nulls are left out, fewer than two blocks give no interval and no point.
+
+    A key's values are cut into parts of at most ``PART_VALUES`` over which tasks are spread; the parts' states of
+    each resample are merged in the order of the parts.
     """
-    keys = list(by)
-    parts = rows.select(*keys, block, value).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // PER_TASK))))
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", _stat double, _point double, _blocks int"
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        groups = [g[value].tolist() for _, g in part.sort_values(block).groupby(block)]
-        first, stats = int(part["_part"].iloc[0]) * PER_TASK, []
-        places = mix(np.arange(1, len(groups) + 1, dtype=np.int64))
-        for r in range(first, min(first + PER_TASK, resamples)) if len(groups) >= 2 else ():
-            drawn = mix(mix(r + seed) ^ places) % len(groups)
-            stats.append(float(statistic([x for i in drawn.tolist() for x in groups[i]])))
-        out = pd.DataFrame({"_stat": stats or [None], "_point": float(statistic(part[value].tolist())) if len(groups) >= 2 else None, "_blocks": len(groups)})
-        for k in keys:
-            out[k] = part[k].iloc[0]
-        return out[[*keys, "_stat", "_point", "_blocks"]]
-
-    stats = parts.groupBy(*keys, "_part").applyInPandas(lambda part: run(part), schema)
-    found = interval(stats, keys, resamples, ci_level, F.first("_point").alias("point"), F.max("_blocks").alias("n_blocks"))
-    return found.select(*keys, "point", "ci_lo", "ci_hi", "n_blocks")
+    placed, summary = placed_blocks(rows, by, block, value)
+    ordered = numbered(placed, ["_first"], ["_i", "_v"], "_n", "bootstrap-values")
+    cut = ordered.groupBy("_first", "n_blocks", F.floor(F.col("_n") / PART_VALUES).alias("_part")).agg(F.collect_list(F.struct("_i", "_v")).alias("_x"))
+    parts = cut.where("n_blocks >= 2").select("_first", "n_blocks", "_part", F.col("_x._i").alias("_is"), F.col("_x._v").alias("_vs"))
+    whole = parts.withColumn("_r", F.lit(-1)).withColumn("_step", F.lit(1))  # every block once: the point
+    work = with_ranges(parts, resamples, F.greatest(F.col("n_blocks"), F.size("_vs") * 16)).unionByName(whole)
+
+    def update(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                first, n, part, r, step = (row[k].as_py() for k in (0, 1, 2, 5, 6))
+                blocks, values = (row[k].values.to_numpy(zero_copy_only=False) for k in (3, 4))
+                for at in range(r, min(r + step, resamples), SLICE) if r >= 0 else (-1,):
+                    count = min(SLICE, r + step - at, resamples - at) if r >= 0 else 1
+                    weights = np.stack([block_counts(seed, at + k, n)[blocks] if r >= 0 else np.ones(len(blocks)) for k in range(count)])
+                    states = statistic.update(values, weights)
+                    yield pa.RecordBatch.from_arrays([pa.array([first] * count), pa.array(range(at, at + count), pa.int64()), pa.array([part] * count), pa.array(states.tolist(), pa.list_(pa.float64()))], names=["_first", "_r", "_part", "_state"])
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for first, r, _, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.array([own])
+                if (first, r) == key:
+                    state = statistic.merge(state, own)
+                    continue
+                if key:
+                    out.append((*key, float(statistic.finish(state)[0])))
+                key, state = (first, r), own
+            yield result(out)
+        if key:
+            yield result([(*key, float(statistic.finish(state)[0]))])
+
+    states = work.select("_first", "n_blocks", "_part", "_is", "_vs", "_r", "_step").mapInArrow(update, "_first bigint, _r bigint, _part bigint, _state array<double>")
+    stats = materialise(states.repartition("_first", "_r").sortWithinPartitions("_first", "_r", "_part").mapInArrow(merge, RESULT), "bootstrap-stats")
+    points = stats.where("_r < 0").select("_first", F.col("_stat").alias("point"))
+    ends = interval(stats.where("_r >= 0"), ["_first"], resamples, ci_level)
+    return summary.join(points, "_first", "left").join(ends, "_first", "left").select(*by, "point", "ci_lo", "ci_hi", "n_blocks")
+
+
+RESULT = "_first bigint, _r bigint, _stat double"
+
+
+def result(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int64(), pa.int64(), pa.float64()])], names=["_first", "_r", "_stat"])
+
+
+def bootstrap_quantile(rows: DataFrame, by: Sequence[str], block: str, value: str, q: float, resamples: int, seed: int, ci_level: float) -> DataFrame:
+    """The same of the value at place ``floor(q * n)`` from 0 of a resample's n values in order: 0.5 is the (upper) median.
+
+    By weighted ranks over sorted runs: a key's values are sorted once and cut into runs of ``PART_VALUES``.
+    Each run gives its weight in every resample, running sums of these say in which run the place lies,
+    and that run is searched.  No task holds a key's values, and none sorts a resample.
+    """
+    placed, summary = placed_blocks(rows, by, block, value)
+    ranked = materialise(numbered(placed, ["_first"], ["_v", "_i"], "_rank", "bootstrap-values"), "bootstrap-ranked")
+    cut = ranked.groupBy("_first", "n_blocks", F.floor(F.col("_rank") / PART_VALUES).alias("_part")).agg(F.array_sort(F.collect_list(F.struct("_rank", "_i", "_v"))).alias("_x"))
+    runs = materialise(cut.where("n_blocks >= 2").select("_first", "n_blocks", "_part", F.col("_x._i").alias("_is"), F.col("_x._v").alias("_vs")), "bootstrap-runs")
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                first, n, part, r, step = (row[k].as_py() for k in (0, 1, 2, 4, 5))
+                blocks, every = row[3].values.to_numpy(zero_copy_only=False), range(r, min(r + step, resamples))
+                weights = [int(block_counts(seed, k, n)[blocks].sum()) for k in every]
+                yield pa.RecordBatch.from_arrays([pa.array([first] * len(every)), pa.array([part] * len(every)), pa.array(every, pa.int64()), pa.array(weights, pa.int64())], names=["_first", "_part", "_r", "_w"])
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, blocks, values, asked in zip(*batch.columns, strict=True):
+                n, of = n.as_py(), blocks.values.to_numpy(zero_copy_only=False)
+                sorted_values = values.values.to_numpy(zero_copy_only=False)
+                yield result([(first.as_py(), x["_r"], float(sorted_values[np.searchsorted(np.cumsum(block_counts(seed, x["_r"], n)[of]), x["_rest"], side="right")])) for x in asked.as_py()])
+
+    work = with_ranges(runs.select("_first", "n_blocks", "_part", "_is"), resamples, F.col("n_blocks"))
+    weights = materialise(work.select("_first", "n_blocks", "_part", "_is", "_r", "_step").mapInArrow(weigh, "_first bigint, _part bigint, _r bigint, _w bigint"), "bootstrap-weights")
+    each = Window.partitionBy("_first", "_r")
+    before = F.coalesce(F.sum("_w").over(each.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = weights.withColumn("_before", before).withColumn("_at", F.floor(F.sum("_w").over(each) * q))
+    met = at.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_w")))
+    asked = met.groupBy("_first", "_part").agg(F.collect_list(F.struct("_r", (F.col("_at") - F.col("_before")).alias("_rest"))).alias("_asked"))  # at most one for each resample
+    stats = runs.join(asked, ["_first", "_part"]).select("_first", "n_blocks", "_is", "_vs", "_asked").mapInArrow(search, RESULT)
+    sizes = ranked.groupBy("_first").agg(F.floor(F.count(F.lit(1)) * q).alias("_rank"))
+    points = ranked.where("n_blocks >= 2").join(sizes, ["_first", "_rank"]).select("_first", F.col("_v").alias("point"))
+    return summary.join(points, "_first", "left").join(interval(stats, ["_first"], resamples, ci_level), "_first", "left").select(*by, "point", "ci_lo", "ci_hi", "n_blocks")

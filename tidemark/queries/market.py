@@ -7,6 +7,7 @@ JSON properties, the regime changes on 2024-01-16.  Times are microseconds.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,10 +154,18 @@ def calibration_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Any statistic: the upper median of the squared errors."""
+    """The upper median of the users' squared errors, by weighted ranks."""
     errors = points(spark, sf_dir).withColumn("e", scoring.squared_error(F.col("p"), F.col("y"))).groupBy("regime", "user_id").agg(F.sum("e").alias("e"))
-    found = bootstrap.bootstrap(errors, ["regime"], "user_id", "e", lambda xs: sorted(xs)[len(xs) // 2], Bootstrap().resamples, SEED, CI)
-    return found.select("regime", *[F.round(c, 9).alias(c) for c in ("point", "ci_lo", "ci_hi")], "n_blocks")
+    found = bootstrap.bootstrap_quantile(errors, ["regime"], "user_id", "e", 0.5, Bootstrap().resamples, SEED, CI)
+    return found.select("regime", *[F.round(c, 9).alias(c) for c in ("point", "ci_lo", "ci_hi")], F.col("n_blocks").cast("int").alias("n_blocks"))
+
+
+def bootstrap_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mergeable statistic: the standard deviation of the squared errors, by regime, users being blocks."""
+    errors = points(spark, sf_dir).withColumn("e", scoring.squared_error(F.col("p"), F.col("y")))
+    deviation = bootstrap.Moments(lambda n, s, q: np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)))
+    found = bootstrap.bootstrap_merged(errors, ["regime"], "user_id", "e", deviation, Bootstrap().resamples, SEED, CI)
+    return found.select("regime", *[F.round(c, 7).alias(c) for c in ("point", "ci_lo", "ci_hi")], "n_blocks")
 
 
 def found_divergences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -348,7 +357,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_inclusive, asof_bucketed, asof_strict, asof_forward_tol, read_asof_prefix, latest_before, grid_align, snapshot_multi_target, brier_logloss, reliability_curve, ece_by_venue,
-        calibration_report, calibration_interval, compare_venues, block_bootstrap_ci, bootstrap_median, divergences, convergence, lead_lag_report, regime_slices, lagged_correlation, candle_mid_at, candle_series, build_points, map_series,
+        calibration_report, calibration_interval, compare_venues, block_bootstrap_ci, bootstrap_median, bootstrap_deviation, divergences, convergence, lead_lag_report, regime_slices, lagged_correlation, candle_mid_at, candle_series, build_points, map_series,
     )
 }
 
@@ -395,6 +404,12 @@ b_summary AS (SELECT regime, count(*) AS n_blocks, list_sort(list(e))[count(*) /
 b_stats AS (SELECT x.regime, x.r, list_sort(list(y.e))[count(*) // 2 + 1] AS stat FROM b_draws x JOIN b_blocks y ON x.regime = y.regime AND x.i = y.i GROUP BY x.regime, x.r),
 b_ends AS (SELECT regime, list_sort(list(stat))[{int((1 - CI) / 2 * RESAMPLES) + 1}] AS ci_lo, list_sort(list(stat))[{int((1 + CI) / 2 * RESAMPLES)}] AS ci_hi FROM b_stats GROUP BY regime)
 SELECT x.regime, round(point, 9) AS point, round(ci_lo, 9) AS ci_lo, round(ci_hi, 9) AS ci_hi, n_blocks::INT AS n_blocks FROM b_summary x LEFT JOIN b_ends y ON x.regime = y.regime""",
+    "bootstrap_deviation": f"""WITH {POINTS}, b_blocks AS (
+  SELECT *, row_number() OVER (PARTITION BY regime ORDER BY user_id) - 1 AS i FROM (SELECT regime, user_id, count(*) AS m, sum(e) AS s, sum(e * e) AS q FROM (SELECT *, (p - y) * (p - y) AS e FROM points) GROUP BY regime, user_id)
+), b_summary AS (SELECT regime, count(*) AS n_blocks, sqrt(greatest(sum(q) / sum(m) - (sum(s) / sum(m)) * (sum(s) / sum(m)), 0)) AS point FROM b_blocks GROUP BY regime), {_draws_sql('regime', RESAMPLES)},
+b_stats AS (SELECT x.regime, x.r, sqrt(greatest(sum(q) / sum(m) - (sum(s) / sum(m)) * (sum(s) / sum(m)), 0)) AS stat FROM b_draws x JOIN b_blocks y ON x.regime = y.regime AND x.i = y.i GROUP BY x.regime, x.r),
+b_ends AS (SELECT regime, list_sort(list(stat))[{int((1 - CI) / 2 * RESAMPLES) + 1}] AS ci_lo, list_sort(list(stat))[{int((1 + CI) / 2 * RESAMPLES)}] AS ci_hi FROM b_stats GROUP BY regime)
+SELECT x.regime, round(point, 7) AS point, round(ci_lo, 7) AS ci_lo, round(ci_hi, 7) AS ci_hi, n_blocks FROM b_summary x LEFT JOIN b_ends y ON x.regime = y.regime""",
     "divergences": f"WITH RECURSIVE {AUTOMATON} SELECT user_id, t_start, round(p_start, 9) AS p_start, round(k_start, 9) AS k_start, round(gap, 9) AS gap FROM found",
     "convergence": f"WITH RECURSIVE {LEADS} SELECT user_id, t_start, round(lead, 9) AS lead FROM leads",
     "lead_lag_report": _lead_report_sql(LEADS + ", regimes AS (SELECT *, 'all' AS regime FROM leads)", "regimes", RESAMPLES),
