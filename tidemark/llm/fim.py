@@ -7,8 +7,8 @@ requests meet the match of their ordinal, and an aggregate gives a document its
 is done twice, first for runs of ``RUN`` units, then for the units of the runs that hold a cut,
 so a document gives rows for its runs and for two of them and not for every unit.
 
-The requests travel with their document's rows: the join by ordinal is an equality within a
-row.  One shuffle, by document, carries each text once, as its runs; all that follows it keeps
+The requests travel with their document's rows and meet a run by an equality of ordinals, so
+no second table is read.  One shuffle, by document, carries each text once, as its runs; all that follows it keeps
 that partitioning.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = "[A-Za-z]+|[^A-Za-z]"
-RUN = 32  # units of a run
+RUN = 64  # units of a run
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 
 
@@ -54,17 +54,19 @@ def transform(docs: DataFrame, seed: int = 1, percent: int = 90, spm_percent: in
     rows = rows.withColumn("_cuts", F.when(F.col("form") != "plain", F.array(F.struct(F.lit(1).alias("cut"), F.least(u1, u2).alias("u")), F.struct(F.lit(2).alias("cut"), F.greatest(u1, u2).alias("u")))))
 
     runs = rows.select("_row", "doc_id", "n", "form", "_cuts", F.posexplode_outer(F.regexp_extract_all("text", F.lit(f"(?:{UNIT}){{1,{RUN}}}"), F.lit(0))).alias("_k", "_run"))
+    asked = F.filter("_cuts", lambda c: F.floor(c["u"] / RUN) == F.col("_k"))  # a cut after the last unit meets none
+    once = F.coalesce("_k", F.lit(0)) == 0  # what a document has once goes with its first run
+    runs = runs.select("_row", *[F.when(once, F.col(c)).alias(c) for c in ("doc_id", "n", "form")], "_k", "_run", F.when(F.size(asked) > 0, asked).alias("_asked"))
     runs = runs.repartition("_row").withColumn("_start", before(F.char_length("_run"), ["_row"], "_k"))
-    requests = F.filter("_cuts", lambda c: F.floor(c["u"] / RUN) == F.col("_k"))  # a cut after the last unit meets none
-    met = runs.withColumn("_cut", F.explode_outer(requests))
-    first = F.coalesce(F.col("_cut.cut") == F.get(requests, F.lit(0))["cut"], F.lit(True))  # a run that two cuts meet is here twice
+    met = runs.withColumn("_cut", F.explode_outer("_asked"))
+    first = F.coalesce(F.col("_cut.cut") == F.get("_asked", F.lit(0))["cut"], F.lit(True))  # a run that two cuts meet is here twice
     units = met.select("_row", "doc_id", "n", "form", "_k", "_start", "_cut", "_run", first.alias("_first"), F.posexplode_outer(F.when(F.col("_cut").isNotNull(), F.regexp_extract_all("_run", F.lit(UNIT), F.lit(0)))).alias("_pos", "_unit"))
     own = F.col("_first") & (F.coalesce("_pos", F.lit(0)) == 0)
     units = units.withColumn("_run", F.when(own, F.col("_run"))).withColumn("_c", F.col("_cut.cut"))
     units = units.withColumn("_at", F.col("_start") + before(F.char_length("_unit"), ["_row", "_k", "_c"], "_pos"))
     hit = F.col("_pos") == F.col("_cut.u") % RUN
     found = units.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("form").alias("form"),
+        F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("form").alias("form"),
         F.array_sort(F.collect_list(F.when(F.col("_run").isNotNull(), F.struct("_k", "_run")))).alias("_runs"), *[F.max(F.when(hit & (F.col("_c") == c), F.col("_at"))).alias(f"_at{c}") for c in (1, 2)],
     )
     whole = found.withColumn("text", F.array_join(F.transform("_runs", lambda r: r["_run"]), "")).drop("_runs")
