@@ -23,6 +23,7 @@ from tidemark.tables import materialise, numbered
 
 MOST_BLOCKS = 1 << 20  # blocks that a task holds, as arrays of two numbers each
 MOST_DRAWS = 1 << 27  # draws that a task makes
+RANGES = 16  # tasks at least, for the resamples of a key's blocks
 PLACES = 1 << 20  # places that are drawn for at a time
 PART_VALUES = 1 << 16  # values that a task holds of a key
 SLICE = 64  # resamples whose weights it holds at a time
@@ -63,7 +64,7 @@ def resampled(chunks: DataFrame, resamples: int, seed: int) -> DataFrame:
 
     A task draws a range of resamples against one chunk and gives their sums; chunks of a key add up.
     """
-    step = F.greatest(F.lit(1), F.least(F.lit(resamples), F.floor(F.lit(MOST_DRAWS) / F.col("n_blocks")))).cast("int")
+    step = F.greatest(F.lit(1), F.least(F.lit(-(-resamples // RANGES)), F.floor(F.lit(MOST_DRAWS) / F.col("n_blocks")))).cast("int")
     work = chunks.withColumn("_step", step).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("_step")))).repartition("_first", "_from", "_r")
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,7 @@ def placed_blocks(rows: DataFrame, keys: Sequence[str], block: str, value: str)
 
 def with_ranges(parts: DataFrame, resamples: int, cells: Column) -> DataFrame:
     """Parts with ``_r`` and ``_step``: ranges of resamples of which a task makes one, shorter where a resample costs more ``cells``."""
-    step = F.greatest(F.lit(1), F.least(F.lit(resamples), F.floor(F.lit(MOST_DRAWS) / F.greatest(cells, F.lit(1))))).cast("int")
+    step = F.greatest(F.lit(1), F.least(F.lit(-(-resamples // RANGES)), F.floor(F.lit(MOST_DRAWS) / F.greatest(cells, F.lit(1))))).cast("int")
     return parts.withColumn("_step", step).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("_step")))).repartition("_first", "_part", "_r")
 
 
