@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions import text
+from tidemark.functions.text import letters
+from tidemark.operators import nameindex
 from tidemark.tables import materialise
 
 
@@ -29,14 +31,6 @@ def ruled_pairs(pairs: DataFrame, min_acronym: int = 1) -> DataFrame:
     return pairs.withColumn("same", text.decided(F.col("_x"), F.col("_y"), min_acronym))
 
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "  # of a normal form
-
-
-def letters(normal: Column) -> Column:
-    """How often each of ``LETTERS`` stands in a normal form."""
-    return F.array(*[F.length(normal) - F.length(F.translate(normal, c, "")) for c in LETTERS])
-
-
 def could_be_alike(x: Column, y: Column, x_count: Column, y_count: Column, threshold: float) -> Column:
     """Whether two normal forms have enough letters in common for the ratio: it can't be above twice the common letters over all."""
     common = F.aggregate(F.zip_with(x_count, y_count, lambda p, q: F.least(p, q)), F.lit(0), lambda total, n: total + n)
@@ -94,9 +88,11 @@ def banded_candidates(left: DataFrame, right: DataFrame, left_day: str, right_da
 
 
 def same_names(left: DataFrame, right: DataFrame, threshold: float = 0.85, min_acronym: int = 1) -> DataFrame:
-    """``l``, ``r``: names of ``left`` and ``right`` (``_day``, ``name``) that are seen on one day and mean one team, by rules or spelling."""
-    met = left.distinct().join(right.distinct().withColumnRenamed("name", "r"), "_day").select(F.col("name").alias("l"), "r").distinct()
-    return same_of(met, threshold, min_acronym)
+    """``l``, ``r``: names of ``left`` and ``right`` (``_day``, ``name``) that are seen on one day and mean one team, by rules or spelling.
+
+    Only names that share an entry of the index (``operators.nameindex``) on a day are looked at.
+    """
+    return same_of(nameindex.candidates(left, right, threshold), threshold, min_acronym)
 
 
 def named(rows: DataFrame, day: str, names: Sequence[str], days: int = 0) -> DataFrame:
