@@ -148,6 +148,25 @@ def test_rest_source_replays_pages(spark, tmp_path):
         rows.count()
 
 
+def test_rest_source_scans_series_in_tasks_of_their_own(spark, tmp_path):
+    def event(close):
+        return {"markets": [{"close_time": close, "open_time": "2020-01-01T00:00:00Z"}, {}]}
+
+    spark.dataSource.register(RestSource)
+    for name in ("ONE", "TWO"):
+        (tmp_path / name).mkdir()
+    pages(tmp_path / "ONE", {"items": [event("2025-03-01T00:00:00Z")]}, {"items": [event("2024-12-31T23:00:00Z"), event("2025-02-01T00:00:00Z")]}, {"items": [event("2024-11-01T00:00:00Z")]})
+    pages(tmp_path / "TWO", {"items": [event("2025-03-01T00:00:00Z")]}, {"items": [event(None)]}, {"items": [{"markets": []}, {}]})
+    rows = spark.read.format("rest").options(path=str(tmp_path), series="ONE, TWO", stop_before="2025-01-01").load()
+    assert rows.rdd.getNumPartitions() == 2
+    found = rows.orderBy("seq").collect()
+    # the page that reaches back is given whole, later ones aren't read; an event with no closing time is dated by its opening
+    assert [r.series_ticker for r in found] == ["ONE"] * 3 + ["TWO"] * 2 and len({r.seq for r in found}) == 5
+    assert {r.series_ticker for r in rows.where("series_ticker = 'TWO'").collect()} == {"TWO"}
+    whole = spark.read.format("rest").options(path=str(tmp_path), series="ONE,TWO").load()
+    assert whole.count() == 8
+
+
 def test_paging_rules():
     def fetch(params):
         at = params["offset"] // 2

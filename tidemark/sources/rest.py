@@ -64,14 +64,23 @@ def replay_fetch(folder: str) -> Fetch:
     return fetch
 
 
-def cursor_pages(fetch: Fetch, params: dict, items: str = "items") -> Iterator[list[dict]]:
-    """Pages until no cursor is left."""
+def settles_before(event: dict, day: str) -> bool:
+    """Whether an event of two markets or more closed (else opened) before ``day``, by its first market; false if that can't be read."""
+    markets = event.get("markets") or []
+    times = [str(markets[0].get(k) or "") for k in ("close_time", "open_time")] if len(markets) > 1 else []
+    known = [t for t in times if t[:4].isdigit()]
+    return bool(known) and known[0] < day
+
+
+def cursor_pages(fetch: Fetch, params: dict, items: str = "items", stop_before: str | None = None) -> Iterator[list[dict]]:
+    """Pages until no cursor is left, or up to the first, which is given whole, with an event from before ``stop_before``."""
     cursor = None
     while True:
         page = fetch(params | {"cursor": cursor})
-        yield page.get(items) or []
+        found = page.get(items) or []
+        yield found
         cursor = page.get("cursor")
-        if not cursor:
+        if not cursor or stop_before and any(settles_before(event, stop_before) for event in found):
             return
 
 
@@ -96,7 +105,20 @@ def row_of(page: int, seq: int, item: dict, series: str | None, fetched: float,
     return page, seq, raw, item.get("status"), item.get("startDate"), item.get("series_ticker") or series, int(fetched * 1000), int((fetched - began) * 1000), False
 
 
+SPAN = 10_000_000  # numbers of one partition's items
+
+
+class Scan(InputPartition):
+    """One series or tag: a task follows its cursor to its end."""
+
+    def __init__(self, number: int, series: str | None):
+        super().__init__(number)
+        self.series = series
+
+
 class RestReader(DataSourceReader):
+    """With the option ``series`` (names, comma-separated) each is a partition of its own: a folder of that name below ``path``, or the parameter ``each`` of a request. ``seq`` grows in the order of the list."""
+
     def __init__(self, options: dict):
         self.options, self.params = options, {}
 
@@ -110,20 +132,28 @@ class RestReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]  # each page names the next one
+        listed = [x.strip() for x in self.options.get("series", "").split(",") if x.strip()]
+        if len(listed) * SPAN > 2**31:
+            raise ValueError("at most 214 series in one scan")
+        wanted, key = self.params.get("series_ticker"), self.options.get("each", "series_ticker")
+        scans = [Scan(i, x) for i, x in enumerate(listed) if key != "series_ticker" or wanted in (None, x)]
+        return scans if listed else [Scan(0, None)]  # each page names the next one
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         o = self.options
-        fetch = replay_fetch(o["path"]) if o.get("transport", "replay") == "replay" else http_fetch(o["url"], int(o.get("timeout_s", 30)))
         params = {k[6:]: v for k, v in o.items() if k.startswith("param.")} | {k: v for k, v in self.params.items() if k != "stop_before"}
+        path = o.get("path")
+        if partition.series is not None:
+            path, params = f"{path}/{partition.series}", params | {o.get("each", "series_ticker"): partition.series}
+        fetch = replay_fetch(path) if o.get("transport", "replay") == "replay" else http_fetch(o["url"], int(o.get("timeout_s", 30)))
         if "limit" in o:
             params["limit"] = int(o["limit"])
         ended: list[bool] = []
         if o.get("paging", "cursor") == "cursor":
-            pages = cursor_pages(fetch, params, o.get("items", "items"))
+            pages = cursor_pages(fetch, params, o.get("items", "items"), o.get("stop_before"))
         else:
             pages = offset_pages(fetch, params, int(o.get("limit", 100)), self.params.get("stop_before") or o.get("stop_before"), lambda: ended.append(True), o.get("items", "items"))
-        seq, began, number = 0, time.time(), -1
+        seq, began, number = partition.value * SPAN, time.time(), -1
         for number, page in enumerate(pages):
             now = time.time()
             for item in page:

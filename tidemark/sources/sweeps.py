@@ -126,7 +126,7 @@ def stored_k_maps(found: DataFrame, window_start: str) -> DataFrame:
 
 
 def stored_p_maps(found: DataFrame) -> DataFrame:
-    return found.select(F.lit("P").alias("venue"), "contract_id", (F.col("seq") * 1000 + F.col("pos")).alias("seq"), *_two(), "ts", "map_no", "winner", F.col("outcomes").alias("names"), F.col("tokens").alias("contracts"))
+    return found.select(F.lit("P").alias("venue"), "contract_id", (F.col("seq").cast("long") * 1000 + F.col("pos")).alias("seq"), *_two(), "ts", "map_no", "winner", F.col("outcomes").alias("names"), F.col("tokens").alias("contracts"))
 
 
 # -- discovery and books of open markets ----------------------------------------------------------
