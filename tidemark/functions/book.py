@@ -75,3 +75,42 @@ def market_snapshot(market: Column, yes: Column, no: Column, raw: Column) -> lis
         F.when(readable, notional(bids)).alias("full_bid_usd"), F.when(readable, notional(asks)).alias("full_ask_usd"), F.when(readable, levels).alias("n_levels"), both.cast("int").alias("book_ok"),
         F.to_json(raw).alias("raw_json"),
     ]
+
+
+def walked(ladder: Column, buy: bool) -> Column:
+    """The levels in the order in which an order takes them (asks from the lowest price, bids from the highest), each with the size
+    and money of the levels before it: array<struct<price, size, before, paid>>.
+
+    Levels without a price or a positive size are left out.
+    """
+    usable = F.filter(ladder, lambda x: x["price"].isNotNull() & (x["size"] > 0))
+    rank = (lambda p: p) if buy else (lambda p: -p)
+    levels = F.array_sort(F.transform(usable, lambda x: F.struct(rank(x["price"]).cast("double").alias("rank"), x["price"].cast("double").alias("price"), x["size"].cast("double").alias("size"))))
+    start = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("paid"), F.array().cast("array<struct<price:double,size:double,before:double,paid:double>>").alias("steps"))
+    run = F.aggregate(
+        levels,
+        start,
+        lambda acc, x: F.struct(
+            (acc["before"] + x["size"]).alias("before"),
+            (acc["paid"] + x["price"] * x["size"]).alias("paid"),
+            F.concat(acc["steps"], F.array(F.struct(x["price"].alias("price"), x["size"].alias("size"), acc["before"].alias("before"), acc["paid"].alias("paid")))).alias("steps"),
+        ),
+    )
+    return run["steps"]
+
+
+def impact(steps: Column, order: Column) -> Column:
+    """What an order of the given size does to a ladder ``walked`` before: struct<filled, mean_price, last_price, slippage, n_levels>.
+
+    The level at which it ends is the first whose size makes the sum large enough, or the last one where the ladder ends before the order:
+    then ``filled`` is less than the order.  ``slippage`` is the mean price's distance from the first level's.  Null for an empty ladder
+    and an order that is null or not positive.
+    """
+    reached = F.filter(steps, lambda x: x["before"] < order)
+    last = F.element_at(reached, -1)
+    filled = F.least(order.cast("double"), last["before"] + last["size"])
+    mean = (last["paid"] + (filled - last["before"]) * last["price"]) / filled
+    found = F.struct(
+        filled.alias("filled"), mean.alias("mean_price"), last["price"].alias("last_price"), F.abs(mean - F.get(steps, F.lit(0))["price"]).alias("slippage"), F.size(reached).alias("n_levels")
+    )
+    return F.when((order > 0) & (F.size(steps) > 0), found)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import clock, nested, text
 from tidemark.operators import matching
@@ -175,7 +178,7 @@ def sweep_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _drained(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
+def drained(stream: DataFrame, spark: SparkSession, label: str, wait: Callable[[StreamingQuery], None] = StreamingQuery.awaitTermination) -> DataFrame:
     """All that a stream gives until what is there now is read: its batches, written."""
     conf, root = "spark.sql.streaming.stateStore.providerClass", folder(spark, label)
     before = spark.conf.get(conf, None)
@@ -186,7 +189,7 @@ def _drained(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
             found.write.mode("overwrite").parquet(f"{root}/batches/number={number}")
 
         spark.createDataFrame([], stream.schema).write.parquet(f"{root}/batches/number=-1")  # for a stream without a batch
-        stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        wait(stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     finally:
         if before is not None:
             spark.conf.set(conf, before)
@@ -201,7 +204,7 @@ def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.write.parquet(f"{twice}/{delivery}")
     files = len(spark.read.schema(STREAM_SCHEMA).parquet(f"{twice}/first").inputFiles())
     stream = spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", max(files, 1)).parquet(f"{twice}/*").withColumn("ts", F.col("ts").cast("timestamp"))
-    stored = _drained(recorder.deduplicated(stream, "ts", "1 hour", ["event_id"]), spark, "ingest")
+    stored = drained(recorder.deduplicated(stream, "ts", "1 hour", ["event_id"]), spark, "ingest")
     return stored.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -211,7 +214,7 @@ def stream_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = rows.select(
         F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.when(F.col("event_type") == "click", "k").otherwise("p").alias("side"), (F.col("value") / (F.col("value") + 50.0)).alias("price")
     )
-    out = _drained(live.live_divergences(sides, market.THRESHOLD, market.NEED, market.WINDOW), spark, "live")
+    out = drained(live.live_divergences(sides, market.THRESHOLD, market.NEED, market.WINDOW), spark, "live")
     return out.select(F.col("key").cast("bigint").alias("user_id"), "t_start", *[F.round(c, 9).alias(c) for c in ("p_start", "k_start", "gap")])
 
 
@@ -231,7 +234,7 @@ def stream_late_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     closing = spark.range(1).select(F.lit("").alias("key"), F.lit((end or 0) + 400 * market.DAY).alias("t"), F.lit("p").alias("side"), F.lit(0.0).alias("price"))
     closing.write.mode("append").parquet(sent)  # a tick far ahead moves the watermark over all others
     stream = spark.readStream.schema("key string, t bigint, side string, price double").option("maxFilesPerTrigger", files).parquet(sent)
-    out = _drained(live.event_time_divergences(stream, market.THRESHOLD, market.NEED, market.WINDOW, f"{LATE // 1_000_000} seconds", 90 * market.DAY), spark, "late-out")
+    out = drained(live.event_time_divergences(stream, market.THRESHOLD, market.NEED, market.WINDOW, f"{LATE // 1_000_000} seconds", 90 * market.DAY), spark, "late-out")
     return out.select(F.col("key").cast("bigint").alias("user_id"), "t_start", *[F.round(c, 9).alias(c) for c in ("p_start", "k_start", "gap")])
 
 
