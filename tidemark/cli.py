@@ -1,6 +1,7 @@
-"""Command line: ingest files and pages into a store, run the gates on it, record books.
+"""Command line: ingest files and pages into a store, fetch the prices of its maps, run the gates on it, record books.
 
     python -m tidemark.cli ingest --results 'FILES*.csv' --k-pages DIR --p-pages DIR --k-candles FILE --p-history FILE --store DIR
+    python -m tidemark.cli prices --k-url URL --p-books-url URL --store DIR
     python -m tidemark.cli gate G2 --store DIR
     python -m tidemark.cli record --pages DIR --store DIR --once
     python -m tidemark.cli record --k-url URL --p-events-url URL --p-books-url URL --store DIR --cycles 3
@@ -18,6 +19,8 @@ from tidemark import plugins, schema
 from tidemark.operators.store import Store
 from tidemark.plans import report, series, study
 from tidemark.session import reachable, session
+from tidemark.sources.venues import VenueK, VenueP, http_get
+from tidemark.tables import materialise, scratch
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,7 +42,11 @@ def parser() -> argparse.ArgumentParser:
     rec.add_argument("--cycles", type=int, help="so many cycles; without it and --once no end")
     for name in ("k-url", "p-events-url", "p-books-url"):
         rec.add_argument(f"--{name}", help="base of the venue's interface, for polling")
-    for command in (gate, ingest, rec):
+    fetch = sub.add_parser("prices")
+    fetch.add_argument("--k-url", required=True, help="base of venue K's interface, for candles")
+    fetch.add_argument("--p-books-url", required=True, help="base of venue P's interface of books and histories")
+    fetch.add_argument("--tasks", type=int, default=4, help="so many ask at a time")
+    for command in (gate, ingest, fetch, rec):
         command.add_argument("--sport", default="lol", choices=sorted(plugins.SPORTS))
         command.add_argument("--store", required=True)
     return top
@@ -62,7 +69,6 @@ def run_ingest(store: Store, sport: plugins.Sport, results: str | None = None, k
     """Files and pages into the store; what a sweep leaves out is counted in the discards."""
     from tidemark.sources import files, sweeps
     from tidemark.sources.rest import RestSource
-    from tidemark.tables import materialise
 
     spark, census = store.spark, sport.params.census
     spark.dataSource.register(RestSource)
@@ -111,6 +117,20 @@ def run_ingest(store: Store, sport: plugins.Sport, results: str | None = None, k
     return 0
 
 
+def run_prices(store: Store, sport: plugins.Sport, k: VenueK, p: VenueP, tasks: int = 4) -> int:
+    """Candles and histories of the maps that both venues have, into the store; 1 if a venue refused.  What was not found is in the discards."""
+    from tidemark.sources import histories
+
+    with scratch():
+        found = materialise(histories.fetched(histories.wanted(study.priced_maps(store, sport.params)), k, p, tasks), "histories")
+        store.upsert("prices", histories.prices(found))
+        store.record_discards(found.where("reason IS NOT NULL"), "prices", F.col("reason"))
+        refusals = found.where(F.col("reason") == histories.REFUSED).groupBy("venue").agg(F.first("status").alias("status"), F.count(F.lit(1)).alias("n")).collect()  # a row for each venue
+        for r in refusals:
+            store.log_spend(r["venue"], "prices", r["status"], note=f"{r['n']} refusals")
+    return 1 if refusals else 0
+
+
 def run_recorder(store: Store, pages: str, once: bool) -> int:
     """Replay stored snapshots as a stream."""
     from tidemark.functions import book
@@ -131,7 +151,6 @@ def run_recorder(store: Store, pages: str, once: bool) -> int:
 
 
 def run_poller(store: Store, sport: plugins.Sport, k_url: str, p_events_url: str, p_books_url: str, cycles: int | None) -> int:
-    from tidemark.sources.venues import VenueK, VenueP, http_get
     from tidemark.streaming.recorder import Poller
 
     poller = Poller(store, sport, VenueK(http_get(k_url)), VenueP(http_get(p_events_url), http_get(p_books_url)), sport.params.recorder)
@@ -146,6 +165,8 @@ def main(argv: list[str] | None = None) -> int:
         return run_gate(store, args.gate, sport)
     if args.command == "ingest":
         return run_ingest(store, sport, args.results, args.k_pages, args.p_pages, args.k_candles, args.p_history, args.p_live, args.p_books)
+    if args.command == "prices":
+        return run_prices(store, sport, VenueK(http_get(args.k_url)), VenueP(http_get(args.p_books_url), http_get(args.p_books_url)), args.tasks)
     if args.pages:
         return run_recorder(store, args.pages, args.once)
     return run_poller(store, sport, args.k_url, args.p_events_url, args.p_books_url, 1 if args.once else args.cycles)

@@ -37,7 +37,7 @@ def price_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = records.ladders(spark, sf_dir).select("l_orderkey", F.explode(sides).alias("x")).select("l_orderkey", "x.side", "x.steps")
     asked = books.select("l_orderkey", "side", F.explode(F.array(*[F.struct(F.lit(q).alias("size"), book.impact(F.col("steps"), F.lit(q)).alias("i")) for q in ORDERS])).alias("x"))
     kept = asked.where("x.i IS NOT NULL").select("l_orderkey", "side", "x.size", "x.i.*")
-    return kept.select("l_orderkey", "side", "size", "filled", *[F.round(c, 6).alias(c) for c in ("mean_price", "last_price", "slippage")], "n_levels")
+    return kept.select("l_orderkey", "side", "size", "filled", *[F.round(c, 9).alias(c) for c in ("mean_price", "last_price", "slippage")], "n_levels")
 
 
 def payload_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ SELECT user_id, n, {_tested('p')}, {_tested('k')} FROM sums""",
   SELECT t.*, q.size AS wanted, first_value(price) OVER (PARTITION BY l_orderkey, side, q.size ORDER BY place) AS best FROM taken t, (VALUES {', '.join(f'({q})' for q in ORDERS)}) q(size)
 ), met AS (SELECT *, least(wanted::DOUBLE, before + size) AS filled FROM ends WHERE before < wanted AND (before + size >= wanted OR place = n)),
 priced AS (SELECT *, (paid + (filled - before) * price) / filled AS mean FROM met)
-SELECT l_orderkey, side, wanted AS size, filled, round(mean, 6) AS mean_price, round(price, 6) AS last_price, round(abs(mean - best), 6) AS slippage, place::INT AS n_levels FROM priced""",
+SELECT l_orderkey, side, wanted AS size, filled, round(mean, 9) AS mean_price, round(price, 9) AS last_price, round(abs(mean - best), 9) AS slippage, place::INT AS n_levels FROM priced""",
     "payload_levels": f"WITH {records.LADDER} SELECT l_orderkey, CASE side WHEN 'A' THEN 'bids' ELSE 'asks' END AS side, (pos - 1)::INT AS item, round(price, 9) AS price, size::DOUBLE AS size FROM levels",
     "stream_batch_counts": """WITH mark AS (SELECT (epoch_ms(max(ts)) - 3600000) * 1000 AS w, count(*) AS n FROM events), gone AS (SELECT count(*) AS late FROM events, mark WHERE epoch_us(ts) <= w)
 SELECT 0::BIGINT AS batch, n AS admitted, n AS stored, 0::BIGINT AS late, 0::BIGINT AS duplicates FROM mark UNION ALL SELECT 1, n, 0, 0, n FROM mark UNION ALL SELECT 2, n, 0, late, n - late FROM mark, gone""",
