@@ -379,3 +379,13 @@ def test_orphans_are_lines_without_any_order(spark, sf, tmp_path):
     orders.where("o_orderkey % 7 <> 0").write.parquet(f"{tmp_path}/orders.parquet")
     want = lines.where("l_orderkey % 7 = 0").groupBy("l_returnflag").agg(F.count(F.lit(1)), F.min("l_orderkey")).collect()
     assert want and sorted(map(tuple, records.foreign_key_orphans(spark, str(tmp_path)).collect())) == sorted(map(tuple, want))
+
+
+def test_moves_without_variance_have_no_correlation(spark):
+    flat, falls = [("flat", t, 0.5, 0.5 + 0.1 * (t % 2)) for t in range(9)], [("falls", t, 1.0 - t, float(t * t)) for t in range(9)]
+    grid = spark.createDataFrame([*flat, *falls, ("two", 0, 0.1, 0.2), ("two", 1, 0.3, 0.1), ("even", 0, 0.5, 0.5)], "m string, t long, p double, k double")
+    varied = grid.unionByName(spark.createDataFrame([("varied", t, float(t**3), float(t**2 % 5)) for t in range(9)], grid.schema))
+    got = {(r.m, r.lag): r["corr"] for r in divergence.lagged_correlation(varied, ["m"], "t", "p", "k", [0, 1]).collect()}
+    assert {m for (m, _), c in got.items() if c is not None} == {"varied"}
+    dk, dp = (np.diff([f(t) for t in range(9)]) for f in (lambda t: float(t**2 % 5), lambda t: float(t**3)))
+    assert got["varied", 0] == pytest.approx(np.corrcoef(dk, dp)[0, 1]) and got["varied", 1] == pytest.approx(np.corrcoef(dk[:-1], dp[1:])[0, 1])

@@ -128,11 +128,16 @@ def leader(ci_lo: Column, ci_hi: Column, reference: str, target: str) -> Column:
 
 
 def lagged_correlation(grid: DataFrame, by: Sequence[str], t: str, p: str, k: str, lags: Sequence[int]) -> DataFrame:
-    """An extension: correlation of the changes of ``k`` with those of ``p`` so many instants later."""
+    """An extension: correlation of the changes of ``k`` with those of ``p`` so many instants later; null where one side's do not vary."""
     from pyspark.sql import Window
 
+    def correlation(x: str, y: str) -> Column:
+        """``F.corr`` fails under ANSI rules where a side has no variance."""
+        a, b = (F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c)) for c in (x, y))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
+
     w = Window.partitionBy(*by).orderBy(t)
     moves = grid.withColumn("_dp", F.col(p) - F.lag(p).over(w)).withColumn("_dk", F.col(k) - F.lag(k).over(w))
     shifted = moves.select(*by, F.col(t), "_dk", *[F.lead("_dp", n).over(w).alias(f"_p{n}") for n in lags])
-    wide = shifted.groupBy(*by).agg(*[F.corr("_dk", f"_p{n}").alias(f"_c{n}") for n in lags])
+    wide = shifted.groupBy(*by).agg(*[correlation("_dk", f"_p{n}").alias(f"_c{n}") for n in lags])
     return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"_c{n}").alias("corr")) for n in lags])))
