@@ -220,3 +220,42 @@ def test_near_stage_in_busy_lists_and_small_chunks(spark, frame, monkeypatch, bu
     roots = union_find(range(len(sets)), links)
     assert len(links) >= 30
     assert sorted(r.doc_id for r in simhash.keep_one(frame(list(enumerate(texts)))).collect()) == sorted(set(roots.values()))
+
+
+def test_pairs_that_meet_in_busy_lists_alone_are_linked(spark, frame, monkeypatch):
+    """Pairs just over 0.8 that share one to three bands, among texts alike to 0.72 that share these too."""
+    monkeypatch.setattr(simhash, "BUSY", 0)
+    rng = random.Random(13)
+    core, texts = [f"c{i}" for i in range(252)], []
+
+    def bands(text):
+        return np.frombuffer(simhash.sketch(simhash.shingle_set(text.encode())), dtype=np.uint8).reshape(simhash.BANDS, -1)
+
+    while len(texts) < 24:
+        own = [f"o{rng.randrange(10**6)}" for _ in range(48)]
+        pair = [" ".join(core + own), " ".join([*core, *own[:20], *(f"n{rng.randrange(10**6)}" for _ in range(28))])]
+        if 1 <= (bands(pair[0]) == bands(pair[1])).all(axis=1).sum() <= 3:
+            texts += pair
+    others = [" ".join([*core, *(f"o{rng.randrange(10**6)}" for _ in range(48))]) for _ in range(100)]
+    sets = [simhash.shingle_set(t.encode()) for t in texts]
+    assert all(simhash.alike(*sets[i : i + 2]) for i in range(0, 24, 2)) and not simhash.alike(sets[0], sets[2])
+    kept = [r.doc_id for r in simhash.keep_one(frame([*enumerate(others), *enumerate(texts, 100)])).collect()]
+    assert sorted(kept) == [*range(100), *range(100, 124, 2)]
+
+
+def test_rarest_shingles_lose_no_pair(spark):
+    rng = random.Random(14)
+    core = [f"c{i}" for i in range(200)]
+    texts = []
+    for share in (20, 30, 36, 40, 60):  # of own words behind a common part; or edits of one of these
+        for _ in range(12):
+            own = [f"o{rng.randrange(10**6)}" for _ in range(share)]
+            texts.append(" ".join(core + own))
+            texts.append(" ".join(edited(rng, core + own, rng.choice(["cut", "lost", "gained", "replaced"]), rng.choice([0.05, 0.1, 0.15]))))
+    sets = [simhash.shingle_set(t.encode()) for t in texts]
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.alike(sets[i], sets[j])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(3).selectExpr("rid", "cast(text AS binary) AS text")
+    signed = simhash.shingle_sketches(rows).withColumnRenamed("rid", "node")
+    got = [(r.u, r.v) for r in simhash.rare_links(rows, signed.selectExpr("node", "node AS root").limit(0), signed).collect()]
+    assert all(simhash.alike(sets[i], sets[j]) for i, j in got) and 100 < len(want)
+    assert partition(union_find(range(len(sets)), got).items()) == partition(union_find(range(len(sets)), want).items())

@@ -301,8 +301,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, max_bits: int = 3, seed: int =
 BANDS, BAND_BYTES = 20, 4  # a pair alike to 0.8 shares no band with probability (1 - 0.8^4)^20 = 3e-5
 WIDTH = BANDS * BAND_BYTES
 LEAST_SHARED = 48  # of 80 bytes; a pair alike to 0.8 shares fewer with probability 1e-5
-BUSY = 512  # a list with more unlike pairs for each entry is split by a further band
-DEEPEST = 4  # bands by which a list is split
+BUSY = 512  # of a list with more unlike pairs for each entry the texts meet by their rarest shingles instead
 CHUNK = 1024  # entries of a list that one task compares with as many others
 _KEYS = (np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
@@ -362,12 +361,56 @@ def band(number):  # noqa: ANN001, ANN201
 
 
 def posted(entries: DataFrame) -> DataFrame:
-    """Entries ``key``, ``mask``, ``node`` in the sub-lists of one more band: ``entries`` has ``node``, ``sketch`` and, below the first bands, ``key`` and ``mask`` (of the bands so far)."""
-    deeper = "mask" in entries.columns
-    so_far = F.col("mask") if deeper else F.lit(0)
+    """Entries ``key``, ``mask`` (of the one band), ``node`` in the lists of all bands: ``entries`` has ``node`` and ``sketch``."""
     own = F.array(*[F.struct(F.lit(1 << b).alias("bit"), F.substring("sketch", b * BAND_BYTES + 1, BAND_BYTES).alias("bytes")) for b in range(BANDS)])
-    rows = entries.withColumn("band", F.explode(F.filter(own, lambda x: x["bit"] > so_far)))
-    return rows.select(F.xxhash64(*[F.col("key")][:deeper], "band.bit", "band.bytes").alias("key"), (so_far + F.col("band.bit")).alias("mask"), "node")
+    rows = entries.withColumn("band", F.explode(own))
+    return rows.select(F.xxhash64("band.bit", "band.bytes").alias("key"), F.col("band.bit").alias("mask"), "node")
+
+
+def rare_entries(texts: DataFrame) -> DataFrame:
+    """Entries ``key``, ``mask``, ``node`` of texts (``rid``, ``text``) under their rarest shingles: no pair alike to 0.8 or more is without a common key.
+
+    The distinct shingles of a text of a are put in one order for all texts, the rarest first.  Sets alike to
+    0.8 have at least 0.8 a shingles in common, so the first common one has the place (``mask``, from 0) a / 5 at
+    most in either.  Shingles of one text only take places and have no entries.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(some: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            sizes = [len(h) for _, h in some]
+            node, size = (np.repeat(np.array(x, dtype=np.int64), sizes) for x in ([rid for rid, _ in some], sizes))
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(size), pa.array(np.concatenate([h for _, h in some]).view(np.int64))], names=["node", "size", "key"])
+
+        for batch in batches:
+            held, n = [], 0
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.append((rid, shingle_set(text.as_py())))
+                n += len(held[-1][1])
+                if n >= SLICE:
+                    yield rows(held)
+                    held, n = [], 0
+            if held:
+                yield rows(held)
+
+    each = materialise(texts.select("rid", "text").mapInArrow(run, "node bigint, size bigint, key bigint"), "near-shingles")
+    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = each.join(common, "key").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("x"))
+    placed = ordered.select("node", "size", (F.col("size") - F.size("x")).alias("alone"), F.posexplode("x").alias("at", "x"))
+    return placed.withColumn("mask", (F.col("alone") + F.col("at")).cast("int")).where("5 * mask <= size").select("x.key", "mask", "node", "size")
+
+
+def rare_links(texts: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Links between all of the texts (``rid``, ``text``) alike to 0.8 or more, without those within one of ``roots`` (``node``, ``root``); exact.
+
+    Of a pair the smaller set, of a, has 8 a / 9 shingles in common at least, so a list without an entry in the
+    first ninth of its set has no pair.
+    """
+    entries = rare_entries(texts).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entries = materialise(entries.withColumn("early", F.expr("9 * mask <= size")).drop("size"), "near-rare")
+    by_root = entries.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.max("early").alias("early"))
+    met = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"), F.max("early").alias("early")).where("early AND n > top.c")
+    census = materialise(met.select("key", F.col("top.root").alias("most"), F.col("top.c").alias("n_most"), (F.col("n") - F.col("top.c")).alias("n_rest")), "near-rare-census")
+    return materialise(unlike_links(in_chunks(entries.drop("early"), census), signatures, texts, 0), "near-links")
 
 
 def star_links(stars: DataFrame, texts: DataFrame) -> DataFrame:
@@ -430,7 +473,11 @@ def in_chunks(entries: DataFrame, census: DataFrame) -> DataFrame:
 
 
 class Unlike:
-    """Pairs of different ``root`` and opposite ``side`` in tasks that may be alike, each in the one list of its first shared bands."""
+    """Pairs of different ``root`` and opposite ``side`` in tasks that may be alike, each in the one list of its first shared bands.
+
+    At a depth of 0 the lists are those of rare shingles, ``mask`` is the shingle's place, and no pair alike to 0.8 is
+    left out where its first common shingle is read: what both have from there on must be enough.
+    """
 
     def __init__(self, table: pa.Table, depth: int):
         self.task, self.side, self.node, self.root, self.mask, self.size = (table.column(k).to_numpy() for k in range(6))
@@ -441,6 +488,9 @@ class Unlike:
         a, b = self.side[i], self.side[j]
         hit = ((a & 1 & b >> 1 | a >> 1 & b & 1) > 0) & (self.root[i] != self.root[j])
         i, j = i[hit], j[hit]
+        if not self.depth:
+            hit = 9 * np.minimum(self.size[i] - self.mask[i], self.size[j] - self.mask[j]) >= 4 * (self.size[i] + self.size[j])
+            return i[hit], j[hit]
         hit = plausible(self.size[i], self.sketch[i], self.size[j], self.sketch[j])
         i, j = i[hit], j[hit]
         hit = first_bands(self.sketch[i], self.sketch[j], self.depth) == self.mask[i]
@@ -521,42 +571,36 @@ def unlike_links(dealt: DataFrame, signatures: DataFrame, texts: DataFrame, dept
 def near_groups(rows: DataFrame) -> DataFrame:
     """``rid``, ``root`` of each row of ``rows`` (``rid``, ``text``, written): rows joined by links of similarity 0.8 or more share a root.
 
-    Equal shingle sets are one node.  A node is posted in the sub-list of each of ``BANDS``
+    Equal shingle sets are one node.  A node is posted in the list of each of ``BANDS``
     bands of ``BAND_BYTES`` positions with its bytes there.  First each node is held against the
     least node of each of its lists; then, in lists that still hold different components,
-    all pairs of different components are.  A list with over ``BUSY`` such pairs for each entry
-    (many texts that share a common part and little else) is split by a further band first, up
-    to ``DEEPEST`` bands; a pair alike to 0.8 that meets in such lists alone shares fewer than
-    two bands with a probability of 4e-4, fewer than four with one of 1.3e-2.  Every link is
-    verified by the exact similarity.
+    all pairs of different components are.  Texts of a list with over ``BUSY`` such pairs for each entry
+    (many that share a common part and little else) meet by their rarest shingles instead, which
+    loses no link between any of them (``rare_links``).  Every link is verified by the exact similarity.
     """
     prints = materialise(shingle_sketches(rows), "near-prints")
     nodes = materialise(prints.groupBy("digest").agg(F.min("rid").alias("node")), "near-nodes")
     signatures = materialise(prints.join(nodes, F.col("rid") == F.col("node"), "left_semi").withColumnRenamed("rid", "node").drop("digest"), "near-signatures")
     entries = posted(signatures.where("size > 0").select("node", "sketch"))
-    edges = texts = None
-    for depth in range(1, DEEPEST + 1):
-        lists = entries.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        shared = materialise(entries.join(lists, "key"), "near-entries")
-        stars = materialise(possible(shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), signatures), "near-stars")
-        if texts is None:  # of nodes that share a list with another: all that is compared
-            text = rows.select("rid", F.col("text").cast("binary").alias("text"))
-            texts = materialise(text.join(shared.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi"), "near-texts")
-        found = materialise(star_links(stars, texts), "near-links")
-        edges = found if edges is None else edges.unionByName(found)
-        rooted = shared.join(components(edges, "near"), "node", "left").select("key", "mask", "node", F.coalesce("root", "node").alias("root"))
-        rooted = materialise(rooted, "near-rooted")
-        by_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        census = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root")).alias("top")).where("n > top.c")
-        busy = (F.col("n") * F.col("n") - F.col("same")) / 2 > F.lit(BUSY) * F.col("n")
-        census = materialise(census.select("key", busy.alias("busy"), F.col("top.root").alias("most"), F.col("top.c").alias("n_most"), (F.col("n") - F.col("top.c")).alias("n_rest")), "near-census")
-        now = census if depth == DEEPEST else census.where("NOT busy")
-        edges = edges.unionByName(materialise(unlike_links(in_chunks(rooted, now), signatures, texts, depth), "near-links"))
-        if depth == DEEPEST or census.where("busy").isEmpty():
-            break
-        split = rooted.join(census.where("busy").select("key"), "key").join(signatures.select("node", "sketch"), "node")
-        entries = materialise(posted(split), "near-postings")
+    lists = entries.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = materialise(entries.join(lists, "key"), "near-entries")
+    stars = materialise(possible(shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), signatures), "near-stars")
+    text = rows.select("rid", F.col("text").cast("binary").alias("text"))  # of nodes that share a list with another: all that is compared
+    texts = materialise(text.join(shared.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi"), "near-texts")
+    edges = materialise(star_links(stars, texts), "near-links")
+    rooted = shared.join(components(edges, "near"), "node", "left").select("key", "mask", "node", F.coalesce("root", "node").alias("root"))
+    rooted = materialise(rooted, "near-rooted")
+    by_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    census = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root")).alias("top")).where("n > top.c")
+    busy = (F.col("n") * F.col("n") - F.col("same")) / 2 > F.lit(BUSY) * F.col("n")
+    census = materialise(census.select("key", busy.alias("busy"), F.col("top.root").alias("most"), F.col("top.c").alias("n_most"), (F.col("n") - F.col("top.c")).alias("n_rest")), "near-census")
+    edges = edges.unionByName(materialise(unlike_links(in_chunks(rooted, census.where("NOT busy")), signatures, texts, 1), "near-links"))
+    crowded = census.where("busy").select("key")
     found = components(edges, "near")
+    if not crowded.isEmpty():
+        crowd = rooted.join(crowded, "key", "left_semi").select(F.col("node").alias("rid")).distinct()
+        some = materialise(texts.join(crowd, "rid", "left_semi"), "near-crowd")
+        found = components(edges.unionByName(rare_links(some, found, signatures)), "near")
     rooted_nodes = nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return prints.select("rid", "digest").join(rooted_nodes, "digest").select("rid", "root")
 
