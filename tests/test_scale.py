@@ -158,3 +158,37 @@ def test_statistics_over_parts_equal_those_of_whole_resamples(spark, monkeypatch
 
 
 CHUNKS = bootstrap.chunks_of
+
+
+class Unsummed:
+    """The moments without their terms: the way of any mergeable statistic."""
+
+    size = 3
+
+    def __init__(self, moments):
+        self.update, self.merge, self.finish = moments.update, moments.merge, moments.finish
+
+
+def test_a_statistic_of_sums_reads_blocks_and_not_values(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(k, b, None if rng.random() < 0.1 else rng.random()) for k in ("x", None) for b in range(25) for _ in range(20)] + [("one", 1, 0.5), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "k string, b int, v double").repartition(3)
+    deviation = bootstrap.Moments(lambda n, s, q: np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)))
+    general = bootstrap.bootstrap_merged(df, ["k"], "b", "v", Unsummed(deviation), 90, 7, 0.9).collect()
+    monkeypatch.setattr(bootstrap, "placed_blocks", lambda *_: pytest.fail("values are read"))
+    monkeypatch.setattr(bootstrap, "MOST_BLOCKS", 10)  # three chunks
+    linear = bootstrap.bootstrap_merged(df, ["k"], "b", "v", deviation, 90, 7, 0.9).collect()
+    assert {r.k: pytest.approx(r[1:]) for r in general} == {r.k: tuple(r)[1:] for r in linear} and len(linear) == 3
+
+
+def test_a_key_of_one_run_is_drawn_for_once(spark, monkeypatch):
+    df = spark.range(60).selectExpr("id % 2 AS k", "id % 30 AS b", "pmod(hash(id), 17) * 0.5 AS v")
+    found, several = [], []
+    for part in (1 << 20, 7):
+        monkeypatch.setattr(bootstrap, "PART_VALUES", part)
+        with monkeypatch.context() as m:
+            real = bootstrap.materialise
+            m.setattr(bootstrap, "materialise", lambda rows, label, real=real: several.append((label, real(rows, label))) or several[-1][1])
+            found.append(sorted(map(tuple, bootstrap.bootstrap_quantile(df, ["k"], "b", "v", 0.5, 80, 3, 0.9).collect())))
+    assert found[0] == found[1]
+    assert [rows.count() for label, rows in several if label == "bootstrap-weights"] == [0, 2 * 80 * 5]

@@ -24,9 +24,9 @@ from tidemark.tables import materialise, numbered
 MOST_BLOCKS = 1 << 20  # blocks that a task holds, as arrays of two numbers each
 MOST_DRAWS = 1 << 27  # draws that a task makes
 RANGES = 16  # tasks at least, for the resamples of a key's blocks
-PLACES = 1 << 20  # places that are drawn for at a time
-PART_VALUES = 1 << 16  # values that a task holds of a key
-SLICE = 64  # resamples whose weights it holds at a time
+PLACES = 1 << 14  # places that are drawn for at a time
+PART_VALUES = 1 << 20  # values that a task holds of a key
+SLICE, WEIGHTS = 64, 1 << 22  # resamples whose weights it holds at a time, and weights
 
 #: The prime 2^31 - 1 and multipliers of the draw's hash.  All products stay below 2^48.
 PRIME, MULTIPLIERS, SHIFTS = 2_147_483_647, (48_271, 69_621, 16_807), (15, 13)
@@ -34,12 +34,21 @@ PRIME, MULTIPLIERS, SHIFTS = 2_147_483_647, (48_271, 69_621, 16_807), (15, 13)
 
 def mix(x):  # noqa: ANN001, ANN201
     """A hash of a number or an array of numbers, below 2^31."""
+    x = (x & PRIME) + (x >> 31)  # the same modulo 2^31 - 1, as everywhere here; a division costs many times that
     for multiplier, shift in zip(MULTIPLIERS, (*SHIFTS, 31), strict=True):
-        x = x % PRIME * multiplier % PRIME
-        x = x ^ x >> shift
+        x = x * multiplier
+        x = (x & PRIME) + (x >> 31)
+        x = (x + (x + 1 >> 31)) & PRIME  # PRIME itself is 0
+        if shift < 31:  # a value has no more bits
+            x = x ^ x >> shift
     return x
 
 
+def below(x: np.ndarray, n: int) -> np.ndarray:
+    """``x % n`` of numbers below 2^31, for which the division of doubles is exact enough."""
+    return x - (x / n).astype(np.int64) * n
+
+
 def draw_of(seed: int, resample: int, place: int, n: int) -> int:
     """The index from 0 below n that a resample has at a place."""
     return mix(mix(resample + seed) ^ mix(place + 1)) % n
@@ -77,7 +86,7 @@ def resampled(chunks: DataFrame, resamples: int, seed: int) -> DataFrame:
                 for at in range(0, n, PLACES):
                     places = mix(np.arange(at + 1, min(at + PLACES, n) + 1, dtype=np.int64))
                     for k in range(count):
-                        drawn = mix(mix(r + k + seed) ^ places) % n - begin
+                        drawn = below(mix(mix(r + k + seed) ^ places), n) - begin
                         if len(sums) < n:
                             drawn = drawn[(drawn >= 0) & (drawn < len(sums))]
                         totals[k] += sums[drawn].sum()
@@ -125,6 +134,13 @@ class Mergeable(Protocol):
         """The statistic of each state."""
 
 
+class Linear(Mergeable, Protocol):
+    """One whose state is a sum over values: a block then needs no more than its own sums."""
+
+    def terms(self, value: Column) -> list[Column]:
+        """What is summed, ``size`` columns."""
+
+
 class Moments:
     """Number, sum and sum of squares; ``of`` makes the statistic of these three."""
 
@@ -133,6 +149,9 @@ class Moments:
     def __init__(self, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
         self.of = of
 
+    def terms(self, value: Column) -> list[Column]:
+        return [F.lit(1.0), value, value * value]
+
     def update(self, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
         return weights @ np.stack([np.ones(len(values)), values, values * values], axis=1)
 
@@ -143,12 +162,15 @@ class Moments:
         return self.of(*states.T)
 
 
-def block_counts(seed: int, resample: int, n: int) -> np.ndarray:
-    """How often each of a key's n blocks stands in a resample."""
-    counts = np.zeros(n, dtype=np.int64)
-    for at in range(0, n, PLACES):
-        counts += np.bincount(mix(mix(resample + seed) ^ mix(np.arange(at + 1, min(at + PLACES, n) + 1, dtype=np.int64))) % n, minlength=n)
-    return counts
+def block_counts(seed: int, resamples: Iterable[int], n: int) -> Iterator[np.ndarray]:
+    """How often each of a key's n blocks stands in each of the resamples."""
+    parts = [(at, min(at + PLACES, n)) for at in range(0, n, PLACES)]
+    hashed, drawn = mix(np.arange(1, n + 1, dtype=np.int64)), np.empty(n, dtype=np.int64)
+    for resample in resamples:
+        own = mix(resample + seed)
+        for begin, end in parts:
+            drawn[begin:end] = below(mix(own ^ hashed[begin:end]), n)
+        yield np.bincount(drawn, minlength=n)
 
 
 def placed_blocks(rows: DataFrame, keys: Sequence[str], block: str, value: str) -> tuple[DataFrame, DataFrame]:
@@ -172,8 +194,10 @@ def bootstrap_merged(rows: DataFrame, by: Sequence[str], block: str, value: str,
     """Per key: point, ci_lo, ci_hi and n_blocks of a mergeable statistic; nulls are left out, fewer than two blocks give no interval and no point.
 
     A key's values are cut into parts of at most ``PART_VALUES`` over which tasks are spread; the parts' states of
-    each resample are merged in the order of the parts.
+    each resample are merged in the order of the parts.  Of a ``Linear`` statistic only the blocks' sums are read.
     """
+    if hasattr(statistic, "terms"):
+        return bootstrap_linear(rows, by, block, value, statistic, resamples, seed, ci_level)
     placed, summary = placed_blocks(rows, by, block, value)
     ordered = numbered(placed, ["_first"], ["_i", "_v"], "_n", "bootstrap-values")
     cut = ordered.groupBy("_first", "n_blocks", F.floor(F.col("_n") / PART_VALUES).alias("_part")).agg(F.collect_list(F.struct("_i", "_v")).alias("_x"))
@@ -186,9 +210,10 @@ def bootstrap_merged(rows: DataFrame, by: Sequence[str], block: str, value: str,
             for row in zip(*batch.columns, strict=True):
                 first, n, part, r, step = (row[k].as_py() for k in (0, 1, 2, 5, 6))
                 blocks, values = (row[k].values.to_numpy(zero_copy_only=False) for k in (3, 4))
-                for at in range(r, min(r + step, resamples), SLICE) if r >= 0 else (-1,):
-                    count = min(SLICE, r + step - at, resamples - at) if r >= 0 else 1
-                    weights = np.stack([block_counts(seed, at + k, n)[blocks] if r >= 0 else np.ones(len(blocks)) for k in range(count)])
+                some = max(1, min(SLICE, WEIGHTS // max(len(values), 1)))
+                for at in range(r, min(r + step, resamples), some) if r >= 0 else (-1,):
+                    count = min(some, r + step - at, resamples - at) if r >= 0 else 1
+                    weights = np.stack([c[blocks] for c in block_counts(seed, range(at, at + count), n)] if r >= 0 else [np.ones(len(blocks))])
                     states = statistic.update(values, weights)
                     yield pa.RecordBatch.from_arrays([pa.array([first] * count), pa.array(range(at, at + count), pa.int64()), pa.array([part] * count), pa.array(states.tolist(), pa.list_(pa.float64()))], names=["_first", "_r", "_part", "_state"])
 
@@ -215,6 +240,38 @@ def bootstrap_merged(rows: DataFrame, by: Sequence[str], block: str, value: str,
     return summary.join(points, "_first", "left").join(ends, "_first", "left").select(*by, "point", "ci_lo", "ci_hi", "n_blocks")
 
 
+def bootstrap_linear(rows: DataFrame, by: Sequence[str], block: str, value: str, statistic: Linear, resamples: int, seed: int, ci_level: float) -> DataFrame:
+    """``bootstrap_merged`` of a statistic of sums: each block becomes its sums, as in ``bootstrap_mean``, and a resample weighs these."""
+    keys, sums = list(by), [f"_s{k}" for k in range(statistic.size)]
+    terms = statistic.terms(F.col(value).cast("double"))
+    blocks = materialise(rows.where(F.col(value).isNotNull()).groupBy(*keys, block).agg(*[F.sum(t).cast("double").alias(s) for s, t in zip(sums, terms, strict=True)]), "bootstrap-blocks")
+    table = materialise(numbered(blocks, [], [*keys, block], "_at", "bootstrap-numbered"), "bootstrap-table")
+    summary = materialise(table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_blocks"), F.min("_at").alias("_first"), *[F.sum(s).alias(s) for s in sums]), "bootstrap-keys")
+    of = summary.where("n_blocks >= 2").select("_first", "n_blocks", *[F.col(c).alias(f"_of_{c}") for c in keys])
+    placed = table.join(of, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], F.lit(True))).withColumn("_i", F.col("_at") - F.col("_first"))
+    cut = placed.groupBy("_first", "n_blocks", F.floor(F.col("_i") / MOST_BLOCKS).alias("_part")).agg(F.array_sort(F.collect_list(F.struct("_i", *sums))).alias("_x"))
+    parts = cut.select("_first", "n_blocks", "_part", (F.col("_part") * MOST_BLOCKS).alias("_from"), *[F.col("_x")[s].alias(s) for s in sums])
+    work = with_ranges(parts, resamples, F.col("n_blocks")).select("_first", "n_blocks", "_from", "_r", "_step", *sums)
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                first, n, begin, r, step = (x.as_py() for x in row[:5])
+                states, every = np.stack([x.values.to_numpy(zero_copy_only=False) for x in row[5:]], axis=1), range(r, min(r + step, resamples))
+                found = np.stack([c[begin : begin + len(states)] @ states for c in block_counts(seed, every, n)])
+                yield pa.RecordBatch.from_arrays([pa.array([first] * len(every)), pa.array(every, pa.int64()), *map(pa.array, found.T.copy())], names=["_first", "_r", *sums])
+
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stat = statistic.finish(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.asarray(stat, dtype=np.float64))], names=["_first", "_r", "_stat"])
+
+    states = work.mapInArrow(draw, ", ".join(["_first bigint, _r bigint", *[f"{s} double" for s in sums]])).groupBy("_first", "_r").agg(*[F.sum(s).alias(s) for s in sums])
+    points = summary.where("n_blocks >= 2").select("_first", F.lit(-1).cast("bigint").alias("_r"), *sums).mapInArrow(finish, RESULT).select("_first", F.col("_stat").alias("point"))
+    ends = interval(states.mapInArrow(finish, RESULT), ["_first"], resamples, ci_level)
+    return summary.join(points, "_first", "left").join(ends, "_first", "left").select(*by, "point", "ci_lo", "ci_hi", "n_blocks")
+
+
 RESULT = "_first bigint, _r bigint, _stat double"
 
 
@@ -227,7 +284,8 @@ def bootstrap_quantile(rows: DataFrame, by: Sequence[str], block: str, value: st
 
     By weighted ranks over sorted runs: a key's values are sorted once and cut into runs of ``PART_VALUES``.
     Each run gives its weight in every resample, running sums of these say in which run the place lies,
-    and that run is searched.  No task holds a key's values, and none sorts a resample.
+    and that run is searched.  No task holds more than a run, and none sorts a resample.  A key of
+    one run is drawn for once, and not for weights and search.
     """
     placed, summary = placed_blocks(rows, by, block, value)
     ranked = materialise(numbered(placed, ["_first"], ["_v", "_i"], "_rank", "bootstrap-values"), "bootstrap-ranked")
@@ -239,7 +297,7 @@ def bootstrap_quantile(rows: DataFrame, by: Sequence[str], block: str, value: st
             for row in zip(*batch.columns, strict=True):
                 first, n, part, r, step = (row[k].as_py() for k in (0, 1, 2, 4, 5))
                 blocks, every = row[3].values.to_numpy(zero_copy_only=False), range(r, min(r + step, resamples))
-                weights = [int(block_counts(seed, k, n)[blocks].sum()) for k in every]
+                weights = [int(c[blocks].sum()) for c in block_counts(seed, every, n)]
                 yield pa.RecordBatch.from_arrays([pa.array([first] * len(every)), pa.array([part] * len(every)), pa.array(every, pa.int64()), pa.array(weights, pa.int64())], names=["_first", "_part", "_r", "_w"])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +305,25 @@ def bootstrap_quantile(rows: DataFrame, by: Sequence[str], block: str, value: st
             for first, n, blocks, values, asked in zip(*batch.columns, strict=True):
                 n, of = n.as_py(), blocks.values.to_numpy(zero_copy_only=False)
                 sorted_values = values.values.to_numpy(zero_copy_only=False)
-                yield result([(first.as_py(), x["_r"], float(sorted_values[np.searchsorted(np.cumsum(block_counts(seed, x["_r"], n)[of]), x["_rest"], side="right")])) for x in asked.as_py()])
+                each = asked.as_py()
+                counts = block_counts(seed, [x["_r"] for x in each], n)
+                yield result([(first.as_py(), x["_r"], float(sorted_values[np.searchsorted(np.cumsum(c[of]), x["_rest"], side="right")])) for x, c in zip(each, counts, strict=True)])
 
+    def at_once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                first, n, r, step = (row[k].as_py() for k in (0, 1, 4, 5))
+                of, sorted_values = (row[k].values.to_numpy(zero_copy_only=False) for k in (2, 3))
+                every, out = range(r, min(r + step, resamples)), []
+                for k, c in zip(every, block_counts(seed, every, n), strict=True):
+                    upto = np.cumsum(c[of])
+                    out.append((first, k, float(sorted_values[np.searchsorted(upto, int(upto[-1] * q), side="right")])))
+                yield result(out)
+
+    every_run = runs
+    several = materialise(runs.groupBy("_first").agg(F.count(F.lit(1)).alias("_runs")).where("_runs > 1").select("_first"), "bootstrap-several")
+    whole = with_ranges(every_run.join(several, "_first", "left_anti"), resamples, F.col("n_blocks")).select("_first", "n_blocks", "_is", "_vs", "_r", "_step").mapInArrow(at_once, RESULT)
+    runs = every_run.join(several, "_first", "left_semi")
     work = with_ranges(runs.select("_first", "n_blocks", "_part", "_is"), resamples, F.col("n_blocks"))
     weights = materialise(work.select("_first", "n_blocks", "_part", "_is", "_r", "_step").mapInArrow(weigh, "_first bigint, _part bigint, _r bigint, _w bigint"), "bootstrap-weights")
     each = Window.partitionBy("_first", "_r")
@@ -256,7 +331,7 @@ def bootstrap_quantile(rows: DataFrame, by: Sequence[str], block: str, value: st
     at = weights.withColumn("_before", before).withColumn("_at", F.floor(F.sum("_w").over(each) * q))
     met = at.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_w")))
     asked = met.groupBy("_first", "_part").agg(F.collect_list(F.struct("_r", (F.col("_at") - F.col("_before")).alias("_rest"))).alias("_asked"))  # at most one for each resample
-    stats = runs.join(asked, ["_first", "_part"]).select("_first", "n_blocks", "_is", "_vs", "_asked").mapInArrow(search, RESULT)
+    stats = runs.join(asked, ["_first", "_part"]).select("_first", "n_blocks", "_is", "_vs", "_asked").mapInArrow(search, RESULT).unionByName(whole)
     sizes = ranked.groupBy("_first").agg(F.floor(F.count(F.lit(1)) * q).alias("_rank"))
     points = ranked.where("n_blocks >= 2").join(sizes, ["_first", "_rank"]).select("_first", F.col("_v").alias("point"))
     return summary.join(points, "_first", "left").join(interval(stats, ["_first"], resamples, ci_level), "_first", "left").select(*by, "point", "ci_lo", "ci_hi", "n_blocks")
