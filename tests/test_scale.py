@@ -160,16 +160,15 @@ def test_statistics_over_parts_equal_those_of_whole_resamples(spark, monkeypatch
 CHUNKS = bootstrap.chunks_of
 
 
-class Unsummed:
-    """The moments without their terms: the way of any mergeable statistic."""
-
-    size = 3
+def test_a_statistic_of_sums_reads_blocks_and_not_values(spark, monkeypatch):
+    class Unsummed:
+        """The moments without their terms: the way of any mergeable statistic."""
 
-    def __init__(self, moments):
-        self.update, self.merge, self.finish = moments.update, moments.merge, moments.finish
+        size = 3
 
+        def __init__(self, moments):
+            self.update, self.merge, self.finish = moments.update, moments.merge, moments.finish
 
-def test_a_statistic_of_sums_reads_blocks_and_not_values(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(k, b, None if rng.random() < 0.1 else rng.random()) for k in ("x", None) for b in range(25) for _ in range(20)] + [("one", 1, 0.5), ("none", 1, None)]
     df = spark.createDataFrame(rows, "k string, b int, v double").repartition(3)
