@@ -389,3 +389,27 @@ def test_moves_without_variance_have_no_correlation(spark):
     assert {m for (m, _), c in got.items() if c is not None} == {"varied"}
     dk, dp = (np.diff([f(t) for t in range(9)]) for f in (lambda t: float(t**2 % 5), lambda t: float(t**3)))
     assert got["varied", 0] == pytest.approx(np.corrcoef(dk, dp)[0, 1]) and got["varied", 1] == pytest.approx(np.corrcoef(dk[:-1], dp[1:])[0, 1])
+
+
+def test_first_match_of_fixtures_joins_each_fixture_once(spark, monkeypatch):
+    left = fixtures(spark, [(i, "T1", "Gen.G", "2026-07-10", 1, None) for i in range(200)] + [(900, "T1", None, "2026-07-10", 1, None), (901, "T1", "Gen.G", "2026-07-10", None, None)]).withColumnRenamed("seq", "match_id")
+    right = fixtures(spark, [(i, "Gen.G Esports", "T1", f"2026-07-{9 + i % 4:02d}", 1, str(i)) for i in range(37, 240)])
+    seen, real = [], matching.fuzzy_candidates
+    monkeypatch.setattr(matching, "fuzzy_candidates", lambda a, b, *rest, **named: seen.append((a.count(), b.count())) or real(a, b, *rest, **named))
+    got = {r.match_id: (r.dshift, r.p_seq, r.p_winner) for r in matching.fuzzy_first_match(left, right, "day", ("team_a", "team_b"), ["map_no"], 1, "p_", "seq", ["winner"]).collect()}
+    assert got == {**{i: (-1, 40, "40") for i in range(200)}, 900: (None, None, None), 901: (None, None, None)}
+    assert seen == [(3, 4)]
+
+
+def test_first_ruled_name_equals_the_rules_row_by_row(spark, monkeypatch):
+    from tidemark.plans import series
+
+    rng = random.Random(6)
+    some = ["T1", "Gen.G Esports", "Gen.G", "HLE", "Hanwha Life Esports", "Gen.G Academy", "", None, "Snow Leopards", "SNOWLEOPARDS", "x"]
+    rows = [(i, None if i % 29 == 0 else [rng.choice(some) for _ in range(i % 4)], rng.choice(some)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, names array<string>, team string").repartition(3)
+    want = sorted(map(tuple, df.select("id", series.side_key(F.col("names"), F.col("team"))).collect()))
+    met, real = [], matching.ruled_pairs
+    monkeypatch.setattr(matching, "ruled_pairs", lambda pairs, *rest: met.append(pairs.count()) or real(pairs, *rest))
+    got = sorted(map(tuple, matching.first_ruled_name(df, "names", "team", "at").select("id", "at").collect()))
+    assert got == want and len({a for _, a in got}) > 2 and met[0] <= 100

@@ -186,6 +186,38 @@ def first_match(left: DataFrame, hits: DataFrame, key: Sequence[str], order: Seq
     return left.join(picked, list(key), "left").select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 
+def fuzzy_first_match(left: DataFrame, right: DataFrame, day: str, teams: Sequence[str], equal: Sequence[str], days: int, prefix: str, order: str, columns: Sequence[str], same: DataFrame | None = None) -> DataFrame:
+    """Every left row with ``dshift``, ``order`` and ``columns`` (of ``right``, with ``prefix``) of its first hit among ``fuzzy_candidates``: the earliest day, then the least ``order``.
+
+    Rows of one day, ``equal`` and names have the same hits, so of each such fixture of the right the first row only and each of
+    the left once are joined: the work does not grow with the pairs of rows.
+    """
+    key = [day, *equal, *teams]
+    wanted = list(dict.fromkeys([order, *columns]))
+    first = right.groupBy(*key).agg(F.min_by(F.struct(*wanted), F.col(order)).alias("_r")).select(*key, "_r.*")
+    fixtures = left.select(*key).distinct()
+    hits = fuzzy_candidates(fixtures, first, day, teams, equal, days, prefix, same=same)
+    picked = ["dshift", *[prefix + c for c in wanted]]
+    best = hits.groupBy(*key).agg(F.min_by(F.struct(*picked), F.struct("dshift", prefix + order)).alias("_hit"))
+    renamed = best.select("_hit", *[F.col(c).alias(f"_of_{c}") for c in key])
+    on = [F.col(c) == F.col(f"_of_{c}") for c in key]
+    return left.join(renamed, on, "left").select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in picked])
+
+
+def first_ruled_name(rows: DataFrame, names: str, team: str, out: str, min_acronym: int = 1) -> DataFrame:
+    """Adds ``out``: the place of the first of ``names`` (an array) that means the team by the rules; null without one.
+
+    Each distinct list with its team is looked at once, and each name's forms are derived once.
+    """
+    asked = materialise(rows.select(F.col(names).alias("_names"), F.col(team).alias("r")).distinct().withColumn("_id", F.monotonically_increasing_id()), "names-asked")
+    each = asked.select("_id", "r", F.posexplode("_names").alias("_pos", "l"))
+    pairs = materialise(each.select("l", "r").where("l IS NOT NULL AND r IS NOT NULL").distinct(), "names-met")
+    same = ruled_pairs(pairs, min_acronym).where("same").select("l", "r")
+    hit = each.join(same, ["l", "r"]).groupBy("_id").agg(F.min("_pos").alias(out))
+    known = asked.join(hit, "_id").select(F.col("_names").alias("_of_names"), F.col("r").alias("_of_team"), out)
+    return rows.join(known, (F.col(names) == F.col("_of_names")) & (F.col(team) == F.col("_of_team")), "left").drop("_of_names", "_of_team")
+
+
 def prefer_settled(rows: DataFrame, key: Sequence[str], winner: str, seq: str) -> DataFrame:
     """One row per key: the first with a winner, else the first; ``slot`` is the key's first position."""
     others = [c for c in rows.columns if c not in key]

@@ -96,9 +96,9 @@ def first_side_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The side of a market that means a team: of a part's words, its brand and its name, one of them in capitals as the team."""
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("names", F.concat(F.array("p_brand"), F.split("p_name", " "), F.array("p_name")))
     team = F.concat(F.upper(F.get("names", (F.col("p_size") % 4).cast("int"))), F.lit(" Esports"))
-    at = series.side_key(F.col("names"), team)
+    found = matching.first_ruled_name(rows.withColumn("team", team), "names", "team", "at")
     tokens = F.array("p_type", F.col("p_size").cast("string"), F.lit("third"))
-    return rows.select(F.col("p_partkey"), at.cast("bigint").alias("side"), F.get(tokens, at).alias("token"))
+    return found.select(F.col("p_partkey"), F.col("at").cast("bigint").alias("side"), F.get(tokens, F.col("at")).alias("token"))
 
 
 def parse_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,8 +274,7 @@ def _of_side(rows: DataFrame, side: str, key: str) -> DataFrame:
 def banded_fuzzy_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = named_fixtures(spark, sf_dir)
     left = _of_side(rows, "N", "match_id")
-    hits = matching.fuzzy_candidates(left, _of_side(rows, "P", "seq"), "day", ("team_a", "team_b"), ["map_no"], 1, "p_")
-    found = matching.first_match(left, hits, ["match_id"], ["dshift", "p_seq"], ["dshift", "p_seq", "p_winner"])
+    found = matching.fuzzy_first_match(left, _of_side(rows, "P", "seq"), "day", ("team_a", "team_b"), ["map_no"], 1, "p_", "seq", ["seq", "winner"])
     return found.select("match_id", "dshift", "p_seq", "p_winner")
 
 
