@@ -12,10 +12,13 @@ buckets before comes from a table of one row per (key, bucket).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.tables import materialise
+
 
 def asof_join(
     left: DataFrame,
@@ -66,6 +69,34 @@ def asof_join(
     return found.select("_l.*", *[F.col(f"_r.{c}").alias(prefix + c) for c in carried])
 
 
+def asof_both(left: DataFrame, sides: dict[str, DataFrame], by: Sequence[str], left_t: str, right_t: str, ties: Sequence[str] = ()) -> DataFrame:
+    """``asof_join`` with several right sides (by prefix) in one sort: left rows with the last row of each at or before their time.  A task holds a key."""
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
+    key_names = [f"_k{i}" for i in range(len(by))]
+    rows = left.select(*keys, F.col(left_t).alias("_t"), F.lit(1).alias("_pri"), F.struct(*left.columns).alias("_l"))
+    tie = F.struct(*[F.col(t) for t in ties] or [F.lit(0).alias("none")]).alias("_tie")
+    carried = {prefix: [c for c in right.columns if c not in by] for prefix, right in sides.items()}
+    for prefix, right in sides.items():
+        own = right.where(F.col(right_t).isNotNull()).select(*keys, F.col(right_t).alias("_t"), F.lit(0).alias("_pri"), tie, F.struct(*carried[prefix]).alias(f"_r{prefix}"))
+        rows = rows.unionByName(own, allowMissingColumns=True)
+    running = Window.partitionBy(*key_names).orderBy("_t", "_pri", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumns({f"_r{prefix}": F.last(f"_r{prefix}", ignorenulls=True).over(running) for prefix in sides}).where("_l IS NOT NULL")
+    return found.select("_l.*", *[F.col(f"_r{prefix}.{c}").alias(prefix + c) for prefix in sides for c in carried[prefix]])
+
+
+def by_size(frames: Sequence[DataFrame], by: Sequence[str], most: int) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """The frames' rows of keys with at most ``most`` rows in all of them, and those of larger keys; None if no key is larger.
+
+    The larger keys are written; there are at most as many as ``most`` goes into the number of rows.
+    """
+    keys = reduce(DataFrame.unionAll, [f.select(*by) for f in frames])
+    large = materialise(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*[F.col(c).alias(f"_of_{c}") for c in by]), "large-keys")
+    if large.isEmpty():
+        return list(frames), None
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return [f.join(F.broadcast(large), on, "left_anti") for f in frames], [f.join(F.broadcast(large), on, "left_semi") for f in frames]
+
+
 def grid(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, value: str, left_name: str, right_name: str, ties: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
     """All instants of both series of a key, each once, with the value that each side has then (null before its first).
 
@@ -75,7 +106,10 @@ def grid(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, value: st
     none = F.lit(None).cast("double")
     one = left.select(*by, t, tie, F.struct(F.col(value).alias("v")).alias("_a"))
     two = right.select(*by, t, tie, F.struct(F.col(value).alias("v")).alias("_b"))
-    per_instant = one.unionByName(two, allowMissingColumns=True).groupBy(*by, t).agg(F.max_by("_a", F.when(F.col("_a").isNotNull(), F.col("_tie"))).alias("_a"), F.max_by("_b", F.when(F.col("_b").isNotNull(), F.col("_tie"))).alias("_b"))
+    both = one.unionByName(two, allowMissingColumns=True)
+    if not bucket:
+        both = both.repartition(*by)  # a task holds a key anyway: one shuffle instead of one for the instants and one for the keys
+    per_instant = both.groupBy(*by, t).agg(F.max_by("_a", F.when(F.col("_a").isNotNull(), F.col("_tie"))).alias("_a"), F.max_by("_b", F.when(F.col("_b").isNotNull(), F.col("_tie"))).alias("_b"))
     group = list(by)
     if bucket:
         group = [*by, "_cell"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.tables import materialise, numbered
+from tidemark.tables import materialise, numbered, partitions
 
 MOST_BLOCKS = 1 << 20  # blocks that a task holds, as arrays of two numbers each
 MOST_DRAWS = 1 << 27  # draws that a task makes
@@ -74,7 +74,9 @@ def resampled(chunks: DataFrame, resamples: int, seed: int) -> DataFrame:
     A task draws a range of resamples against one chunk and gives their sums; chunks of a key add up.
     """
     step = F.greatest(F.lit(1), F.least(F.lit(-(-resamples // RANGES)), F.floor(F.lit(MOST_DRAWS) / F.col("n_blocks")))).cast("int")
-    work = chunks.withColumn("_step", step).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("_step")))).repartition("_first", "_from", "_r")
+    work = chunks.withColumn("_step", step).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("_step"))))
+    # By range, as a hash would give some tasks several ranges of resamples and others none.
+    work = work.repartitionByRange(max(partitions(chunks.sparkSession), 4 * RANGES), "_first", "_from", "_r")
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

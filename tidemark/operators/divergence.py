@@ -9,13 +9,16 @@ reads one row per stretch, and each stretch is then folded from the state that e
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import stretches
-from tidemark.operators.asof import asof_join
+from tidemark.operators import asof, stretches
+from tidemark.tables import materialise
+
+LARGE = 1 << 16  # instants of a key that one task folds; only the time of larger keys is cut
 
 STATE_IN = "struct<len: int, sign: int, t0: bigint, p0: double, k0: double, until: bigint>"
 STATE = "struct<len: int, sign: int, t0: bigint, p0: double, k0: double, until: bigint, found: array<struct<t_start: bigint, p_start: double, k_start: double, gap: double>>>"
@@ -116,12 +119,38 @@ def convergence(found: DataFrame, target: DataFrame, reference: DataFrame, by: S
     """Adds ``lead``: sign of the gap times the movement of both series from the start to the window's end; 0 if a side is missing."""
     ends = found.withColumn("_end", F.col("t_start") + window)
     columns = [*by, t, value, *ties]
-    at = asof_join(ends, target.select(*columns), by, "_end", t, "_p_", ties=ties, bucket=bucket)
-    at = asof_join(at, reference.select(*columns), by, "_end", t, "_k_", ties=ties, bucket=bucket)
+    if bucket:
+        at = asof.asof_join(ends, target.select(*columns), by, "_end", t, "_p_", ties=ties, bucket=bucket)
+        at = asof.asof_join(at, reference.select(*columns), by, "_end", t, "_k_", ties=ties, bucket=bucket)
+    else:
+        at = asof.asof_both(ends, {"_p_": target.select(*columns), "_k_": reference.select(*columns)}, by, "_end", t, ties)
     moved = F.col(f"_p_{value}") - F.col("p_start") + F.col(f"_k_{value}") - F.col("k_start")
     return at.select(*found.columns, F.coalesce(F.when(F.col("gap") > 0, moved).otherwise(-moved), F.lit(0.0)).alias("lead"))
 
 
+def confirmed(p: DataFrame, k: DataFrame, by: Sequence[str], within: Sequence[str], t: str, value: str, threshold: float, need: int, window: int, bucket: int | None = None, lead: bool = True) -> DataFrame:
+    """Divergences of two series of a key (``by``), each part of it (``within``, null: outside all) on its own, and with ``lead`` that of the whole series.
+
+    A key is folded by one task as it is, as most keys have few instants and cutting these costs far
+    more than it spares; with ``bucket`` the time of keys of more than ``LARGE`` instants is cut.
+    """
+    keys = [*by, *within]
+    p, k = (x.select(*keys, t, value).where(F.col(t).isNotNull()) for x in (p, k))
+    small, large = asof.by_size([p, k], by, LARGE) if bucket else ([p, k], None)
+    parts = []
+    for sides, cut in ((small, None), (large, bucket)):
+        if sides is None:
+            continue
+        during = [x.where(" AND ".join(f"{c} IS NOT NULL" for c in within)) if within else x for x in sides]
+        found = divergences(asof.grid(*during, keys, t, value, "p", "k", bucket=cut), keys, t, "p", "k", threshold, need, window, cut)
+        if lead:
+            if cut:  # read more than once
+                found = materialise(found, "divergences")
+            found = convergence(found, *[x.select(*by, t, value) for x in sides], by, t, value, window, bucket=cut)
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def leader(ci_lo: Column, ci_hi: Column, reference: str, target: str) -> Column:
     """Who leads by the sign of the interval; null if it holds zero or is missing."""
     return F.when(ci_lo > 0, reference).when(ci_hi < 0, target)

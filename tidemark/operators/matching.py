@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -186,6 +187,18 @@ def first_match(left: DataFrame, hits: DataFrame, key: Sequence[str], order: Seq
     return left.join(picked, list(key), "left").select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 
+def banded_first_match(left: DataFrame, right: DataFrame, day: str, equal: Sequence[str], days: int, prefix: str, order: str, columns: Sequence[str]) -> DataFrame:
+    """Every left row with ``columns`` (with ``prefix``) of the first right row within ``days`` days whose ``equal`` columns agree: the earliest day, then the least ``order``.
+
+    Right rows are spread over the days around theirs and the first for each day is taken before the join, so no pairs of rows are made.
+    """
+    wanted = list(dict.fromkeys([order, *columns]))
+    spread = right.withColumn("_shift", F.explode(F.sequence(F.lit(-days), F.lit(days)))).withColumn("_of_day", F.date_sub(F.col(day), F.col("_shift")))
+    first = spread.groupBy(*[F.col(c).alias(f"_of_{c}") for c in equal], "_of_day").agg(F.min(F.struct("_shift", *wanted)).alias("_hit"))
+    on = reduce(Column.__and__, [F.col(c) == F.col(f"_of_{c}") for c in equal], F.col(day) == F.col("_of_day"))
+    return left.join(first, on, "left").select(*left.columns, *[F.col(f"_hit.{c}").alias(prefix + c) for c in columns])
+
+
 def fuzzy_first_match(left: DataFrame, right: DataFrame, day: str, teams: Sequence[str], equal: Sequence[str], days: int, prefix: str, order: str, columns: Sequence[str], same: DataFrame | None = None) -> DataFrame:
     """Every left row with ``dshift``, ``order`` and ``columns`` (of ``right``, with ``prefix``) of its first hit among ``fuzzy_candidates``: the earliest day, then the least ``order``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import asof, bootstrap, divergence, matching, scoring
+from tidemark.operators import bootstrap, divergence, matching, scoring
 from tidemark.params import Bootstrap, Calibration, Census, LeadLag, Parity
 from tidemark.tables import materialise
 
@@ -25,14 +25,17 @@ def coverage(spine: DataFrame, records: DataFrame, key: Sequence[str], day: str,
     A series is covered if every venue has a record of the same key within ``days`` days.
     Many-to-one hits are allowed; hits are reduced to one row per series and venue at once.
     """
-    series = spine.select(*key, day).distinct()
-    hits = matching.banded_candidates(series, records, day, day, key, days)
-    flags = hits.groupBy(*key, day).agg(
-        F.count_distinct("r_venue").alias("_all"), *[F.count_distinct(F.when(F.col("r_family") == f, F.col("r_venue"))).alias(f"_{f}") for f in families]
-    )
-    joined = series.join(flags, [*key, day], "left")
-    has = lambda c: F.coalesce(F.col(c) == len(venues), F.lit(False))
-    return joined.select(*key, day, has("_all").alias("covered"), *[(has("_all") & has(f"_{f}")).alias(f"covered_{f}") for f in families])
+    # Both tables by key and day, records on the days around theirs too: one shuffle, and no pairs of a series and its records.
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*key, day]])
+    near = records.where(known).withColumn(day, F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda x: F.date_add(F.col(day), x))))
+    kinds = [(v, f) for f in (None, *families) for v in venues]
+    seen = [(F.col("venue") == v) & (F.lit(True) if f is None else F.col("family") == f) for v, f in kinds]
+    one, no = F.lit(1), F.lit(0)
+    rows = spine.select(*key, day, one.alias("_series"), *[no.alias(f"_{i}") for i in range(len(kinds))])
+    rows = rows.unionByName(near.select(*key, day, no.alias("_series"), *[F.when(x, one).otherwise(no).alias(f"_{i}") for i, x in enumerate(seen)]))
+    found = rows.groupBy(*key, day).agg(F.max("_series").alias("_series"), *[F.max(f"_{i}").alias(f"_{i}") for i in range(len(kinds))]).where("_series = 1")
+    has = lambda family: reduce(Column.__and__, [F.col(f"_{i}") == 1 for i, (_, f) in enumerate(kinds) if f == family])
+    return found.select(*key, day, has(None).alias("covered"), *[(has(None) & has(f)).alias(f"covered_{f}") for f in families])
 
 
 def fuzzy_coverage(spine: DataFrame, records: DataFrame, venues: Sequence[str], params: Census) -> DataFrame:
@@ -125,13 +128,9 @@ def calibration(points: DataFrame, params: Calibration, reference: str = "K", ta
 def lead_lag(p: DataFrame, k: DataFrame, by: Sequence[str], t: str, value: str, block: str, params: LeadLag, window: int, resamples: int, seed: int, ci_level: float, bucket: int | None = None, reference: str = "K", target: str = "P") -> DataFrame:
     """G3, one row per regime (a column of both series and of ``by``): divergences, signed lead with its interval, leader, verdict.
 
-    ``bucket`` cuts the time of a key, which else is one task's.  Each regime's grid starts cold; the lead is measured on the whole series.
+    ``bucket`` cuts the time of large keys, which else are one task's.  Each regime's grid starts cold; the lead is measured on the whole series.
     """
-    keys = [*by, "regime"]
-    during_p, during_k = (x.where("regime IS NOT NULL") for x in (p, k))  # what lies outside all regimes shows the convergence only
-    aligned = asof.grid(during_p, during_k, keys, t, value, "p", "k", bucket=bucket)
-    found = divergence.divergences(aligned, keys, t, "p", "k", params.threshold, params.confirmations, window, bucket)
-    leads = divergence.convergence(found, p.select(*by, t, value), k.select(*by, t, value), by, t, value, window, bucket=bucket)
+    leads = divergence.confirmed(p, k, by, ["regime"], t, value, params.threshold, params.confirmations, window, bucket)  # what lies outside all regimes shows the convergence only
     report = bootstrap.bootstrap_mean(leads, ["regime"], block, "lead", resamples, seed, ci_level)
     report = report.withColumn("leader", divergence.leader(F.col("ci_lo"), F.col("ci_hi"), reference, target))
     enough = F.col("n") >= params.min_divergences

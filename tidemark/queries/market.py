@@ -49,9 +49,12 @@ def of_venue(rows: DataFrame, venue: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points_of(ticks(spark, sf_dir))
+
+
+def points_of(rows: DataFrame) -> DataFrame:
     """One row per priced event of a venue: venue, regime, block, p, y."""
-    rows = ticks(spark, sf_dir).where("venue IS NOT NULL")
-    return rows.select("venue", "regime", "user_id", F.col("price").alias("p"), (F.col("k") >= 50).cast("double").alias("y"))
+    return rows.where("venue IS NOT NULL").select("venue", "regime", "user_id", F.col("price").alias("p"), (F.col("k") >= 50).cast("double").alias("y"))
 
 
 POINTS_CTE = "points AS (SELECT venue, regime, user_id, price AS p, CASE WHEN k >= 50 THEN 1.0 ELSE 0.0 END AS y FROM ticks WHERE venue IS NOT NULL)"
@@ -168,20 +171,18 @@ def bootstrap_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("regime", *[F.round(c, 7).alias(c) for c in ("point", "ci_lo", "ci_hi")], "n_blocks")
 
 
-def found_divergences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def found_divergences(spark: SparkSession, sf_dir: str, lead: bool) -> DataFrame:
     rows = ticks(spark, sf_dir)
-    aligned = asof.grid(of_venue(rows, "P"), of_venue(rows, "K"), ["user_id"], "t", "price", "p", "k", bucket=BUCKET)
-    return rows, divergence.divergences(aligned, ["user_id"], "t", "p", "k", THRESHOLD, NEED, WINDOW, BUCKET)
+    return divergence.confirmed(of_venue(rows, "P"), of_venue(rows, "K"), ["user_id"], [], "t", "price", THRESHOLD, NEED, WINDOW, BUCKET, lead)
 
 
 def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = found_divergences(spark, sf_dir)
+    found = found_divergences(spark, sf_dir, False)
     return found.select("user_id", "t_start", *[F.round(c, 9).alias(c) for c in ("p_start", "k_start", "gap")])
 
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, found = found_divergences(spark, sf_dir)
-    return divergence.convergence(found, of_venue(rows, "P"), of_venue(rows, "K"), ["user_id"], "t", "price", WINDOW, bucket=BUCKET)
+    return found_divergences(spark, sf_dir, True)
 
 
 def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
